@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, langid, mixing, ngram_join, substring, url_filter, warc
+from . import bpe, chat, embed_dedup, fingerprint, langid, mixing, ngram_join, substring, url_filter, warc
 from .workspace import Workspace
 
 
@@ -38,6 +38,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "margin", "rejected")
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove(_table(spark, sf_dir, "documents").select("doc_id", "text"), window=13, keep_text=False)
 
@@ -53,6 +57,10 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), weights).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -101,6 +109,15 @@ m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id)
 SELECT t.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id FROM t JOIN m USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
+_OP5 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(vec_id, c) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.c FROM r JOIN l ON l.x = r.vec_id),
+m AS (SELECT vec_id, min(c) AS c FROM r GROUP BY vec_id),
+k AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT m.vec_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links, m.c AS component_id, m.vec_id = m.c AS kept FROM m LEFT JOIN k ON k.x = m.vec_id
+"""
+
 _OP6 = r"""
 WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM t WHERE len(w) >= 13),
@@ -145,4 +162,4 @@ SELECT doc_id, size, source_size, target, CAST(floor(off + rate * rk) - floor(of
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op6_substring_dedup": _OP6, "op10_mixing": _OP10}
+    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op5_embedding_near_dedup": _OP5, "op6_substring_dedup": _OP6, "op10_mixing": _OP10}

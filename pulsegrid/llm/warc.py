@@ -15,15 +15,15 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ranges import range_bounds, range_of
+
 #: A file is closed at the first record after so many compressed bytes.
 FILE_BYTES = 64 << 20
 #: Payloads of fewer bytes are never replaced by a reference.
 REVISIT_BYTES = 1000
-#: Page ids from which shard bounds are taken: those of least hash, whatever the table's size.
-SAMPLE = 20_000
 LEVEL = 6
 #: Fixed: the records' date, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
@@ -67,13 +67,6 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def shard_bounds(pages: DataFrame, shards: int, id_col: str) -> list[int]:
-    """Ids that part the table into about equal ranges: quantiles of the SAMPLE ids of least hash (a bounded, order-free sample)."""
-    sample = pages.select(F.col(id_col).alias("p")).where("p IS NOT NULL").withColumn("h", F.xxhash64("p")).orderBy("h", "p").limit(SAMPLE)
-    ids = sorted(r.p for r in sample.collect())
-    return sorted({ids[len(ids) * k // shards] for k in range(1, shards)}) if ids else []
-
-
 def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write one record per row into `out` and return the manifest (file, shard, part, records, bytes, sha1).
 
@@ -85,7 +78,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
     """
     spark = pages.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = shard_bounds(pages, shards, id_col)
+    bounds = range_bounds(pages, id_col, shards)
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), body.alias("body"))
     keys = rows.select("page", F.octet_length("body").alias("n"), F.sha1("body").alias("digest")).where(F.col("n") >= REVISIT_BYTES)
@@ -96,7 +89,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
     dealt = (
         rows.select(F.lit(1).alias("kind"), "page", "url", "body", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("to"))
         .unionByName(refer.select(F.lit(0).alias("kind"), "page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "to"))
-        .withColumn("shard", _bucket(F.col("page"), bounds))
+        .withColumn("shard", range_of(F.col("page"), bounds))
         .repartitionById(shards, "shard")
         .sortWithinPartitions("shard", "page", "kind", "url", "body")
     )
@@ -154,18 +147,6 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
 _MANIFEST = pa.schema([("file", pa.string()), ("shard", pa.int64()), ("part", pa.int64()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha1", pa.string())])
 
 
-def _bucket(page: Column, bounds: list[int]) -> Column:
-    """The number of bounds that are at most page, by halving."""
-
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(page >= bounds[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
-
-    return between(0, len(bounds))
-
-
 def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
     """The records of a file in which each is a gzip member of its own."""
     unpack, out = zlib.decompressobj(31), []
