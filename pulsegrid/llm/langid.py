@@ -58,20 +58,23 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     return {k: out[k] for k in langs if out.get(k)}
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = ()) -> DataFrame:
+def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = MIN_MARGIN, id_col: str = "doc_id", text_col: str = "text", keep: tuple = (), prefix: str = "") -> DataFrame:
     """The language of every whole text: id, the columns of `keep`, lang_pred, score, margin, rejected.
 
     lang_pred is the language of fewest bytes (ties: the first in dictionaries), or `und` if the text is null or
     empty, has no letter, or nothing was learned. margin is (next - best) / best, 0 with one language; score
     is between 0 and 1: half at no margin, growing with it; 0 for `und`. rejected is true for `und` and for
-    a margin under min_margin, false if only one language was learned. Every row gives one row. Rows stay in
+    a margin under min_margin, false if only one language was learned. Every row gives one row. `prefix`
+    goes before the names of the four new columns, should `keep` have columns of those names. Rows stay in
     their partition; the dictionaries are of bounded size (see learn).
     """
     langs = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in langs])
     columns = [id_col, *[c for c in keep if c != id_col]]
     fields = [docs.schema[c] for c in columns]
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "lang_pred string, score double, margin double, rejected boolean"])
+    added = [f"{prefix}{x}" for x in ("lang_pred", "score", "margin", "rejected")]
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"`{n}` {t}" for n, t in zip(added, ("string", "double", "double", "boolean"), strict=True)]])
+    sent = columns if text_col in columns else [*columns, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -85,7 +88,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 to.append(zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress)
         for batch in batches:
             pred, score, margin, rejected = [], [], [], []
-            texts = batch.column(len(columns))
+            texts = batch.column(sent.index(text_col))
             for k in range(batch.num_rows):
                 text = texts[k].as_py()
                 if not text or not usual or not _LETTER.search(text):
@@ -102,9 +105,9 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
                 margin.append(m)
                 score.append(1.0 - 0.5 / (1.0 + 10.0 * m))
                 rejected.append(len(sizes) > 1 and m < min_margin)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [*columns, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64()), pa.array(rejected, pa.bool_())], [*columns, *added])
 
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

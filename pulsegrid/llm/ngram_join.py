@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Words, mix, ragged_unique, signed, slices
@@ -83,32 +83,23 @@ def link_forest(ids: np.ndarray, sizes: np.ndarray, tokens: np.ndarray, offsets:
     return ids[root]
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """Documents with the class they belong to: id, n_shingles, component_id.
-
-    Two documents link if den * |intersection| >= num * |union| of their sets of distinct word k-grams (see
-    shingle_sets); component_id is the least id reachable by links, itself included. Documents without words
-    link with nothing, not even each other, and keep their own id. Equal sets are one row of the matrix and
-    need no links. Null texts have no words; a null id is never the least one, and a group of null ids only has
-    component null. Repeated ids are rows of their own and meet through their sets. Other columns are ignored.
-
-    Rows that travel: the packed matrix once, its shared entries twice, then only near-copy candidates.
-    """
+def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, block: int) -> DataFrame:
+    """Rows (id, th, n, label) of all documents: a hash of the text, the set's size, and a label that groups share; null without words."""
     ws = Workspace(docs.sparkSession, "ngram-join")
     kind = docs.schema[id_col].dataType.simpleString()
-    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 tokens, offsets = shingle_sets(part.column(1), k)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets).astype(np.int64)), pa.array(signed(set_hashes(tokens, offsets)))], ["id", "n", "entity"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(np.diff(offsets).astype(np.int64)), pa.array(signed(set_hashes(tokens, offsets)))], ["id", "th", "n", "entity"])
 
     def extract(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         tokens, offsets = shingle_sets(part.column(0), k)
         return set_hashes(tokens, offsets), tokens, offsets
 
-    sets = ws.save(text.mapInArrow(describe, f"id {kind}, n bigint, entity bigint"), "sets")
+    sets = ws.save(text.mapInArrow(describe, f"id {kind}, th bigint, n bigint, entity bigint"), "sets")
     found = shared_features(text.select("text"), extract, buckets_of(docs))
     whole = F.array_sort(F.collect_set(F.struct("df", "feature")))
     sizes = sets.where("n > 0").groupBy("entity").agg(F.max("n").alias("n"))
@@ -140,7 +131,38 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     label = links.where("final").select(F.col("a").alias("entity"), F.col("b").alias("root"))
     if not links.where("NOT final").isEmpty():
         label = label.unionByName(components(links.where("NOT final"), ws, "links").select(F.col("id").alias("entity"), F.col("root")))
-    named = sets.join(label, "entity", "left").withColumn("label", F.coalesce("root", "entity"))
-    least_id = named.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
-    out = named.join(least_id, "label", "left")
+    return sets.join(label, "entity", "left").select("id", "th", "n", F.when(F.col("n") > 0, F.coalesce("root", "entity")).alias("label"))
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """Documents with the class they belong to: id, n_shingles, component_id.
+
+    Two documents link if den * |intersection| >= num * |union| of their sets of distinct word k-grams (see
+    shingle_sets); component_id is the least id reachable by links, itself included. Documents without words
+    link with nothing, not even each other, and keep their own id. Equal sets are one row of the matrix and
+    need no links. Null texts have no words; a null id is never the least one, and a group of null ids only has
+    component null. Repeated ids are rows of their own and meet through their sets. Other columns are ignored.
+
+    Rows that travel: the packed matrix once, its shared entries twice, then only near-copy candidates.
+    """
+    named = _labelled(docs, k, num, den, id_col, text_col, block)
+    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component"))
+    out = named.join(least, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+    """One document of each group that near_duplicates finds, with the columns of docs: that of the least id.
+
+    Of rows that share this id, one of the least text hash stays, of rows equal in both the first by their
+    other columns. A null id stays only if its whole group has none. Documents without words all stay.
+    """
+    named = _labelled(docs, k, num, den, id_col, text_col, block).select("id", "th", "label")
+    first = named.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th")).alias("x")).select("x.id", "x.th")
+    keep = first.unionByName(named.where("label IS NULL").select("id", "th")).distinct().select(F.col("id").alias("__one_id"), F.col("th").alias("__one_th"))
+    rows = docs.withColumn("__one_key", F.xxhash64(text_col))
+    rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__one_id")) & (F.col("__one_key") == F.col("__one_th")), "left_semi")
+    worded = F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    rank = F.row_number().over(Window.partitionBy(id_col, "__one_key").orderBy(*[F.col(f"`{c}`") for c in others] or [F.lit(1)]))
+    return rows.withColumn("__one_rank", rank).where((F.col("__one_rank") == 1) | ~worded).select(*docs.columns)

@@ -229,25 +229,25 @@ def _hits(docs: DataFrame, ws: Workspace, w: int, shard_words: int) -> DataFrame
     return ws.save(spans.unionByName(copies), "spans")
 
 
-def remove(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, shard_words: int = SHARD_WORDS) -> DataFrame:
+def remove(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True, prefix: str = "", shard_words: int = SHARD_WORDS) -> DataFrame:
     """Rows of docs with the words of repeated windows removed: all their columns, and n_words, n_removed, kept_sha256.
 
     A window of `window` words is repeated if its word sequence also starts in a document with a smaller id;
     windows are judged on the input. kept_sha256 is of the kept words joined by one space. With keep_text the
     text column holds these joined words where something was removed, and the text as it was elsewhere; without,
     the text column is left out. A null text has no words and stays null. Rows of null id lose nothing and take
-    nothing from others; rows of one id take nothing from each other. Ids are integers. Added columns replace
-    columns of their names.
+    nothing from others; rows of one id take nothing from each other. Ids are integers. Added columns, whose
+    names `prefix` goes before, replace columns of their names.
     """
     ws = Workspace(docs.sparkSession, "substring")
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     hits = _hits(docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"), th.alias("th")), ws, window, shard_words)
     hits = hits.select(F.col("id").alias("__sub_id"), F.col("th").alias("__sub_th"), F.col("spans").alias("__sub_spans"), F.lit(True).alias("__sub_hit"))
-    added = ["n_words", "n_removed", "kept_sha256"]
+    added = [f"{prefix}{x}" for x in ("n_words", "n_removed", "kept_sha256")]
     base = [c for c in docs.columns if c not in added and c != text_col]
     joined = docs.select(*base, F.col(text_col).alias("__sub_text"), th.alias("__sub_key")).join(hits, (F.col(id_col).cast("bigint") == F.col("__sub_id")) & (F.col("__sub_key") == F.col("__sub_th")), "left")
     fields = [docs.schema[c] for c in base] + ([docs.schema[text_col]] if keep_text else [])
-    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], "n_words bigint", "n_removed bigint", "kept_sha256 string"])
+    schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in fields], *[f"`{n}` {t}" for n, t in zip(added, ("bigint", "bigint", "string"), strict=True)]])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
