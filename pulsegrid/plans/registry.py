@@ -1,4 +1,6 @@
 """All registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import analytic, tabular  # noqa: F401
+from .common import ORACLE, QUERIES
+
+__all__ = ["ORACLE", "QUERIES"]
