@@ -233,6 +233,18 @@ def features(fhr: np.ndarray, uc: np.ndarray, fs: int = FS) -> dict[str, float]:
 FEATURES = tuple(features(np.full(8, np.nan), np.full(8, np.nan)))
 
 
+def autocorrelation(x: np.ndarray, max_lag: int) -> np.ndarray:
+    """Autocorrelation of the finite samples at lags 0..max_lag, by way of the spectrum; NaN for a constant series."""
+    x = x[np.isfinite(x)]
+    out = np.full(max_lag + 1, np.nan)
+    if not len(x) or not x.std() > 0:
+        return out
+    d = x - x.mean()
+    c = np.fft.irfft(np.abs(np.fft.rfft(d, 2 * len(d))) ** 2)[: min(max_lag + 1, len(d))]
+    out[: len(c)] = c / (d @ d)
+    return out
+
+
 def welch(x: np.ndarray, fs: float = FS) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and density: Hann windows of min(256, n / 4) samples, half overlapping, each less its mean."""
     x = x[np.isfinite(x)]

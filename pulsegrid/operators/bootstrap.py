@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clinical import hash_unit, replicate_id
+from ..functions.kernels import autocorrelation as _acf
 from ..functions.kernels import jitter_warp as _jitter_warp
-from .series import autocorrelation, first_below
+from .features import array_kernel
 
 
 def _draw(seed: Column, record: Column, rep: Column, i: Column, what: str) -> Column:
@@ -84,14 +85,19 @@ def _warped(each: DataFrame, seed: int) -> DataFrame:
     return each.withColumns({c: F.col(c).cast("array<double>") for c in ("fhr", "uc")}).mapInArrow(run, each.withColumns({c: F.col(c).cast("array<double>") for c in ("fhr", "uc")}).schema)
 
 
-def optimal_block(samples: DataFrame, x: str, key: str, threshold: float = 0.05, low: int = 240, high: int = 1200, max_lag: int | None = None) -> DataFrame:
+def optimal_block(samples: DataFrame, x: str, key: str, threshold: float = 0.05, low: int = 240, high: int = 1200, max_lag: int | None = None, at: str = "i") -> DataFrame:
     """Block length per record: twice the first lag whose autocorrelation is small in size, within [low, high]; high where none is; low for a record with too few valid samples."""
     lags = max_lag or high // 2
-    size = samples.groupBy(key).agg(F.count(x).alias("__valid"))
-    acf = autocorrelation(samples, x, key, lags, drop_missing=True).withColumn("acf", F.abs("acf"))
-    first = first_below(acf, "acf", "lag", key, threshold)
-    block = F.when(F.col("__valid") < 2 * low, F.lit(low)).otherwise(F.coalesce(F.least(F.greatest(F.col("first_below") * 2, F.lit(low)), F.lit(high)), F.lit(high)))
-    return size.join(first, key, "left").select(key, block.alias("block"))
+    series = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v: v[x]).alias("__x"))
+
+    def block(v: np.ndarray) -> float:
+        v = v[np.isfinite(v)]
+        if len(v) < 2 * low:
+            return float(low)
+        small = np.flatnonzero(np.abs(_acf(v, lags)) < threshold)
+        return float(min(max(2 * small[0], low), high)) if len(small) else float(high)
+
+    return array_kernel(series, [key], "__x", block, "block").withColumn("block", F.col("block").cast("int"))
 
 
 def converged_multiplier(means: DataFrame, tolerance: float = 0.01, cap: int = 10) -> DataFrame:

@@ -81,6 +81,8 @@ def fit(df: DataFrame, features: list[str], label: str, cluster: str | None = No
         move = np.linalg.solve(h + penalty, g - penalty @ coef)
         if np.abs(move).max() < 1e-8 or abs(before - row.ll) <= tol * (1 + abs(row.ll)):
             break
+        if row.ll > -1e-6 * row.n:  # separated classes: the likelihood has no maximum
+            return None
         coef, before = coef + move, row.ll
         if np.abs(coef).max() > 1e3:
             return None
