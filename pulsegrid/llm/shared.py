@@ -21,8 +21,8 @@ _LOW = _U((1 << 48) - 1)
 HOT = 64
 #: The df of a marked feature: more than any count.
 MARKED = 1 << 40
-#: Buckets per shuffle partition.
-PER_PARTITION = 4
+#: Features that a bucket's task works on at once; a fuller bucket is gone through in several turns over its packed rows.
+TURN = 2_000_000
 
 Extract = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -50,20 +50,23 @@ def _take(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 
 def _pack(entity: np.ndarray, owner: np.ndarray, features: np.ndarray, marks: np.ndarray) -> bytes:
-    """Entries of one bucket, ascending by owner: texts with their counts, then 48 bits of each feature; then marked features."""
+    """Entries of one bucket, ascending by owner: texts with their counts, then 48 bits of each feature; then marked features. A text of very many features stands several times."""
     begin = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+    if len(begin) and (most := int(np.diff(np.concatenate([begin, [len(owner)]])).max())) > 65535:
+        begin = np.union1d(begin, np.concatenate([begin + k for k in range(65535, most, 65535)]))
+        begin = begin[begin < len(owner)]
     counts = np.diff(np.concatenate([begin, [len(owner)]])) if len(owner) else begin
     low = features & _LOW
     head = np.array([len(begin), len(features), len(marks)], np.uint32)
-    parts = (head, entity[owner[begin]] if len(begin) else entity[:0], marks, counts.astype(np.uint32), low.astype(np.uint32), (low >> _U(32)).astype(np.uint16))
+    parts = (head, entity[owner[begin]] if len(begin) else entity[:0], marks, counts.astype(np.uint16), low.astype(np.uint32), (low >> _U(32)).astype(np.uint16))
     return b"".join(x.tobytes() for x in parts)
 
 
-def _unpack(blob: memoryview, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _unpack(blob: bytes, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n, m, k = np.frombuffer(blob, np.uint32, 3)
     at = 12
     out = []
-    for kind, count in ((np.uint64, n), (np.uint64, k), (np.uint32, n), (np.uint32, m), (np.uint16, m)):
+    for kind, count in ((np.uint64, n), (np.uint64, k), (np.uint16, n), (np.uint32, m), (np.uint16, m)):
         out.append(np.frombuffer(blob, kind, int(count), at))
         at += int(count) * np.dtype(kind).itemsize
     entity, marks, counts, low, high = out
@@ -81,7 +84,8 @@ def _rows(entity: np.ndarray, feature: np.ndarray, df: np.ndarray) -> Iterator[p
 
 
 def buckets_of(docs: DataFrame) -> int:
-    return min(PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+    """One bucket per shuffle partition: the fewer buckets, the less often a text's id goes along with its features."""
+    return min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
 
 
 def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFrame:
@@ -92,10 +96,9 @@ def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFram
     frequent within some slice; it is the same in all of a feature's rows. A row may come more than once.
 
     Features are dealt by hash into buckets of about equal size; each slice of the input sends a bucket one
-    packed row, six bytes a feature. A feature that a third of all texts have sends one mark a slice, so no
-    bucket grows with it.
+    packed row: six bytes a feature, and ten for each text that has some there, so at most sixteen a feature.
+    A feature that a third of all texts have sends one mark a slice, so no bucket grows with it.
     """
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,21 +157,28 @@ def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFram
             df = np.where(marked, MARKED, np.bincount(run, minlength=len(first)))[run]
             yield from _rows(entity[df > 1], feature[df > 1], df[df > 1])
 
-        now, parts = None, []
+        held: dict[int, list] = {}
         for batch in batches:
             blobs = batch.column(2)
             for k, (bucket, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                blob = memoryview(blobs[k].as_buffer())
+                blob = blobs[k].as_py()
                 if kind:
                     pair = np.frombuffer(blob, np.uint64)
                     entity, feature = pair[: len(pair) // 2], pair[len(pair) // 2 :]
                     yield from _rows(entity, feature, np.full(len(entity), MARKED))
-                    continue
-                if bucket != now:
-                    yield from found(parts)
-                    now, parts = bucket, []
-                parts.append(_unpack(blob, bucket))
-        yield from found(parts)
+                else:
+                    held.setdefault(bucket, []).append(blob)
+        for bucket, packed in held.items():
+            turns = sum(int(np.frombuffer(x, np.uint32, 2)[1]) for x in packed) // TURN + 1
+            for turn in range(turns):
+                parts = []
+                for x in packed:
+                    entity, feature, marks = _unpack(x, bucket)
+                    if turns > 1:
+                        own, own_marks = feature % _U(turns) == turn, marks % _U(turns) == turn
+                        entity, feature, marks = entity[own], feature[own], marks[own_marks]
+                    parts.append((entity, feature, marks))
+                yield from found(parts)
 
     dealt = docs.mapInArrow(deal, "bucket int, kind int, blob binary")
-    return dealt.repartitionById(n, F.pmod("bucket", F.lit(n))).sortWithinPartitions("bucket").mapInArrow(meet, "entity bigint, feature bigint, df bigint")
+    return dealt.repartitionById(buckets, "bucket").mapInArrow(meet, "entity bigint, feature bigint, df bigint")
