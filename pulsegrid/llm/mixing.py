@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import Workspace
+
 #: A document's words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -59,12 +61,13 @@ def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, budge
     d = docs.withColumn(_N, words(F.col(text_col)))
     # length class: the number of digits, then the first digit
     d = d.withColumns({_C: (digits * 10 + F.substring(n.cast("string"), 1, 1).cast("int")).cast("int"), _P: F.pmod(hash32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(PARTS)).cast("int"), _S: F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))})
-    cells = d.groupBy(_S, _C, _P).agg(F.count("*").alias("__mix_rows"), F.sum(_N).alias("__mix_words"))
+    # a small table, written because it is read twice and texts are long to read
+    cells = Workspace(docs.sparkSession, "mixing").save(d.groupBy(_S, _C, _P).agg(F.count("*").alias("__mix_rows"), F.sum(_N).alias("__mix_words")), "cells")
     sources = cells.groupBy(_S).agg(F.sum("__mix_words").alias(_W)).select(F.when(~F.col(_S)["none"], F.col(_S)["name"]).alias("s"), F.col(_W))
     goal = targets(sources, "s", _W, budget, most, weights).select(F.struct(F.col("s").isNull().alias("none"), F.coalesce("s", F.lit("")).alias("name")).alias(_S), _W, F.col("target").alias(_T))
     along = Window.partitionBy(_S).orderBy(_C, _P).rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("__mix_before", F.coalesce(F.sum("__mix_rows").over(along), F.lit(0))).join(goal, _S).drop("__mix_rows", "__mix_words")
-    rank = F.row_number().over(Window.partitionBy(_S, _C, _P).orderBy(_N, id_col, text_col))
+    rank = F.row_number().over(Window.partitionBy(_S, _C, _P).orderBy(_N, id_col, F.xxhash64(text_col)))
     d = d.withColumn("__mix_rank", rank).join(cells, [_S, _C, _P])
     offset = hash32(F.concat(F.lit(f"{seed}|"), F.col(_S)["name"], F.lit("|"), F.col(_S)["none"].cast("string"))) / F.lit(2.0**32)
     rate = F.coalesce(F.try_divide(F.col(_T), F.col(_W).cast("double")), F.lit(0.0))
@@ -78,7 +81,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     Expected copies of a document are its source's target over its source's words, at most `most`; so its
     copies are that number rounded down or up. A source without words has target 0 and gives no copies. A
     null text has no words, null sources form one source, ids may repeat or be null (rows are then told
-    apart by their text). The offset is a hash of seed and source: reruns agree. Added columns replace
+    apart by a hash of their text). The offset is a hash of seed and source: reruns agree. Added columns replace
     columns of their names.
 
     One row never waits for all of its source: rows are ranked within (source, length class, hash part), and

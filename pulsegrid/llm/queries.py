@@ -133,13 +133,13 @@ FROM b
 
 _OP10 = r"""
 WITH d AS (
-  SELECT doc_id, text, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
+  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 k AS (
   SELECT *, length(CAST(size AS VARCHAR)) * 10 + CAST(substr(CAST(size AS VARCHAR), 1, 1) AS INT) AS cls,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 16 AS part
   FROM d),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id, text) AS rk FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id) AS rk FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
 w AS (
   SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS wt,
