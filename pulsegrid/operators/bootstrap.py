@@ -25,13 +25,16 @@ def _draw(seed: Column, record: Column, rep: Column, i: Column, what: str) -> Co
 
 def stationary_index(n: Column, mean_block: Column, seed: Column, record: Column, rep: Column) -> Column:
     """Positions 0..n-1 drawn in blocks of random length: each step starts anew with chance 1 / mean_block, else goes on, round the end."""
-    draws = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when((i == 0) | (_draw(seed, record, rep, i, "jump") < 1.0 / mean_block), F.floor(_draw(seed, record, rep, i, "start") * n).cast("int")),
-    )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    step = lambda a, d: F.struct(F.coalesce(d, (a["at"] + 1) % n).alias("at"), F.concat(a["out"], F.array(F.coalesce(d, (a["at"] + 1) % n))).alias("out"))
-    return F.aggregate(draws, start, step)["out"]
+    jumps = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (_draw(seed, record, rep, i, "jump") < 1.0 / mean_block))
+
+    def block(js: Column, p: Column, k: Column) -> Column:
+        start = F.floor(_draw(seed, record, rep, p, "start") * n).cast("int")
+        size = F.coalesce(F.get(js, k + 1), n) - p
+        # the start is drawn once a block: it is bound as the one element of an array
+        return F.flatten(F.transform(F.array(start), lambda s: F.transform(F.sequence(F.lit(0), size - 1), lambda j: (s + j) % n)))
+
+    # the jumps are found once: bound likewise
+    return F.when(n > 0, F.flatten(F.transform(F.array(jumps), lambda js: F.flatten(F.transform(js, lambda p, k: block(js, p, k)))))).otherwise(F.array().cast("array<int>"))
 
 
 def block_index(n: Column, length: Column, block: Column, seed: Column, record: Column, rep: Column, overlapping: bool) -> Column:

@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
+
 # Fixed values: (name, good, fair) limits of the verdicts; distances are good below, correlations above.
 LIMITS = (("ks", 0.05, 0.10), ("wasserstein", 1.0, 3.0), ("acf_r", 0.98, 0.90), ("psd_r", 0.95, 0.85))
 
 
 def _steps(df: DataFrame, x: str, side: Column) -> DataFrame:
     """A row per distinct value, with both samples' distribution functions and the next value. Counts are partial sums: a value that is frequent is one row."""
-    g = df.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("v")).agg(F.count_if(side).alias("a"), F.count_if(~side).alias("b"))
-    up = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = g.withColumns({"A": F.sum("a").over(every), "B": F.sum("b").over(every), "na": F.sum("a").over(up), "nb": F.sum("b").over(up), "next": F.lead("v").over(Window.orderBy("v"))})
-    return s.select("v", "next", F.col("A").alias("n1"), F.col("B").alias("n2"), F.try_divide(F.col("na").cast("double"), "A").alias("f"), F.try_divide(F.col("nb").cast("double"), "B").alias("g"))
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).alias("v"), side.cast("long").alias("a"), (1 - side.cast("long")).alias("b"))
+    g = rows.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    s = running_sums(rows, g, "v", ["a", "b"], [])
+    share = lambda c: F.try_divide(F.col(f"{c}_run").cast("double"), F.col(f"{c}_all"))
+    return s.select("v", F.col("v_next").alias("next"), F.col("a_all").alias("n1"), F.col("b_all").alias("n2"), share("a").alias("f"), share("b").alias("g"))
 
 
 def ks(df: DataFrame, x: str, side: Column) -> DataFrame:

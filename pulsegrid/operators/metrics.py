@@ -1,20 +1,23 @@
 """Metrics of scores against labels as relational plans: one sort by score, no driver-side loop over thresholds.
 
-All take df with a score and a 0/1 label and give one row, or one per group of `by`.
+All take df with a score and a 0/1 label and give one row, or one per group of `by`. Rows without a score are left
+out of the curves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .prefix import running_sums
+
 
 def _per_score(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
     """A row per distinct score with its positives and negatives, and both counted at or above it, and in total."""
-    g = df.groupBy(*by, F.col(score).alias("s")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.sum(1 - F.col(label).cast("long")).alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.col("s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(*by)
-    return g.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
+    rows = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("s"), F.col(label).cast("long").alias("p"), (1 - F.col(label).cast("long")).alias("n"))
+    g = rows.groupBy(*by, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    names = {"p_run": "tp", "n_run": "fp", "p_all": "all_p", "n_all": "all_n"}
+    return running_sums(rows, g, "s", ["p", "n"], by, descending=True).withColumnsRenamed(names)
 
 
 def auroc(df: DataFrame, score: str, label: str, by: list[str] | None = None) -> DataFrame:

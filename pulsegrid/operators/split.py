@@ -1,26 +1,26 @@
-"""Splits and folds: ordered by a hash of the key, so they depend on keys and seed alone, never on partitions."""
+"""Splits and folds: ordered by a hash of the key, so they depend on keys and seed alone, never on partitions.
+
+Ranks within a stratum are prefix sums over hash ranges: a stratum of most rows is not one task. Strata are not NULL.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clinical import hash_unit
-
-_SMALL = "Members are ranked within a stratum: a table of patients or records, small beside their samples."
-
+from .prefix import hash_ranks
 
 def stratified_split(members: DataFrame, key: str, stratum: str, share: float = 0.7, seed: int = 42) -> DataFrame:
     """Each member with its split, train or test, and the same share of every stratum."""
-    w = Window.partitionBy(stratum)
-    rank = F.row_number().over(w.orderBy(hash_unit(F.lit(seed), F.col(key)), key))
-    return members.withColumn("split", F.when(rank <= F.round(F.count("*").over(w) * share), "train").otherwise("test"))
+    r = hash_ranks(members, hash_unit(F.lit(seed), F.col(key)), [stratum], [key])
+    return r.select(*members.columns, F.when(F.col("__rank") <= F.round(F.col("__size") * share), "train").otherwise("test").alias("split"))
 
 
 def group_folds(members: DataFrame, key: str, stratum: str, k: int, seed: int = 42) -> DataFrame:
     """Each member with its fold, every stratum spread evenly."""
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(hash_unit(F.lit(seed), F.col(key)), key))
-    return members.withColumn("fold", ((rank - 1) % k).cast("int"))
+    r = hash_ranks(members, hash_unit(F.lit(seed), F.col(key)), [stratum], [key])
+    return r.select(*members.columns, ((F.col("__rank") - 1) % k).cast("int").alias("fold"))
 
 
 def fold_count(members: DataFrame, stratum: str, k: int) -> int:
@@ -35,8 +35,8 @@ def nested_folds(members: DataFrame, key: str, stratum: str, outer: int, inner:
     """Each member with its outer fold and, for every other outer fold, its inner fold: key, outer, test_of, inner."""
     o = group_folds(members, key, stratum, outer, seed).withColumnRenamed("fold", "outer")
     parts = o.withColumn("test_of", F.explode(F.array(*map(F.lit, range(outer))))).where("outer <> test_of")
-    rank = F.row_number().over(Window.partitionBy("test_of", stratum).orderBy(hash_unit(F.lit(seed), F.col("test_of"), F.col(key)), key))
-    return parts.withColumn("inner", ((rank - 1) % inner).cast("int"))
+    r = hash_ranks(parts, hash_unit(F.lit(seed), F.col("test_of"), F.col(key)), ["test_of", stratum], [key])
+    return r.select(*parts.columns, ((F.col("__rank") - 1) % inner).cast("int").alias("inner"))
 
 
 def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
