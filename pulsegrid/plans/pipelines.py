@@ -62,14 +62,22 @@ def signal_stats(signals: DataFrame, fs: int = kernels.FS) -> DataFrame:
 
     def stats(c: str) -> list:
         good = F.filter(c, lambda v: v.isNotNull() & ~F.isnan(v))
-        n, total = F.size(good), F.aggregate(good, F.lit(0.0), lambda a, v: a + v)
-        mean = F.when(n > 0, total / n)
-        var = F.when(n > 0, F.aggregate(good, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / n)
-        return [mean.alias(f"{c}_mean"), F.sqrt(var).alias(f"{c}_std"), F.array_min(good).alias(f"{c}_min"), F.array_max(good).alias(f"{c}_max"), F.when(F.size(c) > 0, (F.size(c) - n) * 100.0 / F.size(c)).otherwise(100.0).alias(f"{c}_nan_pct")]
+        # one pass: count, sum and sum of squares about 100, which is near every value
+        zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"))
+        sums = F.aggregate(good, zero, lambda a, v: F.struct((a["n"] + 1).alias("n"), (a["s"] + v - 100).alias("s"), (a["q"] + (v - 100) * (v - 100)).alias("q")))
+        ends = [F.array_min(good).alias(f"{c}_min"), F.array_max(good).alias(f"{c}_max")]
+        return [sums.alias(f"__{c}"), *ends]
+
+    def final(c: str) -> list:
+        a, size = F.col(f"__{c}"), F.size(c)
+        mean = F.when(a["n"] > 0, a["s"] / a["n"])
+        std = F.when(a["n"] > 0, F.sqrt(F.greatest(a["q"] / a["n"] - mean * mean, F.lit(0.0))))
+        return [(mean + 100).alias(f"{c}_mean"), std.alias(f"{c}_std"), f"{c}_min", f"{c}_max", F.when(size > 0, (size - a["n"]) * 100.0 / size).otherwise(100.0).alias(f"{c}_nan_pct")]
 
     n = F.size("fhr").cast("bigint")
     has = F.exists(F.coalesce("uc", F.array().cast("array<double>")), lambda v: v.isNotNull())
-    return signals.select("record", n.alias("n_samples"), (n / (60.0 * fs)).alias("duration_min"), F.lit(fs).alias("fs_hz"), has.alias("has_uc"), *stats("fhr"), *stats("uc"))
+    wide = signals.select("record", "fhr", "uc", n.alias("n_samples"), (n / (60.0 * fs)).alias("duration_min"), F.lit(fs).alias("fs_hz"), has.alias("has_uc"), *stats("fhr"), *stats("uc"))
+    return wide.select("record", "n_samples", "duration_min", "fs_hz", "has_uc", *final("fhr"), *final("uc"))
 
 
 def bootstrap_dataset(signals: DataFrame, clinical: DataFrame, m: int = 2, seed: int = 42) -> DataFrame:
