@@ -156,14 +156,13 @@ def phase_three(train: DataFrame, test: DataFrame, spec: trees.ModelSpec, folds:
     members = train.groupBy("group_record").agg(F.max("target").alias("target"))
     k = split.fold_count(members, "target", folds)
     in_folds = train.join(split.group_folds(members, "group_record", "target", k, seed).select("group_record", "fold"), "group_record").cache()
-    extra = None if synthetic is None else synthetic
     ids = list(range(k))
-    params = trees.tune(spec, in_folds, features, "target", "fold", ids, draws, seed, extra)
-    oof = trees.out_of_fold(spec, params, in_folds, features, "target", "fold", ids, extra, "group_record")
+    params = trees.tune(spec, in_folds, features, "target", "fold", ids, draws, seed, synthetic)
+    oof = trees.out_of_fold(spec, params, in_folds, features, "target", "fold", ids, synthetic, "group_record")
     if oof.count() != in_folds.count():
         raise ValueError("some windows got no out-of-fold score")
     threshold = trees.calibrate(oof, "target")
-    whole = train if extra is None else tables.union_all([train, tables.synthetic_of_training(extra, train, "source_record", "group_record")])
+    whole = train if synthetic is None else tables.union_all([train, tables.synthetic_of_training(synthetic, train, "source_record", "group_record")])
     model = trees.fit_model(spec, params, whole, features, "target")
     return params, live_report(trees.score(model, test), threshold), trees.importances(model, features)
 
