@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Words, mix, ragged_unique, signed, slices
 from .components import components
-from .shared import buckets_of, shared_features
+from .shared import bucket_count, shared_features
 from .workspace import Workspace
 
 #: Entries of a block; a larger candidate group is dealt to several blocks, all pairs of which are multiplied.
@@ -100,21 +100,28 @@ def _labelled(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col
         return set_hashes(tokens, offsets), tokens, offsets
 
     sets = ws.save(text.mapInArrow(describe, f"id {kind}, th bigint, n bigint, entity bigint"), "sets")
-    found = shared_features(text.select("text"), extract, buckets_of(docs))
-    whole = F.array_sort(F.collect_set(F.struct("df", "feature")))
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    found = shared_features(text.select("text"), extract, bucket_count(total))
+    # two plain arrays in step; the order by df needs no more than 15 bits of it, the same in all rows of a feature
+    lists = (F.collect_list(F.least("df", F.lit(32767)).cast("smallint")).alias("d"), F.collect_list("feature").alias("f"))
+    # rows that come twice stand side by side once sorted; array_distinct would compare all pairs of structs
+    once = lambda a: F.filter(a, lambda x, i: (i == 0) | (x["f"] != F.get(a, i - 1)["f"]))
+    whole = F.get(F.transform(F.array(F.array_sort(F.arrays_zip("d", "f"))), once), F.lit(0))
     sizes = sets.where("n > 0").groupBy("entity").agg(F.max("n").alias("n"))
     least = F.expr(f"(n * {num} + {den - 1}) div {den}")
-    rows = found.groupBy("entity").agg(whole.alias("f")).join(sizes, "entity").withColumn("least", least).where(F.size("f") >= F.col("least"))
-    rows = ws.save(rows.select("entity", "n", "least", F.transform("f", lambda x: x["feature"]).alias("tokens")), "rows")
+    rows = found.groupBy("entity").agg(*lists).join(sizes, "entity").withColumn("least", least).where(F.size("f") >= F.col("least"))
+    rows = rows.select("entity", "n", "least", F.transform(whole, lambda x: x["f"]).alias("tokens")).where(F.size("tokens") >= F.col("least"))
+    rows = ws.save(rows, "rows")
 
     # which rows may meet: those that share a feature of both their prefixes, by way of that feature's least row
     prefix = rows.select("entity", F.explode(F.slice("tokens", F.lit(1), (F.size("tokens") - F.col("least") + 1).cast("int"))).alias("t"))
     hub = prefix.groupBy("t").agg(F.min("entity").alias("b"), F.max("entity").alias("top")).where("b < top").select("t", "b")
     meets = prefix.join(hub, "t").select(F.col("entity").alias("a"), "b").where("a <> b").distinct()
     groups = ws.save(components(meets, ws, "meets").select(F.col("id").alias("entity"), F.col("root").alias("grp")), "groups")
-    members = rows.select("entity", "n", "tokens").join(groups, "entity")
-    weigh = members.groupBy("grp").agg(F.expr(f"cast(sum(size(tokens)) div {block} + 1 as int)").alias("parts"))
-    dealt = members.join(weigh, "grp").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    weights = rows.select("entity", F.size("tokens").alias("w")).join(groups, "entity")
+    parts = weights.groupBy("grp").agg(F.expr(f"cast(sum(w) div {block} + 1 as int)").alias("parts"))
+    places = ws.save(groups.join(parts, "grp"), "places")
+    dealt = rows.select("entity", "n", "tokens").join(places, "entity").withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("grp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "parts", "entity", "n", "tokens")
 
     def multiply(table: pa.Table) -> pa.Table:
@@ -146,7 +153,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100,
     Rows that travel: the packed matrix once, its shared entries twice, then only near-copy candidates.
     """
     named = _labelled(docs, k, num, den, id_col, text_col, block)
-    least = named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component"))
+    # written, so that the join is between two plain shuffles, which Spark can split where a group is large
+    least = Workspace(docs.sparkSession, "ngram-least").save(named.where("label IS NOT NULL").groupBy("label").agg(F.min("id").alias("component")), "least")
     out = named.join(least, "label", "left")
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 

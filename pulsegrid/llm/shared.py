@@ -21,6 +21,8 @@ _LOW = _U((1 << 48) - 1)
 HOT = 64
 #: The df of a marked feature: more than any count.
 MARKED = 1 << 40
+#: Packed bytes of a bucket on average.
+BUCKET_BYTES = 48 << 20
 #: Features that a bucket's task works on at once; a fuller bucket is gone through in several turns over its packed rows.
 TURN = 2_000_000
 
@@ -83,9 +85,9 @@ def _rows(entity: np.ndarray, feature: np.ndarray, df: np.ndarray) -> Iterator[p
         yield pa.RecordBatch.from_arrays([pa.array(signed(entity[part])), pa.array(signed(feature[part])), pa.array(df[part].astype(np.int64))], ["entity", "feature", "df"])
 
 
-def buckets_of(docs: DataFrame) -> int:
-    """One bucket per shuffle partition: the fewer buckets, the less often a text's id goes along with its features."""
-    return min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << 15)
+def bucket_count(features: int) -> int:
+    """Buckets for so many features: the fewer, the less often a text's id goes along with its features, so their size is what a task can hold packed."""
+    return max(1, min(-(-features * 7 // BUCKET_BYTES), 1 << 15))
 
 
 def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Words, gram_hashes, mix, ragged_unique, signed, slices
-from .shared import _take, buckets_of, reduced, shared_features
+from .shared import _take, bucket_count, reduced, shared_features
 from .workspace import Workspace
 
 #: Words of an anchor.
@@ -140,7 +140,8 @@ def _segments(words: Words, at: np.ndarray, owner: np.ndarray, anchor: np.ndarra
 
 def _hits(docs: DataFrame, ws: Workspace, w: int, shard_words: int) -> DataFrame:
     """Rows (id, th, spans): per distinct text and id the windows to remove, as structs of a first word and flags; spans is null if the whole text is a copy."""
-    buckets = buckets_of(docs)
+    # about one anchor in five words of six bytes
+    buckets = bucket_count((docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 30)
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text = docs.where("id IS NOT NULL").select("id", "text", "th")
 
@@ -154,7 +155,7 @@ def _hits(docs: DataFrame, ws: Workspace, w: int, shard_words: int) -> DataFrame
     shared = found.groupBy("entity").agg(F.collect_set(F.struct("feature", (F.col("df") > SPLIT).alias("big"))).alias("anchors"))
     shared = ws.save(shared.withColumnRenamed("entity", "th"), "anchors")
     ids = ws.save(text.select("id", "th").distinct(), "ids")
-    least = ids.groupBy("th").agg(F.min("id").alias("rep"))
+    least = ws.save(ids.groupBy("th").agg(F.min("id").alias("rep")), "least")
     own = least.join(shared, "th").select(F.col("rep").alias("id"), "th", "anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
