@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Keys from which bounds are taken: those of least hash, whatever the table's size.
+#: Keys from which bounds are taken, about so many whatever the table's size: those whose hash is in a share of all hashes.
 SAMPLE = 20_000
 
 
 def range_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Keys that part the table into about equal ranges. The sample only says where to cut: every row is dealt."""
-    sample = df.select(F.col(key).cast("bigint").alias("k")).where("k IS NOT NULL").withColumn("h", F.xxhash64("k")).orderBy("h", "k").limit(SAMPLE)
-    keys = sorted(r.k for r in sample.collect())
-    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
+    """Keys that part the table into about equal ranges. The sample, of distinct keys, only says where to cut: every row is dealt."""
+    keys = df.select(F.col(key).cast("bigint").alias("k")).where("k IS NOT NULL")
+    share = min(1.0, SAMPLE / max(1, keys.count()))
+    sample = keys.where(F.pmod(F.xxhash64("k"), F.lit(1 << 31)) < int(share * (1 << 31))).distinct().collect()
+    found = sorted(r.k for r in sample)
+    return sorted({found[len(found) * i // parts] for i in range(1, parts)}) if found else []
 
 
 def range_of(key: Column, bounds: list[int]) -> Column:
