@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Text is handled in slices of about so many bytes, which bounds a worker's memory; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Words longer than this are hashed one by one.
 LONG_WORD = 256
 

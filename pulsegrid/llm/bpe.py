@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 #: Distinct pre-tokens whose ids a worker keeps; when full, it starts again.
-CACHE = 400_000
+CACHE = 150_000
 
 
 def byte_characters() -> list[str]:
@@ -95,6 +95,10 @@ class ByteBpe:
                 known[t] = struct.pack(f"<{len(ids)}I", *ids)
         return b"".join(map(known.__getitem__, tokens))
 
+    def forget(self) -> None:
+        """Drop the kept pre-tokens: a worker outlives its task, and later ones need the memory."""
+        self._known = {}
+
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.pieces.__getitem__, memoryview(ids).cast("I")))
 
@@ -145,5 +149,6 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                     out += [pa.array(ids, pa.list_(pa.int32())), pa.array(texts, pa.string())]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
+        codec.forget()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)
