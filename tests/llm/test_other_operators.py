@@ -190,6 +190,26 @@ def test_filters_find_nine_in_ten_pairs_at_the_threshold():
         assert met >= 0.93
 
 
+def test_recall_at_the_threshold_holds_as_tables_grow():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((800, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = rng.standard_normal(x.shape)
+    p -= (p * x).sum(1, keepdims=True) * x
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    y = 0.9 * x + math.sqrt(1 - 0.81) * p
+    for n in (5_000_000, 50_000_000):
+        c = embed_dedup.code_size(n)
+        a, b = embed_dedup.decode(x, c), embed_dedup.decode(y, c)
+        assert np.mean([len(np.intersect1d(f, g)) > 0 for f, g in zip(a, b, strict=True)]) >= 0.95
+        assert all((np.diff(f) > 0).all() for f in a)
+
+
+def test_vectors_under_several_codes(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "code_count", lambda c, dim: 3)
+    test_vectors_against_brute_force(spark, 16)
+
+
 def test_list_decoding_finds_all_filters():
     x = np.random.default_rng(1).standard_normal((20, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
