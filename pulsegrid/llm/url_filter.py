@@ -1,12 +1,13 @@
 """URL filters: allow and block rules, and where none fits, logistic regression on hashed character n-grams of host and path.
 
-Features, training and scoring are DataFrame expressions; no Python runs on the executors. The labelled URL
-table is small (its bound is MAX_LABELS) and a model is one array of BUCKETS weights.
+Features, training and scoring are DataFrame expressions; no Python runs on the executors, nor any over rows on
+the driver. The labelled URL table is small (its bound is MAX_LABELS), so one task trains, and a model is one
+array of BUCKETS weights.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,29 +59,56 @@ def features(host_col: Column, path_col: Column) -> Column:
     return F.array_distinct(F.concat(grams(host_col, "h"), grams(path_col, "p")))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def train(labelled: DataFrame, steps: int = 150, rate: float = 2.0, penalty: float = 1e-3) -> list[float]:
     """Weights of a logistic regression: BUCKETS of them and the intercept last, by full gradient steps from zero.
 
     `labelled` has url and label (0 or 1); rows with a null in either are left out. It is small: over
     MAX_LABELS rows raise an error. An empty table gives zero weights, so every score is 0.5.
+
+    The rows are brought into one, in an order of their own, and the steps are an aggregate over it, in one task:
+    sums have a fixed order, so the weights don't depend on partitions. Only the weights reach the driver.
     """
-    rows = labelled.where("url IS NOT NULL AND label IS NOT NULL").select(features(host(F.col("url")), path(F.col("url"))).alias("x"), F.col("label").cast("double").alias("y")).limit(MAX_LABELS + 1).collect()
-    if len(rows) > MAX_LABELS:
+    known = labelled.where("url IS NOT NULL AND label IS NOT NULL")
+    if known.limit(MAX_LABELS + 1).count() > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labelled URLs")
+    x = F.array_sort(features(host(F.col("url")), path(F.col("url"))))
+    rows = known.select(x.alias("x"), F.col("label").cast("double").alias("y"))
     # The sum over a row's features is divided by the root of their number, which bounds the step size.
-    data = sorted((sorted(r.x), r.y, 1 / math.sqrt(len(r.x))) for r in rows)
-    w, b = [0.0] * (BUCKETS + 1), 0.0
-    for _ in range(steps if data else 0):
-        grad, gb = {}, 0.0
-        for x, y, scale in data:
-            d = 1 / (1 + math.exp(-(sum(w[i] for i in x) * scale + b))) - y
-            gb += d
-            for i in x:
-                grad[i] = grad.get(i, 0.0) + d * scale
-        for i, g in grad.items():
-            w[i] -= rate * (g / len(data) + penalty * w[i])
-        b -= rate * gb / len(data)
-    return [*w[1:], b]
+    rows = rows.withColumn("scale", 1 / F.sqrt(F.size("x").cast("double")))
+    data = rows.agg(F.array_sort(F.collect_list(F.struct("x", "y", "scale"))).alias("data"))
+    # of each bucket: the rows that have it
+    at = data.select(F.posexplode("data").alias("row", "r")).select((F.col("row") + 1).alias("row"), F.col("r.scale").alias("scale"), F.explode("r.x").alias("i"))
+    at = at.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("row", "scale"))).alias("rows"))
+    every = labelled.sparkSession.range(1, BUCKETS + 1).select(F.col("id").cast("int").alias("i")).join(at, "i", "left")
+    every = every.agg(F.array_sort(F.collect_list(F.struct("i", "rows"))).alias("buckets"))
+    zero = F.lit(0.0)
+
+    def step(state: Column, _: Column) -> Column:
+        w, b, n = state["w"], state["b"], F.size("data")
+
+        def off(r: Column) -> Column:
+            total = F.aggregate(r["x"], zero, lambda a, i: a + F.element_at(w, i)) * r["scale"] + b
+            return 1 / (1 + F.exp(-total)) - r["y"]
+
+        def moved(d: Column) -> Column:
+            def weight(k: Column) -> Column:
+                g = F.aggregate(k["rows"], zero, lambda a, r: a + F.element_at(d, r["row"]) * r["scale"])
+                old = F.element_at(w, k["i"])
+                return F.when(k["rows"].isNull(), old).otherwise(old - rate * (g / n + penalty * old))
+
+            return F.struct(F.transform("buckets", weight).alias("w"), (b - rate * F.aggregate(d, zero, lambda a, v: a + v) / n).alias("b"))
+
+        return _bind(F.transform("data", off), moved)
+
+    start = F.struct(F.array_repeat(zero, BUCKETS).alias("w"), zero.alias("b"))
+    fitted = F.when((F.size("data") > 0) & F.lit(steps > 0), F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, step)).otherwise(start)
+    w, b = data.crossJoin(F.broadcast(every)).select(fitted.alias("m")).select("m.w", "m.b").first()  # one row each
+    return [*w, b]
 
 
 def score(host_col: Column, path_col: Column, weights: list[float]) -> Column:

@@ -145,6 +145,27 @@ def test_url_model(spark):
         assert r.s == pytest.approx(1 / (1 + math.exp(-z)))
 
 
+def test_url_model_is_trained_without_rows_on_the_driver(spark, monkeypatch):
+    table = url_filter.training_urls(spark).union(spark.createDataFrame([(None, 1), ("http://a.org/", None)], "url string, label int"))
+    x = url_filter.features(url_filter.host(F.col("url")), url_filter.path(F.col("url")))
+    rows = [(sorted(r.x), r.label) for r in table.where("url IS NOT NULL AND label IS NOT NULL").select(x.alias("x"), "label").collect()]
+    # the same gradient steps in NumPy
+    m, y = np.zeros((len(rows), url_filter.BUCKETS)), np.array([label for _, label in rows], float)
+    for k, (buckets, _) in enumerate(rows):
+        m[k, np.array(buckets) - 1] = 1 / math.sqrt(len(buckets))
+    w, b = np.zeros(url_filter.BUCKETS), 0.0
+    for _ in range(20):
+        d = 1 / (1 + np.exp(-(m @ w + b))) - y
+        w, b = w - 2.0 * (m.T @ d / len(rows) + 1e-3 * w), b - 2.0 * d.mean()
+    most, whole = [0], type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda self: (out := whole(self), most.append(len(out)))[0])
+    assert url_filter.train(table, steps=20) == pytest.approx([*w, b], rel=1e-9, abs=1e-12)
+    assert max(most) <= 1
+    monkeypatch.setattr(url_filter, "MAX_LABELS", len(rows) - 1)
+    with pytest.raises(ValueError, match="labelled URLs"):
+        url_filter.train(table)
+
+
 def vectors(seed=0):
     rng = np.random.default_rng(seed)
     base = rng.standard_normal((60, 16))
