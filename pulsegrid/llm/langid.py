@@ -16,10 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
-#: Bounds of what is learned: languages (the most frequent), hash cells per language with a document each, and characters of a document. They bound the sample at MAX_LANGS * CELLS documents, whatever the table's size.
-MAX_LANGS, CELLS, SAMPLE_CHARS = 64, 512, 3000
+#: Bounds of what is learned: languages (more are an error), hash cells per language with a document each, and characters of a document.
+MAX_LANGS, CELLS, SAMPLE_CHARS = 1024, 512, 3000
 #: Bytes of a language's dictionary.
 DICTIONARY = 256 << 10
+#: So many languages have that many cells and bytes; more share the same total, whatever the table's size.
+FULL_LANGS = 64
 #: Whole texts are compressed in pieces of so many bytes, each of them against the dictionary alone.
 PIECE = 8 << 10
 LEVEL = 6
@@ -34,17 +36,22 @@ _LETTER = re.compile(r"[^\W\d_]")
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> dict[str, bytes]:
     """A dictionary's content per language, the most frequent first, from a bounded sample of the rows with text and lang.
 
-    Rows fall into CELLS cells per language by a hash of their key, and each cell gives its row of least
-    hash: a sample that depends on the rows alone, made of partial aggregates. Texts are taken in lower case.
-    Only the MAX_LANGS most frequent languages (ties by name) are learned. A table without labelled rows gives none.
+    Rows fall into cells per language by a hash of their key, and each cell gives its row of least hash: a
+    sample that depends on the rows alone, made of partial aggregates. Texts are taken in lower case. Every
+    language with a text that isn't empty is learned: up to FULL_LANGS languages have CELLS cells and DICTIONARY
+    bytes each, more share what those would have. Over MAX_LANGS languages raise an error. A table without
+    labelled rows gives none.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    rows = labelled.where((F.length(text_col) > 0) & F.col(lang_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(key_col).cast("string")).alias("h"), F.col(text_col).alias("text"))
-    cells = rows.groupBy("lang", F.pmod("h", F.lit(CELLS)).alias("cell")).agg(F.min("h").alias("h"), F.count("*").alias("n"))
-    langs = [r.lang for r in cells.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()]
+    langs = [r.lang for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS + 1).collect()]
     if not langs:
         return {}
-    chosen = cells.where(F.col("lang").isin(langs)).select("lang", "h").collect()
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"more than {MAX_LANGS} languages")
+    share = max(FULL_LANGS, len(langs))
+    count, size = max(1, CELLS * FULL_LANGS // share), DICTIONARY * FULL_LANGS // share
+    chosen = rows.groupBy("lang", F.pmod("h", F.lit(count)).alias("cell")).agg(F.min("h").alias("h")).select("lang", "h").collect()
     by_hash: dict[int, set[str]] = {}
     for r in chosen:
         by_hash.setdefault(r.h, set()).add(r.lang)
@@ -53,8 +60,8 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", k
     picked = sample.groupBy("lang", "h").agg(F.min("t").alias("t")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(picked, key=lambda r: (r.lang, r.h)):
-        if r.lang in by_hash[r.h] and len(out.get(r.lang, b"")) < DICTIONARY:
-            out[r.lang] = (out.get(r.lang, b"") + r.t.lower().encode())[:DICTIONARY]
+        if r.lang in by_hash[r.h] and len(out.get(r.lang, b"")) < size:
+            out[r.lang] = (out.get(r.lang, b"") + r.t.lower().encode())[:size]
     return {k: out[k] for k in langs if out.get(k)}
 
 

@@ -173,6 +173,29 @@ def test_language_id(spark):
     assert langid.identify(odd, {"xx": b"some text"}).where("doc_id = 4").first().lang_pred == "xx"
 
 
+def test_language_id_learns_every_language(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"l{i:02}" for i in range(70)]
+    words = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(4, 9))) for _ in range(40)] for x in names}
+    text = lambda x: " ".join(rng.choice(words[x]) for _ in range(200))
+    # the first ones are rarer
+    rows = [(f"{x}-{i}", x, text(x)) for k, x in enumerate(names) for i in range(1 if k < 10 else 3)]
+    rows += [(f"e{i}", "l00", "") for i in range(20)] + [("none", "only empty", "")]
+    df = spark.createDataFrame(rows, "doc_id string, lang string, text string")
+    model = langid.learn(df)
+    assert sorted(model) == names and list(model)[-10:] == names[:10]
+    assert langid.learn(df.repartition(5)) == model
+    fresh = spark.createDataFrame([(x, text(x)) for x in names], "doc_id string, text string")
+    assert langid.identify(fresh, model).where("doc_id <> lang_pred OR rejected").isEmpty()
+    # together they have what FULL_LANGS languages of full size would have
+    monkeypatch.setattr(langid, "DICTIONARY", 1000)
+    assert {len(x) for x in langid.learn(df).values()} == {1000 * 64 // 70}
+    assert {len(x) for x in langid.learn(df.where("lang < 'l40'")).values()} == {1000}
+    monkeypatch.setattr(langid, "MAX_LANGS", 69)
+    with pytest.raises(ValueError, match="languages"):
+        langid.learn(df)
+
+
 def test_fingerprints(spark):
     rows = [(d, t) for d, t in corpus(4, 30)]
     rows += [(5, "tie b"), (5, "tie a"), (None, "first of all")]
