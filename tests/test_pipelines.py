@@ -83,3 +83,17 @@ def test_arguments():
     for bad in (["--folds", "1"], ["--n-iter", "0"], ["--seed", "x"]):
         with pytest.raises(SystemExit):
             P.arguments(bad)
+
+
+def test_tree_report_tunes_its_forest(spark, monkeypatch):
+    from pulsegrid.plans.registry import QUERIES
+
+    fitted, chosen, fit, tune = [], [], trees.fit_model, trees.tune
+    spec = trees.ModelSpec("RandomForest", trees.specs()[1].build, {"maxDepth": (1, 4), "numTrees": (3,)})
+    monkeypatch.setattr(trees, "specs", lambda: [spec])
+    monkeypatch.setattr(trees, "fit_model", lambda s, p, *a: (fitted.append(p), fit(s, p, *a))[1])
+    monkeypatch.setattr(trees, "tune", lambda *a, **k: (chosen.append(tune(*a, **k)), chosen[-1])[1])
+    assert QUERIES["tree_report"](spark, "/root/testdata/sf0.001").count() == 1
+    # two settings on two folds, then the best one on two folds and on all
+    assert {p["maxDepth"] for p in fitted[:4]} == {1, 4} and len(fitted) == 7
+    assert chosen == [fitted[-1]] and fitted[4:] == chosen * 3
