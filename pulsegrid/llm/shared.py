@@ -13,29 +13,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import signed, slices
+from .blocks import lean, signed, slices
 
 _U = np.uint64
-_LOW = _U((1 << 48) - 1)
+#: A feature travels as its upper 48 bits; its bucket is in the lower ones.
+_BELOW = _U(16)
+_LAST = _U((1 << 16) - 1)
 #: A feature of so many texts of one slice isn't sent once per text: its texts are told right away, and its bucket gets a mark.
 HOT = 64
 #: The df of a marked feature: more than any count.
 MARKED = 1 << 40
-#: Packed bytes of a bucket on average.
-BUCKET_BYTES = 48 << 20
+#: Packed bytes of a bucket at most, on average.
+BUCKET_BYTES = 24 << 20
 #: Features that a bucket's task works on at once; a fuller bucket is gone through in several turns over its packed rows.
-TURN = 2_000_000
+TURN = 1_000_000
 
 Extract = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def bucket_of(features: np.ndarray, buckets: int) -> np.ndarray:
-    return (features >> _U(48)) % _U(buckets)
+    """The bucket, one of a power of two: the lowest bits, which are even for minima of hashes too."""
+    return features & _U(buckets - 1)
 
 
 def reduced(features: np.ndarray, buckets: int) -> np.ndarray:
-    """Feature hashes as they travel: their bucket, and 48 bits within it."""
-    return (bucket_of(features, buckets) << _U(48)) | (features & _LOW)
+    """Feature hashes as they travel: 48 bits and those of their bucket, which from 2^16 buckets on are all 64."""
+    return features & (~_LAST | _U(buckets - 1))
 
 
 def _take(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -58,7 +61,7 @@ def _pack(entity: np.ndarray, owner: np.ndarray, features: np.ndarray, marks: np
         begin = np.union1d(begin, np.concatenate([begin + k for k in range(65535, most, 65535)]))
         begin = begin[begin < len(owner)]
     counts = np.diff(np.concatenate([begin, [len(owner)]])) if len(owner) else begin
-    low = features & _LOW
+    low = features >> _BELOW
     head = np.array([len(begin), len(features), len(marks)], np.uint32)
     parts = (head, entity[owner[begin]] if len(begin) else entity[:0], marks, counts.astype(np.uint16), low.astype(np.uint32), (low >> _U(32)).astype(np.uint16))
     return b"".join(x.tobytes() for x in parts)
@@ -72,7 +75,8 @@ def _unpack(blob: bytes, bucket: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
         out.append(np.frombuffer(blob, kind, int(count), at))
         at += int(count) * np.dtype(kind).itemsize
     entity, marks, counts, low, high = out
-    return np.repeat(entity, counts), low.astype(np.uint64) | (high.astype(np.uint64) << _U(32)) | (_U(bucket) << _U(48)), marks
+    upper = low.astype(np.uint64) | (high.astype(np.uint64) << _U(32))
+    return np.repeat(entity, counts), (upper << _BELOW) | (_U(bucket) & _LAST), marks
 
 
 def _emit(bucket: list, kind: list, blobs: list) -> pa.RecordBatch:
@@ -86,8 +90,8 @@ def _rows(entity: np.ndarray, feature: np.ndarray, df: np.ndarray) -> Iterator[p
 
 
 def bucket_count(features: int) -> int:
-    """Buckets for so many features: the fewer, the less often a text's id goes along with its features, so their size is what a task can hold packed."""
-    return max(1, min(-(-features * 7 // BUCKET_BYTES), 1 << 15))
+    """Buckets for so many features, a power of two: the fewer, the less often a text's id goes along with its features, so their size is what a task can hold packed."""
+    return 1 << max(0, (features * 7 // BUCKET_BYTES).bit_length())
 
 
 def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFrame:
@@ -130,8 +134,8 @@ def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFram
                         features, owner, bucket = features[rest], owner[rest], bucket[rest]
                 order = np.argsort(bucket * len(entity) + owner, kind="stable")
                 features, owner, bucket = features[order], owner[order], bucket[order]
-                marks = np.sort(marks)
-                of_marks = (marks >> _U(48)).astype(np.int64)
+                marks = marks[np.argsort(bucket_of(marks, buckets), kind="stable")]
+                of_marks = bucket_of(marks, buckets).astype(np.int64)
                 used = np.union1d(bucket, of_marks)
                 lo, hi = np.searchsorted(bucket, used), np.searchsorted(bucket, used, side="right")
                 mlo, mhi = np.searchsorted(of_marks, used), np.searchsorted(of_marks, used, side="right")
@@ -177,10 +181,10 @@ def shared_features(docs: DataFrame, extract: Extract, buckets: int) -> DataFram
                 for x in packed:
                     entity, feature, marks = _unpack(x, bucket)
                     if turns > 1:
-                        own, own_marks = feature % _U(turns) == turn, marks % _U(turns) == turn
+                        own, own_marks = (feature >> _U(20)) % _U(turns) == turn, (marks >> _U(20)) % _U(turns) == turn
                         entity, feature, marks = entity[own], feature[own], marks[own_marks]
                     parts.append((entity, feature, marks))
                 yield from found(parts)
 
-    dealt = docs.mapInArrow(deal, "bucket int, kind int, blob binary")
-    return dealt.repartitionById(buckets, "bucket").mapInArrow(meet, "entity bigint, feature bigint, df bigint")
+    dealt = docs.mapInArrow(lean(deal), "bucket int, kind int, blob binary")
+    return dealt.repartitionById(buckets, "bucket").mapInArrow(lean(meet), "entity bigint, feature bigint, df bigint")

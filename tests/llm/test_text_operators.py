@@ -66,6 +66,37 @@ def test_ngram_join_of_a_large_near_copy_group(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == join_truth(rows, 4, 85, 100)
 
 
+def test_a_chain_of_rows_that_share_but_do_not_link(spark):
+    part = lambda i: [f"w{i}x{j}" for j in range(20)]
+    rows = [(i, " ".join(part(i) + part(i + 1))) for i in range(400)]
+    rows += [(1000 + i, " ".join(part(i) + part(i + 1) + ["end"])) for i in (0, 200)]
+    # all in one group by way of each other, which has more entries than a block may
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    got = ngram_join.near_duplicates(df, 5, 80, 100, block=2000)
+    assert sorted(map(tuple, got.collect()), key=str) == join_truth(rows, 5, 80, 100)
+
+
+def test_block_products_against_all_pairs():
+    rng = random.Random(1)
+    for _ in range(30):
+        n = rng.randrange(2, 40)
+        block = np.sort([rng.randrange(4) for _ in range(n)])
+        block = np.unique(block, return_inverse=True)[1]
+        own = np.array([rng.randrange(2) for _ in range(n)])
+        apart = np.array([b == 0 for b in block])
+        sets = [set(rng.sample(range(12), rng.randrange(1, 10))) for _ in range(n)]
+        label = np.array([rng.randrange(100 * int(b), 100 * int(b) + 30) for b in block])
+        tokens = np.array([t for s in sets for t in sorted(s)], np.int64)
+        offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+        sizes = np.array([len(s) for s in sets])
+        got = ngram_join.linked_classes(block, own, apart, label, sizes, tokens, offsets, 60, 100)
+        pairs = [(i, j) for i in range(n) for j in range(i) if block[i] == block[j] and not (apart[i] and own[i] == own[j]) and 100 * len(sets[i] & sets[j]) >= 60 * len(sets[i] | sets[j])]
+        names = sorted(set(label.tolist()))
+        at = {x: k for k, x in enumerate(names)}
+        joined = lambda links: components(names, [(at[a], at[b]) for a, b in links])
+        assert joined(got) == joined([(label[i], label[j]) for i, j in pairs])
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string, source string, lang string")
     assert ngram_join.near_duplicates(none).count() == 0
@@ -173,6 +204,44 @@ def test_language_id(spark):
     assert langid.identify(odd, {"xx": b"some text"}).where("doc_id = 4").first().lang_pred == "xx"
 
 
+def test_language_id_against_plain_compression(spark):
+    import regex
+    import zstandard
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    known = docs.where(~langid.held_out()).where("lang IS NOT NULL AND length(text) > 0")
+    # the sample: of each hash cell the row of least hash, whole texts in that order
+    rows = known.select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), "text").collect()
+    least = {}
+    for r in rows:
+        key = (r.lang, r.h % langid.CELLS)
+        least[key] = min(least.get(key, r), r, key=lambda x: x.h)
+    count = {}
+    for r in rows:
+        count[r.lang] = count.get(r.lang, 0) + 1
+    content = {x: b"".join(r.text.lower().encode() for r in sorted((v for (l, _), v in least.items() if l == x), key=lambda v: v.h))[: langid.DICTIONARY] for x in sorted(count, key=lambda x: (-count[x], x))}
+    model = langid.learn(docs.where(~langid.held_out()))
+    assert model == content and list(model) == list(content)
+
+    def size(data, dictionary):
+        p = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, source_size=8192, dict_size=len(dictionary), write_content_size=0, write_checksum=0, write_dict_id=0)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+        return sum(len(c.compress(data[i : i + 8192])) for i in range(0, len(data), 8192))
+
+    texts = {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+    texts |= {-1: "½ ②", -2: "Ⅳ", -3: "naïve  ½", -4: "日本 語"}
+    odd = spark.createDataFrame(list(texts.items()), DOCS).repartition(3)
+    for r in langid.identify(odd, model).collect():
+        text = texts[r.doc_id]
+        if not text or not regex.search(r"\p{L}", text):
+            assert (r.lang_pred, r.score, r.margin, r.rejected) == ("und", 0.0, 0.0, True)
+            continue
+        sizes = {x: size(text.lower().encode(), d) for x, d in content.items()}
+        (first, a), (_, b) = sorted(sizes.items(), key=lambda x: (x[1], list(content).index(x[0])))[:2]
+        assert (r.lang_pred, r.margin, r.rejected) == (first, (b - a) / a, (b - a) / a < langid.MIN_MARGIN)
+        assert r.score == pytest.approx(1 - 0.5 / (1 + 10 * (b - a) / a))
+
+
 def test_language_id_learns_every_language(spark, monkeypatch):
     rng = random.Random(5)
     names = [f"l{i:02}" for i in range(70)]
