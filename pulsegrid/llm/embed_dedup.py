@@ -2,8 +2,9 @@
 
 Filter directions form a random product code: a vector's halves are scored against one small set of random unit
 vectors each, and a filter is a pair of them, its score their sum. A vector is listed under every filter whose
-score exceeds a threshold, which sorting one half's scores finds without looking at all pairs. Vectors that meet
-under a filter are verified by a blocked matrix product in double precision.
+score exceeds a threshold, which sorting one half's scores finds without looking at all pairs. What is joined on
+filters is an id and a sketch of 32 bytes; only rows whose sketch is near another one's under that filter fetch
+their vectors and are verified by a blocked matrix product in double precision.
 
 One code finds fewer of the pairs at a given cosine the more vectors there are, and longer lists under it help
 little: its filters are not independent. So larger tables get several codes, drawn independently.
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import lean
 from .components import components
 from .workspace import Workspace
 
@@ -31,6 +33,8 @@ BLOCK = 1024
 #: One code serves up to so many code words per half; each further code, GROWTH times as many, or LOW_GROWTH under so many dimensions.
 ONE_CODE, GROWTH, FULL_DIM, LOW_GROWTH = 100, 7, 64, 4
 SEED = 7
+#: Bits of a sketch, and how many standard deviations over the mean a pair at the threshold may differ: three in 100,000 differ more.
+BITS, SLACK = 256, 4.0
 
 
 def codes(dim: int, c: int, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +90,19 @@ def _decode(units: np.ndarray, c: int, number: int) -> list[np.ndarray]:
     return out
 
 
+def sketch(units: np.ndarray) -> np.ndarray:
+    """On which sides of BITS random hyperplanes each vector lies, as unsigned 64-bit integers."""
+    dim = units.shape[1]
+    planes = np.random.default_rng([SEED, dim, BITS, 1]).standard_normal((dim, BITS))
+    return np.packbits(units @ planes > 0, axis=1).view(np.uint64)
+
+
+def sketch_limit(threshold: float) -> int:
+    """The most bits in which the sketches of two vectors of this cosine differ, but for the few that SLACK tells."""
+    p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+    return math.ceil(BITS * p + SLACK * math.sqrt(BITS * p * (1 - p)))
+
+
 def _earlier_common(lists: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], now: int) -> np.ndarray:
     """Whether two vectors share a filter before `now`: such a pair is counted there."""
     cut = [x[x < now] for x in lists]
@@ -111,9 +128,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     don't meet. Equal vectors are one class: it is listed once, with its number of rows. Repeated ids are rows
     of their own; a null id is never the least one. Other columns are ignored. An empty table gives no rows.
 
-    A filter's vectors never meet in one task beyond BLOCK: fuller filters are dealt to pairs of blocks. Blocks
+    A filter's rows never meet in one task beyond BLOCK: fuller filters are dealt to pairs of blocks. Blocks
     give a row per linked vector, with its number of links and the least vector it reaches, never pairs. A pair
     under several filters counts at the first.
+
+    Rows that travel: sketches once per filter, then, of rows with a near sketch, vectors once per such filter.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "embed-dedup")
@@ -135,31 +154,46 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 data.append(x.tobytes() if good else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(entity, pa.int64()), pa.array(dim, pa.int32()), pa.array(data, pa.binary())], ["id", "entity", "dim", "unit"])
 
-    rows = ws.save(vectors.select(F.col(id_col).alias("id"), values.alias("v")).mapInArrow(unit, f"id {kind}, entity bigint, dim int, unit binary"), "rows")
+    rows = ws.save(vectors.select(F.col(id_col).alias("id"), values.alias("v")).mapInArrow(lean(unit), f"id {kind}, entity bigint, dim int, unit binary"), "rows")
     classes = ws.save(rows.where("entity IS NOT NULL").groupBy("entity").agg(F.count("*").alias("rows"), F.min("unit").alias("unit")), "classes")
     c = code_size(classes.count())
 
+    most, parts = sketch_limit(threshold), [f"s{k}" for k in range(BITS // 64)]
+
     def enlist(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                units = part.column(2).to_pylist()
+                units = part.column(1).to_pylist()
                 size = np.array([len(u) for u in units])
                 for width in np.unique(size):
                     which = np.flatnonzero(size == width)
-                    lists = decode(np.frombuffer(b"".join(units[i] for i in which), np.float64).reshape(len(which), -1), c)
-                    again = np.repeat(which, [len(x) for x in lists])
-                    whole = [x.tobytes() for x in lists]
-                    # filters before the row's own are all that multiply() asks for
-                    each = [whole[k][: x.itemsize * i] for k, x in enumerate(lists) for i in range(len(x))]
-                    take = part.take(pa.array(again))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(lists)), pa.array(np.full(len(again), width // 8, np.int32)), *take.columns, pa.array(each, pa.binary())], ["filter", "dim", "entity", "rows", "unit", "filters"])
-
-    listed = classes.select("entity", "rows", "unit").mapInArrow(enlist, "filter bigint, dim int, entity bigint, rows bigint, unit binary, filters binary")
-    listed = ws.save(listed, "listed")
-    full = listed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.expr(f"cast((n - 1) div {block} + 1 as int)")).drop("n")
-    dealt = listed.join(full, ["dim", "filter"]).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("dim", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "entity", "rows", "unit", "filters")
+                    x = np.frombuffer(b"".join(units[i] for i in which), np.float64).reshape(len(which), -1)
+                    lists, bits = decode(x, c), sketch(x)
+                    again = np.repeat(np.arange(len(which)), [len(x) for x in lists])
+                    out = [np.concatenate(lists), np.full(len(again), width // 8, np.int32), part.column(0).to_numpy()[which][again], *bits[again].view(np.int64).T]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["filter", "dim", "entity", *parts])
+
+    def dealt(listed: DataFrame) -> DataFrame:
+        full = listed.groupBy("dim", "filter").agg(F.count("*").alias("n")).where("n > 1").withColumn("parts", F.expr(f"cast((n - 1) div {block} + 1 as int)")).drop("n")
+        both = listed.join(full, ["dim", "filter"]).withColumn("own", F.pmod(F.xxhash64("entity"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        return both.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("parts", "other")
+
+    def screen(table: pa.Table) -> pa.Table:
+        own = table.column("own").to_numpy()
+        bits = np.stack([table.column(k).to_numpy().view(np.uint64) for k in parts], axis=1)
+        near = sum(np.bitwise_count(v[:, None] ^ v[None, :]).astype(np.int16) for v in bits.T) <= most
+        np.fill_diagonal(near, False)
+        if table.column("i")[0].as_py() != table.column("j")[0].as_py():
+            near &= own[:, None] != own[None, :]
+        return table.select(["dim", "filter", "entity"]).filter(pa.array(near.any(axis=1)))
+
+    listed = ws.save(classes.select("entity", "unit").mapInArrow(lean(enlist), ", ".join(["filter bigint, dim int, entity bigint", *[f"{x} bigint" for x in parts]])), "listed")
+    active = dealt(listed).groupBy("dim", "filter", "i", "j").applyInArrow(screen, "dim int, filter bigint, entity bigint")
+    active = ws.save(active.distinct(), "active")
+    # a pair's common filters are active for both, so these lists tell its first one
+    whole = active.groupBy("entity").agg(F.array_sort(F.collect_list("filter")).alias("filters")).join(classes, "entity")
+    both = dealt(active).join(whole, "entity")
 
     def multiply(table: pa.Table) -> pa.Table:
         entity, weight = table.column("entity").to_numpy(), table.column("rows").to_numpy()
@@ -172,7 +206,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         a, b = np.nonzero(np.triu(linked))
         if not len(a):
             return pa.table({"entity": entity[:0], "links": weight[:0], "root": entity[:0]})
-        lists = [np.frombuffer(f, np.int64) for f in table.column("filters").to_pylist()]
+        lists = [np.array(f, np.int64) for f in table.column("filters").to_pylist()]
         new = ~_earlier_common(lists, (a, b), now)
         links = np.bincount(a[new], weight[b[new]], len(entity)) + np.bincount(b[new], weight[a[new]], len(entity))
         root = entity.copy()
@@ -185,7 +219,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
             root[some] = least
         return pa.table({"entity": entity[some], "links": links[some].astype(np.int64), "root": root[some]})
 
-    found = ws.save(dealt.groupBy("dim", "filter", "i", "j").applyInArrow(multiply, "entity bigint, links bigint, root bigint"), "found")
+    found = ws.save(both.groupBy("dim", "filter", "i", "j").applyInArrow(multiply, "entity bigint, links bigint, root bigint"), "found")
     links = found.groupBy("entity").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("entity").alias("a"), F.col("root").alias("b")), ws).select(F.col("id").alias("entity"), "root")
     per_class = classes.select("entity", "rows").join(links, "entity", "left").join(roots, "entity", "left")
