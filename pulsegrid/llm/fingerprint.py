@@ -9,6 +9,7 @@ agree with a chance equal to the generalised Jaccard similarity of their weights
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, mix
+from .blocks import Words, lean, mix
 from .ranges import range_bounds, range_of
 
 K = 64
 #: Bytes of text that are fingerprinted at once.
 CHUNK = 2 << 20
+#: Terms that are drawn at once.
+SLICE = 4096
 _U = np.uint64
+_SPACE_OR_END = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _gamma2(n: int = 1 << 16) -> np.ndarray:
@@ -57,32 +61,83 @@ class Sampler:
         return out - r * step
 
     def signatures(self, texts: list[str | bytes]) -> np.ndarray:
-        """K samples per text; texts without words have all samples 0 and agree with each other only."""
-        words = Words(pa.array([t.encode() if isinstance(t, str) else t for t in texts], pa.large_binary()))
-        owner, n = words.text_of(), len(texts)
-        order = np.lexsort((words.hash, owner))
-        term, owner = words.hash[order], owner[order]
+        """K samples per text; texts without words have all samples 0 and agree with each other only.
+
+        Terms are drawn a slice at a time and only running minima are kept, so memory follows the bytes of CHUNK
+        (of one text, pieces of that size) and not the number of terms times K.
+        """
+        blobs = [t.encode() if isinstance(t, str) else t for t in texts]
+        n, begun = len(blobs), [0]
+        for t in blobs:
+            begun.append(begun[-1] + len(t))
+        found = []
+        at = 0
+        while at < n:
+            to = at + 1
+            while to < n and begun[to + 1] - begun[at] <= CHUNK:
+                to += 1
+            if begun[to] - begun[at] <= CHUNK:
+                found.append(self._terms(blobs[at:to], at))
+            else:
+                found.append(self._long_terms(blobs[at], at))
+            at = to
+        out = np.full((n, self.k), np.inf, np.float32)
+        for owner, term, weight in found:
+            self._lower(out, owner, term, weight)
+        bits = mix(out.view(np.uint32).astype(np.uint64))
+        return np.where(np.isinf(out), 0, (bits % _U(65535)) + _U(1)).astype(np.uint16)
+
+    @staticmethod
+    def _counted(owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each owner's distinct terms with the sum of their weights."""
+        order = np.lexsort((term, owner))
+        owner, term = owner[order], term[order]
         new = np.ones(len(term), bool)
         new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
         at = np.flatnonzero(new)
-        weight = np.diff(np.concatenate([at, [len(term)]]))
-        term, owner = term[at], owner[at]
-        # each distinct pair of term and weight is drawn once
+        return owner[at], term[at], np.add.reduceat(weight[order], at) if len(at) else weight[:0]
+
+    def _terms(self, blobs: list[bytes], at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        words = Words(pa.array(blobs, pa.large_binary()))
+        return self._counted(words.text_of() + at, words.hash, np.ones(len(words.hash), np.int64))
+
+    def _long_terms(self, blob: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Terms of one text in pieces that end between words; a word longer than a piece lengthens it."""
+        total, start = None, 0
+        while start < len(blob):
+            end = min(start + CHUNK, len(blob))
+            if end < len(blob):
+                space = _SPACE_OR_END.search(blob, end)
+                end = space.start() if space else len(blob)
+            part = self._terms([blob[start:end]], at)
+            total = part if total is None else self._counted(*(np.concatenate(x) for x in zip(total, part, strict=True)))
+            start = end
+        return total
+
+    def _lower(self, out: np.ndarray, owner: np.ndarray, term: np.ndarray, weight: np.ndarray) -> None:
+        """Lower the owners' minima by these terms. Each distinct pair of term and weight is drawn once."""
         key = mix(term ^ mix(weight.astype(np.uint64)))
-        _, first, back = np.unique(key, return_index=True, return_inverse=True)
-        table = np.empty((len(first), self.k), np.float32)
-        for i in range(0, len(first), 4096):
-            some = first[i : i + 4096]
-            table[i : i + 4096] = self.values(term[some], weight[some])
-        out = np.full((n, self.k), np.inf, np.float32)
-        begin = np.searchsorted(owner, np.arange(n + 1))
-        some = np.flatnonzero(begin[1:] > begin[:-1])
-        for i in range(0, len(some), 32):
-            docs = some[i : i + 32]
-            lo, hi = begin[docs[0]], begin[docs[-1] + 1]
-            out[docs] = np.minimum.reduceat(table[back[lo:hi]], begin[docs] - lo, axis=0)
-        bits = mix(out.view(np.uint32).astype(np.uint64))
-        return np.where(np.isinf(out), 0, (bits % _U(65535)) + _U(1)).astype(np.uint16)
+        order = np.argsort(key, kind="stable")
+        key, owner, term, weight = key[order], owner[order], term[order], weight[order]
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        first = np.flatnonzero(new)
+        ends = np.append(first, len(key))
+        which = np.cumsum(new) - 1
+        lo = 0
+        while lo < len(first):
+            # some thousand draws and some ten thousand uses of them at a time
+            hi = min(lo + SLICE, len(first))
+            hi = max(lo + 1, min(hi, int(np.searchsorted(ends, ends[lo] + 4 * SLICE, side="right")) - 1))
+            table = self.values(term[first[lo:hi]], weight[first[lo:hi]])
+            for i in range(int(ends[lo]), int(ends[hi]), 4 * SLICE):
+                use = slice(i, min(i + 4 * SLICE, int(ends[hi])))
+                by = np.argsort(owner[use], kind="stable")
+                who = owner[use][by]
+                begin = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                least = np.minimum.reduceat(table[which[use][by] - lo], begin, axis=0)
+                out[who[begin]] = np.minimum(out[who[begin]], least)
+            lo = hi
 
 
 def edit(text: str, following: str) -> str:
@@ -94,29 +149,30 @@ def edit(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_chars (code points), edited_sha256, fingerprint, edited_fingerprint (k samples as 4 hex digits each), near_edited, near_next.
 
-    The next document is that of the next greater id, after the last the first; rows of one id follow each
-    other by text, null ids come first. The edited text is edit(text, next text). near_edited and near_next
-    are the shares of samples in which the fingerprint agrees with the edited text's and the next document's.
-    A null text is empty; texts without words agree fully with each other and not with others. A table of one
-    row is its own next; an empty table gives none. Other columns are ignored.
+    The next document is that of the next greater id, after the last the first; null ids come first, and rows
+    of one id follow each other by a hash of their text and then by text. The edited text is edit(text, next
+    text). near_edited and near_next are the shares of samples in which the fingerprint agrees with the edited
+    text's and the next document's. A null text is empty; texts without words agree fully with each other and not
+    with others. A table of one row is its own next; an empty table gives none. Other columns are ignored.
 
-    Texts are shuffled once, to ranges of ids; a range's last document gets the next range's first as a row of
-    its own, one per range.
+    Texts are shuffled once, to ranges of (id, hash of text) of about equal bytes; a range's last document gets the
+    next range's first as a row of its own, one per range.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     # null ids come first: below every other key
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    bounds = range_bounds(rows, "key", parts)
-    rows = rows.withColumn("range", range_of(F.col("key"), bounds))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    key, tie = F.col("key"), F.col("tie")
+    bounds = range_bounds(rows, key, tie, F.octet_length("text") + 100, parts)
+    rows = rows.withColumn("range", range_of(key, tie, bounds))
     # one row per range, of which there are as many as partitions
-    firsts = sorted((r.range, r.key) for r in rows.groupBy("range").agg(F.min("key").alias("key")).collect())
+    firsts = sorted((r.range, *r.least) for r in rows.groupBy("range").agg(F.min(F.struct("key", "tie")).alias("least")).collect())
     # the first row of each range stands again at the end of the range before, and of all at the end of the last
-    moved = [(firsts[i - 1][0], key) for i, (_, key) in enumerate(firsts)] or [(0, 0)]
-    ends = docs.sparkSession.createDataFrame(moved, "range int, key bigint")
-    again = rows.drop("range").join(F.broadcast(ends), "key").groupBy("range", "key").agg(F.min("text").alias("text"))
-    both = rows.select("id", "key", "text", "range", F.lit(0).alias("end")).unionByName(again.select(F.lit(None).cast(kind).alias("id"), "key", "text", "range", F.lit(1).alias("end")))
-    dealt = both.repartitionById(parts, "range").sortWithinPartitions("range", "end", "key", "text")
+    moved = [(firsts[i - 1][0], *least) for i, (_, *least) in enumerate(firsts)] or [(0, 0, 0)]
+    ends = docs.sparkSession.createDataFrame(moved, "range int, key bigint, tie bigint")
+    again = rows.drop("range").join(F.broadcast(ends), ["key", "tie"]).groupBy("range", "key", "tie").agg(F.min("text").alias("text"))
+    both = rows.select("id", "key", "tie", "text", "range", F.lit(0).alias("end")).unionByName(again.select(F.lit(None).cast(kind).alias("id"), "key", "tie", "text", "range", F.lit(1).alias("end")))
+    dealt = both.repartitionById(parts, "range").sortWithinPartitions("range", "end", "key", "tie", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(k)
@@ -157,4 +213,4 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
                     ids, texts, size = ids[-1:], texts[-1:], len(texts[-1])
 
     schema = f"`{id_col}` {kind}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return dealt.select("id", "text", "end").mapInArrow(run, schema)
+    return dealt.select("id", "text", "end").mapInArrow(lean(run), schema)

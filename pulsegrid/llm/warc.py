@@ -1,9 +1,10 @@
 """A deterministic, sharded WARC writer and its reader.
 
-Records are sorted by page and dealt to shards by ranges of page_id; a shard's files roll by compressed
+Records are sorted by page and dealt to shards by ranges of page_id and payload hash, of about equal bytes; a shard's files roll by compressed
 size; WARC and HTTP headers, lengths and digests are made anew from the payloads. Each file is written under a
-temporary name and renamed when it is whole; a manifest, written last and committed by Spark, lists the files
-that count. The same rows give the same files, whatever the input's partitions or a task's second attempts.
+temporary name and renamed when it is whole, unless an earlier attempt has already put the same file there; a
+manifest, written last and committed by Spark, lists the files that count, and what attempts that failed have left
+goes after it. The same rows give the same files, whatever the input's partitions or a task's second attempts.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import lean
 from .ranges import range_bounds, range_of
 
 #: A file is closed at the first record after so many compressed bytes.
@@ -67,6 +69,29 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
+def _place(fs, temp: str, name: str, size: int) -> None:
+    """Give a whole file its name. Attempts of one task write the same bytes, so one that is there already stays; it may appear between the look and the move."""
+    from pyarrow.fs import FileType
+
+    there = lambda: (i := fs.get_file_info(name)).type == FileType.File and i.size == size
+    if not there():
+        try:
+            fs.move(temp, name)
+            return
+        except OSError:
+            if not there():
+                raise
+    fs.delete_file(temp)
+
+
+def _sweep(spark: SparkSession, out: str) -> None:
+    """Delete temporary files of failed attempts."""
+    top = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top, "_temporary-*")) or ():
+        fs.delete(status.getPath(), False)
+
+
 def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int = FILE_BYTES, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
     """Write one record per row into `out` and return the manifest (file, shard, part, records, bytes, sha1).
 
@@ -78,20 +103,22 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
     """
     spark = pages.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = range_bounds(pages, id_col, shards)
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), body.alias("body"))
-    keys = rows.select("page", F.octet_length("body").alias("n"), F.sha1("body").alias("digest")).where(F.col("n") >= REVISIT_BYTES)
+    rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), body.alias("body")).withColumn("tie", F.xxhash64("body"))
+    # null ids come first: below every other key
+    key = F.coalesce("page", F.lit(-(2**63)))
+    bounds = range_bounds(rows, key, F.col("tie"), F.octet_length("body") + 500, shards)
+    keys = rows.select("page", "tie", F.octet_length("body").alias("n"), F.sha1("body").alias("digest")).where(F.col("n") >= REVISIT_BYTES)
     # of each payload that several rows have: the page to refer to
     lead = keys.groupBy("digest").agg(F.max("page").alias("to"), F.count("*").alias("rows")).where("rows > 1").select("digest", "to")
     # a row per page and payload that is a copy; the page referred to has one as well, for its own further copies
-    refer = keys.select("page", "digest").join(lead, "digest").distinct()
+    refer = keys.select("page", "tie", "digest").join(lead, "digest").distinct()
     dealt = (
-        rows.select(F.lit(1).alias("kind"), "page", "url", "body", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("to"))
-        .unionByName(refer.select(F.lit(0).alias("kind"), "page", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "to"))
-        .withColumn("shard", range_of(F.col("page"), bounds))
+        rows.select(F.lit(1).alias("kind"), "page", "tie", "url", "body", F.lit(None).cast("string").alias("digest"), F.lit(None).cast("bigint").alias("to"))
+        .unionByName(refer.select(F.lit(0).alias("kind"), "page", "tie", F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("body"), "digest", "to"))
+        .withColumn("shard", range_of(key, F.col("tie"), bounds))
         .repartitionById(shards, "shard")
-        .sortWithinPartitions("shard", "page", "kind", "url", "body")
+        .sortWithinPartitions("shard", "page", "tie", "kind", "url", "body")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,14 +128,14 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
         sink = temp = None
         shard_now, part, count, size = None, 0, 0, 0
         sha = hashlib.sha1()
-        page_now, known, done = None, {}, set()
+        here, known, done = None, {}, set()
 
         def close() -> None:
             nonlocal sink, part, count, size, sha
             if sink is not None:
                 sink.close()
                 name = f"shard-{shard_now:06d}-{part:05d}.warc.gz"
-                fs.move(temp, f"{top}/{name}")
+                _place(fs, temp, f"{top}/{name}", size)
                 listed.append((name, shard_now, part, count, size, sha.hexdigest()))
                 sink, part, count, size, sha = None, part + 1, 0, 0, hashlib.sha1()
 
@@ -117,15 +144,15 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
                 for r in batch.to_pylist():
                     if r["shard"] != shard_now:
                         close()
-                        shard_now, part, page_now, known, done = r["shard"], 0, None, {}, set()
-                    if r["page"] != page_now:
-                        page_now, known, done = r["page"], {}, set()
+                        shard_now, part, here, known, done = r["shard"], 0, None, {}, set()
+                    if (r["page"], r["tie"]) != here:
+                        here, known, done = (r["page"], r["tie"]), {}, set()
                     if r["kind"] == 0:
                         known[r["digest"]] = r["to"]
                         continue
                     digest = hashlib.sha1(r["body"]).hexdigest()
                     # the page that others refer to is itself a response, its first such row at least
-                    revisit = digest in known and (known[digest] != page_now or digest in done)
+                    revisit = digest in known and (known[digest] != r["page"] or digest in done)
                     done.add(digest)
                     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
                     data = packer.compress(record(r["page"], r["url"], r["body"], len(r["body"]), digest, known.get(digest), revisit)) + packer.flush()
@@ -140,7 +167,8 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
         close()
         yield pa.RecordBatch.from_pylist([dict(zip(("file", "shard", "part", "records", "bytes", "sha1"), x, strict=True)) for x in listed], _MANIFEST)
 
-    dealt.select("kind", "page", "url", "body", "digest", "to", "shard").mapInArrow(run, "file string, shard bigint, part bigint, records bigint, bytes bigint, sha1 string").write.mode("overwrite").parquet(f"{out}/_manifest")
+    dealt.select("kind", "page", "tie", "url", "body", "digest", "to", "shard").mapInArrow(lean(run), "file string, shard bigint, part bigint, records bigint, bytes bigint, sha1 string").write.mode("overwrite").parquet(f"{out}/_manifest")
+    _sweep(spark, out)
     return spark.read.parquet(f"{out}/_manifest")
 
 
@@ -206,4 +234,4 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
 
     files = spark.read.parquet(f"{out}/_manifest").select("file")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return files.repartition(n, "file").mapInArrow(run, schema)
+    return files.repartition(n, "file").mapInArrow(lean(run), schema)
