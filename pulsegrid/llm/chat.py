@@ -42,6 +42,33 @@ def as_events(conversations: DataFrame) -> DataFrame:
     return conversations.select("conv_id", at.alias("seq"), at.alias("msg"), F.lit("message").alias("kind"), "role", "text")
 
 
+def as_log(conversations: DataFrame) -> DataFrame:
+    """A table of whole turns as the log of a chat client that streamed, edited and regenerated them; folding it gives the turns back.
+
+    Each turn's text comes in up to three deltas, cut at places that a hash of the text chooses. Before that, by
+    the same hash: an eighth of the turns had a draft that was streamed and then regenerated, an eighth one
+    that a later edit to the first piece replaced, and an eighth are whole messages. Order, ties, nulls and
+    repeated rows are those of as_events.
+    """
+    turns = as_events(conversations).select("conv_id", "msg", "role", F.coalesce("text", F.lit("")).alias("text"))
+    size, way = F.char_length("text"), F.pmod(F.xxhash64("text", "msg"), F.lit(8))
+    cut = lambda seed: F.pmod(F.xxhash64("text", "msg", F.lit(seed)), size + 1).cast("int")
+    turns = turns.withColumns({"way": way, "x": F.least(cut(1), cut(2)), "y": F.greatest(cut(1), cut(2))})
+    event = lambda kind, text, role=None: F.struct(F.lit(kind).alias("kind"), (F.lit(None).cast("string") if role is None else role).alias("role"), text.alias("text"))
+    piece = lambda a, b: F.substring("text", a + 1, b - a)
+    said, zero, role = F.lit("as first said: "), F.lit(0), F.col("role")
+    first, second, third = piece(zero, F.col("x")), piece(F.col("x"), F.col("y")), piece(F.col("y"), size)
+    rest = [event("delta", second), event("delta", third)]
+    log = (
+        F.when(F.col("way") == 0, F.array(event("delta", F.concat(said, first), role), event("delta", second), event("regenerate", F.lit(None).cast("string")), event("delta", first), *rest))
+        .when(F.col("way") == 1, F.array(event("message", F.concat(said, third), role), event("edit", first), *rest))
+        .when(F.col("way") == 2, F.array(event("message", F.col("text"), role)))
+        .otherwise(F.array(event("delta", first, role), *rest))
+    )
+    events = turns.select("conv_id", "msg", F.posexplode(log).alias("at", "e"))
+    return events.select("conv_id", (F.col("msg") * 8 + F.col("at")).alias("seq"), "msg", "e.kind", "e.role", "e.text")
+
+
 def reconstruct(events: DataFrame) -> DataFrame:
     """Fold events into final messages: conv_id, msg, role, text.
 
@@ -51,7 +78,8 @@ def reconstruct(events: DataFrame) -> DataFrame:
     groupings and the window below share it.
     """
     e = events.select("conv_id", "seq", "msg", "kind", F.col("role"), F.coalesce("text", F.lit("")).alias("text"))
-    later = Window.partitionBy("conv_id").orderBy("seq").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # from the last event backwards: a frame that only grows takes one pass
+    later = Window.partitionBy("conv_id").orderBy(F.col("seq").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     # a regeneration of message m takes away what came before it for messages after m
     cut = F.min(F.when(F.col("kind") == "regenerate", F.col("msg"))).over(later)
     e = e.withColumn("cut", cut).where(F.col("cut").isNull() | F.col("msg").isNull() | (F.col("msg") <= F.col("cut")))

@@ -7,6 +7,8 @@ equal steps take an even share of every length and the words taken come near the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from .workspace import Workspace
 #: A document's words.
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
-#: Documents of one source and length class are ordered in this many independent parts, by a hash of their id.
+#: Documents of one source and length class are ordered in independent parts, by a hash of their id: this many at least.
 PARTS = 16
 
 _S, _C, _P, _N, _R, _T, _W = (f"__mix_{x}" for x in ("source", "class", "part", "size", "rate", "target", "source_size"))
@@ -49,6 +51,11 @@ def targets(sizes: DataFrame, source: str, size: str, budget: float, most: float
     return s.select(source, size, F.least(F.col("top"), F.coalesce(level * F.col("w"), F.col("top"))).alias("target"))
 
 
+def part_count(rows: int) -> int:
+    """Parts for a table of so many rows. As their root, so both what is sorted in a part and the parts that are summed up along a source stay small."""
+    return max(PARTS, math.ceil(math.sqrt(rows) / 4))
+
+
 def hash32(text: Column) -> Column:
     """An even integer hash that other engines have too: the first eight hex digits of the MD5."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
@@ -56,11 +63,11 @@ def hash32(text: Column) -> Column:
 
 def _counted(docs: DataFrame, id_col: str, text_col: str, source_col: str, budget: float, most: float, weights: tuple, seed: str) -> DataFrame:
     """The columns of docs, and those named above and __mix_copies."""
-    n = F.col(_N)
+    n, parts = F.col(_N), part_count(docs.count())
     digits = F.length(n.cast("string"))
     d = docs.withColumn(_N, words(F.col(text_col)))
     # length class: the number of digits, then the first digit
-    d = d.withColumns({_C: (digits * 10 + F.substring(n.cast("string"), 1, 1).cast("int")).cast("int"), _P: F.pmod(hash32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(PARTS)).cast("int"), _S: F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))})
+    d = d.withColumns({_C: (digits * 10 + F.substring(n.cast("string"), 1, 1).cast("int")).cast("int"), _P: F.pmod(hash32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), F.lit(parts)).cast("int"), _S: F.struct(F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col), F.lit("")).alias("name"))})
     # a small table, written because it is read twice and texts are long to read
     cells = Workspace(docs.sparkSession, "mixing").save(d.groupBy(_S, _C, _P).agg(F.count("*").alias("__mix_rows"), F.sum(_N).alias("__mix_words")), "cells")
     sources = cells.groupBy(_S).agg(F.sum("__mix_words").alias(_W)).select(F.when(~F.col(_S)["none"], F.col(_S)["name"]).alias("s"), F.col(_W))
@@ -85,7 +92,7 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     columns of their names.
 
     One row never waits for all of its source: rows are ranked within (source, length class, hash part), and
-    the parts' row counts, at most PARTS times some hundred per source, are summed up along the source.
+    the parts' row counts, part_count(rows) times some hundred per source at most, are summed up along the source.
     """
     d = _counted(docs, id_col, text_col, source_col, budget, most, weights, seed)
     added = {"size": F.col(_N), "source_size": F.col(_W), "target": F.col(_T), "copies": F.col("__mix_copies"), "taken": F.col("__mix_copies") * F.col(_N)}

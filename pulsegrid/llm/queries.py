@@ -25,7 +25,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    return chat.digests(chat.read_back(chat.render(chat.reconstruct(chat.as_events(rows)))))
+    return chat.digests(chat.read_back(chat.render(chat.reconstruct(chat.as_log(rows)))))
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +137,7 @@ WITH d AS (
   FROM documents),
 k AS (
   SELECT *, length(CAST(size AS VARCHAR)) * 10 + CAST(substr(CAST(size AS VARCHAR), 1, 1) AS INT) AS cls,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % 16 AS part
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) % (SELECT greatest(16, CAST(ceil(sqrt(count(*)) / 4) AS BIGINT)) FROM documents) AS part
   FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, part, size, doc_id) AS rk FROM k),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
