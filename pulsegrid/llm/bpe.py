@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from .blocks import lean
+
 #: Distinct pre-tokens whose ids a worker keeps; when full, it starts again.
 CACHE = 150_000
 
@@ -151,4 +153,4 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
                 yield pa.RecordBatch.from_arrays(out, names)
         codec.forget()
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(lean(run), schema)

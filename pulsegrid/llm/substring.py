@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Words, gram_hashes, mix, ragged_unique, signed, slices
+from .blocks import Words, gram_hashes, lean, mix, ragged_unique, signed, slices
 from .shared import _take, bucket_count, reduced, shared_features
 from .workspace import Workspace
 
@@ -190,7 +190,7 @@ def _hits(docs: DataFrame, ws: Workspace, w: int, shard_words: int) -> DataFrame
                 yield pa.RecordBatch.from_arrays(out, ["id", "th", "at", "key", "seg", "last", "words"])
 
     whole = text.join(own, ["id", "th"]).select("id", "text", "th", "anchors")
-    segments = ws.save(whole.mapInArrow(cut, "id bigint, th bigint, at bigint, key bigint, seg bigint, last bigint, words binary"), "segments")
+    segments = ws.save(whole.mapInArrow(lean(cut), "id bigint, th bigint, at bigint, key bigint, seg bigint, last bigint, words binary"), "segments")
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(rows: dict) -> Iterator[pa.RecordBatch]:
@@ -222,7 +222,7 @@ def _hits(docs: DataFrame, ws: Workspace, w: int, shard_words: int) -> DataFrame
         yield from shard(rows)
 
     streams = segments.where("words IS NOT NULL").select("key", "seg", "id", "last", "words")
-    matched = streams.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(match, "key bigint, seg bigint, firsts array<bigint>")
+    matched = streams.repartition(n_parts, "key").sortWithinPartitions("key").mapInArrow(lean(match), "key bigint, seg bigint, firsts array<bigint>")
     hit = segments.select("id", "th", "at", "key", "seg").join(matched, ["key", "seg"])
     hit = hit.select("id", "th", "at", F.transform("firsts", lambda f: f < F.col("id")).alias("flags")).where(F.exists("flags", lambda x: x))
     spans = hit.groupBy("id", "th").agg(F.collect_list(F.struct("at", "flags")).alias("spans"))
@@ -273,7 +273,7 @@ def remove(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col:
                 out = [batch.column(c) for c in base] + ([pa.array(texts, pa.string())] if keep_text else [])
                 yield pa.RecordBatch.from_arrays([*out, pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())], [*base, *[text_col] * keep_text, *added])
 
-    out = joined.select(*base, "__sub_text", "__sub_spans", "__sub_hit").mapInArrow(apply, schema)
+    out = joined.select(*base, "__sub_text", "__sub_spans", "__sub_hit").mapInArrow(lean(apply), schema)
     return out.select(*[c for c in docs.columns if c in base or (keep_text and c == text_col)], *added)
 
 

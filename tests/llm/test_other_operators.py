@@ -3,6 +3,7 @@
 import hashlib
 import importlib.util
 import math
+import random
 from pathlib import Path
 
 import duckdb
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import chat, embed_dedup, queries, url_filter, warc
 from pulsegrid.llm.components import components as connect
+from pulsegrid.llm.ranges import range_bounds, range_of
 from pulsegrid.llm.workspace import Workspace
 
 from .helpers import components
@@ -62,6 +64,37 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.write(df.where("false"), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def test_warc_ranges_and_second_attempts(spark, tmp_path):
+    # one id and null ids with most rows: payloads deal them to several shards
+    rows = [(7 if i % 2 else None, f"u{i}", f"{i} " * 300) for i in range(300)] + [(i, "u", "x") for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    out = f"file://{tmp_path}/w"
+    manifest = warc.write(df, out, shards=6)
+    per = {r.shard: r.n for r in manifest.groupBy("shard").agg(F.sum("records").alias("n")).collect()}
+    assert len(per) == 6 and max(per.values()) < 90
+    assert sorted(map(tuple, warc.read(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str) == warc_truth(rows)
+    # again into the same folder, as a second attempt would, with leftovers of one that failed
+    before = {p.name: p.read_bytes() for p in Path(f"{tmp_path}/w").glob("*.gz")}
+    (tmp_path / "w" / "_temporary-old").write_bytes(b"half a file")
+    warc.write(df.repartition(3), out, shards=6)
+    assert {p.name: p.read_bytes() for p in Path(f"{tmp_path}/w").glob("*.gz")} == before
+    assert not list((tmp_path / "w").glob("_temporary*"))
+
+
+def test_ranges(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("k"), F.xxhash64("id").alias("t"), F.when(F.col("id") % 7 == 3, 20).otherwise(1).alias("w"))
+    bounds = range_bounds(df, F.col("k"), F.col("t"), F.col("w"), 10)
+    dealt = df.withColumn("r", range_of(F.col("k"), F.col("t"), bounds)).cache()
+    at = lambda k, t: sum((k, t) >= b for b in bounds)
+    assert all(r.r == at(r.k, r.t) for r in dealt.collect())
+    sums = [r.w for r in dealt.groupBy("r").agg(F.sum("w").alias("w")).collect()]
+    assert len(sums) == 10 and max(sums) < 1.3 * min(sums)
+    assert range_bounds(df.where("false"), F.col("k"), F.col("t"), F.col("w"), 10) == []
+    many = [(k, 0) for k in range(20_000)]
+    got = spark.range(200).select("id", range_of(F.col("id") * 100 + 5, F.lit(-1).cast("bigint"), many).alias("r")).collect()
+    assert all(r.r == min(r.id * 100 + 5, 20_000) for r in got)
+
+
 def test_warc_notices_damage(spark, tmp_path):
     out = f"file://{tmp_path}/w"
     warc.write(spark.createDataFrame([(1, "u", "text")], "page_id bigint, url string, html string"), out)
@@ -91,6 +124,46 @@ def test_chat_reconstruction(spark):
     assert sorted((r.msg, r.text) for r in cut.where("conv_id = 'c'").collect()) == [(1, "hi!"), (2, "")]
 
 
+def fold(events):
+    """One conversation's log, event by event: {msg: (role, text)}."""
+    role, text = {}, {}
+    for _, m, kind, r, t in sorted(events):
+        if kind == "regenerate":
+            for later in [x for x in text if x > m]:
+                del text[later]
+                role.pop(later, None)
+        text[m] = text.get(m, "") + t if kind == "delta" else t
+        if r and m not in role:
+            role[m] = r
+    return {m: (role.get(m, ""), t) for m, t in text.items()}
+
+
+def test_chat_fold_against_plain_python(spark):
+    rng = random.Random(4)
+    rows = []
+    for c in range(60):
+        for seq in range(rng.randrange(1, 25)):
+            kind = rng.choice(("delta", "delta", "delta", "message", "edit", "regenerate"))
+            rows.append((c, seq, rng.randrange(4), kind, rng.choice(("user", "assistant", "")), "" if kind == "regenerate" else rng.choice(("a", "<b", "c#", "\\", ""))))
+    df = spark.createDataFrame([(*r[:4], r[4] or None, r[5]) for r in rows], "conv_id bigint, seq bigint, msg bigint, kind string, role string, text string").repartition(5)
+    got = {}
+    for r in chat.reconstruct(df).collect():
+        got.setdefault(r.conv_id, {})[r.msg] = (r.role, r.text)
+    assert got == {c: fold([r[1:] for r in rows if r[0] == c]) for c in range(60)}
+
+
+def test_chat_log_folds_into_its_turns(spark):
+    rng = random.Random(8)
+    text = lambda: rng.choice((None, "", "é<:#\\ 日本😀", "plain", "x" * 500))
+    rows = [(c if c else None, t, rng.choice(("user", "assistant", None)), text()) for c in range(40) for t in range(rng.randrange(6))] + [(1, 0, "user", "same")] * 3
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(4).withColumn("msg", F.lit("clash"))
+    log = chat.as_log(df)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"message", "delta", "edit", "regenerate"}
+    turns = chat.as_events(df).select("conv_id", "msg", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    assert sorted(map(str, chat.reconstruct(log.repartition(3)).collect())) == sorted(map(str, turns.collect()))
+    assert chat.reconstruct(chat.as_log(df.where("false"))).count() == 0
+
+
 def test_chat_escape_round_trip(spark):
     texts = ["\\### Assistant: </turn> ok", "", "### User: x</turn>\n", "\\b\\l\\h\\\\", "a: b", "日本😀\n</turn>\n", "x" * 50_000, "\\"]
     rows = [(1, i, "assistant" if i % 2 else "us:er#<\\", t) for i, t in enumerate(texts)] + [(2, 0, None, None), (2, 0, None, None), (3, 5, "assistant", None)]
@@ -231,6 +304,38 @@ def test_vectors_under_several_codes(spark, monkeypatch):
     test_vectors_against_brute_force(spark, 16)
 
 
+def test_sketches_of_near_vectors_are_near():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((200_000, 12))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = rng.standard_normal(x.shape)
+    p -= (p * x).sum(1, keepdims=True) * x
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    differ = np.bitwise_count(embed_dedup.sketch(x) ^ embed_dedup.sketch(0.9 * x + math.sqrt(1 - 0.81) * p)).sum(axis=1)
+    limit = embed_dedup.sketch_limit(0.9)
+    assert (differ > limit).mean() < 2e-4 and limit < 0.24 * embed_dedup.BITS
+    assert embed_dedup.sketch_limit(1.0) == 0 and embed_dedup.sketch_limit(-1.0) == embed_dedup.BITS
+
+
+def test_only_rows_with_a_near_sketch_fetch_vectors(spark, monkeypatch):
+    saved, save = {}, Workspace.save
+    monkeypatch.setattr(Workspace, "save", lambda self, df, name: saved.setdefault(name, save(self, df, name)))
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.standard_normal(64).tolist()) for i in range(600)]
+    rows += [(1000 + i, (np.array(v) + 0.01).tolist()) for i, v in rows[:20]]
+    got = embed_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    assert got.where("n_links = 1").count() == 40
+    assert saved["active"].select("entity").distinct().count() < 0.2 * saved["listed"].select("entity").distinct().count()
+    assert "unit" not in saved["listed"].columns
+
+
+def test_vectors_of_no_use(spark):
+    kind = "vec_id bigint, embedding array<double>"
+    assert embed_dedup.near_duplicates(spark.createDataFrame([], kind)).count() == 0
+    bad = spark.createDataFrame([(1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (None, None)], kind)
+    assert sorted(map(tuple, embed_dedup.near_duplicates(bad).collect()), key=str) == [(1, 0, 1, True), (2, 0, 2, True), (3, 0, 3, True), (4, 0, 4, True), (None, 0, None, True)]
+
+
 def test_list_decoding_finds_all_filters():
     x = np.random.default_rng(1).standard_normal((20, 10))
     x /= np.linalg.norm(x, axis=1, keepdims=True)

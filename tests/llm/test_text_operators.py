@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from pulsegrid.llm import blocks, bpe, fingerprint, langid, mixing, ngram_join, substring
@@ -270,10 +271,11 @@ def test_fingerprints(spark):
     rows += [(5, "tie b"), (5, "tie a"), (None, "first of all")]
     df = spark.createDataFrame(rows, DOCS).repartition(6).withColumn("range", F.lit("clash"))
     got = sorted(map(tuple, fingerprint.fingerprints(df).collect()), key=str)
-    order = sorted(((-math.inf if d is None else d), t or "", d) for d, t in rows)
+    tie = lambda t: int(np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64))
+    order = sorted(((-math.inf if d is None else d), tie(t or ""), t or "", d) for d, t in rows)
     want = []
-    for k, (_, t, d) in enumerate(order):
-        e = fingerprint.edit(t, order[(k + 1) % len(order)][1])
+    for k, (*_, t, d) in enumerate(order):
+        e = fingerprint.edit(t, order[(k + 1) % len(order)][2])
         want.append((d, len(t), hashlib.sha256(e.encode()).hexdigest()))
     assert sorted(want, key=str) == sorted((g[:3] for g in got), key=str)
     by_text = {}
@@ -287,6 +289,63 @@ def test_fingerprints(spark):
     assert alone.near_next == 1.0
 
 
+def plain_signature(text, k=fingerprint.K):
+    """Consistent weighted samples of one text, term by term, with nothing of the operator's but its rule."""
+    m64 = (1 << 64) - 1
+    f32 = np.float32
+
+    def mixed(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & m64
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & m64
+        return x ^ (x >> 31)
+
+    def word_hash(w):
+        if len(w) > 256:
+            return xxhash.xxh3_64_intdigest(w)
+        h = mixed(int.from_bytes(w[:8], "little") ^ (len(w) * 0x9E3779B97F4A7C15 & m64))
+        for i in range(8, len(w), 8):
+            h = mixed((h * 0x9E3779B97F4A7C15 & m64) ^ int.from_bytes(w[i : i + 8], "little"))
+        return h
+
+    counts = {}
+    for w in words(text):
+        h = word_hash(w)
+        counts[h] = counts.get(h, 0) + 1
+    gamma = fingerprint._gamma2()
+    out = []
+    for j in range(1, k + 1):
+        salt = mixed(j * 0x9E3779B97F4A7C15 & m64)
+        least = None
+        for h, n in counts.items():
+            m = mixed(h ^ salt)
+            r, beta = f32(gamma[m & 0xFFFF]), f32((m >> 32) & 0xFFFF) * f32(1 / 65536)
+            t = np.floor(f32(math.log(n)) / r + beta) if n > 1 else f32(0)
+            a = f32(math.log(gamma[(m >> 16) & 0xFFFF])) - r * f32((f32(1) - beta) + t)
+            least = a if least is None else min(least, a)
+        out.append(0 if least is None else mixed(int(np.array(least, f32).view(np.uint32))) % 65535 + 1)
+    return np.array(out, np.uint16)
+
+
+def test_fingerprints_against_brute_force(spark, monkeypatch):
+    rows = [(i, t) for i, (_, t) in enumerate(x for x in corpus(6, 12) if len(x[1] or "") < 3000)] + [(900, "one " * 40 + "two"), (901, "w " * 3 + "é " * 2)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    order = [t or "" for _, t in sorted(rows)]
+    got = fingerprint.fingerprints(df).orderBy("doc_id").collect()
+    for k, r in enumerate(got):
+        following = order[(k + 1) % len(order)]
+        own, other, after = (plain_signature(t) for t in (order[k], fingerprint.edit(order[k], following), following))
+        assert r.fingerprint == own.astype(">u2").tobytes().hex() and r.edited_fingerprint == other.astype(">u2").tobytes().hex()
+        assert r.near_edited == (own == other).mean() and r.near_next == (own == after).mean()
+
+
+def test_fingerprints_of_long_texts_come_in_pieces(monkeypatch):
+    texts = ["", *[t or "" for _, t in corpus(7, 20)], "z" * 5000, " ".join(f"w{i % 700}" for i in range(9000))]
+    want = fingerprint.Sampler().signatures(texts)
+    monkeypatch.setattr(fingerprint, "CHUNK", 1000)
+    monkeypatch.setattr(fingerprint, "SLICE", 16)
+    assert (fingerprint.Sampler().signatures(texts) == want).all()
+
+
 def test_collision_rate_is_generalised_jaccard():
     rng = random.Random(0)
     s = fingerprint.Sampler(512)
