@@ -36,6 +36,8 @@ from .workspace import Workspace
 
 #: Entries of a block. The rows of one n-gram that have more are dealt to several parts, and all pairs of parts are multiplied.
 BLOCK = 1_000_000
+#: Entries of a block of the first round, which needn't meet all pairs: a larger one is split, and its least row stands in every part.
+COPIES = 16_384
 #: Entries that a task multiplies at once: several small blocks.
 FLUSH = 500_000
 #: Salts of the minima in the first round.
@@ -160,7 +162,8 @@ def _links(placed: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _copies_first(rows: DataFrame, ws: Workspace, num: int, den: int, block: int) -> DataFrame:
-    """Links of the first round: blocks of a common minimum. A minimum of more than `block` entries is split, and its least row stands in every part, for the parts to meet there."""
+    """Links of the first round: blocks of a common minimum, split beyond COPIES entries."""
+    block = min(block, COPIES)
     minima = F.array(*[F.array_min(F.transform("tokens", lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in SALTS])
     met = rows.select("entity", "n", "tokens", F.explode(minima).alias("blk"))
     heavy = met.groupBy("blk").agg(F.sum(F.size("tokens")).alias("w"), F.min("entity").alias("hub")).where(F.col("w") > block)

@@ -24,7 +24,7 @@ HOT = 64
 #: The df of a marked feature: more than any count.
 MARKED = 1 << 40
 #: Packed bytes of a bucket at most, on average.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 40 << 20
 #: Features that a bucket's task works on at once; a fuller bucket is gone through in several turns over its packed rows.
 TURN = 1_000_000
 
