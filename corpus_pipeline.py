@@ -24,10 +24,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that one of a smaller id has; those of which nothing is left go. n_chars follows the text."""
+    """Documents without passages that one of a smaller id has; those of which nothing is left go. n_chars, where there is such a column, follows the text."""
     found = substring.remove(docs, window=13, prefix="__sub_")
     found = found.where("__sub_n_removed < __sub_n_words OR __sub_n_words = 0")
-    return found.withColumn("n_chars", F.when(F.col("__sub_n_removed") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
+    if "n_chars" in docs.columns:
+        own = F.char_length("text").cast(docs.schema["n_chars"].dataType)
+        found = found.withColumn("n_chars", F.when(F.col("__sub_n_removed") > 0, own).otherwise(F.col("n_chars")))
+    return found.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,7 @@ STAGES = [
     ("byte-level BPE", byte_level_bpe),
 ]
 
-#: SQL can't express language ID by compression; tests hold the pipeline against a brute-force version.
+#: SQL can't express language ID by compression; tests hold each stage against a brute-force version of it.
 ORACLE_SQL = None
 
 
