@@ -46,23 +46,42 @@ def acog_any(ph: Column, apgar5: Column, hie: Column) -> Column:
 
 
 def outcome_flags(ph: Column, apgar1: Column, apgar5: Column, hie: Column, nicu: Column) -> dict[str, Column]:
-    """The eleven outcome flags, 0 or 1."""
+    """The eleven outcome flags, 0 or 1: three bands of pH, depression at 1 and 5 minutes, and four combined rules. A missing value fulfils none."""
     flags = {
-        "ph_lt_700": yes(ph < 7.00),
-        "ph_lt_705": yes(ph < 7.05),
-        "ph_lt_710": yes(ph < 7.10),
-        "ph_lt_720": yes(ph < 7.20),
+        "ph_severe": yes(ph < 7.05),
+        "ph_moderate": yes(ph >= 7.05) & yes(ph < 7.10),
+        "ph_mild": yes(ph >= 7.10) & yes(ph < 7.20),
         "apgar1_lt_7": yes(apgar1 < 7),
         "apgar5_lt_7": yes(apgar5 < 7),
+        "apgar1_lt_4": yes(apgar1 < 4),
         "apgar5_lt_4": yes(apgar5 < 4),
         "acog": acog_all(ph, apgar5),
-        "ph705_apgar7": yes(ph < 7.05) & yes(apgar5 < 7),
-        "ph710_apgar7": yes(ph < 7.10) & yes(apgar5 < 7),
-        "gold": yes(hie > 0) | yes(nicu > 0),
+        "wide": yes(ph < 7.10) & yes(apgar1 < 7),
+        "ph705_apgar5": yes(ph < 7.05) & yes(apgar5 < 7),
+        "gold": yes(ph < 7.05) & yes(apgar5 < 7) & (yes(hie > 0) | yes(nicu > 0)),
     }
     return {k: v.cast("int") for k, v in flags.items()}
 
 
+def outcome_criteria(ph: Column, apgar1: Column, apgar5: Column, hie: Column, nicu: Column) -> dict[str, Column]:
+    """The ten criteria that the outcome report counts, in its order: the flags, but pH under 7.10 as a whole in place of its two upper bands."""
+    flags = {k: v == 1 for k, v in outcome_flags(ph, apgar1, apgar5, hie, nicu).items()}
+    order = ("ph_severe", "ph_lt_710", "apgar1_lt_7", "apgar5_lt_7", "apgar1_lt_4", "apgar5_lt_4", "acog", "ph705_apgar5", "wide", "gold")
+    return {k: yes(ph < 7.10) if k == "ph_lt_710" else flags[k] for k in order}
+
+
+def outcome_category(ph: Column, apgar1: Column, apgar5: Column) -> Column:
+    """One label per birth, by the first rule that holds; without all three values there is none."""
+    rules = [
+        (ph.isNull() | apgar1.isNull() | apgar5.isNull(), "incomplete data"),
+        ((ph < 7.05) & (apgar5 < 7), "confirmed asphyxia"),
+        (ph < 7.05, "acidosis without depression"),
+        (apgar5 < 7, "depression without severe acidosis"),
+        ((ph < 7.10) & (apgar1 < 7), "borderline"),
+    ]
+    return first_match(rules, "normal")
+
+
 def first_match(rules: list[tuple[Column, str]], default: str) -> Column:
     """The label of the first rule that holds."""
     out = None

@@ -11,6 +11,7 @@ import numpy as np
 # Rules of the feature definitions.
 FS = 4
 FHR_RANGE = (50.0, 240.0)
+UC_RANGE = (0.0, 150.0)
 EVENT_BPM, EVENT_S = 15.0, 15.0
 BASELINE_S = (15, 120)
 LTV_BLOCK_S, LTV_VALID, LTV_DECEL = 60, 0.80, 0.10
@@ -213,11 +214,12 @@ def fluctuation(x: np.ndarray, scales: tuple = DFA_SCALES) -> dict[str, float]:
 def features(fhr: np.ndarray, uc: np.ndarray, fs: int = FS) -> dict[str, float]:
     """The 28 features of one window of both channels."""
     fhr, fhr_gone = clean(fhr, *FHR_RANGE, zero_missing=True)
-    uc, uc_gone = clean(uc, -np.inf, np.inf, zero_missing=False)
+    uc, uc_gone = clean(uc, *UC_RANGE, zero_missing=True)
     base = baseline(fhr, fs)
     some = len(base) and not np.isnan(base).all()
     up, down = (sustained(fhr - base, True, fs), sustained(fhr - base, False, fs)) if some else ([], [])
-    tops, slow = contractions(uc, fs), coarse(fhr, fs)
+    # entropies and fluctuation analysis look at the same thinned signal
+    tops, slow = contractions(uc, fs), limited(coarse(fhr, fs))
     apen, sampen = entropies(slow)
     mean = lambda v: float(np.mean(v)) if v else 0.0
     out = {"signal_duration_min": len(fhr) / (fs * 60.0), "fhr_invalid_pct": fhr_gone, "uc_invalid_pct": uc_gone}
@@ -234,22 +236,29 @@ FEATURES = tuple(features(np.full(8, np.nan), np.full(8, np.nan)))
 
 
 def autocorrelation(x: np.ndarray, max_lag: int) -> np.ndarray:
-    """Autocorrelation of the finite samples at lags 0..max_lag, by way of the spectrum; NaN for a constant series."""
+    """Autocorrelation of the finite samples at lags 0..max_lag, by way of the spectrum: the mean product at each lag over that at lag 0.
+
+    Lags that the series doesn't reach are 0, and so are all of a constant series. An empty series has none.
+    """
     x = x[np.isfinite(x)]
-    out = np.full(max_lag + 1, np.nan)
-    if not len(x) or not x.std() > 0:
-        return out
+    out = np.zeros(max_lag + 1)
+    if not len(x):
+        return np.full(max_lag + 1, np.nan)
+    # a deviation of rounding alone counts as none
     d = x - x.mean()
-    c = np.fft.irfft(np.abs(np.fft.rfft(d, 2 * len(d))) ** 2)[: min(max_lag + 1, len(d))]
-    out[: len(c)] = c / (d @ d)
+    if not np.abs(d).max() > 1e-12 * max(1.0, np.abs(x).max()):
+        return out
+    n = min(max_lag + 1, len(d))
+    c = np.fft.irfft(np.abs(np.fft.rfft(d, 2 * len(d))) ** 2, 2 * len(d))[:n] / (len(d) - np.arange(n))
+    out[:n] = c / c[0]
     return out
 
 
-def welch(x: np.ndarray, fs: float = FS) -> tuple[np.ndarray, np.ndarray]:
-    """Frequencies and density: Hann windows of min(256, n / 4) samples, half overlapping, each less its mean."""
+def welch(x: np.ndarray, fs: float = FS, least: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Frequencies and density: Hann windows of min(256, n / 4) samples, half overlapping, each less its mean. A series of fewer than `least` samples has none."""
     x = x[np.isfinite(x)]
     n = min(256, len(x) // 4)
-    if n < 2:
+    if n < 2 or len(x) < least:
         return np.zeros(0), np.zeros(0)
     w = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / n)
     rows = np.lib.stride_tricks.sliding_window_view(x, n)[:: n - n // 2]
@@ -259,11 +268,11 @@ def welch(x: np.ndarray, fs: float = FS) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cross_correlation(x: np.ndarray, y: np.ndarray, max_lag: int = 200) -> np.ndarray:
-    """Correlation at lags -max_lag..max_lag, over the product of length and both deviations; NaN if one is constant."""
+    """Correlation at lags -max_lag..max_lag, over the product of length and both deviations; NaN if one is constant, or of fewer than 2 max_lag + 1 pairs."""
     ok = np.isfinite(x) & np.isfinite(y)
     x, y = x[ok] - x[ok].mean() if ok.any() else x[:0], y[ok] - y[ok].mean() if ok.any() else y[:0]
     n, out = len(x), np.full(2 * max_lag + 1, np.nan)
-    if n and x.std() * y.std() > 0:
+    if n >= 2 * max_lag + 1 and x.std() * y.std() > 0:
         lags = range(-min(max_lag, n - 1), min(max_lag, n - 1) + 1)
         for k in lags:
             out[k + max_lag] = (x[max(0, k) : n + min(0, k)] @ y[max(0, -k) : n - max(0, k)]) / (n * x.std() * y.std())
@@ -271,12 +280,19 @@ def cross_correlation(x: np.ndarray, y: np.ndarray, max_lag: int = 200) -> np.nd
 
 
 def jitter_warp(x: np.ndarray, length: int, seed: int, jitter: float = 1.5, warp: float = 0.05) -> np.ndarray:
-    """The series along a smoothly distorted time, with noise. Depends on the seed and the series alone."""
+    """The series with noise, read along a distorted time, then cut or repeated to `length`. Depends on the seed and the series alone.
+
+    Time is bent at evenly spaced anchors, ten at least or one per 50 samples: each is moved by a normal offset of
+    `warp` times the series' length and held within it, and the moved anchors are put in order.
+    """
     x = x[np.isfinite(x)]
-    if len(x) < 2:
-        return np.full(length, x[0] if len(x) else np.nan)
+    n = len(x)
+    if n < 2:
+        return np.full(length, x[0] if n else np.nan)
     rng = np.random.Generator(np.random.Philox(seed))
-    pace = np.maximum(1 + warp * rng.standard_normal(max(4, length // 240)), 0.1)
-    t = np.cumsum(np.interp(np.arange(length), np.linspace(0, length - 1, len(pace)), pace))
-    t = (t - t[0]) / max(t[-1] - t[0], 1e-12) * (len(x) - 1)
-    return np.interp(t, np.arange(len(x)), x) + jitter * rng.standard_normal(length)
+    noisy = x + jitter * rng.standard_normal(n)
+    count = max(10, n // 50)
+    anchors = np.linspace(0, n - 1, count)
+    moved = np.sort(np.clip(anchors + warp * n * rng.standard_normal(count), 0, n - 1))
+    at = np.arange(n)
+    return np.resize(np.interp(np.interp(at, anchors, moved), at, noisy), length)

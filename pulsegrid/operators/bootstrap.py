@@ -6,6 +6,7 @@ record stay synchronous and nothing leaves the JVM. Only jitter_warp, which has
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -77,7 +78,7 @@ def _warped(each: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             out = {"fhr": [], "uc": []}
             for r in batch.select(["record", "bootstrap_idx", "fhr", "uc"]).to_pylist():
-                key = int.from_bytes(f"{seed}|{r['record']}|{r['bootstrap_idx']}".encode()[-16:], "little")
+                key = int.from_bytes(hashlib.md5(f"{seed}|{r['record']}|{r['bootstrap_idx']}".encode()).digest(), "little")
                 for c in out:
                     x = np.array([np.nan if v is None else v for v in r[c] or []], np.float64)
                     y = _jitter_warp(x, len(x), key)
@@ -88,19 +89,17 @@ def _warped(each: DataFrame, seed: int) -> DataFrame:
     return each.withColumns({c: F.col(c).cast("array<double>") for c in ("fhr", "uc")}).mapInArrow(run, each.withColumns({c: F.col(c).cast("array<double>") for c in ("fhr", "uc")}).schema)
 
 
-def optimal_block(samples: DataFrame, x: str, key: str, threshold: float = 0.05, low: int = 240, high: int = 1200, max_lag: int | None = None, at: str = "i") -> DataFrame:
-    """Block length per record: twice the first lag whose autocorrelation is small in size, within [low, high]; high where none is; low for a record with too few valid samples."""
-    lags = max_lag or high // 2
-    series = samples.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(at, x))), lambda v: v[x]).alias("__x"))
+def optimal_block(signals: DataFrame, x: str = "fhr", key: str = "record", threshold: float = 0.05, low: int = 240, high: int = 1200) -> DataFrame:
+    """Block length per record of an array column: twice the first lag after 0 whose autocorrelation is small in size, within [low, high]; high where none is; low for a record with fewer than 2 * low valid samples, and for a constant one."""
 
     def block(v: np.ndarray) -> float:
         v = v[np.isfinite(v)]
         if len(v) < 2 * low:
             return float(low)
-        small = np.flatnonzero(np.abs(_acf(v, lags)) < threshold)
+        small = np.flatnonzero(np.abs(_acf(v, high)[1:]) < threshold) + 1
         return float(min(max(2 * small[0], low), high)) if len(small) else float(high)
 
-    return array_kernel(series, [key], "__x", block, "block").withColumn("block", F.col("block").cast("int"))
+    return array_kernel(signals, [key], x, block, "block").withColumn("block", F.col("block").cast("int"))
 
 
 def converged_multiplier(means: DataFrame, tolerance: float = 0.01, cap: int = 10) -> DataFrame:

@@ -36,6 +36,13 @@ def invalid_pct(x: Column, low: float, high: float, zero_missing: bool) -> Colum
     return F.lit(100.0) - F.size(F.filter(x, lambda v: F.coalesce(good(v), F.lit(False)))) * 100.0 / F.size(x)
 
 
+def readable(signals: DataFrame, x: str = "fhr", over: float = 50.0, low: float | None = None, high: float | None = None) -> DataFrame:
+    """Signals more than `over` percent of whose samples are there, and within [low, high] where these are given."""
+    inf = float("inf")
+    bad = invalid_pct(F.col(x), -inf if low is None else low, inf if high is None else high, False)
+    return signals.where((F.size(x) > 0) & (100.0 - bad > over))
+
+
 def window_features(signals: DataFrame, clinical: DataFrame | None = None, fs: int = kernels.FS, length_min: float = 20, stride_min: float = 5, most_pct: float = 30.0) -> DataFrame:
     """Features of each complete window of each record whose channels are valid enough, numbered from 0 over kept windows.
 
@@ -51,8 +58,7 @@ def window_features(signals: DataFrame, clinical: DataFrame | None = None, fs: i
     s = s.withColumn("birth_min", birth_minute(F.col("n"), F.col("Sig2Birth"), fs)).where(F.col("n") >= n)
     w = s.withColumn("start", F.explode(F.sequence(F.lit(0), F.col("n") - n, F.lit(step))))
     w = w.withColumns({c: F.slice(c, F.col("start") + 1, n) for c in ("fhr", "uc")})
-    inf = float("inf")
-    w = w.where((invalid_pct(F.col("fhr"), *kernels.FHR_RANGE, True) <= most_pct) & (invalid_pct(F.col("uc"), -inf, inf, False) <= most_pct))
+    w = w.where((invalid_pct(F.col("fhr"), *kernels.FHR_RANGE, True) <= most_pct) & (invalid_pct(F.col("uc"), *kernels.UC_RANGE, True) <= most_pct))
     f = extract(w, ["record", "start", "birth_min"], fs=fs)
     end = (F.col("start") + n) / (60.0 * fs)
     return f.select(
@@ -65,6 +71,18 @@ def window_features(signals: DataFrame, clinical: DataFrame | None = None, fs: i
     )
 
 
+def pair_kernel(df: DataFrame, keys: list[str], a: str, b: str, f, name: str) -> DataFrame:
+    """One kernel on two array columns: keys and its result, an array of doubles."""
+    schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], f"`{name}` array<double>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [list(map(float, f(_floats(x), _floats(y)))) for x, y in zip(*batch.columns[len(keys) :], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(got, pa.list_(pa.float64()))], [*keys, name])
+
+    return df.select(*keys, F.col(a).cast("array<double>"), F.col(b).cast("array<double>")).mapInArrow(run, schema)
+
+
 def array_kernel(df: DataFrame, keys: list[str], column: str, f, name: str, kind: str = "double") -> DataFrame:
     """One kernel on an array column: keys and its result (double or array<double>)."""
     schema = ", ".join([*[f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys], f"`{name}` {kind}"])

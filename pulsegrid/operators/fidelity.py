@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
+from .tables import safe_corr
 
 # Fixed values: (name, good, fair) limits of the verdicts; distances are good below, correlations above.
-LIMITS = (("ks", 0.05, 0.10), ("wasserstein", 1.0, 3.0), ("acf_r", 0.98, 0.90), ("psd_r", 0.95, 0.85))
+LIMITS = (("ks", 0.05, 0.10), ("wasserstein", 1.0, 3.0), ("acf_r", 0.98, 0.90), ("psd_r", 0.95, 0.85), ("xcorr_r", 0.90, 0.90))
 
 
 def _steps(df: DataFrame, x: str, side: Column) -> DataFrame:
@@ -35,13 +36,19 @@ def wasserstein(df: DataFrame, x: str, side: Column) -> DataFrame:
     return s.agg(F.sum(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("v"))).alias("wasserstein"))
 
 
+def distances(df: DataFrame, x: str, side: Column) -> DataFrame:
+    """Kolmogorov-Smirnov statistic and Wasserstein-1 as one row, from one pass over the distribution functions."""
+    gap = F.abs(F.col("f") - F.col("g"))
+    return _steps(df, x, side).agg(F.max(gap).alias("ks"), F.sum(F.when(F.col("next").isNotNull(), gap * (F.col("next") - F.col("v")))).alias("wasserstein"))
+
+
 def mean_curve(curves: DataFrame, axis: str, value: str) -> DataFrame:
     return curves.groupBy(axis).agg(F.avg(value).alias(value))
 
 
 def curve_correlation(a: DataFrame, b: DataFrame, axis: str, value: str) -> DataFrame:
-    """Pearson correlation of two curves on their common axis."""
-    return a.select(axis, F.col(value).alias("__a")).join(b.select(axis, F.col(value).alias("__b")), axis).agg(F.corr("__a", "__b").alias("r"))
+    """Pearson correlation of two curves on their common axis; NULL if one is flat."""
+    return a.select(axis, F.col(value).alias("__a")).join(b.select(axis, F.col(value).alias("__b")), axis).agg(safe_corr(F.col("__a"), F.col("__b")).alias("r"))
 
 
 def curve_bias(a: DataFrame, b: DataFrame, axis: str, value: str, points: list[int]) -> DataFrame:
@@ -58,5 +65,5 @@ def verdict(name: str, value: Column) -> Column:
 
 
 def summary(measures: DataFrame) -> DataFrame:
-    """measures (strategy, ks, wasserstein, acf_r, psd_r) with a verdict each."""
-    return measures.withColumns({f"{n}_verdict": verdict(n, F.col(n)) for n, _, _ in LIMITS})
+    """measures (strategy, and some of ks, wasserstein, acf_r, psd_r, xcorr_r) with a verdict each; that of cross-correlation knows no fair."""
+    return measures.withColumns({f"{n}_verdict": verdict(n, F.col(n)) for n, _, _ in LIMITS if n in measures.columns})

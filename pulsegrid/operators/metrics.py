@@ -6,7 +6,7 @@ out of the curves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
@@ -40,12 +40,12 @@ def brier(df: DataFrame, score: str, label: str, by: list[str] | None = None) ->
 
 
 def confusion(df: DataFrame, alert: Column, label: str, by: list[str] | None = None) -> DataFrame:
-    """Counts and rates; a rate without cases is 0, the number needed to alert is infinite without true positives."""
+    """Counts and rates. Sensitivity and specificity without cases are NULL, other rates 0; the number needed to alert is infinite without true positives."""
     y = F.col(label) == 1
     g = df.groupBy(*(by or [])).agg(F.count_if(alert & y).alias("tp"), F.count_if(alert & ~y).alias("fp"), F.count_if(~alert & y).alias("fn"), F.count_if(~alert & ~y).alias("tn"))
     rate = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     tp, fp, fn, tn = (F.col(x) for x in ("tp", "fp", "fn", "tn"))
-    g = g.withColumns({"sensitivity": rate(tp, tp + fn), "specificity": rate(tn, tn + fp), "ppv": rate(tp, tp + fp), "accuracy": rate(tp + tn, tp + fp + fn + tn)})
+    g = g.withColumns({"sensitivity": F.try_divide(tp.cast("double"), tp + fn), "specificity": F.try_divide(tn.cast("double"), tn + fp), "ppv": rate(tp, tp + fp), "accuracy": rate(tp + tn, tp + fp + fn + tn)})
     return g.withColumns({"f1": rate(2 * tp, 2 * tp + fp + fn), "nna": F.when(tp > 0, (tp + fp) / tp).otherwise(float("inf"))})
 
 
@@ -74,14 +74,27 @@ def cv_auroc(df: DataFrame, features: list[str], label: str, fold: str) -> DataF
     """Mean fold AUROC of each feature alone, and folds that count: the rank AUC of the feature, turned round if on the training folds positives have the lower mean.
 
     A one-feature logistic score is monotone in its feature, so nothing needs to be fitted. Missing values take
-    the training folds' exact median. All features go through one pass per step, unpivoted.
+    the training folds' exact median. Training folds are all but one: their counts and sums are those of all folds
+    less the one's, so rows are unpivoted once and never multiplied by folds. There are a handful of folds.
     """
-    long = df.select(fold, label, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("v")).select(F.col(fold).alias("fold"), F.col(label).alias("y"), "v.*")
-    folds = df.select(F.col(fold).alias("test_fold")).distinct()
-    # each row is training for all folds but its own; there are a handful of folds
-    train = long.join(F.broadcast(folds), F.col("fold") != F.col("test_fold"))
-    med = train.groupBy("feature", "test_fold").agg(F.median("x").alias("m"))
-    filled = train.join(med, ["feature", "test_fold"]).withColumn("x", F.coalesce("x", "m"))
-    sign = filled.groupBy("feature", "test_fold").agg((F.avg(F.when(F.col("y") == 1, F.col("x"))) - F.avg(F.when(F.col("y") == 0, F.col("x")))).alias("d"), F.first("m").alias("m"))
-    test = long.withColumnRenamed("fold", "test_fold").join(sign, ["feature", "test_fold"]).withColumn("s", F.coalesce("x", "m") * F.when(F.col("d") < 0, -1.0).otherwise(1.0))
-    return auroc(test.where("s IS NOT NULL"), "s", "y", ["feature", "test_fold"]).groupBy("feature").agg(F.avg("auroc").alias("auroc_cv"), F.count("auroc").alias("folds"))
+    folds = sorted(r[0] for r in df.select(fold).distinct().collect())
+    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features]))
+    long = df.select(F.col(fold).alias("fold"), F.col(label).alias("y"), pairs.alias("v")).select("fold", "y", "v.*")
+    valid = long.where(F.col("x").isNotNull()).select("feature", "x", *[(F.col("fold") == k).cast("long").alias(f"c{i}") for i, k in enumerate(folds)])
+    names = [f"c{i}" for i in range(len(folds))]
+    runs = running_sums(valid, valid.groupBy("feature", "x").agg(*[F.sum(c).alias(c) for c in names]), "x", names, ["feature"])
+    less = lambda i, kind: sum((F.col(f"{c}_{kind}") for j, c in enumerate(names) if j != i), F.lit(0))
+    at = lambda i, place: F.min(F.when(less(i, "run") >= place, F.col("x")))
+    middle = [((at(i, F.floor((less(i, "all") + 1) / 2)) + at(i, F.floor(less(i, "all") / 2) + 1)) / 2).alias(f"m{i}") for i in range(len(folds))]
+    med = runs.groupBy("feature").agg(*middle)
+    med = med.select("feature", F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"m{i}").alias("m")) for i, k in enumerate(folds)])).alias("v")).select("feature", "v.*")
+    # of each class: sum and number of values, and of missing ones, over the folds that train
+    side = lambda y: F.col("y") == y
+    sums = long.groupBy("feature", "fold").agg(*[e.alias(f"{n}{y}") for y in (0, 1) for n, e in (("s", F.sum(F.when(side(y), F.col("x")))), ("v", F.count(F.when(side(y), F.col("x")))), ("a", F.count_if(side(y))))])
+    every = Window.partitionBy("feature")
+    rest = lambda c: F.coalesce(F.sum(c).over(every), F.lit(0)) - F.coalesce(F.col(c), F.lit(0))
+    sign = sums.select("feature", "fold", *[rest(f"{n}{y}").alias(f"{n}{y}") for y in (0, 1) for n in "sva"]).join(med, ["feature", "fold"], "left")
+    mean = lambda y: F.try_divide(F.col(f"s{y}") + F.when(F.col(f"a{y}") > F.col(f"v{y}"), (F.col(f"a{y}") - F.col(f"v{y}")) * F.col("m")).otherwise(0.0), F.col(f"a{y}"))
+    sign = sign.select("feature", "fold", "m", F.when(mean(1) < mean(0), -1.0).otherwise(1.0).alias("way"))
+    test = long.join(sign, ["feature", "fold"]).withColumn("s", F.coalesce("x", "m") * F.col("way"))
+    return auroc(test.where("s IS NOT NULL"), "s", "y", ["feature", "fold"]).groupBy("feature").agg(F.avg("auroc").alias("auroc_cv"), F.count("auroc").alias("folds"))

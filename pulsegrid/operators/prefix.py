@@ -21,15 +21,19 @@ def quantile_bounds(df: DataFrame, x: str, parts: int) -> list[float]:
 
 
 def bucket(x: Column, bounds: list) -> Column:
-    """The number of bounds that are at most x, by halving."""
+    """The number of bounds that are at most x: by halving over a constant array, whose size the plan doesn't grow with."""
+    if not bounds:
+        return F.lit(0)
+    kind = "double" if any(isinstance(b, float) for b in bounds) else "bigint"
+    table = F.split(F.lit(",".join(map(repr, bounds))), ",").cast(f"array<{kind}>")
+    state = lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x >= bounds[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
+    def halve(s: Column, _: Column) -> Column:
+        mid = F.shiftright(s["lo"] + s["hi"], 1)
+        return F.when((s["lo"] < s["hi"]) & (x >= F.get(table, mid)), state(mid + 1, s["hi"])).otherwise(state(s["lo"], mid))
 
-    return between(0, len(bounds))
+    steps = F.sequence(F.lit(1), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, state(F.lit(0), F.lit(len(bounds))), halve)["lo"]
 
 
 def running_sums(rows: DataFrame, values: DataFrame, x: str, sums: list[str], by: list[str], descending: bool = False) -> DataFrame:
@@ -58,6 +62,18 @@ def running_sums(rows: DataFrame, values: DataFrame, x: str, sums: list[str], by
     return d.drop("__bucket", "__next", *[f"__before_{s}" for s in sums])
 
 
+def exact_percentiles(df: DataFrame, x: str, shares: list[float], by: list[str]) -> DataFrame:
+    """Per group the exact percentiles of x, interpolated, as an array q: what stands at a place follows from running counts of distinct values, so no group is one task. Groups without values have no row."""
+    rows = df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("__v"), F.lit(1).cast("long").alias("__one"))
+    s = running_sums(rows, rows.groupBy(*by, "__v").agg(F.sum("__one").alias("__one")), "__v", ["__one"], by)
+    at = lambda i: F.min(F.when(F.col("__one_run") > i, F.col("__v")))
+    place = lambda p: (F.col("__one_all") - 1) * F.lit(float(p))
+    ends = [e.alias(f"__{side}{k}") for k, p in enumerate(shares) for side, e in (("lo", at(F.floor(place(p)))), ("hi", at(F.ceil(place(p)))))]
+    g = s.groupBy(*by).agg(F.max("__one_all").alias("__one_all"), *ends)
+    value = lambda k, p: F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * (place(p) - F.floor(place(p)))
+    return g.select(*by, F.array(*[value(k, p) for k, p in enumerate(shares)]).alias("q"))
+
+
 def hash_ranks(df: DataFrame, unit: Column, by: list[str], order: list) -> DataFrame:
     """df with __rank, the place by `unit` (even in [0, 1)) and then `order` within `by`, and __size, the group's rows."""
     d = df.withColumn("__u", unit).withColumn("__bucket", F.floor(F.col("__u") * _parts(df)).cast("int"))

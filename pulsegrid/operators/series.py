@@ -14,6 +14,11 @@ def ordered(key: str, at: str = "i") -> WindowSpec:
     return Window.partitionBy(key).orderBy(at)
 
 
+def backwards(key: str, at: str = "i") -> WindowSpec:
+    """From the last row on. A frame up to a record's end is one that grows from there: read forwards, Spark would go through it anew at each row."""
+    return Window.partitionBy(key).orderBy(F.col(at).desc())
+
+
 def clean_range(x: Column, low: float, high: float, zero_missing: bool = True) -> Column:
     """NULL outside [low, high], and for zero if that means missing."""
     good = x.between(low, high)
@@ -47,10 +52,9 @@ def interpolate(df: DataFrame, x: str, key: str, out: str, at: str = "i", max_ga
     max_gap None: every gap, with the nearest valid sample at the ends. Otherwise only gaps between two valid
     samples of at most max_gap samples. A record without valid samples gets on_all_missing.
     """
-    w = ordered(key, at)
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+    back, ahead = (w.rowsBetween(Window.unboundedPreceding, 0) for w in (ordered(key, at), backwards(key, at)))
     pos = F.when(F.col(x).isNotNull(), F.col(at))
-    df = df.withColumns({"__p": F.last(x, True).over(back), "__pi": F.last(pos, True).over(back), "__n": F.first(x, True).over(ahead), "__ni": F.first(pos, True).over(ahead)})
+    df = df.withColumns({"__p": F.last(x, True).over(back), "__pi": F.last(pos, True).over(back), "__n": F.last(x, True).over(ahead), "__ni": F.last(pos, True).over(ahead)})
     line = F.col("__p") + (F.col("__n") - F.col("__p")) * (F.col(at) - F.col("__pi")) / (F.col("__ni") - F.col("__pi"))
     between = F.col("__p").isNotNull() & F.col("__n").isNotNull()
     filled = F.when(F.col(x).isNotNull(), F.col(x))
@@ -115,8 +119,8 @@ def nearest(left: DataFrame, right: DataFrame, key: str, at: str, other: str, ou
     """
     cols = left.columns
     both = left.withColumns({"__k": F.col(key), "__at": F.col(at), "__o": F.lit(None).cast(right.schema[other].dataType)}).unionByName(right.select(F.col(key).alias("__k"), F.col(other).alias("__at"), F.col(other).alias("__o")), allowMissingColumns=True)
-    w = Window.partitionBy("__k").orderBy("__at")
-    near = both.withColumns({"__b": F.last("__o", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), "__a": F.first("__o", True).over(w.rangeBetween(0, Window.unboundedFollowing))})
+    up, down = (w.rangeBetween(Window.unboundedPreceding, 0) for w in (ordered("__k", "__at"), backwards("__k", "__at")))
+    near = both.withColumns({"__b": F.last("__o", True).over(up), "__a": F.last("__o", True).over(down)})
     pick = F.when(F.col("__a").isNull() | (F.col("__at") - F.col("__b") <= F.col("__a") - F.col("__at")), F.col("__b")).otherwise(F.col("__a"))
     return near.where(F.col("__o").isNull()).select(*cols, pick.alias(out))
 
@@ -140,11 +144,12 @@ def block_stat(df: DataFrame, x: str, key: str, block: int, at: str = "i") -> Da
     return g.where(F.col("__n") == block).drop("__n")
 
 
-def autocorrelation(df: DataFrame, x: str, key: str, max_lag: int, at: str = "i", drop_missing: bool = False) -> DataFrame:
-    """Autocorrelation per record and lag 0..max_lag, of the series less its mean over its sum of squares.
+def autocorrelation(df: DataFrame, x: str, key: str, max_lag: int, at: str = "i", drop_missing: bool = False, long_enough: bool = False) -> DataFrame:
+    """Autocorrelation per record and lag 0..max_lag: the mean product of the series less its mean at each lag, over that at lag 0.
 
-    With drop_missing the valid samples close ranks first; without, a missing sample drops its products. The
-    lags are windows over one sort, not joins.
+    With drop_missing the valid samples close ranks first; without, a missing sample drops its products. Lags that
+    the record doesn't reach are 0, and so are all of a constant one. With long_enough, records of fewer than
+    max_lag + 1 samples are left out. The lags are windows over one sort, not joins.
     """
     s = df.select(key, at, F.col(x).alias("__x"))
     if drop_missing:
@@ -152,5 +157,18 @@ def autocorrelation(df: DataFrame, x: str, key: str, max_lag: int, at: str = "i"
     s = s.withColumn("__c", F.col("__x") - F.avg("__x").over(Window.partitionBy(key)))
     w = ordered(key, at)
     s = s.withColumn("__l", F.array(*[(F.col("__c") * (F.lag("__c", k).over(w) if k else F.col("__c"))) for k in range(max_lag + 1)]))
-    total = s.groupBy(key).agg(F.array(*[F.sum(F.col("__l")[k]) for k in range(max_lag + 1)]).alias("__s"))
-    return total.select(key, F.posexplode(F.transform("__s", lambda v: F.try_divide(v, F.col("__s")[0]))).alias("lag", "acf"))
+    g = s.groupBy(key).agg(F.count("*").alias("__rows"), F.array(*[F.avg(F.col("__l")[k]) for k in range(max_lag + 1)]).alias("__s"))
+    if long_enough:
+        g = g.where(F.col("__rows") > max_lag)
+    first = F.col("__s")[0]
+    share = F.transform("__s", lambda v, k: F.when(k >= F.col("__rows"), 0.0).when(first == 0, 0.0).otherwise(v / first))
+    return g.select(key, F.posexplode(share).alias("lag", "acf"))
+
+
+def first_small_lag(df: DataFrame, x: str, key: str, threshold: float, low: int, high: int, at: str = "i") -> DataFrame:
+    """Block length per record from its samples in long form, for short blocks: see bootstrap.optimal_block, which takes arrays."""
+    valid = df.where(F.col(x).isNotNull())
+    n = df.groupBy(key).agg(F.count(x).alias("__n"))
+    small = autocorrelation(valid, x, key, high, at, drop_missing=True).where((F.col("lag") > 0) & (F.abs("acf") < threshold)).groupBy(key).agg(F.min("lag").alias("__lag"))
+    held = F.greatest(F.least(2 * F.col("__lag"), F.lit(high)), F.lit(low))
+    return n.join(small, key, "left").select(key, F.when(F.col("__n") < 2 * low, F.lit(low)).otherwise(F.coalesce(held, F.lit(high))).cast("int").alias("block"))

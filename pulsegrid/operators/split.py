@@ -5,16 +5,26 @@ Ranks within a stratum are prefix sums over hash ranges: a stratum of most rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clinical import hash_unit
-from .prefix import hash_ranks
+from .prefix import exact_percentiles, hash_ranks
 
-def stratified_split(members: DataFrame, key: str, stratum: str, share: float = 0.7, seed: int = 42) -> DataFrame:
-    """Each member with its split, train or test, and the same share of every stratum."""
+
+def stratified_split(members: DataFrame, key: str, stratum: str, test: float = 0.3, seed: int = 42) -> DataFrame:
+    """Each member with its split, train or test: ceil(test * n) members test, and strata share the others by their sizes, whole parts first and then by largest remainder (ties by stratum).
+
+    Quotas come from one row per stratum, of which there are few.
+    """
     r = hash_ranks(members, hash_unit(F.lit(seed), F.col(key)), [stratum], [key])
-    return r.select(*members.columns, F.when(F.col("__rank") <= F.round(F.col("__size") * share), "train").otherwise("test").alias("split"))
+    every = Window.partitionBy(F.lit(0))
+    g = members.groupBy(stratum).agg(F.count("*").alias("__n")).withColumn("__all", F.sum("__n").over(every))
+    g = g.withColumn("__train", F.col("__all") - F.ceil(F.lit(test) * F.col("__all")))
+    g = g.withColumns({"__part": F.expr("__n * __train div __all"), "__rest": F.expr("__n * __train % __all")})
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("__rest").desc(), stratum))
+    g = g.withColumn("__quota", F.col("__part") + (place <= F.col("__train") - F.sum("__part").over(every)).cast("int"))
+    return r.join(g.select(stratum, "__quota"), stratum).select(*members.columns, F.when(F.col("__rank") <= F.col("__quota"), "train").otherwise("test").alias("split"))
 
 
 def group_folds(members: DataFrame, key: str, stratum: str, k: int, seed: int = 42) -> DataFrame:
@@ -45,8 +55,10 @@ def leaks(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def medians(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row of exact medians, in one pass."""
-    return df.agg(*[F.median(c).alias(c) for c in columns])
+    """One row of exact medians, all by one pass of prefix sums; NULL for a column without values."""
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("x")) for c in columns])).alias("v")).select("v.*")
+    found = exact_percentiles(long, "x", [0.5], ["c"])
+    return found.agg(*[F.max(F.when(F.col("c") == c, F.col("q")[0])).alias(c) for c in columns])
 
 
 def fit_scaler(train: DataFrame, columns: list[str]) -> DataFrame:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .prefix import exact_percentiles
+
 
 def select_existing(df: DataFrame, columns: list[str]) -> DataFrame:
     """Those of the columns that there are, in the order given."""
@@ -119,9 +121,15 @@ def score_histogram(df: DataFrame, columns: list[str], top: int = 10) -> DataFra
 
 
 def describe(df: DataFrame, x: str, keys: list[str] | None = None, percentiles: tuple = (0.25, 0.5, 0.75)) -> DataFrame:
-    """Count, mean, sample deviation, least, exact percentiles, most."""
-    g = df.groupBy(*keys) if keys else df.groupBy()
-    return g.agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), *[F.percentile(x, F.lit(p)).alias(f"p{round(100 * p):02d}") for p in percentiles], F.max(x).alias("max"))
+    """Count, mean, sample deviation, least, exact percentiles, most. Groups may be as large as the table."""
+    keys = keys or []
+    g = df.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"))
+    q = exact_percentiles(df, x, list(percentiles), keys)
+    # a row each without keys
+    q = q.select(*[F.col(k).alias(f"__{k}") for k in keys], "q")
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    both = g.join(q, reduce(lambda a, b: a & b, same), "left") if keys else g.join(F.broadcast(q), F.lit(True), "left")
+    return both.select(*keys, "n", "mean", "std", "min", *[F.col("q")[i].alias(f"p{round(100 * p):02d}") for i, p in enumerate(percentiles)], "max")
 
 
 def missing_counts(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -151,8 +159,12 @@ def pair_correlation(df: DataFrame, x: str, y: str, key: str, more_than: int = 1
     """Pearson correlation over rows where both are there; NULL unless there are more than so many and both vary."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
     a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
-    ok = (F.count(a) > more_than) & (F.stddev_pop(a) > 0) & (F.stddev_pop(b) > 0)
-    return df.groupBy(key).agg(F.when(ok, F.corr(a, b)).alias("corr"))
+    return df.groupBy(key).agg(F.when(F.count(a) > more_than, safe_corr(a, b)).alias("corr"))
+
+
+def safe_corr(a: Column, b: Column) -> Column:
+    """Pearson correlation; NULL where one side is constant, which is an error to the built-in one."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(F.when(b.isNotNull(), a)) * F.stddev_pop(F.when(a.isNotNull(), b)))
 
 
 def concordance(pairs: DataFrame, a: str, b: str, limits: tuple = (5, 10)) -> DataFrame:
@@ -181,15 +193,48 @@ def top_n(df: DataFrame, n: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(n)
 
 
-def exemplar_positive(patients: DataFrame, near: float = 50.0) -> DataFrame:
-    """The true positive whose warning time is nearest to `near` minutes, tie by record; else any alerted positive; else any positive."""
-    tier = F.when(F.col("ewt").isNotNull(), 0).when(F.col("any_alert") == 1, 1).otherwise(2)
-    return patients.where("target = 1").orderBy(tier, F.abs(F.col("ewt") - near).asc_nulls_last(), "record").limit(1)
+def alert_profiles(scored: DataFrame, key: str, order: str, alert: str, target: str, probability: str, to_birth: str) -> DataFrame:
+    """What exemplars are chosen by, a row per patient: target, alerts, peak, when the first alert and the last run of alerts begin, and which window these are, counted from 0.
+
+    persistent_at is NULL unless the last window alerts. Windows are numbered along one sort; the running count of
+    quiet windows from the end tells the last run.
+    """
+    w = Window.partitionBy(key)
+    flag = F.coalesce(F.col(alert), F.lit(False))
+    d = scored.withColumns({"__i": F.row_number().over(w.orderBy(order)) - 1, "__quiet": F.sum((~flag).cast("int")).over(w.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0))})
+    place = F.struct(F.col("__i").alias("at"), F.col(to_birth).alias("ewt"))
+    last, first = F.min(F.when(F.col("__quiet") == 0, place)), F.min(F.when(flag, place))
+    top = F.max(F.struct(probability, (-F.col("__i")).alias("neg"), F.col(to_birth).alias("ewt")))
+    g = d.groupBy(key).agg(F.max(target).alias("target"), F.count_if(flag).alias("alerts"), F.max(probability).alias("peak"), last.alias("l"), first.alias("f"), top.alias("t"))
+    return g.select(key, "target", "alerts", "peak", F.col("l.at").alias("persistent_at"), F.col("l.ewt").alias("ewt"), F.col("f.at").alias("first_at"), F.col("f.ewt").alias("first_ewt"), (-F.col("t.neg")).alias("peak_at"), F.col("t.ewt").alias("peak_ewt"))
+
+
+def exemplar_positive(profiles: DataFrame, near: float = 50.0) -> DataFrame:
+    """Of alert_profiles the positive to show: record, alert_at (the window its curve is marked at), early_warning_min.
+
+    First those whose last run of alerts begins after a quiet window, the one with a warning time nearest to `near`
+    minutes, tie by record. Else, by record, one that alerts throughout or whose first alert comes after a quiet
+    window and doesn't last. Else the one of the highest probability, marked at it.
+    """
+    seen, lasting = F.col("persistent_at") > 0, F.col("persistent_at").isNotNull()
+    other = lasting | (F.col("first_at") > 0)
+    tier = F.when(seen, 0).when(other, 1).otherwise(2)
+    at = F.when(lasting, F.col("persistent_at")).when(F.col("first_at") > 0, F.col("first_at")).otherwise(F.col("peak_at"))
+    ewt = F.when(lasting, F.col("ewt")).when(F.col("first_at") > 0, F.col("first_ewt")).otherwise(F.col("peak_ewt"))
+    order = [tier, F.when(seen, F.abs(F.col("ewt") - near)), F.when(tier == 2, -F.col("peak")).asc_nulls_last(), F.col("record")]
+    return profiles.where("target = 1").orderBy(*order).limit(1).select("record", at.alias("alert_at"), ewt.alias("early_warning_min"))
+
+
+def exemplar_negative(profiles: DataFrame) -> DataFrame:
+    """Of alert_profiles the negative to show: one without alerts of the highest peak, else the one of fewest alerts, ties by record: record, alerts, first_at."""
+    quiet = F.col("alerts") == 0
+    order = [F.col("alerts"), F.when(quiet, -F.col("peak")).asc_nulls_last(), F.col("record")]
+    return profiles.where("target = 0").orderBy(*order).limit(1).select("record", "alerts", F.when(~quiet, F.col("first_at")).alias("first_at"))
 
 
-def exemplar_negative(patients: DataFrame, alerts: str, peak: str) -> DataFrame:
-    """The negative without alerts of the highest peak; else the one of fewest alerts; ties by record."""
-    return patients.where("target = 0").orderBy(F.col(alerts), F.col(peak).desc_nulls_last(), "record").limit(1)
+def print_table(df: DataFrame, rows: int = 50) -> None:
+    """A table on the console, its values whole."""
+    df.show(rows, truncate=False)
 
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], name: str = "metric", value: str = "value") -> DataFrame:
@@ -216,5 +261,6 @@ def histogram(df: DataFrame, x: str, lo: float, width: float, bins: int) -> Data
 def quantile_pairs(df: DataFrame, a: str, b: str, steps: int) -> DataFrame:
     """Exact quantiles of two columns side by side: what a Q-Q plot needs."""
     qs = [i / steps for i in range(steps + 1)]
-    one = df.agg(*[F.percentile(c, F.array(*map(F.lit, qs))).alias(n) for c, n in ((a, "qa"), (b, "qb"))])
-    return one.select(F.posexplode(F.arrays_zip("qa", "qb")).alias("k", "p")).select((F.col("k") / steps).alias("q"), F.col("p.qa").alias("a"), F.col("p.qb").alias("b"))
+    long = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("c"), F.col(c).cast("double").alias("x")) for c, n in ((a, "a"), (b, "b"))])).alias("v")).select("v.*")
+    found = exact_percentiles(long, "x", qs, ["c"]).select("c", F.posexplode("q").alias("k", "x"))
+    return found.groupBy((F.col("k") / steps).alias("q")).agg(*[F.max(F.when(F.col("c") == n, F.col("x"))).alias(n) for n in ("a", "b")])

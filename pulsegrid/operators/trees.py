@@ -122,8 +122,8 @@ def nested_cv(spec: ModelSpec, df: DataFrame, nested: DataFrame, features: list[
     inner = sorted(r[0] for r in nested.select("inner").distinct().collect())
     rows = []
     for k in outer:
-        train = df.join(F.broadcast(nested.where(F.col("test_of") == k).select(key, "inner")), key)
-        test = df.join(F.broadcast(nested.where((F.col("test_of") == k)).select(key).distinct()), key, "left_anti")
+        train = df.join(nested.where(F.col("test_of") == k).select(key, "inner"), key)
+        test = df.join(nested.where(F.col("test_of") == k).select(key).distinct(), key, "left_anti")
         params = tune(spec, train, features, label, "inner", inner, draws, extra=extra)
         threshold = calibrate(out_of_fold(spec, params, train, features, label, "inner", inner, extra), label)
         whole = train if extra is None else union_all([train, synthetic_of_training(extra, train, "source_record", key)])

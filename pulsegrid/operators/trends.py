@@ -31,15 +31,15 @@ def rolling_slope(df: DataFrame, y: str, t: str, keys: list[str], out: str, rows
     return df.withColumn(out, F.when(even & enough, F.regr_slope(y, t).over(frame))).drop("__gap")
 
 
-def add_trends(df: DataFrame, keys: list[str], order: str, deltas: tuple = (), streaks: tuple = (), slopes: tuple = ()) -> DataFrame:
-    """delta_*, *_falling_streak and slope_* columns, with 0 where they can't be told. The windows share one exchange and sort."""
+def add_trends(df: DataFrame, keys: list[str], order: str, deltas: dict[str, str] | None = None, streaks: dict[str, str] | None = None, slopes: dict[str, str] | None = None) -> DataFrame:
+    """Trend columns by name, each of one column: differences over two windows, falling streaks and slopes, with 0 where they can't be told. The windows share one exchange and sort."""
     w = Window.partitionBy(*keys).orderBy(order)
-    for x in deltas:
-        df = df.withColumn(f"delta_{x}", F.coalesce(lag_delta(x, w), F.lit(0.0)))
-    for x in streaks:
-        df = falling_streak(df, x, keys, order, f"{x}_falling_streak")
-    for x in slopes:
-        df = rolling_slope(df, x, order, keys, f"slope_{x}_30min").na.fill(0.0, [f"slope_{x}_30min"])
+    for name, x in (deltas or {}).items():
+        df = df.withColumn(name, F.coalesce(lag_delta(x, w), F.lit(0.0)))
+    for name, x in (streaks or {}).items():
+        df = falling_streak(df, x, keys, order, name)
+    for name, x in (slopes or {}).items():
+        df = rolling_slope(df, x, order, keys, name).na.fill(0.0, [name])
     return df
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,7 +16,7 @@ from ..operators import logit as L
 from ..operators import metrics as M
 from ..operators import series as S
 from ..operators import split as P
-from ..operators import trees
+from ..operators import tables, trees
 from ..operators import trends as T
 from .common import SERIES, arrays, query, series, table
 
@@ -112,18 +111,37 @@ def coarse_grain(spark, sf_dir):
     return S.block_stat(series(spark, sf_dir), "x", "user_id", 4)
 
 
-@query("acf", SERIES + """, c AS (SELECT user_id, i, x - avg(x) OVER (PARTITION BY user_id) AS c FROM s), k AS (SELECT CAST(unnest(range(0, 9)) AS INT) AS lag),
- z AS (SELECT user_id, sum(c * c) AS z FROM c GROUP BY user_id)
- SELECT a.user_id, k.lag, sum(a.c * b.c) / any_value(z.z) AS acf FROM c a JOIN k ON true JOIN c b ON b.user_id = a.user_id AND b.i = a.i - k.lag JOIN z ON z.user_id = a.user_id GROUP BY 1, 2""")
+_LAGS = """, c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS i, x - avg(x) OVER (PARTITION BY user_id) AS c, count(*) OVER (PARTITION BY user_id) AS n FROM s{where}),
+ k AS (SELECT CAST(unnest(range(0, {lags} + 1)) AS INT) AS lag),
+ m AS (SELECT a.user_id, k.lag, avg(a.c * b.c) AS m FROM c a JOIN k ON true JOIN c b ON b.user_id = a.user_id AND b.i = a.i - k.lag GROUP BY 1, 2),
+ a AS (SELECT u.user_id, k.lag, u.n, CASE WHEN k.lag >= u.n OR z.m = 0 THEN 0 ELSE m.m / z.m END AS acf
+  FROM (SELECT DISTINCT user_id, n FROM c) u JOIN k ON true LEFT JOIN m ON m.user_id = u.user_id AND m.lag = k.lag LEFT JOIN m z ON z.user_id = u.user_id AND z.lag = 0)"""
+
+
+@query("acf", SERIES + _LAGS.format(where="", lags=8) + " SELECT user_id, lag, acf FROM a")
 def acf(spark, sf_dir):
     return S.autocorrelation(series(spark, sf_dir), "x", "user_id", 8)
 
 
-@query("mean_acf", SERIES + """, v AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) AS i, x - avg(x) OVER (PARTITION BY user_id) AS c FROM s WHERE x IS NOT NULL), k AS (SELECT CAST(unnest(range(0, 9)) AS INT) AS lag),
- z AS (SELECT user_id, sum(c * c) AS z FROM v GROUP BY user_id), a AS (SELECT a.user_id, k.lag, sum(a.c * b.c) / any_value(z.z) AS acf FROM v a JOIN k ON true JOIN v b ON b.user_id = a.user_id AND b.i = a.i - k.lag JOIN z ON z.user_id = a.user_id GROUP BY 1, 2)
- SELECT lag, avg(acf) AS acf FROM a GROUP BY lag""")
+@query("mean_acf", SERIES + _LAGS.format(where=" WHERE x IS NOT NULL", lags=8) + " SELECT lag, avg(acf) AS acf FROM a WHERE n > 8 GROUP BY lag")
 def mean_acf(spark, sf_dir):
-    return D.mean_curve(S.autocorrelation(series(spark, sf_dir), "x", "user_id", 8, drop_missing=True), "lag", "acf")
+    return D.mean_curve(S.autocorrelation(series(spark, sf_dir), "x", "user_id", 8, drop_missing=True, long_enough=True), "lag", "acf")
+
+
+_BLOCK = """, b AS (SELECT user_id, min(lag) AS lag FROM a WHERE lag > 0 AND abs(acf) < 0.05 GROUP BY user_id)
+ SELECT a.user_id, CAST(CASE WHEN any_value(a.n) < 8 THEN 4 ELSE coalesce(greatest(least(2 * any_value(b.lag), 20), 4), 20) END AS INT) AS block FROM a LEFT JOIN b USING (user_id) GROUP BY a.user_id"""
+
+
+@query("optimal_block", SERIES + _LAGS.format(where=" WHERE x IS NOT NULL", lags=20) + _BLOCK)
+def optimal_block(spark, sf_dir):
+    """Block lengths by the kernel, which the SQL's sums over lags are held against."""
+    a = arrays(spark, sf_dir).where(F.exists("fhr", lambda v: v.isNotNull())).select(F.col("record").cast("bigint").alias("user_id"), "fhr")
+    return B.optimal_block(a, "fhr", "user_id", threshold=0.05, low=4, high=20)
+
+
+@query("optimal_block_by_lags", SERIES + _LAGS.format(where=" WHERE x IS NOT NULL", lags=20) + _BLOCK)
+def optimal_block_by_lags(spark, sf_dir):
+    return S.first_small_lag(series(spark, sf_dir), "x", "user_id", 0.05, 4, 20)
 
 
 # --- trends and alerts
@@ -173,11 +191,25 @@ def live_rollup(spark, sf_dir):
     return T.live_metrics(_patients(spark, sf_dir))
 
 
-@query("exemplars", _ROLL + " SELECT user_id AS record, target, any_alert, persistent_start, ewt FROM p WHERE target = 1 ORDER BY CASE WHEN ewt IS NOT NULL THEN 0 WHEN any_alert = 1 THEN 1 ELSE 2 END, abs(ewt - 50) NULLS LAST, user_id LIMIT 1")
+_PROFILE = SERIES + """, q AS (SELECT user_id AS record, i, value, CAST(user_id % 3 = 0 AS INT) AS target, 100.0::DOUBLE - i AS birth, value >= 60 AS alert, sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s),
+ p AS (SELECT record, max(target) AS target, count(*) FILTER (alert) AS alerts, max(value) AS peak, min(i) FILTER (quiet = 0) AS last_at, min(i) FILTER (alert) AS first_at, arg_min(i, (-value, i)) AS peak_at FROM q GROUP BY record)"""
+
+
+def _profiles(spark, sf_dir):
+    s = series(spark, sf_dir).select(F.col("user_id").alias("record"), "i", "value", (F.col("value") >= 60).alias("alert"), (F.col("user_id") % 3 == 0).cast("int").alias("target"), (F.lit(100.0) - F.col("i")).alias("birth"))
+    return tables.alert_profiles(s, "record", "i", "alert", "target", "value", "birth")
+
+
+@query("exemplars", _PROFILE + """, c AS (SELECT record, peak, CASE WHEN last_at > 0 THEN 0 WHEN last_at = 0 OR first_at > 0 THEN 1 ELSE 2 END AS tier,
+  CASE WHEN last_at IS NOT NULL THEN last_at WHEN first_at > 0 THEN first_at ELSE peak_at END AS pos FROM p WHERE target = 1)
+ SELECT record, pos AS alert_at, 100.0::DOUBLE - pos AS early_warning_min FROM c ORDER BY tier, CASE WHEN tier = 0 THEN abs(100 - pos - 50) END, CASE WHEN tier = 2 THEN -peak END, record LIMIT 1""")
 def exemplars(spark, sf_dir):
-    from ..operators.tables import exemplar_positive
+    return tables.exemplar_positive(_profiles(spark, sf_dir))
+
 
-    return exemplar_positive(_patients(spark, sf_dir).withColumnRenamed("user_id", "record"))
+@query("exemplar_negative", _PROFILE + " SELECT record, alerts, CASE WHEN alerts > 0 THEN first_at END AS first_at FROM p WHERE target = 0 ORDER BY alerts, CASE WHEN alerts = 0 THEN -peak END, record LIMIT 1")
+def exemplar_negative(spark, sf_dir):
+    return tables.exemplar_negative(_profiles(spark, sf_dir))
 
 
 # --- metrics: score is a document's scaled length, label its toxicity
@@ -208,7 +240,7 @@ def brier(spark, sf_dir):
 
 
 @query("confusion", _SCORED + """, k AS (SELECT count(*) FILTER (s >= 0.03 AND y = 1) AS tp, count(*) FILTER (s >= 0.03 AND y = 0) AS fp, count(*) FILTER (s < 0.03 AND y = 1) AS fn, count(*) FILTER (s < 0.03 AND y = 0) AS tn FROM d)
- SELECT *, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) AS sensitivity, coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0) AS specificity, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS ppv,
+ SELECT *, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / nullif(tn + fp, 0) AS specificity, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS ppv,
  coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0) AS accuracy, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0) AS f1, CASE WHEN tp > 0 THEN CAST(tp + fp AS DOUBLE) / tp ELSE 'Infinity'::DOUBLE END AS nna FROM k""")
 def confusion(spark, sf_dir):
     return M.confusion(_scored(spark, sf_dir), F.col("s") >= 0.03, "y")
@@ -289,19 +321,17 @@ def block_gather(spark, sf_dir):
     return a.select(F.col("record").cast("bigint").alias("user_id"), F.posexplode(B.gather(F.col("fhr"), ix)).alias("i", "x")).select("user_id", F.col("i").cast("bigint").alias("i"), "x")
 
 
-@query("optimal_block")
-def optimal_block(spark, sf_dir):
-    return B.optimal_block(series(spark, sf_dir), "x", "user_id", threshold=0.05, low=4, high=20)
-
-
 def _replicas(spark, sf_dir, strategy):
     a = arrays(spark, sf_dir).withColumn("block", F.lit(8))
     return B.replicates(a, 3, strategy)
 
 
-@query("bootstrap_replicates")
+@query("bootstrap_replicates", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, r, unnest(range(0, n)) AS i FROM n, (SELECT unnest(range(0, 3)) AS r)), d AS (SELECT *, i = 0 OR " + _H.format("'jump|42|' || user_id || '|' || r || '|' || i") + " < 1 / 8.0::DOUBLE AS jump, CAST(floor(" + _H.format("'start|42|' || user_id || '|' || r || '|' || i") + """ * n) AS BIGINT) AS st FROM p), b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY user_id, r ORDER BY i) AS at FROM d),
+ g AS (SELECT x.user_id, x.r, x.i, (y.st + x.i - x.at) % x.n AS src FROM b x JOIN d y ON y.user_id = x.user_id AND y.r = x.r AND y.i = x.at)
+ SELECT g.user_id || '_boot_' || g.r AS record, CAST(g.user_id AS VARCHAR) AS source_record, CAST(g.r AS INT) AS bootstrap_idx, true AS is_synthetic, CAST(g.i AS INT) AS i, s.x / 4 + 90 AS fhr, s.x / 10 AS uc FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.src""")
 def bootstrap_replicates(spark, sf_dir):
-    return _replicas(spark, sf_dir, "stationary_bootstrap").select("record", "source_record", "bootstrap_idx", "is_synthetic", "fhr", "uc")
+    r = _replicas(spark, sf_dir, "stationary_bootstrap")
+    return r.select("record", "source_record", "bootstrap_idx", "is_synthetic", F.posexplode(F.arrays_zip("fhr", "uc")).alias("i", "v")).select("record", "source_record", "bootstrap_idx", "is_synthetic", "i", "v.fhr", "v.uc")
 
 
 @query("jitter_warp")
@@ -309,25 +339,26 @@ def jitter_warp(spark, sf_dir):
     return _replicas(spark, sf_dir, "jitter_warp").select("record", "source_record", "bootstrap_idx", "fhr")
 
 
-@query("replica_convergence")
+_MOVED = SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, r, unnest(range(0, n)) AS i FROM n, (SELECT unnest(range(0, 3)) AS r)), g AS (SELECT user_id, r, CASE WHEN n <= 8 THEN i % n ELSE (CAST(floor(" + _H.format("'block|42|' || user_id || '|' || r || '|' || (i // 8)") + """ * greatest(n - 8, 1)) AS BIGINT) + i % 8) % n END AS src FROM p),
+ m AS (SELECT g.user_id, g.r, avg(s.x / 4 + 90) AS mean FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.src GROUP BY 1, 2)"""
+
+
+@query("replica_convergence", _MOVED + """, d AS (SELECT r, sqrt(greatest(sum(q) OVER w / sum(n) OVER w - (sum(t) OVER w / sum(n) OVER w) ^ 2, 0)) AS sd FROM (SELECT r, count(mean) AS n, sum(mean) AS t, sum(mean * mean) AS q FROM m GROUP BY r) WINDOW w AS (ORDER BY r)),
+ c AS (SELECT r, abs(sd - lag(sd) OVER (ORDER BY r)) AS change FROM d) SELECT CAST(coalesce(min(r + 1) FILTER (change < 0.5), 3) AS INT) AS multiplier FROM c""")
 def replica_convergence(spark, sf_dir):
     r = _replicas(spark, sf_dir, "moving_block")
-    mean = F.aggregate(F.filter("fhr", lambda v: v.isNotNull()), F.lit(0.0), lambda a, v: a + v) / F.size(F.filter("fhr", lambda v: v.isNotNull()))
-    return B.converged_multiplier(r.select("bootstrap_idx", mean.alias("mean")), 0.5, 3)
+    good = F.filter("fhr", lambda v: v.isNotNull())
+    mean = F.try_divide(F.aggregate(good, F.lit(0.0), lambda a, v: a + v), F.size(good))
+    return B.converged_multiplier(r.select("bootstrap_idx", mean.alias("mean")).where("mean IS NOT NULL"), 0.5, 3)
 
 
 @query("strategy_fidelity")
 def strategy_fidelity(spark, sf_dir):
-    """KS and Wasserstein of each strategy's replicates against the originals."""
+    """KS and Wasserstein of each strategy's replicates against the originals, with verdicts: one union of all samples per strategy, one pass each."""
     a = arrays(spark, sf_dir)
-    rows = []
-    for name in (*B.STRATEGIES, "jitter_warp"):
-        both = a.select(F.explode("fhr").alias("v")).withColumn("o", F.lit(True)).unionByName(_replicas(spark, sf_dir, name).select(F.explode("fhr").alias("v")).withColumn("o", F.lit(False)))
-        rows.append(D.ks(both, "v", F.col("o")).crossJoin(F.broadcast(D.wasserstein(both, "v", F.col("o")))).withColumn("strategy", F.lit(name)))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    own = a.select(F.explode("fhr").alias("v"), F.lit(True).alias("o"))
+    rows = [D.distances(own.unionByName(_replicas(spark, sf_dir, name).select(F.explode("fhr").alias("v"), F.lit(False).alias("o"))), "v", F.col("o")).withColumn("strategy", F.lit(name)) for name in (*B.STRATEGIES, "jitter_warp")]
+    return D.summary(tables.union_all(rows))
 
 
 # --- splits and preparation
@@ -337,7 +368,11 @@ def _h(seed: str, key: str) -> str:
     return _H.format(f"'{seed}|' || {key}")
 
 
-@query("strat_split", "WITH h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, c_mktsegment, CASE WHEN r <= round(n * 0.7::DOUBLE) THEN 'train' ELSE 'test' END AS split FROM h")
+_QUOTA = """WITH q AS (SELECT *, n * tr // total AS part, n * tr % total AS rest FROM (SELECT c_mktsegment, count(*) AS n, sum(count(*)) OVER () AS total, sum(count(*)) OVER () - CAST(ceil(0.3::DOUBLE * sum(count(*)) OVER ()) AS BIGINT) AS tr FROM customer GROUP BY 1)),
+ z AS (SELECT c_mktsegment, part + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_mktsegment) <= tr - sum(part) OVER () THEN 1 ELSE 0 END AS quota FROM q), """
+
+
+@query("strat_split", _QUOTA + "h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, h.c_mktsegment, CASE WHEN r <= quota THEN 'train' ELSE 'test' END AS split FROM h JOIN z USING (c_mktsegment)")
 def strat_split(spark, sf_dir):
     return P.stratified_split(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment")
 
@@ -358,17 +393,29 @@ def median_impute_standardize(spark, sf_dir):
     return P.standardize(g, P.fit_scaler(g, ["x"]), ["x"])
 
 
-def _matrix(spark, sf_dir):
-    """Customers with three predictors and a label from their orders."""
+def _matrix(spark, sf_dir, fill=150000.0):
+    """Customers with three predictors and a label from their orders; `fill` is the price of those without."""
     o = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.avg("o_totalprice").alias("price"))
     j = table(spark, sf_dir, "customer").join(o, "c_custkey", "left")
     y = (C.hash_unit(F.lit("y"), F.col("c_custkey")) < 0.25 + F.when(F.col("c_acctbal") > 5000, 0.4).otherwise(0.0)).cast("int")
-    return j.select("c_custkey", (F.col("c_acctbal") / 1000).alias("bal"), F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n"), (F.coalesce("price", F.lit(150000.0)) / 100000).alias("price"), "c_nationkey", y.alias("y"))
+    return j.select("c_custkey", (F.col("c_acctbal") / 1000).alias("bal"), F.coalesce(F.col("n").cast("double"), F.lit(0.0)).alias("n"), (F.coalesce(F.col("price"), F.lit(fill).cast("double")) / 100000).alias("price"), "c_nationkey", y.alias("y"))
+
 
+_MATRIX = "WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n, avg(o_totalprice) AS price FROM orders GROUP BY 1), m AS (SELECT c_custkey, c_acctbal / 1000 AS bal, CAST(coalesce(n, 0) AS DOUBLE) AS n, price / 100000 AS price, CAST(" + _h("y", "c_custkey") + " < 0.25 + CASE WHEN c_acctbal > 5000 THEN 0.4 ELSE 0.0 END AS INT) AS y FROM customer LEFT JOIN o USING (c_custkey))"
+_RANKED = """, f AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY """ + _h("42", "c_custkey") + """, c_custkey) - 1) % 5 AS INT) AS fold FROM m),
+ l AS (SELECT c_custkey, fold, y, feature, x FROM (SELECT c_custkey, fold, y, 'bal' AS feature, bal AS x FROM f UNION ALL SELECT c_custkey, fold, y, 'n', n FROM f UNION ALL SELECT c_custkey, fold, y, 'price', price FROM f)),
+ k AS (SELECT CAST(unnest(range(0, 5)) AS INT) AS k),
+ med AS (SELECT feature, k, median(x) AS m FROM l JOIN k ON fold <> k GROUP BY 1, 2),
+ sgn AS (SELECT feature, k, any_value(m) AS m, CASE WHEN avg(coalesce(x, m)) FILTER (y = 1) < avg(coalesce(x, m)) FILTER (y = 0) THEN -1 ELSE 1 END AS way FROM l JOIN med USING (feature) WHERE fold <> k GROUP BY 1, 2),
+ t AS (SELECT feature, fold, y, coalesce(x, m) * way AS s FROM l JOIN sgn USING (feature) WHERE fold = k),
+ r AS (SELECT feature, fold, y, rank() OVER (PARTITION BY feature, fold ORDER BY s) + (count(*) OVER (PARTITION BY feature, fold, s) - 1) / 2.0::DOUBLE AS r FROM t),
+ a AS (SELECT feature, fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auc FROM r GROUP BY 1, 2)
+ SELECT feature, avg(auc) AS auroc_cv, count(auc) AS folds FROM a GROUP BY feature"""
 
-@query("cv_auroc")
+
+@query("cv_auroc", _MATRIX + _RANKED)
 def cv_auroc(spark, sf_dir):
-    m = P.group_folds(_matrix(spark, sf_dir), "c_custkey", "y", 5)
+    m = P.group_folds(_matrix(spark, sf_dir, fill=None), "c_custkey", "y", 5)
     return M.cv_auroc(m, ["bal", "n", "price"], "y", "fold")
 
 
@@ -407,12 +454,39 @@ def signal_features(spark, sf_dir):
     return X.extract(arrays(spark, sf_dir), ["record"])
 
 
+#: Series as signals with faults: heart rates that are zero or outside 50 to 240, contractions that are zero or outside 0 to 150.
+_FAULTS = SERIES + """, v AS (SELECT user_id, i, coalesce(CASE WHEN event_id % 11 = 0 THEN 0 ELSE x + 60 END BETWEEN 50 AND 240 AND event_id % 11 <> 0, false) AS f,
+ coalesce(CASE WHEN event_id % 5 = 0 THEN 0 ELSE x / 2 END BETWEEN 0 AND 150 AND event_id % 5 <> 0 AND x <> 0, false) AS u, count(*) OVER (PARTITION BY user_id) AS n FROM s)"""
+
+
+def _faulty(spark, sf_dir):
+    e = F.col("event_id")
+    s = series(spark, sf_dir).select("user_id", "i", F.when(e % 11 == 0, 0.0).otherwise(F.col("x") + 60).alias("fhr"), F.when(e % 5 == 0, 0.0).otherwise(F.col("x") / 2).alias("uc"))
+    a = s.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("i", "fhr", "uc"))).alias("v"))
+    return a.select(F.col("user_id").cast("string").alias("record"), F.transform("v", lambda p: p["fhr"]).alias("fhr"), F.transform("v", lambda p: p["uc"]).alias("uc"))
+
+
+@query("signal_quality", _FAULTS + " SELECT CAST(user_id AS VARCHAR) AS record, any_value(n) / 240.0::DOUBLE AS signal_duration_min, count(*) FILTER (NOT f) * 100.0::DOUBLE / count(*) AS fhr_invalid_pct, count(*) FILTER (NOT u) * 100.0::DOUBLE / count(*) AS uc_invalid_pct FROM v GROUP BY user_id")
+def signal_quality(spark, sf_dir):
+    """What the feature extractor says about gaps in both channels."""
+    return X.extract(_faulty(spark, sf_dir), ["record"]).select("record", "signal_duration_min", "fhr_invalid_pct", "uc_invalid_pct")
+
+
 @query("window_features")
 def window_features(spark, sf_dir):
     """Features of windows of 12 s by 3 s over the users' series."""
     return X.window_features(arrays(spark, sf_dir), length_min=0.2, stride_min=0.05)
 
 
+@query("window_ids", _FAULTS + """, b AS (SELECT user_id, any_value(n) AS n, unnest(range(0, any_value(n) - 24 + 1, 12)) AS st FROM v GROUP BY user_id HAVING any_value(n) >= 24),
+ q AS (SELECT b.user_id, b.st, any_value(b.n) AS n, count(*) FILTER (NOT f) * 100.0::DOUBLE / 24 AS fp, count(*) FILTER (NOT u) * 100.0::DOUBLE / 24 AS up FROM b JOIN v ON v.user_id = b.user_id AND v.i >= b.st AND v.i < b.st + 24 GROUP BY 1, 2)
+ SELECT CAST(user_id AS VARCHAR) AS record, CAST(row_number() OVER (PARTITION BY user_id ORDER BY st) - 1 AS INT) AS window_id, st / 240.0::DOUBLE AS window_start_min, (st + 24) / 240.0::DOUBLE AS window_end_min, (n - st - 24) / 240.0::DOUBLE AS time_to_birth_min, fp AS fhr_invalid_pct, up AS uc_invalid_pct FROM q WHERE fp <= 40 AND up <= 40""")
+def window_ids(spark, sf_dir):
+    """Which windows of 6 s by 3 s are kept, and their numbers, by the window extractor."""
+    w = X.window_features(_faulty(spark, sf_dir), length_min=0.1, stride_min=0.05, most_pct=40)
+    return w.select("record", "window_id", "window_start_min", "window_end_min", "time_to_birth_min", "fhr_invalid_pct", "uc_invalid_pct")
+
+
 @query("entropies")
 def entropies(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
@@ -421,22 +495,33 @@ def entropies(spark, sf_dir):
 
 @query("welch_psd")
 def welch_psd(spark, sf_dir):
-    p = X.array_kernel(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", lambda x: K.welch(x)[1], "psd", "array<double>")
+    p = X.array_kernel(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", lambda x: K.welch(x, least=64)[1], "psd", "array<double>")
     return D.mean_curve(p.select(F.posexplode("psd").alias("bin", "psd")), "bin", "psd")
 
 
-@query("cross_correlation")
+@query("cross_correlation", """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 32)::DOUBLE[] AS a, list_slice(embedding, 33, 64)::DOUBLE[] AS b FROM embeddings),
+ p AS (SELECT vec_id, unnest(range(0, 32)) AS i, unnest(a) - list_avg(a) AS x, unnest(b) - list_avg(b) AS y FROM e), k AS (SELECT CAST(unnest(range(-4, 5)) AS INT) AS lag),
+ d AS (SELECT vec_id, stddev_pop(x) * stddev_pop(y) * 32 AS d FROM p GROUP BY vec_id)
+ SELECT p.vec_id, k.lag, sum(p.x * q.y) / any_value(d.d) AS xcorr FROM p JOIN k ON true JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i - k.lag JOIN d ON d.vec_id = p.vec_id GROUP BY 1, 2""")
 def cross_correlation(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings")
-    halves = e.select("vec_id", "embedding")
-    return X.array_kernel(halves, ["vec_id"], "embedding", lambda x: K.cross_correlation(x[:32], x[32:], 4), "xcorr", "array<double>")
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
+    x = X.pair_kernel(e, ["vec_id"], "a", "b", lambda x, y: K.cross_correlation(x, y, 4), "xcorr")
+    return x.select("vec_id", F.posexplode("xcorr").alias("k", "xcorr")).select("vec_id", (F.col("k") - 4).alias("lag"), "xcorr")
 
 
-@query("dfa")
+@query("dfa", """WITH v AS (SELECT event_id // 512 AS record, value, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_id // 512) AS n, avg(value) OVER (PARTITION BY event_id // 512) AS mu FROM events WINDOW w AS (PARTITION BY event_id // 512 ORDER BY ts, event_id)),
+ p AS (SELECT record, t, n, sum(value - mu) OVER (PARTITION BY record ORDER BY t) AS y FROM v WHERE n >= 256), s AS (SELECT unnest([4, 8, 16, 32, 64, 128]) AS s),
+ g AS (SELECT record, s, (t - 1) // s AS b, regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t) AS rss, count(*) AS k FROM p, s WHERE (t - 1) // s < n // s GROUP BY 1, 2, 3),
+ f AS (SELECT record, s, 0.5 * ln(sum(rss) / sum(k)) AS lf, ln(s) AS ls FROM g GROUP BY 1, 2)
+ SELECT r.record, round(regr_slope(lf, ls), 6) AS dfa_alpha, round(regr_intercept(lf, ls), 6) AS dfa_intercept, round(regr_slope(lf, ls) FILTER (s <= 16), 6) AS dfa_alpha_short, round(regr_slope(lf, ls) FILTER (s >= 32), 6) AS dfa_alpha_long
+ FROM (SELECT DISTINCT record FROM v) r LEFT JOIN f USING (record) GROUP BY r.record""")
 def dfa(spark, sf_dir):
-    """Fluctuation analysis of each event type's values in order of time, as one long series."""
-    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
-    return X.array_kernel(e.select("event_type", F.transform("v", lambda p: p["value"]).alias("x")), ["event_type"], "x", lambda x: [float(v) if not np.isnan(v) else 0.0 for v in K.fluctuation(x).values()], "dfa", "array<double>")
+    """Fluctuation analysis of records of 512 events, in order of time; short records have none."""
+    record = F.floor(F.col("event_id") / 512).cast("bigint")
+    e = table(spark, sf_dir, "events").groupBy(record.alias("record")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("v"))
+    d = X.array_kernel(e.select("record", F.transform("v", lambda p: p["value"]).alias("x")), ["record"], "x", lambda x: list(K.fluctuation(x).values()), "dfa", "array<double>")
+    names = ("dfa_alpha", "dfa_intercept", "dfa_alpha_short", "dfa_alpha_long")
+    return d.select("record", *[F.round(C.null_nan(F.col("dfa")[i]), 6).alias(n) for i, n in enumerate(names)])
 
 
 # --- streaming logic on a batch

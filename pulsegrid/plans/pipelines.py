@@ -8,14 +8,14 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.clinical import composite_target
 from ..operators import bootstrap, fidelity, logit, metrics, series, split, tables, trees, trends
-from ..operators.features import array_kernel, extract, window_features
-from ..schemas import BASELINE, PROHIBITED, TRENDS
+from ..operators.features import array_kernel, extract, pair_kernel, window_features
+from ..schemas import BASELINE, DELTAS, PROHIBITED, SLOPES, STREAKS, TRENDS
 from ..sources import files
 
 TRACKING = ("record", "sequence_id", "group_record", "sample_source", "source_record", "bootstrap_idx", "window_id", "target", "window_start_min", "window_end_min", "time_to_birth_min")
@@ -38,7 +38,7 @@ def clean_windows(signals: DataFrame, clinical: DataFrame, sample_source: str =
     w = window_features(signals.select("record", "fhr", "uc"), header.select("record", "Sig2Birth"), **options)
     w = tables.one_to_many(header, w, "record")
     w = w.withColumns({"target": composite_target(F.col("pH"), F.col("Apgar5"), F.col("NICU_days")), "sequence_id": F.col("record"), "group_record": F.col("source_record"), "sample_source": F.lit(sample_source)})
-    w = trends.add_trends(w, ["sequence_id"], "window_start_min", ("fhr_baseline_std_bpm", "fhr_sampen"), ("fhr_baseline_std_bpm", "fhr_sampen"), ("fhr_sampen", "fhr_baseline_mean_bpm"))
+    w = trends.add_trends(w, ["sequence_id"], "window_start_min", DELTAS, STREAKS, SLOPES)
     return tables.select_existing(w, [*TRACKING, *predictor_names()])
 
 
@@ -57,6 +57,13 @@ def eligible(stats: DataFrame, most_nan: float = 30, least_min: float = 30) -> D
     return stats.where((F.col("fhr_nan_pct") <= most_nan) & (F.col("duration_min") >= least_min) & F.col("has_uc"))
 
 
+def rejected(stats: DataFrame, most_nan: float = 30, least_min: float = 30) -> DataFrame:
+    """One row: records, and how many have too many gaps, are too short, have no contractions, and are eligible. A record may be rejected for several reasons."""
+    gaps, short, none = F.col("fhr_nan_pct") > most_nan, F.col("duration_min") < least_min, ~F.coalesce(F.col("has_uc"), F.lit(False))
+    good = (F.col("fhr_nan_pct") <= most_nan) & (F.col("duration_min") >= least_min) & F.col("has_uc")
+    return stats.agg(F.count("*").alias("records"), F.count_if(gaps).alias("too_many_gaps"), F.count_if(short).alias("too_short"), F.count_if(none).alias("no_uc"), F.count_if(good).alias("eligible"))
+
+
 def signal_stats(signals: DataFrame, fs: int = kernels.FS) -> DataFrame:
     """Statistics of both channels per record, from arrays, without exploding them."""
 
@@ -83,8 +90,7 @@ def signal_stats(signals: DataFrame, fs: int = kernels.FS) -> DataFrame:
 def bootstrap_dataset(signals: DataFrame, clinical: DataFrame, m: int = 2, seed: int = 42) -> DataFrame:
     """Originals and m synchronous replicates of each eligible record, with headers inherited and statistics made anew."""
     good = tables.in_split(signals, eligible(signal_stats(signals)), "record")
-    long = good.select("record", F.posexplode("fhr").alias("i", "x"))
-    blocks = bootstrap.optimal_block(long, "x", "record")
+    blocks = bootstrap.optimal_block(good)
     made = bootstrap.replicates(good.join(blocks, "record"), m, seed=seed)
     both = tables.union_all([good.withColumns({"source_record": F.col("record"), "bootstrap_idx": F.lit(None).cast("int"), "is_synthetic": F.lit(False)}), made])
     return both.join(clinical.withColumnRenamed("record", "source_record"), "source_record", "left").join(signal_stats(both.select("record", "fhr", "uc")), "record")
@@ -98,24 +104,26 @@ def metadata_concordance(dataset: DataFrame) -> DataFrame:
 
 
 def fidelity_report(originals: DataFrame, synthetics: dict[str, DataFrame], max_lag: int = 200) -> DataFrame:
-    """A row per strategy: KS, Wasserstein, correlation of mean autocorrelation and mean spectrum, verdicts."""
-
-    def curve(df: DataFrame, f, name: str) -> DataFrame:
-        k = array_kernel(df, ["record"], "fhr", f, name, "array<double>")
-        return fidelity.mean_curve(k.select(F.posexplode(name).alias("at", name)).where(f"NOT isnan({name})"), "at", name)
+    """A row per strategy: KS, Wasserstein, correlations of mean autocorrelation, of mean log spectrum and, where there is a channel uc, of mean cross-correlation, and verdicts. The tables are read several times: store replicates first."""
+
+    def curve(df: DataFrame, name: str) -> DataFrame:
+        kernel = {
+            "acf": lambda: array_kernel(readable, ["record"], "fhr", lambda x: kernels.autocorrelation(x, max_lag), name, "array<double>"),
+            "psd": lambda: array_kernel(df, ["record"], "fhr", lambda x: kernels.welch(x)[1], name, "array<double>"),
+            "xcorr": lambda: pair_kernel(df, ["record"], "fhr", "uc", lambda x, y: kernels.cross_correlation(x, y, max_lag), name),
+        }
+        # as many valid samples as there are lags
+        readable = df.where(F.size(F.filter("fhr", lambda v: v.isNotNull() & ~F.isnan(v))) > max_lag)
+        mean = fidelity.mean_curve(kernel[name]().select(F.posexplode(name).alias("at", name)).where(f"NOT isnan({name})"), "at", name)
+        return mean.withColumn(name, F.log1p(name)) if name == "psd" else mean
 
-    acf = lambda x: kernels.autocorrelation(x, max_lag)
-    psd = lambda x: kernels.welch(x)[1]
     rows = []
     for name, made in synthetics.items():
         both = originals.select(F.explode("fhr").alias("v")).withColumn("o", F.lit(True)).unionByName(made.select(F.explode("fhr").alias("v")).withColumn("o", F.lit(False)))
-        row = fidelity.ks(both, "v", F.col("o")).select("ks")
-        for other in (
-            fidelity.wasserstein(both, "v", F.col("o")),
-            fidelity.curve_correlation(curve(originals, acf, "acf"), curve(made, acf, "acf"), "at", "acf").withColumnRenamed("r", "acf_r"),
-            fidelity.curve_correlation(curve(originals, psd, "psd"), curve(made, psd, "psd"), "at", "psd").withColumnRenamed("r", "psd_r"),
-        ):
-            row = row.crossJoin(F.broadcast(other))  # one row each
+        row = fidelity.distances(both, "v", F.col("o"))
+        for c in ("acf", "psd", *["xcorr"] * ("uc" in originals.columns and "uc" in made.columns)):
+            r = fidelity.curve_correlation(curve(originals, c), curve(made, c), "at", c).withColumnRenamed("r", f"{c}_r")
+            row = row.crossJoin(F.broadcast(r))  # one row each
         rows.append(row.withColumn("strategy", F.lit(name)))
     return fidelity.summary(tables.union_all(rows))
 
@@ -137,7 +145,10 @@ def phase_two(train: DataFrame, test: DataFrame, features: list[str], criterion:
     scaler = split.fit_scaler(train, features).cache()
     a, b = split.standardize(train, scaler, features), split.standardize(test, scaler, features)
     chosen, _ = logit.forward_selection(a, features, "target", criterion)
-    model = logit.fit(a, chosen, "target", "group_record")
+    model = logit.predictive(a, chosen, "target")
+    if model is None:
+        raise ValueError("the training windows have one class only")
+    model = logit.clustered(a, [model], "target", "group_record")[0]
     threshold = trees.calibrate(logit.predict(a, model), "target")
     return chosen, model.table(), live_report(logit.predict(b, model), threshold)
 
@@ -179,10 +190,57 @@ def winner(report: DataFrame) -> DataFrame:
 
 
 def save_parameters(path: str, params: dict, **facts) -> None:
+    """Write a model's parameters with what else is needed to build it again (name, features, threshold) as JSON."""
     with open(path, "w") as f:
         json.dump({"params": params} | facts, f, indent=2, sort_keys=True)
 
 
+def rebuild(path: str, train: DataFrame, test: DataFrame, synthetic: DataFrame | None = None, label: str = "target") -> tuple[DataFrame, float]:
+    """The stored model fitted again on the training windows: scored test windows with probability and alert, and the threshold. All stored features must be there."""
+    with open(path) as f:
+        stored = json.load(f)
+    if absent := [c for c in stored["features"] if c not in candidate_features(train)]:
+        raise ValueError(f"features that can't be rebuilt: {absent}")
+    spec = next((s for s in trees.specs() if s.name == stored["name"]), None)
+    if spec is None:
+        raise ValueError(f"no model {stored['name']}")
+    whole = train if synthetic is None else tables.union_all([train, tables.synthetic_of_training(synthetic, train, "source_record", "group_record")])
+    scored = trees.score(trees.fit_model(spec, stored["params"], whole, stored["features"], label), test)
+    return scored.withColumn("alert", F.col("probability") >= stored["threshold"]), stored["threshold"]
+
+
+def augmented(train: DataFrame, synthetic: DataFrame | None, features: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Training windows with the synthetic rows of training records, and a report row: rows, positives, negatives, note. Features that synthetic rows lack are NULL; without source_record none enters, since it might come from a test record."""
+    keep = [*features, "target", "group_record", "sample_source"]
+    spark = train.sparkSession
+    report = lambda rows, positives, note: spark.createDataFrame([(rows, positives, rows - positives, note)], "rows bigint, positives bigint, negatives bigint, note string")
+    real = train.select(*keep)
+    if synthetic is None:
+        return real, report(0, 0, "no synthetic rows: real windows only")
+    if "source_record" not in synthetic.columns:
+        return real, report(0, 0, "left out: without source_record they may come from test records")
+    own = tables.synthetic_of_training(synthetic, train, "source_record", "group_record")
+    if "target" not in own.columns:
+        own = own.withColumn("target", composite_target(F.col("pH"), F.col("Apgar5"), F.col("NICU_days")))
+    own = tables.add_missing(own, features).withColumns({"group_record": F.col("source_record"), "sample_source": F.lit("synthetic")}).select(*keep)
+    n = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
+    note = "of training records only" if n.n else "none comes from a training record"
+    return real.unionByName(own), report(n.n, n.p, note)
+
+
+def selection_order(spark: SparkSession, path: list[dict]) -> DataFrame:
+    """The path of a forward selection as a table, with what each step gained."""
+    rows = [(p["step"], p["feature"], float(p["criterion"])) for p in path]
+    steps = spark.createDataFrame(rows, "step int, feature string, criterion double")
+    # a row per selected feature
+    return steps.withColumn("gain", F.lag("criterion").over(Window.partitionBy(F.lit(0)).orderBy("step")) - F.col("criterion")).orderBy("step")
+
+
+def models_of(report: DataFrame, prefix: str) -> DataFrame:
+    """Report rows of the models whose name begins so."""
+    return report.where(F.col("model").startswith(prefix))
+
+
 def risk_profile(scored: DataFrame, record: str) -> DataFrame:
     """A patient's windows on an elapsed axis that ends at the median birth time: what a risk curve needs."""
     w = scored.where(F.col("record") == record)
@@ -190,12 +248,69 @@ def risk_profile(scored: DataFrame, record: str) -> DataFrame:
     return w.crossJoin(F.broadcast(birth)).select("window_end_min", "probability", "birth_min").orderBy("window_end_min")  # one row
 
 
+#: Kinds of the signal features that aren't plain morphology.
+_KINDS = {
+    "signal quality": ("fhr_invalid_pct", "uc_invalid_pct", "ltv_valid_windows"),
+    "contractions and coupling": ("uc_contractions_count", "decelerations_early_count", "decelerations_late_count", "decelerations_variable_count", "deceleration_uc_lag_mean_s", "deceleration_uc_lag_median_s"),
+    "nonlinear complexity": ("fhr_apen", "fhr_sampen", "dfa_alpha", "dfa_intercept", "dfa_alpha_short", "dfa_alpha_long"),
+}
+
+#: What each predictor says.
+MEANINGS = {
+    "Age": "mother's age in years",
+    "Gravidity": "pregnancies before this birth",
+    "Parity": "births before this one",
+    "Diabetes": "1 if the mother has diabetes",
+    "Pyrexia": "1 if the mother has a fever",
+    "Gest_weeks": "weeks of gestation",
+    "Sex": "code of the child's sex",
+    "signal_duration_min": "minutes of signal in the window",
+    "fhr_invalid_pct": "percent of heart rate samples that are missing, zero or outside 50 to 240",
+    "uc_invalid_pct": "percent of contraction samples that are missing, zero or outside 0 to 150",
+    "fhr_baseline_mean_bpm": "mean of the twice median-filtered heart rate",
+    "fhr_baseline_median_bpm": "median of that baseline",
+    "fhr_baseline_std_bpm": "deviation of that baseline",
+    "fhr_baseline_slope_bpm_min": "slope of that baseline, beats per minute and minute",
+    "accelerations_count": "rises of 15 bpm over the baseline for 15 s or longer",
+    "accelerations_mean_amp_bpm": "their mean height",
+    "accelerations_mean_duration_s": "their mean duration",
+    "decelerations_count": "falls of 15 bpm under the baseline for 15 s or longer",
+    "decelerations_mean_amp_bpm": "their mean depth",
+    "decelerations_mean_duration_s": "their mean duration",
+    "uc_contractions_count": "contractions found in the window",
+    "fhr_apen": "approximate entropy at 1 Hz, order 2, 0.2 deviations",
+    "fhr_sampen": "sample entropy at 1 Hz, order 2, 0.2 deviations",
+    "ltv_mean_amp_bpm": "mean of the amplitudes of whole minutes without decelerations",
+    "ltv_median_amp_bpm": "median of those amplitudes",
+    "ltv_valid_windows": "minutes that these come from",
+    "decelerations_early_count": "decelerations within 15 s of a contraction's peak",
+    "decelerations_late_count": "decelerations 15 to 90 s after one",
+    "decelerations_variable_count": "all other decelerations",
+    "deceleration_uc_lag_mean_s": "mean lag from contraction to deceleration",
+    "deceleration_uc_lag_median_s": "median lag from contraction to deceleration",
+    "dfa_alpha": "fluctuation exponent over scales of 4 to 128 s",
+    "dfa_intercept": "intercept of that fit",
+    "dfa_alpha_short": "exponent of the short scales",
+    "dfa_alpha_long": "exponent of the long scales",
+    "delta_baseline_std_bpm": "change of the baseline's deviation over two windows",
+    "delta_sampen": "change of sample entropy over two windows",
+    "fhr_std_falling_streak": "windows in a row in which the baseline's deviation fell",
+    "fhr_sampen_falling_streak": "windows in a row in which sample entropy fell",
+    "slope_sampen_30min": "slope of sample entropy over six windows",
+    "slope_baseline_mean_30min": "slope of the baseline's mean over six windows",
+}
+
+
 def variable_dictionary(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """A row per predictor that is there, in the order of the columns: name, kind and description."""
-    kind = lambda c: "baseline" if c in BASELINE else "trend" if c in TRENDS else "signal"
-    say = lambda c: c.replace("_", " ") + {"baseline": ", from the clinical header", "trend": ", over the preceding windows", "signal": ", of the window's signals"}[kind(c)]
-    known = [c for c in columns if c in predictor_names()]
-    return spark.createDataFrame([(i, c, kind(c), say(c)) for i, c in enumerate(known)], "position int, variable string, kind string, description string")
+    """A row per predictor that is there, in the fixed order of predictors: position, variable, kind, description."""
+
+    def kind(c: str) -> str:
+        if c in BASELINE:
+            return "baseline"
+        return "trend" if c in TRENDS else next((k for k, names in _KINDS.items() if c in names), "morphology")
+
+    known = [c for c in predictor_names() if c in columns]
+    return spark.createDataFrame([(i, c, kind(c), MEANINGS[c]) for i, c in enumerate(known)], "position int, variable string, kind string, description string")
 
 
 def arguments(argv: list[str]) -> argparse.Namespace:

@@ -42,33 +42,43 @@ def composite_target(spark, sf_dir):
 
 
 _FLAGS = {
-    "ph_lt_700": "ph < 7.00", "ph_lt_705": "ph < 7.05", "ph_lt_710": "ph < 7.10", "ph_lt_720": "ph < 7.20", "apgar1_lt_7": "apgar1 < 7", "apgar5_lt_7": "apgar5 < 7", "apgar5_lt_4": "apgar5 < 4",
-    "acog": "coalesce(ph < 7.00, false) AND coalesce(apgar5 < 7, false)", "ph705_apgar7": "coalesce(ph < 7.05, false) AND coalesce(apgar5 < 7, false)",
-    "ph710_apgar7": "coalesce(ph < 7.10, false) AND coalesce(apgar5 < 7, false)", "gold": "coalesce(hie > 0, false) OR coalesce(nicu > 0, false)",
-}
-
-
-def _flags(spark, sf_dir):
-    c = [F.col(x) for x in ("ph", "apgar1", "apgar5", "hie", "nicu")]
-    return _clinical(spark, sf_dir).withColumns(C.outcome_flags(*c))
+    "ph_severe": "ph < 7.05",
+    "ph_moderate": "ph >= 7.05 AND ph < 7.10",
+    "ph_mild": "ph >= 7.10 AND ph < 7.20",
+    "apgar1_lt_7": "apgar1 < 7",
+    "apgar5_lt_7": "apgar5 < 7",
+    "apgar1_lt_4": "apgar1 < 4",
+    "apgar5_lt_4": "apgar5 < 4",
+    "acog": "ph < 7.00 AND apgar5 < 7",
+    "wide": "ph < 7.10 AND apgar1 < 7",
+    "ph705_apgar5": "ph < 7.05 AND apgar5 < 7",
+    "gold": "ph < 7.05 AND apgar5 < 7 AND (coalesce(hie > 0, false) OR coalesce(nicu > 0, false))",
+}
+_CRITERIA = {k: "ph < 7.10" if k == "ph_lt_710" else _FLAGS[k] for k in ("ph_severe", "ph_lt_710", "apgar1_lt_7", "apgar5_lt_7", "apgar1_lt_4", "apgar5_lt_4", "acog", "ph705_apgar5", "wide", "gold")}
+_OUTCOME = ("ph", "apgar1", "apgar5", "hie", "nicu")
 
 
 @query("outcome_flags", _CLINICAL + " SELECT o_orderkey, " + ", ".join(f"CAST(coalesce({v}, false) AS INT) AS {k}" for k, v in _FLAGS.items()) + " FROM c")
 def outcome_flags(spark, sf_dir):
-    return _flags(spark, sf_dir).select("o_orderkey", *_FLAGS)
+    return _clinical(spark, sf_dir).withColumns(C.outcome_flags(*map(F.col, _OUTCOME))).select("o_orderkey", *_FLAGS)
+
 
+_COUNTED = " UNION ALL ".join(f"SELECT '{k}' AS criterion, count(*) FILTER ({v}) AS n, count(*) AS total FROM c" for k, v in _CRITERIA.items())
 
-@query("flag_counts", _CLINICAL + ", u AS (" + " UNION ALL ".join(f"SELECT '{k}' AS criterion, count(*) FILTER ({v}) AS n, count(*) AS total FROM c" for k, v in _FLAGS.items()) + ") SELECT criterion, n, n * 100.0::DOUBLE / total AS pct, CASE WHEN n > 0 THEN CAST(total - n AS DOUBLE) / n END AS others_per_case FROM u")
+
+@query("flag_counts", _CLINICAL + f", u AS ({_COUNTED}) SELECT criterion, n, n * 100.0::DOUBLE / total AS pct, CASE WHEN n > 0 THEN CAST(total - n AS DOUBLE) / n END AS others_per_case FROM u")
 def flag_counts(spark, sf_dir):
-    return T.criteria_counts(_flags(spark, sf_dir), {k: F.col(k) == 1 for k in _FLAGS})
+    return T.criteria_counts(_clinical(spark, sf_dir), C.outcome_criteria(*map(F.col, _OUTCOME)))
+
 
+_CATEGORY = """CASE WHEN ph IS NULL OR apgar1 IS NULL OR apgar5 IS NULL THEN 'incomplete data'
+ WHEN ph < 7.05 AND apgar5 < 7 THEN 'confirmed asphyxia' WHEN ph < 7.05 THEN 'acidosis without depression'
+ WHEN apgar5 < 7 THEN 'depression without severe acidosis' WHEN ph < 7.10 AND apgar1 < 7 THEN 'borderline' ELSE 'normal' END"""
 
-@query("first_match_category", _CLINICAL + """ SELECT o_orderkey, CASE WHEN ph IS NULL AND apgar5 IS NULL THEN 'no data' WHEN ph < 7.00 AND apgar5 < 7 THEN 'severe' WHEN ph < 7.05 THEN 'acidosis'
- WHEN ph < 7.20 THEN 'mild' WHEN apgar5 < 7 THEN 'depressed' ELSE 'normal' END AS category FROM c""")
+
+@query("first_match_category", _CLINICAL + f" SELECT o_orderkey, {_CATEGORY} AS category FROM c")
 def first_match_category(spark, sf_dir):
-    ph, a5 = F.col("ph"), F.col("apgar5")
-    rules = [(ph.isNull() & a5.isNull(), "no data"), (C.acog_all(ph, a5), "severe"), (C.yes(ph < 7.05), "acidosis"), (C.yes(ph < 7.20), "mild"), (C.yes(a5 < 7), "depressed")]
-    return _clinical(spark, sf_dir).select("o_orderkey", C.first_match(rules, "normal").alias("category"))
+    return _clinical(spark, sf_dir).select("o_orderkey", C.outcome_category(F.col("ph"), F.col("apgar1"), F.col("apgar5")).alias("category"))
 
 
 @query("acog_rules", _CLINICAL + " SELECT o_orderkey, coalesce(ph < 7.00, false) AND coalesce(apgar5 < 7, false) AS acog_all, coalesce(ph < 7.00, false) OR coalesce(apgar5 < 7, false) OR coalesce(hie > 0, false) AS acog_any FROM c")
@@ -149,6 +159,15 @@ def subsample_array(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", C.subsample(F.col("embedding"), 16).alias("thin"))
 
 
+_MODELS = "SELECT l_linestatus || ' - ' || l_returnflag AS model, avg(l_discount) AS auroc FROM lineitem GROUP BY 1"
+
+
+@query("models_by_prefix", f"SELECT * FROM ({_MODELS}) WHERE starts_with(model, 'O -')")
+def models_by_prefix(spark, sf_dir):
+    report = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_linestatus", F.lit(" - "), "l_returnflag").alias("model")).agg(F.avg("l_discount").alias("auroc"))
+    return report.where(F.col("model").startswith("O -"))
+
+
 @query("eligibility", """WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 7 = 0) * 100.0::DOUBLE / count(*) AS nan_pct FROM events GROUP BY user_id)
 SELECT count(*) FILTER (nan_pct <= 15 AND n >= 60) AS eligible, count(*) FILTER (nan_pct > 15) AS too_many_gaps, count(*) FILTER (n < 60) AS too_short FROM r""")
 def eligibility(spark, sf_dir):

@@ -21,5 +21,10 @@ SIGNALS = T.StructType([T.StructField("record", T.StringType(), False), T.Struct
 
 # Which columns may predict, and which never may.
 BASELINE = ("Age", "Gravidity", "Parity", "Diabetes", "Pyrexia", "Gest_weeks", "Sex")
-TRENDS = ("delta_fhr_baseline_std_bpm", "delta_fhr_sampen", "fhr_baseline_std_bpm_falling_streak", "fhr_sampen_falling_streak", "slope_fhr_sampen_30min", "slope_fhr_baseline_mean_bpm_30min")
+#: Trend columns by kind, and the feature that each follows.
+DELTAS = {"delta_baseline_std_bpm": "fhr_baseline_std_bpm", "delta_sampen": "fhr_sampen"}
+STREAKS = {"fhr_std_falling_streak": "fhr_baseline_std_bpm", "fhr_sampen_falling_streak": "fhr_sampen"}
+SLOPES = {"slope_sampen_30min": "fhr_sampen", "slope_baseline_mean_30min": "fhr_baseline_mean_bpm"}
+TRENDS = (*DELTAS, *STREAKS, *SLOPES)
+# Presentation, Induced and CK_KP are known at birth only, so they are kept out too.
 PROHIBITED = ("pH", "BDecf", "pCO2", "BE", "Apgar1", "Apgar5", "NICU_days", "Seizures", "HIE", "Intubation", "Main_diag", "Other_diag", "Presentation", "Induced", "I_stage", "NoProgress", "CK_KP", "II_stage", "Deliv_type", "dbID", "Rec_type", "Pos_IIst", "Sig2Birth", "Weight_g")

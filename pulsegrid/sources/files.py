@@ -78,6 +78,59 @@ def pair_channels(fhr: DataFrame, uc: DataFrame, missing: str = "skip", fs: int
     return both.select("record", F.slice("fhr", F.lit(1), n).alias("fhr"), F.slice("uc", F.lit(1), n).alias("uc"), F.lit(fs).alias("fs"))
 
 
+def first_pairs(signals: DataFrame, n: int) -> DataFrame:
+    """The first n records by name of a table of paired channels."""
+    return signals.orderBy("record").limit(n)
+
+
+def not_yet(records: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Records that the manifest doesn't have: what is left to load."""
+    return records.join(manifest.select("record"), "record", "left_anti")
+
+
+def read_wfdb(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of records in WFDB's 16-bit format (a .hea and a .dat file each): record, fhr, uc, fs, error.
+
+    A channel is the first whose description has `fhr` or `uc` in it, else NULL. Samples are physical values by
+    their gain and baseline; the format's mark for no sample is NULL. What isn't in that format has an error.
+    """
+    read = lambda kind: spark.read.format("binaryFile").option("pathGlobFilter", f"*{kind}").load(folder).select(record_of_path(F.col("path"), kind).alias("record"), "content")
+    both = read(".hea").join(read(".dat").withColumnRenamed("content", "data"), "record", "left")
+
+    def decode(head: bytes, data: bytes | None) -> tuple[list, list, int]:
+        lines = [x for x in head.decode("latin-1").splitlines() if x.strip() and not x.startswith("#")]
+        _, channels, fs, *_ = lines[0].split()
+        rows = [x.split(None, 8) for x in lines[1 : 1 + int(channels)]]
+        if data is None or any(r[1].split("+")[0].split("x")[0] != "16" for r in rows):
+            raise ValueError("no samples in 16-bit format")
+        raw = np.frombuffer(data[: len(data) // (2 * len(rows)) * 2 * len(rows)], "<i2").reshape(-1, len(rows)).astype(np.float64)
+        out = []
+        for part in ("fhr", "uc"):
+            k = next((i for i, r in enumerate(rows) if part in r[-1].lower()), None)
+            if k is None:
+                out.append(None)
+                continue
+            gain, _, zero = rows[k][2].split("/")[0].partition("(")
+            base = float(zero.rstrip(")")) if zero else float(rows[k][4])
+            x = np.where(raw[:, k] == -(1 << 15), np.nan, (raw[:, k] - base) / (float(gain) or 200.0))
+            out.append([None if np.isnan(v) else v for v in x.tolist()])
+        return out[0], out[1], int(float(fs.split("/")[0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for head, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                try:
+                    rows.append((*decode(head, data), None))
+                except (ValueError, IndexError) as e:
+                    rows.append((None, None, None, str(e) or type(e).__name__))
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            kinds = (pa.list_(pa.float64()), pa.list_(pa.float64()), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]], ["record", "fhr", "uc", "fs", "error"])
+
+    return both.select("record", "content", "data").mapInArrow(run, "record string, fhr array<double>, uc array<double>, fs int, error string")
+
+
 def channel_of(names: Column, part: str) -> Column:
     """The first position whose channel name has the part in it, NULL if none."""
     return F.try_element_at(F.filter(F.transform(names, lambda n, i: F.when(F.contains(F.lower(n), F.lit(part)), i)), lambda i: i.isNotNull()), F.lit(1))
@@ -113,7 +166,10 @@ def csv_columns(spark: SparkSession, path: str) -> list[str]:
     return spark.read.csv(path, header=True).columns
 
 
-def write_csv(df: DataFrame, path: str) -> None:
+def write_csv(df: DataFrame, path: str, mark: bool = False) -> None:
+    """CSV with a header; with `mark` each file begins with the UTF-8 byte order mark, as some spreadsheets want."""
+    if mark and df.columns:
+        df = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0])
     df.write.mode("overwrite").csv(path, header=True)
 
 

@@ -33,13 +33,13 @@ def column(df, c, order="i"):
 
 def test_trends(spark):
     t = spark.createDataFrame([("r", 5.0 * i, v) for i, v in enumerate([5.0, 4.0, 3.0, 3.0, 2.0, N, 1.0, 0.0])], "k string, t double, v double")
-    d = W.add_trends(t, ["k"], "t", deltas=("v",), streaks=("v",), slopes=("v",)).orderBy("t").collect()
-    assert [r.v_falling_streak for r in d] == [0, 1, 2, 0, 1, 0, 0, 1]
-    assert [r.delta_v for r in d] == [0, 0, -2, -1, -1, 0, -1, 0]
-    assert [round(r.slope_v_30min, 6) for r in d] == [0, 0, 0, 0, 0, -0.14, -0.116216, -0.123256]
-    gap = W.add_trends(t.where("t <> 15"), ["k"], "t", streaks=("v",), slopes=("v",)).orderBy("t").collect()
-    assert all(r.slope_v_30min == 0 for r in gap)
-    assert [r.v_falling_streak for r in gap] == [0, 1, 2, 3, 0, 0, 1]
+    d = W.add_trends(t, ["k"], "t", {"delta": "v"}, {"streak": "v"}, {"slope": "v"}).orderBy("t").collect()
+    assert [r.streak for r in d] == [0, 1, 2, 0, 1, 0, 0, 1]
+    assert [r.delta for r in d] == [0, 0, -2, -1, -1, 0, -1, 0]
+    assert [round(r.slope, 6) for r in d] == [0, 0, 0, 0, 0, -0.14, -0.116216, -0.123256]
+    gap = W.add_trends(t.where("t <> 15"), ["k"], "t", None, {"streak": "v"}, {"slope": "v"}).orderBy("t").collect()
+    assert all(r.slope == 0 for r in gap)
+    assert [r.streak for r in gap] == [0, 1, 2, 3, 0, 0, 1]
 
 
 def test_gap_fill(spark):
@@ -148,13 +148,179 @@ def test_header_lines(spark):
 
 
 def test_block_length(spark):
-    n = 3000
-    t = np.arange(n)
-    slow = frame(spark, (np.sin(2 * np.pi * t / 1600) * 10 + 140).tolist())
-    low = B.optimal_block(slow, "x", "k", low=240, high=1200, max_lag=600).first().block
-    assert 240 <= low <= 1200
-    assert B.optimal_block(frame(spark, [140.0] * 100), "x", "k", low=240, high=1200, max_lag=8).first().block == 240
-    assert B.optimal_block(frame(spark, list(range(600))), "x", "k", low=240, high=1200, max_lag=20).first().block == 1200
+    t = np.arange(3000)
+    wave = np.sin(2 * np.pi * t / 1600) * 10 + 140
+    rows = [("wave", wave.tolist()), ("short", [140.0, 141.0] * 100), ("constant", [140.0] * 3000), ("slow", (t / 10.0).tolist()), ("gaps", [v if i % 2 else None for i, v in enumerate(wave.tolist())])]
+    df = spark.createDataFrame(rows, "record string, fhr array<double>")
+    got = {r.record: r.block for r in B.optimal_block(df).collect()}
+
+    def plain(x, low=240, high=1200):
+        x = np.array([v for v in x if v is not None]) - np.mean([v for v in x if v is not None])
+        if len(x) < 2 * low:
+            return low
+        c = [np.mean(x[: len(x) - k] * x[k:]) if k < len(x) else 0.0 for k in range(high + 1)]
+        c = [v / c[0] if c[0] else v for v in c]
+        first = next((k for k in range(1, high + 1) if abs(c[k]) < 0.05), high // 2)
+        return min(max(2 * first, low), high)
+
+    assert got == {k: plain(v) for k, v in rows}
+    assert got["short"] == got["constant"] == 240 and 240 < got["wave"] < 1200
+    # the same in long form, for short blocks
+    small = [1.0, 2, 4, 3, 1, 5, 2, 2, 7, 1]
+    assert S.first_small_lag(frame(spark, small), "x", "k", 0.05, 2, 6).first().block == plain(small, 2, 6)
+
+
+def test_autocorrelation_is_of_mean_products(spark):
+    got = column(S.autocorrelation(frame(spark, [1, 2, 4, 3]), "x", "k", 5), "acf", "lag")
+    assert got == pytest.approx([1, 0.2, -1.0, -0.6, 0, 0]) and K.autocorrelation(np.array([1.0, 2, 4, 3]), 5).tolist() == pytest.approx(got)
+    flat = column(S.autocorrelation(frame(spark, [2, 2, 2]), "x", "k", 2), "acf", "lag")
+    assert flat == [0, 0, 0] and K.autocorrelation(np.full(3, 2.0), 2).tolist() == flat
+    gap = S.autocorrelation(frame(spark, [1, N, 3]), "x", "k", 2)
+    assert column(gap, "acf", "lag") == [1, N, -1]
+    assert S.autocorrelation(frame(spark, [1, N, 3]), "x", "k", 2, drop_missing=True, long_enough=True).isEmpty()
+
+
+def test_correlation_of_constant_groups_is_missing(spark):
+    rows = [(k, float(i), 5.0 if k == "flat" else float(i * i)) for k in ("flat", "bent") for i in range(12)] + [("few", float(i), float(i)) for i in range(5)] + [("holes", float(i), None if i % 2 else 3.0) for i in range(24)]
+    got = {r.k: r["corr"] for r in T.pair_correlation(spark.createDataFrame(rows, "k string, x double, y double"), "x", "y", "k").collect()}
+    x = np.arange(12.0)
+    assert got["bent"] == pytest.approx(np.corrcoef(x, x * x)[0, 1]) and got["flat"] is got["few"] is got["holes"] is None
+    a = spark.createDataFrame([(i, float(i)) for i in range(4)], "at int, c double")
+    assert D.curve_correlation(a, a.withColumn("c", F.lit(1.0)), "at", "c").first().r is None
+    assert D.curve_correlation(a, a.withColumn("c", 2 - F.col("c")), "at", "c").first().r == pytest.approx(-1)
+
+
+def test_outcome_flags_and_category(spark):
+    cases = [
+        # pH, Apgar at 1 and 5, HIE, NICU days; flags that hold; category
+        ((6.95, 3.0, 5.0, 0.0, 2.0), "ph_severe apgar1_lt_7 apgar5_lt_7 apgar1_lt_4 acog wide ph705_apgar5 gold", "confirmed asphyxia"),
+        ((7.04, 6.0, 6.0, 0.0, 0.0), "ph_severe apgar1_lt_7 apgar5_lt_7 wide ph705_apgar5", "confirmed asphyxia"),
+        ((7.04, 8.0, 9.0, 1.0, 1.0), "ph_severe", "acidosis without depression"),
+        ((7.05, 9.0, 3.0, 1.0, 0.0), "ph_moderate apgar5_lt_7 apgar5_lt_4", "depression without severe acidosis"),
+        ((7.09, 6.0, 7.0, 0.0, 0.0), "ph_moderate apgar1_lt_7 wide", "borderline"),
+        ((7.10, 6.0, 7.0, 0.0, 0.0), "ph_mild apgar1_lt_7", "normal"),
+        ((7.20, 9.0, 9.0, 3.0, 9.0), "", "normal"),
+        ((7.00, None, 6.0, None, 1.0), "ph_severe apgar5_lt_7 ph705_apgar5 gold", "incomplete data"),
+        ((None, 2.0, 2.0, 1.0, 1.0), "apgar1_lt_7 apgar5_lt_7 apgar1_lt_4 apgar5_lt_4", "incomplete data"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, (c, _, _) in enumerate(cases)], "i int, ph double, a1 double, a5 double, hie double, nicu double")
+    values = [F.col(c) for c in ("ph", "a1", "a5", "hie", "nicu")]
+    flags = C.outcome_flags(*values)
+    for r, (_, want, category) in zip(df.withColumns(flags).withColumn("c", C.outcome_category(*values[:3])).orderBy("i").collect(), cases, strict=True):
+        assert {k for k in flags if r[k]} == set(want.split()) and r.c == category
+    counts = {r.criterion: r.n for r in T.criteria_counts(df, C.outcome_criteria(*values)).collect()}
+    assert counts == {"ph_severe": 4, "ph_lt_710": 6, "apgar1_lt_7": 5, "apgar5_lt_7": 5, "apgar1_lt_4": 2, "apgar5_lt_4": 2, "acog": 1, "ph705_apgar5": 3, "wide": 3, "gold": 2}
+
+
+def test_contraction_gaps_count(spark):
+    filled, gone = K.clean(np.array([0.0, 20, 151, -1, 150]), *K.UC_RANGE, True)
+    assert gone == 60 and filled.tolist() == pytest.approx([20, 20, 20 + 130 / 3, 20 + 260 / 3, 150])
+    n = 4 * 60 * 20
+    fhr = (140 + 5 * np.sin(np.arange(n) / 40)).tolist()
+    uc = lambda step, bad: [bad if i % step == 0 else 10.0 for i in range(n)]
+    df = spark.createDataFrame([("half", fhr, uc(2, 0.0)), ("high", fhr, uc(2, 151.0)), ("third", fhr, uc(4, 0.0))], "record string, fhr array<double>, uc array<double>")
+    got = X.window_features(df).collect()
+    assert [(r.record, r.uc_invalid_pct) for r in got] == [("third", 25.0)]
+
+
+def test_fluctuation_is_of_the_thinned_signal():
+    rng = np.random.default_rng(2)
+    fhr = 140 + np.cumsum(rng.standard_normal(4 * 3600)) / 20
+    slow = fhr.reshape(-1, 4).mean(axis=1)
+    thin = slow[np.linspace(0, len(slow) - 1, 1200).astype(int)]
+    got = K.features(fhr, np.full(len(fhr), 10.0))
+    assert {k: got[k] for k in got if k.startswith("dfa")} == pytest.approx(K.fluctuation(thin))
+    assert got["dfa_alpha"] != pytest.approx(K.fluctuation(slow)["dfa_alpha"])
+
+
+def test_jitter_warp_by_hand():
+    x = np.sin(np.arange(600) / 30) * 10 + 140
+    rng = np.random.Generator(np.random.Philox(7))
+    noisy = x + 1.5 * rng.standard_normal(600)
+    moved = np.sort(np.clip(np.linspace(0, 599, 12) + 0.05 * 600 * rng.standard_normal(12), 0, 599))
+    along = [np.interp(np.interp(t, np.linspace(0, 599, 12), moved), np.arange(600), noisy) for t in range(600)]
+    assert K.jitter_warp(x, 600, 7).tolist() == pytest.approx(along)
+    assert K.jitter_warp(x, 400, 7).tolist() == pytest.approx(along[:400]) and K.jitter_warp(x, 700, 7).tolist() == pytest.approx(along + along[:100])
+    assert K.jitter_warp(np.array([np.nan, 3.0]), 3, 1).tolist() == [3, 3, 3]
+
+
+def test_long_names_do_not_share_draws(spark):
+    name = "a-very-long-record-name-that-ends-alike"
+    df = spark.createDataFrame([(f"{k}{name}", [float(i) for i in range(40)], [1.0] * 40, 8) for k in "xy"], "record string, fhr array<double>, uc array<double>, block int")
+    a, b = (r.fhr for r in B.replicates(df, 1, "jitter_warp").collect())
+    assert a != b
+
+
+def test_exemplars(spark):
+    def curve(record, target, alerts, top=0.9):
+        n = len(alerts)
+        return [(record, 5.0 * i, a == "T", target, top if a == "T" else 0.1 * top, 5.0 * (n - i) + 20) for i, a in enumerate(alerts)]
+
+    kind = "record string, start double, alert boolean, target int, p double, birth double"
+    show = lambda rows: T.exemplar_positive(T.alert_profiles(spark.createDataFrame(rows, kind), "record", "start", "alert", "target", "p", "birth")).first()
+    # alerts from the first window on never win over a visible transition, however near their warning time
+    always, late, early, brief, calm = curve("1", 1, "TTTTTT"), curve("2", 1, "FFFFFT"), curve("3", 1, "FTTTTT"), curve("0", 1, "FTFFFF"), curve("9", 1, "FFFFFF", 0.5)
+    assert tuple(show(always + late + early + brief)) == ("3", 1, 45.0)
+    assert tuple(show(always + late + brief)) == ("2", 5, 25.0)
+    assert tuple(show(always + brief + calm)) == ("0", 1, 45.0) and tuple(show(always + calm)) == ("1", 0, 50.0)
+    assert tuple(show(calm + curve("8", 1, "FFF", 0.4))) == ("9", 0, 50.0)
+    quiet = lambda rows: tuple(T.exemplar_negative(T.alert_profiles(spark.createDataFrame(rows, kind), "record", "start", "alert", "target", "p", "birth")).first())
+    noisy = curve("2", 0, "FTT") + curve("1", 0, "TFT") + curve("0", 0, "TTT")
+    assert quiet(noisy) == ("1", 2, 0) and quiet(noisy + curve("7", 0, "FFF", 0.3) + curve("6", 0, "FFF", 0.2)) == ("7", 0, None)
+
+
+def test_rates_without_cases_are_missing(spark):
+    df = spark.createDataFrame([(0.9, 0), (0.1, 0)], "s double, y int")
+    r = M.confusion(df, F.col("s") > 0.5, "y").first()
+    assert r.sensitivity is None and r.specificity == 0.5
+    r = M.confusion(df.withColumn("y", F.lit(1)), F.col("s") > 0.5, "y").first()
+    assert r.specificity is None and r.sensitivity == 0.5
+
+
+def test_split_sizes_of_the_cohort(spark):
+    m = spark.range(552).select(F.col("id").cast("string").alias("record"), (F.col("id") < 67).cast("int").alias("y"))
+    s = P.stratified_split(m, "record", "y")
+    assert {(r.y, r.split): r["count"] for r in s.groupBy("y", "split").count().collect()} == {(1, "train"): 47, (0, "train"): 339, (1, "test"): 20, (0, "test"): 146}
+
+
+def test_exact_percentiles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.1 else float(np.round(rng.standard_normal(), 1))) for k in ("a", "b") for _ in range(500)] + [("none", None), ("one", 4.0)]
+    df = spark.createDataFrame(rows, "k string, x double").repartition(7)
+    qs = [0, 0.05, 0.25, 0.5, 0.9, 1]
+    from pulsegrid.operators.prefix import exact_percentiles
+
+    got = {r.k: list(r.q) for r in exact_percentiles(df, "x", qs, ["k"]).collect()}
+    want = {k: np.percentile([x for n, x in rows if n == k and x is not None], [100 * q for q in qs]).tolist() for k in ("a", "b", "one")}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    r = T.describe(df, "x").first()
+    assert r.p50 == pytest.approx(np.median([x for _, x in rows if x is not None])) and T.describe(df.where("false"), "x").first().p50 is None
+    assert P.medians(df.withColumn("z", F.lit(None).cast("double")), ["x", "z"]).first().z is None
+
+
+def test_logits_side_by_side(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(a), float(b), None if i % 9 == 0 else float(a + b), int(rng.random() < 1 / (1 + np.exp(-a)))) for i, (a, b) in enumerate(rng.standard_normal((300, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, y int").repartition(3)
+    both = L.fit_each(df, [["a"], ["a", "b"], ["c"], [], ["a", "a"]], "y")
+    alone = [L.fit(df, f, "y") for f in (["a"], ["a", "b"], ["c"], [])]
+    assert all(x.coef == pytest.approx(z.coef) and x.n == z.n for x, z in zip(both, alone, strict=False)) and both[4] is None
+    assert both[2].n == 266
+    assert 1 / (1 + math.exp(-both[3].coef[0])) == pytest.approx(np.mean([r[3] for r in rows]))
+    # separated classes: the predictive model falls back to balanced classes and stays finite
+    split = df.withColumn("s", F.col("y") * 2.0)
+    assert L.fit(split, ["s"], "y") is None
+    f = L.predictive(split, ["s"], "y")
+    p = L.predict(split, f).groupBy("y").agg(F.avg("probability").alias("p")).orderBy("y").collect()
+    assert p[0].p < 0.4 < 0.6 < p[1].p
+    assert L.predictive(df, [], "y").coef == pytest.approx(both[3].coef)
+    assert L.predictive(df.where("y = 1"), ["a"], "y") is None
+
+
+def test_readable_signals(spark):
+    df = spark.createDataFrame([("a", [1.0, None, 100.0]), ("b", [None, None, 100.0]), ("c", [])], "record string, fhr array<double>")
+    assert [r.record for r in X.readable(df).collect()] == ["a"]
+    assert sorted(r.record for r in X.readable(df, over=30, low=60, high=200).collect()) == ["a", "b"]
 
 
 def test_fold_summary_uses_sample_deviation(spark):
@@ -206,7 +372,7 @@ def test_kernels_by_hand():
     c = K.cross_correlation(noise, np.roll(noise, 3), 5)
     assert c.argmax() in (2, 8) and c.max() == pytest.approx(1, abs=0.01)
     assert len(K.FEATURES) == 28
-    assert K.autocorrelation(np.array([1.0, 2, 4]), 1).tolist() == pytest.approx([1, ((1 - 7 / 3) * (2 - 7 / 3) + (2 - 7 / 3) * (4 - 7 / 3)) / sum((v - 7 / 3) ** 2 for v in (1, 2, 4))])
+    assert K.autocorrelation(np.array([1.0, 2, 4]), 1).tolist() == pytest.approx([1, ((1 - 7 / 3) * (2 - 7 / 3) + (2 - 7 / 3) * (4 - 7 / 3)) / sum((v - 7 / 3) ** 2 for v in (1, 2, 4)) * 3 / 2])
     full = K.features(140 + noise[:2400], np.abs(noise[:2400]))
     assert full["fhr_invalid_pct"] == 0 and full["ltv_valid_windows"] == 10 and full["signal_duration_min"] == 10
 

@@ -47,6 +47,8 @@ def test_window_matrix(matrix):
     found = P.candidate_features(matrix)
     assert "signal_duration_min" not in found and "Age" in found and "target" not in found
     d = P.variable_dictionary(matrix.sparkSession, matrix.columns)
+    assert d.where("variable = 'delta_sampen'").first().kind == "trend" and d.where("variable = 'fhr_apen'").first().kind == "nonlinear complexity"
+    assert [r.variable for r in d.orderBy("position").collect()] == [c for c in P.predictor_names() if c in matrix.columns]
     assert d.where("variable = 'Age'").first().kind == "baseline" and d.count() == len([c for c in matrix.columns if c in P.predictor_names()])
 
 
@@ -59,7 +61,94 @@ def test_bootstrap_dataset(records):
     assert c.within_5_pct > 90 and c.max_distinct == 1
     made = d.where("is_synthetic").select("record", "fhr")
     r = P.fidelity_report(some.select("record", "fhr"), {"stationary_bootstrap": made}, 50).first()
-    assert r.ks < 0.1 and r.ks_verdict in ("good", "fair") and r.acf_r > 0.5
+    assert r.ks < 0.1 and r.ks_verdict in ("good", "fair") and r.acf_r > 0.5 and "xcorr_r" not in r
+    both = P.fidelity_report(some, {"same": some}, 50).first()
+    assert both.ks == 0 and both.xcorr_r == pytest.approx(1) and both.xcorr_r_verdict == "good" and both.psd_r == pytest.approx(1)
+
+
+def test_rejected(spark):
+    rows = [("a", 10.0, 40.0, True), ("b", 40.0, 20.0, True), ("c", 0.0, 60.0, False), ("d", 30.0, 30.0, True)]
+    stats = spark.createDataFrame(rows, "record string, fhr_nan_pct double, duration_min double, has_uc boolean")
+    assert tuple(P.rejected(stats).first()) == (4, 1, 1, 1, 2)
+    assert sorted(r.record for r in P.eligible(stats).collect()) == ["a", "d"]
+
+
+def test_record_features(records):
+    signals, clinical = records
+    r = {x.record: x for x in P.record_features(signals, clinical).collect()}
+    assert len(r) == 12 and r["3"].Age == 23 and r["3"].signal_duration_min == 31 and r["3"].fhr_baseline_mean_bpm == pytest.approx(140, abs=3)
+
+
+def test_synthetic_windows_follow_their_source(records):
+    signals, clinical = records
+    made = signals.where("record < '2'").selectExpr("concat(record, '_boot_0') AS record", "fhr", "uc", "fs", "record AS source_record", "0 AS bootstrap_idx")
+    w = P.clean_windows(made, clinical, "synthetic", length_min=2, stride_min=10)
+    r = w.where("record = '1_boot_0'").orderBy("window_id").first()
+    assert (r.group_record, r.source_record, r.bootstrap_idx, r.sample_source, r.target) == ("1", "1", 0, "synthetic", 1)
+    assert w.where("sequence_id <> record").isEmpty()
+
+
+def test_cleaned_samples(spark):
+    df = spark.createDataFrame([("a", [100.0, 0.0, 104.0, 250.0])], "record string, fhr array<double>")
+    assert [r.fhr for r in P.cleaned_samples(df).orderBy("i").collect()] == [100, 102, 104, None]
+    assert [r.fhr for r in P.cleaned_samples(df, max_gap=0).orderBy("i").collect()] == [100, None, 104, None]
+
+
+def test_phase_one(matrix):
+    train = matrix.where("cast(record AS int) < 10").withColumn("fold", F.expr("cast(cast(record AS int) / 2 AS int) % 2"))
+    # unclear, so that a fit exists
+    train = train.withColumn("target", F.when(F.col("window_id") == 0, 1 - F.col("target")).otherwise(F.col("target"))).cache()
+    got = P.phase_one(train, ["fhr_baseline_std_bpm", "fhr_sampen", "Age"]).collect()
+    assert [r.feature for r in got][-1] == "Age" and got[0].auroc_cv >= got[1].auroc_cv > 0.7 and got[0].folds == 2
+    assert all(r.odds_ratio is None or r.ci_lower <= r.odds_ratio <= r.ci_upper for r in got) and any(r.odds_ratio for r in got)
+
+
+def test_phase_two(matrix):
+    mixed = matrix.withColumn("target", F.when(F.col("window_id") == 0, 1 - F.col("target")).otherwise(F.col("target"))).withColumn("group_record", F.col("record"))
+    train, test = mixed.where("cast(record AS int) < 8"), mixed.where("cast(record AS int) >= 8")
+    chosen, table, report = P.phase_two(train, test, ["fhr_baseline_std_bpm", "Age", "fhr_apen"])
+    assert chosen and [r["feature"] for r in table] == ["intercept", *chosen]
+    r = report.first()
+    assert 0.5 < r.auroc <= 1 and 0 <= r.brier <= 0.5 and r.patient_recall is not None
+    _, path = P.logit.forward_selection(P.split.standardize(train, P.split.fit_scaler(train, ["Age", "fhr_apen"]), ["Age", "fhr_apen"]), ["Age", "fhr_apen"], "target")
+    order = P.selection_order(train.sparkSession, path).collect()
+    assert [r.step for r in order] == list(range(1, len(path) + 1)) and all(r.gain is None or r.gain > 0 for r in order)
+
+
+def test_nested_validation(matrix):
+    options = P.arguments(["--folds", "2", "--inner-folds", "2", "--n-iter", "1"])
+    spec = trees.ModelSpec("RandomForest", trees.specs()[1].build, {"maxDepth": (2,), "numTrees": (3,)})
+    rows, summary = P.nested_validation(matrix, spec, options)
+    got = rows.collect()
+    assert sorted(r.fold for r in got) == [0, 1] and all(r.auroc > 0.8 for r in got) and sum(r.tp + r.fp + r.fn + r.tn for r in got) == matrix.count()
+    assert summary.first().n_folds == 2
+    with pytest.raises(ValueError, match="targets"):
+        P.nested_validation(matrix.withColumn("target", F.col("window_id") % 2), spec, options)
+
+
+def test_rebuild_and_augmentation(matrix, tmp_path):
+    train, test = matrix.where("cast(record AS int) < 8"), matrix.where("cast(record AS int) >= 8")
+    path, features = str(tmp_path / "best.json"), ["fhr_baseline_std_bpm", "Age"]
+    P.save_parameters(path, {"maxDepth": 2, "numTrees": 5}, name="RandomForest", features=features, threshold=0.5)
+    scored, threshold = P.rebuild(path, train, test)
+    assert threshold == 0.5 and scored.count() == test.count() and scored.where("alert <> (probability >= 0.5)").isEmpty()
+    direct = trees.score(trees.fit_model(trees.specs()[1], {"maxDepth": 2, "numTrees": 5}, train, features, "target"), test)
+    assert sorted(r.probability for r in scored.collect()) == pytest.approx(sorted(r.probability for r in direct.collect()))
+    P.save_parameters(path, {}, name="RandomForest", features=["pH"], threshold=0.5)
+    with pytest.raises(ValueError, match="pH"):
+        P.rebuild(path, train, test)
+    risk = P.risk_profile(scored, "9").collect()
+    assert [r.window_end_min for r in risk] == sorted(r.window_end_min for r in risk) and {r.birth_min for r in risk} == {32.0}
+    made = train.limit(3).union(test.limit(2)).drop("fhr_baseline_std_bpm").withColumns({"source_record": F.col("record"), "record": F.concat("record", F.lit("_boot_0"))})
+    whole, report = P.augmented(train, made, features)
+    r = report.first()
+    assert (r.rows, r.positives + r.negatives) == (3, 3) and whole.count() == train.count() + 3
+    assert whole.where("sample_source = 'synthetic' AND fhr_baseline_std_bpm IS NOT NULL").isEmpty()
+    for other in (None, made.drop("source_record"), made.where("false")):
+        same, report = P.augmented(train, other, features)
+        assert same.count() == train.count() and report.first().rows == 0 and report.first().note
+    named = train.sparkSession.createDataFrame([("GBT - a",), ("GBT",), ("Forest - a",)], "model string")
+    assert [r.model for r in P.models_of(named, "GBT -").collect()] == ["GBT - a"]
 
 
 def test_models(matrix, tmp_path):

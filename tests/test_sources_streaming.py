@@ -67,10 +67,10 @@ def test_monitor_agrees_with_batch(spark, tmp_path):
     q.stop()
     live = {(r.record, r.window_start_min): r for r in spark.table("live").collect()}
     assert len(live) == len(rows)
-    batch = W.add_trends(df, ["record"], "window_start_min", deltas=("value",), streaks=("value",), slopes=("value",)).collect()
+    batch = W.add_trends(df, ["record"], "window_start_min", {"delta": "value"}, {"streak": "value"}, {"slope": "value"}).collect()
     for r in batch:
         x = live[r.record, r.window_start_min]
-        assert (x.delta2, x.falling_streak, round(x.slope, 9)) == (r.delta_value, r.value_falling_streak, round(r.slope_value_30min, 9))
+        assert (x.delta2, x.falling_streak, round(x.slope, 9)) == (r.delta, r.streak, round(r.slope, 9))
     start = W.persistent_start(df.withColumn("alert", F.col("value") >= 6), "alert", "record", "window_start_min")
     for r in start.collect():
         assert live[r.record, 45.0].alert_run_start == r.persistent_start
@@ -86,3 +86,58 @@ def test_event_time_windows(spark, tmp_path):
     batch = S.sliding_means(S.event_time(e), "event_type", "value")
     assert spark.table("slid").select("event_type", "start", "n").exceptAll(batch.select("event_type", "start", "n")).isEmpty()
     assert S.sessions(S.event_time(e), "user_id").agg(F.sum("n")).first()[0] == e.count()
+
+
+def test_headers_and_signals_of_a_folder(spark, tmp_path):
+    from pulsegrid.plans import pipelines
+
+    (tmp_path / "a.hea").write_text("a 2 4 3\n#-- Outcome\n#pH           7.14\n#Apgar5   9\n")
+    (tmp_path / "b.hea").write_text("b 2 4 3\n#pH           x\n")
+    got = {r.record: r for r in files.read_headers(spark, str(tmp_path)).collect()}
+    assert (got["a"].pH, got["a"].Apgar5, got["b"].pH, got["b"].Age) == (7.14, 9.0, None, None)
+    np.save(tmp_path / "a_fhr.npy", np.array([140, np.nan, 142], np.float32))
+    np.save(tmp_path / "a_uc.npy", np.array([10, 11], np.float32))
+    np.save(tmp_path / "b_fhr.npy", np.array([1.0]))
+    (tmp_path / "c_fhr.npy").write_bytes(b"no array")
+    (tmp_path / "c_uc.npy").write_bytes(b"")
+    assert [tuple(r) for r in pipelines.read_signals(spark, str(tmp_path)).collect()] == [("a", [140.0, None], [10.0, 11.0], 4)]
+
+
+def test_wfdb_records(spark, tmp_path):
+    raw = np.array([[14000, 50], [-32768, 100], [14200, -32768]], "<i2")
+    (tmp_path / "a.dat").write_bytes(raw.tobytes())
+    (tmp_path / "a.hea").write_text("a 2 4 3\na.dat 16 100(0)/bpm 12 0 14000 0 0 FHR\na.dat 16 10/nd 12 50 0 0 0 UC\n#pH   7.1\n")
+    (tmp_path / "b.dat").write_bytes(raw.tobytes())
+    (tmp_path / "b.hea").write_text("b 2 4 3\nb.dat 16 100/bpm 12 0 0 0 0 other\nb.dat 16 100(0)/bpm 12 0 0 0 0 my fhr\n")
+    (tmp_path / "c.hea").write_text("c 1 4 3\nc.dat 212 100/bpm 12 0 0 0 0 FHR\n")
+    (tmp_path / "c.dat").write_bytes(b"xx")
+    got = {r.record: r for r in files.read_wfdb(spark, str(tmp_path)).collect()}
+    assert (got["a"].fhr, got["a"].uc, got["a"].fs, got["a"].error) == ([140.0, None, 142.0], [0.0, 5.0, None], 4, None)
+    assert got["b"].fhr == [0.5, 1.0, None] and got["b"].uc is None
+    assert got["c"].fhr is None and "format" in got["c"].error
+
+
+def test_channels_status_and_what_is_left(spark):
+    names = spark.createDataFrame([(["FHR", "UC"],), (["x", "my uc"],), (["x"],)], "n array<string>")
+    assert [tuple(r) for r in names.select(files.channel_of(F.col("n"), "fhr"), files.channel_of(F.col("n"), "uc")).collect()] == [(0, 1), (None, 1), (None, None)]
+    rows = [("a", [1.0], [2.0], False, None, "ok"), ("b", [1.0], [None], False, None, "sin_uc"), ("c", [1.0], [1.0], True, None, "ya_existe"), ("d", None, None, False, "bad", "error")]
+    df = spark.createDataFrame(rows, "record string, fhr array<double>, uc array<double>, known boolean, error string, want string")
+    assert df.where(files.download_status(F.col("fhr"), F.col("uc"), F.col("known"), F.col("error")) != F.col("want")).isEmpty()
+    assert [r.record for r in files.not_yet(df, df.where("record <> 'b'")).collect()] == ["b"]
+    assert [r.record for r in files.first_pairs(df, 2).collect()] == ["a", "b"]
+
+
+def test_csv_with_a_byte_order_mark(spark, tmp_path):
+    df = spark.createDataFrame([(1, "é")], "a int, b string")
+    files.write_csv(df, str(tmp_path / "marked"), mark=True)
+    text = next((tmp_path / "marked").glob("*.csv")).read_bytes()
+    assert text.startswith(b"\xef\xbb\xbf") and text.decode("utf-8-sig").splitlines()[0] == "a,b"
+
+
+def test_curve_bias_and_columns(spark):
+    from pulsegrid.operators import fidelity, tables
+
+    a = spark.createDataFrame([(0, 1.0), (5, 0.5), (9, 0.1)], "lag int, acf double")
+    r = fidelity.curve_bias(a, a.withColumn("acf", F.col("acf") - 0.25), "lag", "acf", [0, 5]).orderBy("lag").collect()
+    assert [(x.lag, x.bias) for x in r] == [(0, -0.25), (5, -0.25)]
+    tables.print_table(a, 1)
