@@ -6,7 +6,7 @@ out of the curves.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .prefix import running_sums
@@ -86,15 +86,23 @@ def cv_auroc(df: DataFrame, features: list[str], label: str, fold: str) -> DataF
     less = lambda i, kind: sum((F.col(f"{c}_{kind}") for j, c in enumerate(names) if j != i), F.lit(0))
     at = lambda i, place: F.min(F.when(less(i, "run") >= place, F.col("x")))
     middle = [((at(i, F.floor((less(i, "all") + 1) / 2)) + at(i, F.floor(less(i, "all") / 2) + 1)) / 2).alias(f"m{i}") for i in range(len(folds))]
-    med = runs.groupBy("feature").agg(*middle)
-    med = med.select("feature", F.explode(F.array(*[F.struct(F.lit(k).alias("fold"), F.col(f"m{i}").alias("m")) for i, k in enumerate(folds)])).alias("v")).select("feature", "v.*")
-    # of each class: sum and number of values, and of missing ones, over the folds that train
+    # a row per feature, and one per feature and fold: small enough for the driver, which keeps the last plan short
+    med = {r.feature: r for r in runs.groupBy("feature").agg(*middle).collect()}
     side = lambda y: F.col("y") == y
-    sums = long.groupBy("feature", "fold").agg(*[e.alias(f"{n}{y}") for y in (0, 1) for n, e in (("s", F.sum(F.when(side(y), F.col("x")))), ("v", F.count(F.when(side(y), F.col("x")))), ("a", F.count_if(side(y))))])
-    every = Window.partitionBy("feature")
-    rest = lambda c: F.coalesce(F.sum(c).over(every), F.lit(0)) - F.coalesce(F.col(c), F.lit(0))
-    sign = sums.select("feature", "fold", *[rest(f"{n}{y}").alias(f"{n}{y}") for y in (0, 1) for n in "sva"]).join(med, ["feature", "fold"], "left")
-    mean = lambda y: F.try_divide(F.col(f"s{y}") + F.when(F.col(f"a{y}") > F.col(f"v{y}"), (F.col(f"a{y}") - F.col(f"v{y}")) * F.col("m")).otherwise(0.0), F.col(f"a{y}"))
-    sign = sign.select("feature", "fold", "m", F.when(mean(1) < mean(0), -1.0).otherwise(1.0).alias("way"))
-    test = long.join(sign, ["feature", "fold"]).withColumn("s", F.coalesce("x", "m") * F.col("way"))
+    parts = (("s", lambda y: F.sum(F.when(side(y), F.col("x")))), ("v", lambda y: F.count(F.when(side(y), F.col("x")))), ("a", lambda y: F.count_if(side(y))))
+    sums = long.groupBy("feature", "fold").agg(*[f(y).alias(f"{n}{y}") for y in (0, 1) for n, f in parts]).collect()
+    known = []
+    for f in features:
+        for i, k in enumerate(folds):
+            rest = [r for r in sums if r.feature == f and r.fold != k]
+            m = med[f][f"m{i}"] if f in med else None
+            mean = []
+            for y in (0, 1):
+                total, values, rows = (sum(r[f"{n}{y}"] or 0 for r in rest) for n in "sva")
+                gaps = (rows - values) * m if rows > values and m is not None else 0.0
+                mean.append((total + gaps) / rows if rows else 0.0)
+            known.append((f, k, m, -1.0 if mean[1] < mean[0] else 1.0))
+    kind = long.schema["fold"].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(known, f"feature string, fold {kind}, m double, way double")
+    test = long.join(table, ["feature", "fold"]).withColumn("s", F.coalesce("x", "m") * F.col("way"))
     return auroc(test.where("s IS NOT NULL"), "s", "y", ["feature", "fold"]).groupBy("feature").agg(F.avg("auroc").alias("auroc_cv"), F.count("auroc").alias("folds"))

@@ -415,7 +415,7 @@ _RANKED = """, f AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY
 
 @query("cv_auroc", _MATRIX + _RANKED)
 def cv_auroc(spark, sf_dir):
-    m = P.group_folds(_matrix(spark, sf_dir, fill=None), "c_custkey", "y", 5)
+    m = P.group_folds(_matrix(spark, sf_dir, fill=None), "c_custkey", "y", 5).cache()  # read several times
     return M.cv_auroc(m, ["bal", "n", "price"], "y", "fold")
 
 
