@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .blocks import lean
+from .workspace import small_batches
 
 #: Distinct pre-tokens whose ids a worker keeps; when full, it starts again.
 CACHE = 150_000
@@ -125,6 +126,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
     encoded each by itself. Other columns are ignored. A vocabulary's size doesn't grow with the data, so
     it goes to the workers whole; no row leaves its partition.
     """
+    small_batches(docs.sparkSession)
     pieces = read_ranks(vocabulary)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids

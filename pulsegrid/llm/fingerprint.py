@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Words, lean, mix
 from .ranges import range_bounds, range_of
+from .workspace import small_batches
 
 K = 64
 #: Bytes of text that are fingerprinted at once.
@@ -158,6 +159,7 @@ def fingerprints(docs: DataFrame, k: int = K, id_col: str = "doc_id", text_col:
     Texts are shuffled once, to ranges of (id, hash of text) of about equal bytes; a range's last document gets the
     next range's first as a row of its own, one per range.
     """
+    small_batches(docs.sparkSession)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema[id_col].dataType.simpleString()
     # null ids come first: below every other key

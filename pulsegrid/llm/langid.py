@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import lean
+from .workspace import small_batches
 
 UNKNOWN = "und"
 #: Bounds of what is learned: languages (more are an error), and hash cells per language with a document each.
@@ -83,6 +84,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
     goes before the names of the four new columns, should `keep` have columns of those names. Rows stay in
     their partition; the dictionaries are of bounded size (see learn).
     """
+    small_batches(docs.sparkSession)
     langs = list(dictionaries)
     shared = docs.sparkSession.sparkContext.broadcast([dictionaries[k] for k in langs])
     columns = [id_col, *[c for c in keep if c != id_col]]

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import lean
 from .ranges import range_bounds, range_of
+from .workspace import small_batches
 
 #: A file is closed at the first record after so many compressed bytes.
 FILE_BYTES = 64 << 20
@@ -102,6 +103,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
     is found out on digests alone and arrives in the shard as a row of its own, right before its page.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = F.coalesce(F.col(payload_col).cast("binary"), F.lit("").cast("binary"))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"), body.alias("body")).withColumn("tie", F.xxhash64("body"))

@@ -9,6 +9,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What crosses to Python at once, in rows and bytes. Spark's defaults (10,000 rows, 64 MiB) would be held several times over, by each task of an executor and its worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Set BATCHES for the session, but for what the application or the cluster has set itself."""
+    own = spark.sparkContext.getConf()
+    for key, value in BATCHES.items():
+        if not own.contains(key):
+            spark.conf.set(key, value)
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -26,6 +36,7 @@ class Workspace:
     """A folder of its own for one run of an operator. A lost executor costs only the unfinished step: what is saved has no lineage."""
 
     def __init__(self, spark: SparkSession, name: str):
+        small_batches(spark)
         self.spark, self.path = spark, f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
