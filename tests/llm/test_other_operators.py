@@ -4,15 +4,17 @@ import hashlib
 import importlib.util
 import math
 import random
+import unicodedata
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from pulsegrid.llm import chat, embed_dedup, queries, url_filter, warc
+from pulsegrid.llm import chat, embed_dedup, langid, queries, url_filter, warc
 from pulsegrid.llm.components import components as connect
 from pulsegrid.llm.ranges import range_bounds, range_of
 from pulsegrid.llm.workspace import Workspace
@@ -457,7 +459,10 @@ def test_pipeline_stages(spark):
     for d, r in got.items():
         assert hashlib.sha256(b" ".join(words(r.text))).hexdigest() == want[d][2]
         assert r.n_chars == len(r.text)
-    # the mix only repeats or drops whole rows, and the last stage encodes each of them
+    # the mix: every row as often as its step along its source crosses an integer
+    rows = [(r.doc_id, r.text, r.source) for r in seen[3][1].collect()]
+    want = {d: n for d, n in copies_truth(rows).items() if n}
+    assert {r.doc_id: r["count"] for r in seen[3][2].groupBy("doc_id").count().collect()} == want
     assert seen[3][2].select("doc_id", "text").distinct().join(seen[3][1], ["doc_id", "text"], "left_anti").isEmpty()
     import public_tokenizers as P
 
@@ -465,5 +470,51 @@ def test_pipeline_stages(spark):
     texts = {r.doc_id: r.text for r in seen[3][2].collect()}
     for r in seen[4][2].collect():
         assert codec.decode(np.array(r.ids, np.uint32).tobytes()).decode() == texts[r.doc_id]
-    kept = seen[0][2].count() / docs.count()
-    assert kept > 0.97  # clean documents stay
+    # language ID: what plain compression with the learned dictionaries is sure of
+    model = langid.learn(docs.where(~langid.held_out()))
+    sure = {r.doc_id for r in docs.select("doc_id", "text").collect() if language_truth(r.text, model)}
+    assert {r.doc_id for r in seen[0][2].collect()} == sure and len(sure) > 0.97 * docs.count()
+
+
+def language_truth(text, model):
+    """Whether the best language is ahead by the least margin."""
+    if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return False
+    data, sizes = text.lower().encode(), []
+    for dictionary in model.values():
+        p = zstandard.ZstdCompressionParameters.from_level(6, strategy=zstandard.STRATEGY_BTLAZY2, min_match=3, source_size=8192, dict_size=len(dictionary), write_content_size=0, write_checksum=0, write_dict_id=0)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+        sizes.append(sum(len(c.compress(data[i : i + 8192])) for i in range(0, len(data), 8192)))
+    first, second = sorted(sizes)[:2]
+    return (second - first) / first >= 0.002
+
+
+def copies_truth(rows):
+    """How often the mix takes each document."""
+    from .helpers import words
+    from .test_text_operators import mix_targets
+
+    head = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    size = {d: len(words(t)) for d, t, _ in rows}
+    total = {}
+    for d, _, s in rows:
+        total[s] = total.get(s, 0) + size[d]
+    target, parts, out = mix_targets(total, (5.0, 2.0, 1.0)), max(16, math.ceil(math.sqrt(len(rows)) / 4)), {}
+    for source in total:
+        at = head(f"mix|{source or ''}|{'true' if source is None else 'false'}") / 2**32
+        rate = target[source] / total[source] if total[source] else 0.0
+        key = lambda d: (len(str(size[d])) * 10 + int(str(size[d])[0]), head(str(d)) % parts, size[d], d)
+        for k, d in enumerate(sorted((d for d, _, s in rows if s == source), key=key), 1):
+            out[d] = math.floor(at + rate * k) - math.floor(at + rate * (k - 1))
+    return out
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="no pipeline here")
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline as pipeline
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    docs.where("false").write.parquet(str(tmp_path / "documents.parquet"))
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
+    bare = docs.limit(5).drop("n_chars")
+    assert pipeline.substring_dedup(spark, bare, DIR).columns == bare.columns
