@@ -258,6 +258,16 @@ def histogram(df: DataFrame, x: str, lo: float, width: float, bins: int) -> Data
     return axis.join(counts, "bin", "left").na.fill(0, ["n"])
 
 
+def box(df: DataFrame, x: str, key: str, reach: float = 1.5) -> DataFrame:
+    """Per group what a box plot needs: quartiles, the outermost values within `reach` interquartile ranges of the box, and how many lie beyond. Exact; groups may be large."""
+    q = exact_percentiles(df, x, [0.25, 0.5, 0.75], [key]).select(key, *[F.col("q")[i].alias(n) for i, n in enumerate(("q1", "median", "q3"))])
+    q = q.withColumns({"__lo": F.col("q1") - reach * (F.col("q3") - F.col("q1")), "__hi": F.col("q3") + reach * (F.col("q3") - F.col("q1"))})
+    d = df.where(F.col(x).isNotNull()).select(key, F.col(x).cast("double").alias("__x")).join(q, key)
+    within = F.col("__x").between(F.col("__lo"), F.col("__hi"))
+    ends = [F.min(F.when(within, F.col("__x"))).alias("low"), F.max(F.when(within, F.col("__x"))).alias("high"), F.count_if(~within).alias("beyond")]
+    return d.groupBy(key, "q1", "median", "q3").agg(*ends)
+
+
 def quantile_pairs(df: DataFrame, a: str, b: str, steps: int) -> DataFrame:
     """Exact quantiles of two columns side by side: what a Q-Q plot needs."""
     qs = [i / steps for i in range(steps + 1)]

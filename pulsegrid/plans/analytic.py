@@ -499,16 +499,43 @@ def welch_psd(spark, sf_dir):
     return D.mean_curve(p.select(F.posexplode("psd").alias("bin", "psd")), "bin", "psd")
 
 
-@query("cross_correlation", """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 32)::DOUBLE[] AS a, list_slice(embedding, 33, 64)::DOUBLE[] AS b FROM embeddings),
+_XCORR = """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 32)::DOUBLE[] AS a, list_slice(embedding, 33, 64)::DOUBLE[] AS b FROM embeddings),
  p AS (SELECT vec_id, unnest(range(0, 32)) AS i, unnest(a) - list_avg(a) AS x, unnest(b) - list_avg(b) AS y FROM e), k AS (SELECT CAST(unnest(range(-4, 5)) AS INT) AS lag),
- d AS (SELECT vec_id, stddev_pop(x) * stddev_pop(y) * 32 AS d FROM p GROUP BY vec_id)
- SELECT p.vec_id, k.lag, sum(p.x * q.y) / any_value(d.d) AS xcorr FROM p JOIN k ON true JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i - k.lag JOIN d ON d.vec_id = p.vec_id GROUP BY 1, 2""")
+ d AS (SELECT vec_id, stddev_pop(x) * stddev_pop(y) * 32 AS d FROM p GROUP BY vec_id),
+ c AS (SELECT p.vec_id, k.lag, sum(p.x * q.y) / any_value(d.d) AS xcorr FROM p JOIN k ON true JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i - k.lag JOIN d ON d.vec_id = p.vec_id GROUP BY 1, 2)"""
+
+
+@query("cross_correlation", _XCORR + " SELECT vec_id, lag, xcorr FROM c")
 def cross_correlation(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("a"), F.slice("embedding", 33, 32).alias("b"))
     x = X.pair_kernel(e, ["vec_id"], "a", "b", lambda x, y: K.cross_correlation(x, y, 4), "xcorr")
     return x.select("vec_id", F.posexplode("xcorr").alias("k", "xcorr")).select("vec_id", (F.col("k") - 4).alias("lag"), "xcorr")
 
 
+@query("plot_cross_correlation", _XCORR + " SELECT lag, avg(xcorr) AS xcorr FROM c GROUP BY lag")
+def plot_cross_correlation(spark, sf_dir):
+    """The mean curve over all pairs of channels."""
+    return D.mean_curve(cross_correlation(spark, sf_dir), "lag", "xcorr")
+
+
+@query("plot_acf_bias", SERIES + _LAGS.format(where=" WHERE x IS NOT NULL", lags=8) + """, o AS (SELECT lag, avg(acf) FILTER (user_id % 2 = 0) AS original, avg(acf) FILTER (user_id % 2 = 1) AS synthetic FROM a WHERE n > 8 GROUP BY lag)
+ SELECT lag, original, synthetic, synthetic - original AS bias FROM o WHERE lag IN (0, 1, 2, 4, 8)""")
+def plot_acf_bias(spark, sf_dir):
+    """Mean autocorrelation of two groups of series, and its bias at some lags."""
+    a = S.autocorrelation(series(spark, sf_dir), "x", "user_id", 8, drop_missing=True, long_enough=True)
+    curve = lambda odd: D.mean_curve(a.where(F.col("user_id") % 2 == odd), "lag", "acf")
+    return D.curve_bias(curve(0), curve(1), "lag", "acf", [0, 1, 2, 4, 8])
+
+
+@query("plot_importance")
+def plot_importance(spark, sf_dir):
+    """Features of a fixed forest by falling importance."""
+    m, names = _matrix(spark, sf_dir), ["bal", "n", "price"]
+    spec = next(s for s in trees.specs() if s.name == "RandomForest")
+    model = trees.fit_model(spec, {"maxDepth": 3, "numTrees": 10}, m, names, "y")
+    return spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(trees.importances(model, names))], "rank int, feature string, importance double")
+
+
 @query("dfa", """WITH v AS (SELECT event_id // 512 AS record, value, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_id // 512) AS n, avg(value) OVER (PARTITION BY event_id // 512) AS mu FROM events WINDOW w AS (PARTITION BY event_id // 512 ORDER BY ts, event_id)),
  p AS (SELECT record, t, n, sum(value - mu) OVER (PARTITION BY record ORDER BY t) AS y FROM v WHERE n >= 256), s AS (SELECT unnest([4, 8, 16, 32, 64, 128]) AS s),
  g AS (SELECT record, s, (t - 1) // s AS b, regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t) AS rss, count(*) AS k FROM p, s WHERE (t - 1) // s < n // s GROUP BY 1, 2, 3),

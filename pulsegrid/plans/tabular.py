@@ -366,6 +366,13 @@ def plot_quantiles(spark, sf_dir):
     return T.quantile_pairs(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 20)
 
 
+@query("plot_box", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
+ d AS (SELECT e.event_type, q1, median, q3, value, value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS within FROM events e JOIN q ON q.event_type = e.event_type WHERE value IS NOT NULL)
+ SELECT event_type, q1, median, q3, min(value) FILTER (within) AS low, max(value) FILTER (within) AS high, count(*) FILTER (NOT within) AS beyond FROM d GROUP BY event_type, q1, median, q3""")
+def plot_box(spark, sf_dir):
+    return T.box(table(spark, sf_dir, "events"), "value", "event_type")
+
+
 @query("summary_document", "SELECT to_json({n: count(*), open: count(*) FILTER (o_orderstatus = 'O'), \"by\": {low: min(o_orderkey), high: max(o_orderkey)}})::VARCHAR AS document FROM orders")
 def summary_document(spark, sf_dir):
     o = table(spark, sf_dir, "orders")

@@ -175,6 +175,13 @@ def test_forward_selection_against_newton(spark):
     assert [r[:2] for r in got] == [r[:2] for r in path] and [r[2] for r in got] == pytest.approx([r[2] for r in path])
 
 
+def test_importances_fall_and_add_up(spark):
+    got = sorted(rows(spark, "plot_importance"), key=lambda r: r["rank"])
+    assert [r.importance for r in got] == sorted((r.importance for r in got), reverse=True) and sum(r.importance for r in got) == pytest.approx(1)
+    # the label depends on the balance, the others only fill splits
+    assert {r.feature for r in got} == {"bal", "n", "price"} and got[0].feature == "bal"
+
+
 def test_every_query_has_a_test():
     text = Path(__file__).read_text() + (Path(__file__).parent / "test_pipelines.py").read_text()
     assert all(f'"{name}"' in text for name in set(QUERIES) - set(ORACLE))
