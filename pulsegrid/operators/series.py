@@ -65,11 +65,26 @@ def interpolate(df: DataFrame, x: str, key: str, out: str, at: str = "i", max_ga
     return df.withColumn(out, filled).drop("__p", "__pi", "__n", "__ni")
 
 
-def moving(df: DataFrame, x: str, key: str, out: str, lo: int, hi: int, kind: str = "avg", at: str = "i") -> DataFrame:
-    """A moving average or exact median over the rows from lo to hi around each; the frame is cut at the ends."""
-    w = ordered(key, at).rowsBetween(lo, hi)
-    f = {"avg": F.avg(x), "median": F.percentile(x, F.lit(0.5))}[kind]
-    return df.withColumn(out, f.over(w))
+def moving(df: DataFrame, x: str, key: str, out: str, lo: int, hi: int, kind: str = "avg", at: str = "i", hold: bool = False) -> DataFrame:
+    """A moving average or exact median over the rows from lo to hi around each.
+
+    Missing samples don't count, and at a record's ends the frame is cut. With `hold`, for a series without gaps, it
+    is filled up with the end's own sample instead, as filters do that hold the nearest sample.
+    """
+    w = ordered(key, at)
+    near, whole = w.rowsBetween(lo, hi), w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    if not hold:
+        return df.withColumn(out, {"avg": F.avg(x), "median": F.percentile(x, F.lit(0.5))}[kind].over(near))
+    place, size = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy(key))
+    before, after = F.greatest(F.lit(-lo) - place, F.lit(0)), F.greatest(place + hi - (size - 1), F.lit(0))
+    ends = {"__first": F.first(x).over(whole), "__last": F.last(x).over(whole), "__before": before.cast("int"), "__after": after.cast("int")}
+    df = df.withColumns(ends)
+    if kind == "avg":
+        value = (F.sum(x).over(near) + F.col("__before") * F.col("__first") + F.col("__after") * F.col("__last")) / F.lit(float(hi - lo + 1))
+    else:
+        all_of = F.array_sort(F.concat(F.array_repeat("__first", F.col("__before")), F.collect_list(x).over(near), F.array_repeat("__last", F.col("__after"))))
+        value = (F.get(all_of, F.lit((hi - lo) // 2)) + F.get(all_of, F.lit((hi - lo + 1) // 2))) / 2
+    return df.withColumn(out, value).drop(*ends)
 
 
 def sustained_events(df: DataFrame, delta: str, key: str, threshold: float, min_len: int, above: bool, at: str = "i") -> DataFrame:

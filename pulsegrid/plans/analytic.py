@@ -72,6 +72,16 @@ def moving_median(spark, sf_dir):
     return S.moving(series(spark, sf_dir).select("user_id", "i", "x"), "x", "user_id", "base", -3, 3, "median").drop("x")
 
 
+_HELD = SERIES + """, e AS (SELECT user_id, i, value, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER a AS f, last_value(value) OVER a AS l FROM s WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ h AS (SELECT user_id, i, greatest(20 - i, 0) AS b, greatest(i + 19 - (n - 1), 0) AS a, f, l, value FROM e)
+ SELECT user_id, i, round((sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) + b * f + a * l) / 40.0::DOUBLE, 8) AS smooth FROM h"""
+
+
+@query("moving_average_held", _HELD)
+def moving_average_held(spark, sf_dir):
+    return S.moving(series(spark, sf_dir).select("user_id", "i", "value"), "value", "user_id", "smooth", -20, 19, hold=True).select("user_id", "i", F.round("smooth", 8).alias("smooth"))
+
+
 @query("sliding_bounds", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id) SELECT user_id, CAST(unnest(range(0, n - 24 + 1, 6)) AS INT) AS start, CAST(unnest(range(0, n - 24 + 1, 6)) + 24 AS INT) AS \"end\" FROM n WHERE n >= 24")
 def sliding_bounds(spark, sf_dir):
     n = series(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))

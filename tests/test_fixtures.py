@@ -56,6 +56,14 @@ def test_gap_fill(spark):
     assert column(again, "z") == column(again, "y")
 
 
+def test_filters_that_hold_the_ends(spark):
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 30):
+        x = rng.standard_normal(n)
+        assert column(S.moving(frame(spark, x), "x", "k", "y", -4, 3, hold=True), "y") == pytest.approx(K.moving_average(x, 8).tolist())
+        assert column(S.moving(frame(spark, x), "x", "k", "y", -3, 3, "median", hold=True), "y") == pytest.approx(K.median_filter(x, 7).tolist())
+
+
 def test_window_bounds(spark):
     n = spark.createDataFrame([("a", 7300), ("b", 4800), ("c", 4799)], "k string, n int")
     got = sorted((r.k, r.start, r.end) for r in S.window_bounds(n, "k", "n", 4800, 1200).collect())
