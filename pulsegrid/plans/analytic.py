@@ -482,6 +482,17 @@ def signal_quality(spark, sf_dir):
     return X.extract(_faulty(spark, sf_dir), ["record"]).select("record", "signal_duration_min", "fhr_invalid_pct", "uc_invalid_pct")
 
 
+_SIDE = "avg({x}) AS {n}_mean, stddev_pop({x}) AS {n}_std, min({x}) AS {n}_min, max({x}) AS {n}_max, (count(*) - count({x})) * 100.0::DOUBLE / count(*) AS {n}_nan_pct"
+
+
+@query("signal_stats", SERIES + ", g AS (SELECT user_id, x / 4 + 90 AS f, x / 10 AS u FROM s) SELECT CAST(user_id AS VARCHAR) AS record, count(*) AS n_samples, count(*) / 240.0::DOUBLE AS duration_min, 4 AS fs_hz, count(u) > 0 AS has_uc, " + _SIDE.format(x="f", n="fhr") + ", " + _SIDE.format(x="u", n="uc") + " FROM g GROUP BY user_id")
+def signal_stats(spark, sf_dir):
+    """Statistics of both channels from arrays."""
+    from .pipelines import signal_stats as stats
+
+    return stats(arrays(spark, sf_dir))
+
+
 @query("window_features")
 def window_features(spark, sf_dir):
     """Features of windows of 12 s by 3 s over the users' series."""

@@ -373,6 +373,24 @@ def plot_box(spark, sf_dir):
     return T.box(table(spark, sf_dir, "events"), "value", "event_type")
 
 
+@query("rename_and_constants", "SELECT s_suppkey AS record, s_acctbal AS balance, 'real' AS sample_source, NULL::INT AS bootstrap_idx FROM supplier")
+def rename_and_constants(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").withColumnsRenamed({"s_suppkey": "record", "s_acctbal": "balance"})
+    return s.select("record", "balance", F.lit("real").alias("sample_source"), F.lit(None).cast("int").alias("bootstrap_idx"))
+
+
+@query("originals", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE NOT coalesce(l_returnflag = 'R', true)")
+def originals(spark, sf_dir):
+    """The rows that a flag doesn't mark; rows without the flag are on neither side."""
+    return table(spark, sf_dir, "lineitem").withColumn("is_synthetic", F.col("l_returnflag") == "R").where(~F.col("is_synthetic")).select("l_orderkey", "l_linenumber")
+
+
+@query("record_paths", "SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS record FROM customer")
+def record_paths(spark, sf_dir):
+    path = F.concat(F.lit("file:///data.v1/raw/"), F.col("c_custkey").cast("string"), F.lit("_fhr.npy"))
+    return table(spark, sf_dir, "customer").select("c_custkey", C.record_of_path(path).alias("record"))
+
+
 @query("summary_document", "SELECT to_json({n: count(*), open: count(*) FILTER (o_orderstatus = 'O'), \"by\": {low: min(o_orderkey), high: max(o_orderkey)}})::VARCHAR AS document FROM orders")
 def summary_document(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
