@@ -34,8 +34,8 @@ from .components import components
 from .shared import bucket_count, shared_features
 from .workspace import Workspace
 
-#: Entries of a block. The rows of one n-gram that have more are dealt to several parts, and all pairs of parts are multiplied.
-BLOCK = 1_000_000
+#: Entries of a block, each row counting as ROW entries more. The rows of one n-gram that have more are dealt to several parts, and all pairs of parts are multiplied.
+BLOCK, ROW = 1_000_000, 100
 #: Entries of a block of the first round, which needn't meet all pairs: a larger one is split, and its least row stands in every part.
 COPIES = 16_384
 #: Entries that a task multiplies at once: several small blocks.
@@ -166,7 +166,7 @@ def _copies_first(rows: DataFrame, ws: Workspace, num: int, den: int, block: int
     block = min(block, COPIES)
     minima = F.array(*[F.array_min(F.transform("tokens", lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in SALTS])
     met = rows.select("entity", "n", "tokens", F.explode(minima).alias("blk"))
-    heavy = met.groupBy("blk").agg(F.sum(F.size("tokens")).alias("w"), F.min("entity").alias("hub")).where(F.col("w") > block)
+    heavy = met.groupBy("blk").agg(F.sum(F.size("tokens") + ROW).alias("w"), F.min("entity").alias("hub")).where(F.col("w") > block)
     heavy = ws.save(heavy.select("blk", "hub", F.expr(f"cast(w div {block} + 1 as int)").alias("parts")), "heavy")
     own = F.pmod(F.xxhash64("entity"), F.col("parts").cast("bigint")).cast("int")
     part = F.when(F.col("parts").isNull(), F.array(F.lit(0))).when(F.col("entity") == F.col("hub"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
@@ -177,7 +177,7 @@ def _copies_first(rows: DataFrame, ws: Workspace, num: int, den: int, block: int
 def _by_prefix(rows: DataFrame, classes: DataFrame, ws: Workspace, num: int, den: int, block: int) -> DataFrame:
     """Links of the second round, between the classes of the first."""
     length = (F.size("tokens") - F.col("least") + 1).cast("int")
-    named = rows.select("entity", F.size("tokens").alias("w"), F.slice("tokens", F.lit(1), length).alias("prefix")).join(classes, "entity", "left")
+    named = rows.select("entity", (F.size("tokens") + ROW).alias("w"), F.slice("tokens", F.lit(1), length).alias("prefix")).join(classes, "entity", "left")
     prefix = named.select("entity", "w", F.coalesce("root", "entity").alias("label"), F.explode("prefix").alias("t"))
     open_ = prefix.groupBy("t").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("entity").alias("b"), F.sum("w").alias("tw"), F.count("*").alias("m"), F.sum(F.xxhash64("entity").cast("decimal(38,0)")).alias("who")).where("lo < hi")
     # n-grams of just the same rows are one
