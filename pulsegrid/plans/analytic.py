@@ -30,15 +30,18 @@ def clean_range(spark, sf_dir):
 
 _FILL = """, f AS (SELECT *, last_value(x IGNORE NULLS) OVER b AS p, last_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER b AS pi,
  first_value(x IGNORE NULLS) OVER a AS n, first_value(CASE WHEN x IS NOT NULL THEN i END IGNORE NULLS) OVER a AS ni FROM s
- WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+ WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY i ROWS
+   BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query("interpolate_all", SERIES + _FILL + " SELECT user_id, i, CASE WHEN x IS NOT NULL THEN x WHEN p IS NOT NULL AND n IS NOT NULL THEN p + (n - p) * (i - pi) / (ni - pi) ELSE coalesce(p, n, 140) END AS filled FROM f")
+@query("interpolate_all", SERIES + _FILL + " SELECT user_id, i, CASE WHEN x IS NOT NULL THEN x WHEN p IS NOT NULL AND n IS NOT NULL THEN p + (n - p) * (i "
+    "- pi) / (ni - pi) ELSE coalesce(p, n, 140) END AS filled FROM f")
 def interpolate_all(spark, sf_dir):
     return S.interpolate(series(spark, sf_dir).select("user_id", "i", "x"), "x", "user_id", "filled", on_all_missing=140.0).drop("x")
 
 
-@query("interpolate_short_gaps", SERIES + _FILL + " SELECT user_id, i, CASE WHEN x IS NOT NULL THEN x WHEN p IS NOT NULL AND n IS NOT NULL AND ni - pi - 1 <= 1 THEN p + (n - p) * (i - pi) / (ni - pi) END AS filled FROM f")
+@query("interpolate_short_gaps", SERIES + _FILL + " SELECT user_id, i, CASE WHEN x IS NOT NULL THEN x WHEN p IS NOT NULL AND n IS NOT NULL AND ni - pi - 1 <= 1 "
+    "THEN p + (n - p) * (i - pi) / (ni - pi) END AS filled FROM f")
 def interpolate_short_gaps(spark, sf_dir):
     return S.interpolate(series(spark, sf_dir).select("user_id", "i", "x"), "x", "user_id", "filled", max_gap=1).drop("x")
 
@@ -51,12 +54,15 @@ def gap_runs(spark, sf_dir):
     return S.gap_runs(series(spark, sf_dir), "x", "user_id")
 
 
-@query("gap_summary", SERIES + _RUNS.format(e="x IS NULL", x="x") + ", l AS (SELECT user_id, count(*) AS n FROM g WHERE hit GROUP BY user_id, isl) SELECT u.user_id, count(n) AS n_gaps, count(*) FILTER (n > 1) AS n_long, coalesce(max(n), 0) AS max_gap FROM (SELECT DISTINCT user_id FROM s) u LEFT JOIN l USING (user_id) GROUP BY u.user_id")
+@query("gap_summary", SERIES + _RUNS.format(e="x IS NULL", x="x") + ", l AS (SELECT user_id, count(*) AS n FROM g WHERE hit GROUP BY user_id, isl) SELECT u.user_id, count(n) AS "
+    "n_gaps, count(*) FILTER (n > 1) AS n_long, coalesce(max(n), 0) AS max_gap FROM (SELECT DISTINCT user_id FROM "
+    "s) u LEFT JOIN l USING (user_id) GROUP BY u.user_id")
 def gap_summary(spark, sf_dir):
     return S.gap_summary(series(spark, sf_dir), "x", "user_id", 1)
 
 
-@query("sustained_events", SERIES + _RUNS.format(e="value - 250 <= -15", x="value - 250") + " SELECT user_id, min(i) AS start, max(i) + 1 AS \"end\", arg_min(i, (v, i)) AS peak, -min(v) AS amplitude FROM g WHERE hit GROUP BY user_id, isl HAVING count(*) >= 3")
+@query("sustained_events", SERIES + _RUNS.format(e="value - 250 <= -15", x="value - 250") + " SELECT user_id, min(i) AS start, max(i) + 1 AS \"end\", arg_min(i, (v, i)) AS peak, -min(v) AS amplitude "
+    "FROM g WHERE hit GROUP BY user_id, isl HAVING count(*) >= 3")
 def sustained_events(spark, sf_dir):
     d = series(spark, sf_dir).withColumn("d", F.col("value") - 250)
     return S.sustained_events(d, "d", "user_id", 15, 3, above=False)
@@ -72,9 +78,11 @@ def moving_median(spark, sf_dir):
     return S.moving(series(spark, sf_dir).select("user_id", "i", "x"), "x", "user_id", "base", -3, 3, "median").drop("x")
 
 
-_HELD = SERIES + """, e AS (SELECT user_id, i, value, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER a AS f, last_value(value) OVER a AS l FROM s WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+_HELD = SERIES + """, e AS (SELECT user_id, i, value, count(*) OVER (PARTITION BY user_id) AS n, first_value(value) OVER a AS f, last_value(value) OVER a AS l
+   FROM s WINDOW a AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
  h AS (SELECT user_id, i, greatest(20 - i, 0) AS b, greatest(i + 19 - (n - 1), 0) AS a, f, l, value FROM e)
- SELECT user_id, i, round((sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) + b * f + a * l) / 40.0::DOUBLE, 8) AS smooth FROM h"""
+ SELECT user_id, i, round((sum(value) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 20 PRECEDING AND 19 FOLLOWING) + b * f + a * l) /
+   40.0::DOUBLE, 8) AS smooth FROM h"""
 
 
 @query("moving_average_held", _HELD)
@@ -82,15 +90,18 @@ def moving_average_held(spark, sf_dir):
     return S.moving(series(spark, sf_dir).select("user_id", "i", "value"), "value", "user_id", "smooth", -20, 19, hold=True).select("user_id", "i", F.round("smooth", 8).alias("smooth"))
 
 
-@query("sliding_bounds", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id) SELECT user_id, CAST(unnest(range(0, n - 24 + 1, 6)) AS INT) AS start, CAST(unnest(range(0, n - 24 + 1, 6)) + 24 AS INT) AS \"end\" FROM n WHERE n >= 24")
+@query("sliding_bounds", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id) SELECT user_id, CAST(unnest(range(0, n - 24 + "
+    "1, 6)) AS INT) AS start, CAST(unnest(range(0, n - 24 + 1, 6)) + 24 AS INT) AS \"end\" FROM n WHERE n >= 24")
 def sliding_bounds(spark, sf_dir):
     n = series(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n"))
     return S.window_bounds(n, "user_id", "n", 24, 6)
 
 
 @query("window_quality_filter", SERIES + """, n AS (SELECT user_id, count(*) AS n FROM s GROUP BY user_id), b AS (SELECT user_id, unnest(range(0, n - 24 + 1, 6)) AS start FROM n WHERE n >= 24),
- q AS (SELECT b.user_id, b.start, count(*) FILTER (s.x IS NULL) * 100.0::DOUBLE / count(*) AS x_invalid_pct FROM b JOIN s ON s.user_id = b.user_id AND s.i >= b.start AND s.i < b.start + 24 GROUP BY 1, 2)
- SELECT user_id, start, x_invalid_pct, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS INT) AS window_id FROM q WHERE x_invalid_pct <= 16""")
+ q AS (SELECT b.user_id, b.start, count(*) FILTER (s.x IS NULL) * 100.0::DOUBLE / count(*) AS x_invalid_pct FROM b JOIN s ON s.user_id =
+   b.user_id AND s.i >= b.start AND s.i < b.start + 24 GROUP BY 1, 2)
+ SELECT user_id, start, x_invalid_pct, CAST(row_number() OVER (PARTITION BY user_id ORDER BY start) - 1 AS INT) AS window_id FROM q WHERE
+   x_invalid_pct <= 16""")
 def window_quality_filter(spark, sf_dir):
     return S.quality_windows(series(spark, sf_dir).select("user_id", "i", "x"), "user_id", 24, 6, ["x"], 16)
 
@@ -109,8 +120,11 @@ def nearest_event_join(spark, sf_dir):
 
 
 @query("deceleration_classes", SERIES + """, e AS (SELECT user_id, i FROM s WHERE event_type = 'error'), p AS (SELECT user_id, i AS p FROM s WHERE event_type = 'purchase'),
- n AS (SELECT e.user_id, e.i, (e.i - arg_min(p.p, (abs(p.p - e.i), p.p))) * 5.0::DOUBLE AS lag FROM e LEFT JOIN p ON p.user_id = e.user_id GROUP BY 1, 2)
- SELECT user_id, count(*) FILTER (abs(lag) <= 15) AS early, count(*) FILTER (lag > 15 AND lag <= 90) AS late, count(*) - count(*) FILTER (abs(lag) <= 15) - count(*) FILTER (lag > 15 AND lag <= 90) AS variable, avg(lag) AS lag_mean_s, median(lag) AS lag_median_s FROM n GROUP BY user_id""")
+ n AS (SELECT e.user_id, e.i, (e.i - arg_min(p.p, (abs(p.p - e.i), p.p))) * 5.0::DOUBLE AS lag FROM e LEFT JOIN p ON p.user_id = e.user_id
+   GROUP BY 1, 2)
+ SELECT user_id, count(*) FILTER (abs(lag) <= 15) AS early, count(*) FILTER (lag > 15 AND lag <= 90) AS late, count(*) - count(*) FILTER
+   (abs(lag) <= 15) - count(*) FILTER (lag > 15 AND lag <= 90) AS variable, avg(lag) AS lag_mean_s, median(lag) AS lag_median_s FROM n
+   GROUP BY user_id""")
 def deceleration_classes(spark, sf_dir):
     n = nearest_event_join(spark, sf_dir).withColumn("lag", (F.col("i") - F.col("nearest")) * 5.0)
     return S.decelerations(n, "user_id", "lag")
@@ -121,11 +135,13 @@ def coarse_grain(spark, sf_dir):
     return S.block_stat(series(spark, sf_dir), "x", "user_id", 4)
 
 
-_LAGS = """, c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS i, x - avg(x) OVER (PARTITION BY user_id) AS c, count(*) OVER (PARTITION BY user_id) AS n FROM s{where}),
+_LAGS = """, c AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY i) - 1 AS i, x - avg(x) OVER (PARTITION BY user_id) AS c, count(*)
+   OVER (PARTITION BY user_id) AS n FROM s{where}),
  k AS (SELECT CAST(unnest(range(0, {lags} + 1)) AS INT) AS lag),
  m AS (SELECT a.user_id, k.lag, avg(a.c * b.c) AS m FROM c a JOIN k ON true JOIN c b ON b.user_id = a.user_id AND b.i = a.i - k.lag GROUP BY 1, 2),
  a AS (SELECT u.user_id, k.lag, u.n, CASE WHEN k.lag >= u.n OR z.m = 0 THEN 0 ELSE m.m / z.m END AS acf
-  FROM (SELECT DISTINCT user_id, n FROM c) u JOIN k ON true LEFT JOIN m ON m.user_id = u.user_id AND m.lag = k.lag LEFT JOIN m z ON z.user_id = u.user_id AND z.lag = 0)"""
+  FROM (SELECT DISTINCT user_id, n FROM c) u JOIN k ON true LEFT JOIN m ON m.user_id = u.user_id AND m.lag = k.lag LEFT JOIN m z ON
+   z.user_id = u.user_id AND z.lag = 0)"""
 
 
 @query("acf", SERIES + _LAGS.format(where="", lags=8) + " SELECT user_id, lag, acf FROM a")
@@ -139,7 +155,8 @@ def mean_acf(spark, sf_dir):
 
 
 _BLOCK = """, b AS (SELECT user_id, min(lag) AS lag FROM a WHERE lag > 0 AND abs(acf) < 0.05 GROUP BY user_id)
- SELECT a.user_id, CAST(CASE WHEN any_value(a.n) < 8 THEN 4 ELSE coalesce(greatest(least(2 * any_value(b.lag), 20), 4), 20) END AS INT) AS block FROM a LEFT JOIN b USING (user_id) GROUP BY a.user_id"""
+ SELECT a.user_id, CAST(CASE WHEN any_value(a.n) < 8 THEN 4 ELSE coalesce(greatest(least(2 * any_value(b.lag), 20), 4), 20) END AS INT) AS
+   block FROM a LEFT JOIN b USING (user_id) GROUP BY a.user_id"""
 
 
 @query("optimal_block", SERIES + _LAGS.format(where=" WHERE x IS NOT NULL", lags=20) + _BLOCK)
@@ -164,25 +181,32 @@ def lag2_delta(spark, sf_dir):
 
 
 @query("falling_streak", SERIES + """, d AS (SELECT user_id, i, CASE WHEN x < lag(x) OVER (PARTITION BY user_id ORDER BY i) THEN 1 ELSE 0 END AS d FROM s),
- g AS (SELECT *, sum(1 - d) OVER (PARTITION BY user_id ORDER BY i) AS g FROM d) SELECT user_id, i, CAST(sum(d) OVER (PARTITION BY user_id, g ORDER BY i) AS BIGINT) AS streak FROM g""")
+ g AS (SELECT *, sum(1 - d) OVER (PARTITION BY user_id ORDER BY i) AS g FROM d) SELECT user_id, i, CAST(sum(d) OVER (PARTITION BY user_id,
+   g ORDER BY i) AS BIGINT) AS streak FROM g""")
 def falling_streak(spark, sf_dir):
     return T.falling_streak(series(spark, sf_dir).select("user_id", "i", "x"), "x", ["user_id"], "i", "streak").drop("x")
 
 
-@query("rolling_slope", SERIES + """, t AS (SELECT user_id, (i + i // 20) * 5.0::DOUBLE AS t, x FROM s), l AS (SELECT *, CASE WHEN abs(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) - 5) < 1e-4 THEN 1 ELSE 0 END AS ok FROM t)
- SELECT user_id, t, CASE WHEN sum(ok) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AND count(*) OVER w = 6 AND count(x) OVER w >= 2 THEN regr_slope(x, t) OVER w END AS slope FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+@query("rolling_slope", SERIES + """, t AS (SELECT user_id, (i + i // 20) * 5.0::DOUBLE AS t, x FROM s), l AS (SELECT *, CASE WHEN abs(t - lag(t) OVER (PARTITION BY user_id
+   ORDER BY t) - 5) < 1e-4 THEN 1 ELSE 0 END AS ok FROM t)
+ SELECT user_id, t, CASE WHEN sum(ok) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AND count(*) OVER
+   w = 6 AND count(x) OVER w >= 2 THEN regr_slope(x, t) OVER w END AS slope FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS
+   BETWEEN 5 PRECEDING AND CURRENT ROW)""")
 def rolling_slope(spark, sf_dir):
     s = series(spark, sf_dir).select("user_id", ((F.col("i") + F.floor(F.col("i") / 20)) * 5.0).alias("t"), "x")
     return T.rolling_slope(s, "x", "t", ["user_id"], "slope").drop("x")
 
 
-@query("persistent_suffix", SERIES + ", q AS (SELECT *, sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s) SELECT user_id, min(i) FILTER (quiet = 0) AS persistent_start FROM q GROUP BY user_id")
+@query("persistent_suffix", SERIES + ", q AS (SELECT *, sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS "
+    "quiet FROM s) SELECT user_id, min(i) FILTER (quiet = 0) AS persistent_start FROM q GROUP BY user_id")
 def persistent_suffix(spark, sf_dir):
     return T.persistent_start(series(spark, sf_dir).withColumn("alert", F.col("value") >= 60), "alert", "user_id", "i")
 
 
-_ROLL = SERIES + """, q AS (SELECT user_id, i, value >= 60 AS alert, CAST(user_id % 3 = 0 AS INT) AS target, 100.0::DOUBLE - i AS birth, sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s),
- p AS (SELECT user_id, max(target) AS target, max(CAST(alert AS INT)) AS any_alert, min(i) FILTER (quiet = 0) AS persistent_start, CASE WHEN max(target) = 1 THEN max(birth) FILTER (quiet = 0) END AS ewt FROM q GROUP BY user_id)"""
+_ROLL = SERIES + """, q AS (SELECT user_id, i, value >= 60 AS alert, CAST(user_id % 3 = 0 AS INT) AS target, 100.0::DOUBLE - i AS birth, sum(CASE WHEN value >=
+   60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s),
+ p AS (SELECT user_id, max(target) AS target, max(CAST(alert AS INT)) AS any_alert, min(i) FILTER (quiet = 0) AS persistent_start, CASE
+   WHEN max(target) = 1 THEN max(birth) FILTER (quiet = 0) END AS ewt FROM q GROUP BY user_id)"""
 
 
 def _patients(spark, sf_dir):
@@ -195,14 +219,18 @@ def patient_rollup(spark, sf_dir):
     return _patients(spark, sf_dir)
 
 
-@query("live_rollup", _ROLL + """ SELECT CASE WHEN count(*) FILTER (target = 1 AND any_alert = 1) > 0 THEN sum(any_alert) / CAST(count(*) FILTER (target = 1 AND any_alert = 1) AS DOUBLE) ELSE 'Infinity'::DOUBLE END AS nna,
- CAST(count(*) FILTER (target = 1 AND any_alert = 1) AS DOUBLE) / sum(target) AS recall, CAST(count(*) FILTER (target = 1 AND persistent_start IS NOT NULL) AS DOUBLE) / sum(target) AS persistent_recall, median(ewt) AS ewt_median, avg(ewt) AS ewt_mean FROM p""")
+@query("live_rollup", _ROLL + """ SELECT CASE WHEN count(*) FILTER (target = 1 AND any_alert = 1) > 0 THEN sum(any_alert) / CAST(count(*) FILTER (target = 1 AND any_alert =
+   1) AS DOUBLE) ELSE 'Infinity'::DOUBLE END AS nna,
+ CAST(count(*) FILTER (target = 1 AND any_alert = 1) AS DOUBLE) / sum(target) AS recall, CAST(count(*) FILTER (target = 1 AND
+   persistent_start IS NOT NULL) AS DOUBLE) / sum(target) AS persistent_recall, median(ewt) AS ewt_median, avg(ewt) AS ewt_mean FROM p""")
 def live_rollup(spark, sf_dir):
     return T.live_metrics(_patients(spark, sf_dir))
 
 
-_PROFILE = SERIES + """, q AS (SELECT user_id AS record, i, value, CAST(user_id % 3 = 0 AS INT) AS target, 100.0::DOUBLE - i AS birth, value >= 60 AS alert, sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s),
- p AS (SELECT record, max(target) AS target, count(*) FILTER (alert) AS alerts, max(value) AS peak, min(i) FILTER (quiet = 0) AS last_at, min(i) FILTER (alert) AS first_at, arg_min(i, (-value, i)) AS peak_at FROM q GROUP BY record)"""
+_PROFILE = SERIES + """, q AS (SELECT user_id AS record, i, value, CAST(user_id % 3 = 0 AS INT) AS target, 100.0::DOUBLE - i AS birth, value >= 60 AS alert,
+   sum(CASE WHEN value >= 60 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i DESC) AS quiet FROM s),
+ p AS (SELECT record, max(target) AS target, count(*) FILTER (alert) AS alerts, max(value) AS peak, min(i) FILTER (quiet = 0) AS last_at,
+   min(i) FILTER (alert) AS first_at, arg_min(i, (-value, i)) AS peak_at FROM q GROUP BY record)"""
 
 
 def _profiles(spark, sf_dir):
@@ -212,12 +240,14 @@ def _profiles(spark, sf_dir):
 
 @query("exemplars", _PROFILE + """, c AS (SELECT record, peak, CASE WHEN last_at > 0 THEN 0 WHEN last_at = 0 OR first_at > 0 THEN 1 ELSE 2 END AS tier,
   CASE WHEN last_at IS NOT NULL THEN last_at WHEN first_at > 0 THEN first_at ELSE peak_at END AS pos FROM p WHERE target = 1)
- SELECT record, pos AS alert_at, 100.0::DOUBLE - pos AS early_warning_min FROM c ORDER BY tier, CASE WHEN tier = 0 THEN abs(100 - pos - 50) END, CASE WHEN tier = 2 THEN -peak END, record LIMIT 1""")
+ SELECT record, pos AS alert_at, 100.0::DOUBLE - pos AS early_warning_min FROM c ORDER BY tier, CASE WHEN tier = 0 THEN abs(100 - pos - 50)
+   END, CASE WHEN tier = 2 THEN -peak END, record LIMIT 1""")
 def exemplars(spark, sf_dir):
     return tables.exemplar_positive(_profiles(spark, sf_dir))
 
 
-@query("exemplar_negative", _PROFILE + " SELECT record, alerts, CASE WHEN alerts > 0 THEN first_at END AS first_at FROM p WHERE target = 0 ORDER BY alerts, CASE WHEN alerts = 0 THEN -peak END, record LIMIT 1")
+@query("exemplar_negative", _PROFILE + " SELECT record, alerts, CASE WHEN alerts > 0 THEN first_at END AS first_at FROM p WHERE target = 0 ORDER BY "
+    "alerts, CASE WHEN alerts = 0 THEN -peak END, record LIMIT 1")
 def exemplar_negative(spark, sf_dir):
     return tables.exemplar_negative(_profiles(spark, sf_dir))
 
@@ -234,7 +264,8 @@ def _scored(spark, sf_dir):
     return j.select("doc_id", F.col("toxic").alias("y"), (F.bround(F.col("n_chars") / 500.0, 0) / 100).alias("s"))
 
 
-@query("auroc", _SCORED + ", r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM d) SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auroc FROM r")
+@query("auroc", _SCORED + ", r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS r FROM d) "
+    "SELECT (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auroc FROM r")
 def auroc(spark, sf_dir):
     return M.auroc(_scored(spark, sf_dir), "s", "y")
 
@@ -249,9 +280,12 @@ def brier(spark, sf_dir):
     return M.brier(_scored(spark, sf_dir), "s", "y")
 
 
-@query("confusion", _SCORED + """, k AS (SELECT count(*) FILTER (s >= 0.03 AND y = 1) AS tp, count(*) FILTER (s >= 0.03 AND y = 0) AS fp, count(*) FILTER (s < 0.03 AND y = 1) AS fn, count(*) FILTER (s < 0.03 AND y = 0) AS tn FROM d)
- SELECT *, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / nullif(tn + fp, 0) AS specificity, coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0) AS ppv,
- coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0) AS accuracy, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0) AS f1, CASE WHEN tp > 0 THEN CAST(tp + fp AS DOUBLE) / tp ELSE 'Infinity'::DOUBLE END AS nna FROM k""")
+@query("confusion", _SCORED + """, k AS (SELECT count(*) FILTER (s >= 0.03 AND y = 1) AS tp, count(*) FILTER (s >= 0.03 AND y = 0) AS fp, count(*) FILTER (s < 0.03 AND y =
+   1) AS fn, count(*) FILTER (s < 0.03 AND y = 0) AS tn FROM d)
+ SELECT *, CAST(tp AS DOUBLE) / nullif(tp + fn, 0) AS sensitivity, CAST(tn AS DOUBLE) / nullif(tn + fp, 0) AS specificity, coalesce(CAST(tp
+   AS DOUBLE) / nullif(tp + fp, 0), 0) AS ppv,
+ coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + fp + fn + tn, 0), 0) AS accuracy, coalesce(CAST(2 * tp AS DOUBLE) / nullif(2 * tp + fp +
+   fn, 0), 0) AS f1, CASE WHEN tp > 0 THEN CAST(tp + fp AS DOUBLE) / tp ELSE 'Infinity'::DOUBLE END AS nna FROM k""")
 def confusion(spark, sf_dir):
     return M.confusion(_scored(spark, sf_dir), F.col("s") >= 0.03, "y")
 
@@ -274,7 +308,8 @@ def class_weight(spark, sf_dir):
 # --- distances of distributions
 
 _BOTH = """WITH g AS (SELECT value AS v, count(*) FILTER (event_type = 'click') AS a, count(*) FILTER (event_type <> 'click') AS b FROM events GROUP BY 1),
- c AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE) AS f, sum(b) OVER (ORDER BY v) / CAST(sum(b) OVER () AS DOUBLE) AS g, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM g)"""
+ c AS (SELECT v, lead(v) OVER (ORDER BY v) AS nx, sum(a) OVER (ORDER BY v) / CAST(sum(a) OVER () AS DOUBLE) AS f, sum(b) OVER (ORDER BY v)
+   / CAST(sum(b) OVER () AS DOUBLE) AS g, sum(a) OVER () AS n1, sum(b) OVER () AS n2 FROM g)"""
 _TAIL = " + ".join(f"({2 * (-1) ** (k - 1)}) * exp(-{2 * k * k} * z * z)" for k in range(1, 40))
 
 
@@ -288,7 +323,12 @@ def wasserstein1(spark, sf_dir):
     return D.wasserstein(table(spark, sf_dir, "events"), "value", F.col("event_type") == "click")
 
 
-@query("fidelity_verdicts", "SELECT l_shipmode, ks, wasserstein, acf_r, psd_r, CASE WHEN ks < 0.05 THEN 'good' WHEN ks < 0.1 THEN 'fair' ELSE 'poor' END AS ks_verdict, CASE WHEN wasserstein < 1 THEN 'good' WHEN wasserstein < 3 THEN 'fair' ELSE 'poor' END AS wasserstein_verdict, CASE WHEN acf_r > 0.98 THEN 'good' WHEN acf_r > 0.9 THEN 'fair' ELSE 'poor' END AS acf_r_verdict, CASE WHEN psd_r > 0.95 THEN 'good' WHEN psd_r > 0.85 THEN 'fair' ELSE 'poor' END AS psd_r_verdict FROM (SELECT l_returnflag AS l_shipmode, l_discount AS ks, l_quantity / 10 AS wasserstein, 1 - l_tax AS acf_r, 1 - l_discount AS psd_r FROM lineitem)")
+@query("fidelity_verdicts", "SELECT l_shipmode, ks, wasserstein, acf_r, psd_r, CASE WHEN ks < 0.05 THEN 'good' WHEN ks < 0.1 THEN 'fair' "
+    "ELSE 'poor' END AS ks_verdict, CASE WHEN wasserstein < 1 THEN 'good' WHEN wasserstein < 3 THEN 'fair' ELSE "
+    "'poor' END AS wasserstein_verdict, CASE WHEN acf_r > 0.98 THEN 'good' WHEN acf_r > 0.9 THEN 'fair' ELSE "
+    "'poor' END AS acf_r_verdict, CASE WHEN psd_r > 0.95 THEN 'good' WHEN psd_r > 0.85 THEN 'fair' ELSE 'poor' END "
+    "AS psd_r_verdict FROM (SELECT l_returnflag AS l_shipmode, l_discount AS ks, l_quantity / 10 AS wasserstein, 1 "
+    "- l_tax AS acf_r, 1 - l_discount AS psd_r FROM lineitem)")
 def fidelity_verdicts(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("l_shipmode"), F.col("l_discount").alias("ks"), (F.col("l_quantity") / 10).alias("wasserstein"), (1 - F.col("l_tax")).alias("acf_r"), (1 - F.col("l_discount")).alias("psd_r"))
     return D.summary(m)
@@ -299,7 +339,10 @@ def fidelity_verdicts(spark, sf_dir):
 _H = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
-@query("stationary_index", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, unnest(range(0, n)) AS i FROM n), d AS (SELECT *, i = 0 OR " + _H.format("'jump|42|' || user_id || '|0|' || i") + " < 1 / 8.0::DOUBLE AS jump, CAST(floor(" + _H.format("'start|42|' || user_id || '|0|' || i") + " * n) AS BIGINT) AS st FROM p), b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY user_id ORDER BY i) AS at FROM d) SELECT x.user_id, x.i, CAST((y.st + x.i - x.at) % x.n AS INT) AS source_i FROM b x JOIN d y ON y.user_id = x.user_id AND y.i = x.at")
+@query("stationary_index", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, unnest(range(0, n)) AS i "
+    "FROM n), d AS (SELECT *, i = 0 OR " + _H.format("'jump|42|' || user_id || '|0|' || i") + " < 1 / 8.0::DOUBLE AS jump, CAST(floor(" + _H.format("'start|42|' || user_id || '|0|' || i") + " * n) AS BIGINT) AS st FROM p), b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY user_id "
+    "ORDER BY i) AS at FROM d) SELECT x.user_id, x.i, CAST((y.st + x.i - x.at) % x.n AS INT) AS source_i FROM b x "
+    "JOIN d y ON y.user_id = x.user_id AND y.i = x.at")
 def stationary_index(spark, sf_dir):
     n = series(spark, sf_dir).groupBy("user_id").agg(F.count("*").cast("int").alias("n"))
     ix = B.stationary_index(F.col("n"), F.lit(8.0), F.lit(42), F.col("user_id"), F.lit(0))
@@ -324,7 +367,8 @@ query("moving_block_index", _block_sql(True))(_block(True))
 query("block_index", _block_sql(False))(_block(False))
 
 
-@query("block_gather", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1) SELECT s.user_id, s.i, t.x / 4 + 90 AS x FROM s JOIN n USING (user_id) JOIN s t ON t.user_id = s.user_id AND t.i = (s.i * 7 + 3) % n.n")
+@query("block_gather", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1) SELECT s.user_id, s.i, t.x / 4 + 90 AS x FROM s JOIN "
+    "n USING (user_id) JOIN s t ON t.user_id = s.user_id AND t.i = (s.i * 7 + 3) % n.n")
 def block_gather(spark, sf_dir):
     a = arrays(spark, sf_dir)
     ix = F.transform(F.sequence(F.lit(0), F.size("fhr") - 1), lambda i: (i * 7 + 3) % F.size("fhr"))
@@ -336,9 +380,11 @@ def _replicas(spark, sf_dir, strategy):
     return B.replicates(a, 3, strategy)
 
 
-@query("bootstrap_replicates", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, r, unnest(range(0, n)) AS i FROM n, (SELECT unnest(range(0, 3)) AS r)), d AS (SELECT *, i = 0 OR " + _H.format("'jump|42|' || user_id || '|' || r || '|' || i") + " < 1 / 8.0::DOUBLE AS jump, CAST(floor(" + _H.format("'start|42|' || user_id || '|' || r || '|' || i") + """ * n) AS BIGINT) AS st FROM p), b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY user_id, r ORDER BY i) AS at FROM d),
+@query("bootstrap_replicates", SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT user_id, n, r, unnest(range(0, n)) AS "
+    "i FROM n, (SELECT unnest(range(0, 3)) AS r)), d AS (SELECT *, i = 0 OR " + _H.format("'jump|42|' || user_id || '|' || r || '|' || i") + " < 1 / 8.0::DOUBLE AS jump, CAST(floor(" + _H.format("'start|42|' || user_id || '|' || r || '|' || i") + """ * n) AS BIGINT) AS st FROM p), b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY user_id, r ORDER BY i) AS at FROM d),
  g AS (SELECT x.user_id, x.r, x.i, (y.st + x.i - x.at) % x.n AS src FROM b x JOIN d y ON y.user_id = x.user_id AND y.r = x.r AND y.i = x.at)
- SELECT g.user_id || '_boot_' || g.r AS record, CAST(g.user_id AS VARCHAR) AS source_record, CAST(g.r AS INT) AS bootstrap_idx, true AS is_synthetic, CAST(g.i AS INT) AS i, s.x / 4 + 90 AS fhr, s.x / 10 AS uc FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.src""")
+ SELECT g.user_id || '_boot_' || g.r AS record, CAST(g.user_id AS VARCHAR) AS source_record, CAST(g.r AS INT) AS bootstrap_idx, true AS
+   is_synthetic, CAST(g.i AS INT) AS i, s.x / 4 + 90 AS fhr, s.x / 10 AS uc FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.src""")
 def bootstrap_replicates(spark, sf_dir):
     r = _replicas(spark, sf_dir, "stationary_bootstrap")
     return r.select("record", "source_record", "bootstrap_idx", "is_synthetic", F.posexplode(F.arrays_zip("fhr", "uc")).alias("i", "v")).select("record", "source_record", "bootstrap_idx", "is_synthetic", "i", "v.fhr", "v.uc")
@@ -353,8 +399,10 @@ _MOVED = SERIES + ", n AS (SELECT user_id, count(*) AS n FROM s GROUP BY 1), p A
  m AS (SELECT g.user_id, g.r, avg(s.x / 4 + 90) AS mean FROM g JOIN s ON s.user_id = g.user_id AND s.i = g.src GROUP BY 1, 2)"""
 
 
-@query("replica_convergence", _MOVED + """, d AS (SELECT r, sqrt(greatest(sum(q) OVER w / sum(n) OVER w - (sum(t) OVER w / sum(n) OVER w) ^ 2, 0)) AS sd FROM (SELECT r, count(mean) AS n, sum(mean) AS t, sum(mean * mean) AS q FROM m GROUP BY r) WINDOW w AS (ORDER BY r)),
- c AS (SELECT r, abs(sd - lag(sd) OVER (ORDER BY r)) AS change FROM d) SELECT CAST(coalesce(min(r + 1) FILTER (change < 0.5), 3) AS INT) AS multiplier FROM c""")
+@query("replica_convergence", _MOVED + """, d AS (SELECT r, sqrt(greatest(sum(q) OVER w / sum(n) OVER w - (sum(t) OVER w / sum(n) OVER w) ^ 2, 0)) AS sd FROM (SELECT r, count(mean)
+   AS n, sum(mean) AS t, sum(mean * mean) AS q FROM m GROUP BY r) WINDOW w AS (ORDER BY r)),
+ c AS (SELECT r, abs(sd - lag(sd) OVER (ORDER BY r)) AS change FROM d) SELECT CAST(coalesce(min(r + 1) FILTER (change < 0.5), 3) AS INT) AS
+   multiplier FROM c""")
 def replica_convergence(spark, sf_dir):
     r = _replicas(spark, sf_dir, "moving_block")
     good = F.filter("fhr", lambda v: v.isNotNull())
@@ -378,11 +426,14 @@ def _h(seed: str, key: str) -> str:
     return _H.format(f"'{seed}|' || {key}")
 
 
-_QUOTA = """WITH q AS (SELECT *, n * tr // total AS part, n * tr % total AS rest FROM (SELECT c_mktsegment, count(*) AS n, sum(count(*)) OVER () AS total, sum(count(*)) OVER () - CAST(ceil(0.3::DOUBLE * sum(count(*)) OVER ()) AS BIGINT) AS tr FROM customer GROUP BY 1)),
- z AS (SELECT c_mktsegment, part + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_mktsegment) <= tr - sum(part) OVER () THEN 1 ELSE 0 END AS quota FROM q), """
+_QUOTA = """WITH q AS (SELECT *, n * tr // total AS part, n * tr % total AS rest FROM (SELECT c_mktsegment, count(*) AS n, sum(count(*)) OVER () AS
+   total, sum(count(*)) OVER () - CAST(ceil(0.3::DOUBLE * sum(count(*)) OVER ()) AS BIGINT) AS tr FROM customer GROUP BY 1)),
+ z AS (SELECT c_mktsegment, part + CASE WHEN row_number() OVER (ORDER BY rest DESC, c_mktsegment) <= tr - sum(part) OVER () THEN 1 ELSE 0
+   END AS quota FROM q), """
 
 
-@query("strat_split", _QUOTA + "h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, h.c_mktsegment, CASE WHEN r <= quota THEN 'train' ELSE 'test' END AS split FROM h JOIN z USING (c_mktsegment)")
+@query("strat_split", _QUOTA + "h AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) AS r, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) SELECT c_custkey, "
+    "h.c_mktsegment, CASE WHEN r <= quota THEN 'train' ELSE 'test' END AS split FROM h JOIN z USING (c_mktsegment)")
 def strat_split(spark, sf_dir):
     return P.stratified_split(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment")
 
@@ -392,12 +443,16 @@ def group_folds(spark, sf_dir):
     return P.group_folds(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 5)
 
 
-@query("nested_folds", "WITH o AS (SELECT c_custkey, c_mktsegment, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) - 1) % 3 AS INT) AS o FROM customer), t AS (SELECT *, CAST(unnest(range(0, 3)) AS INT) AS test_of FROM o) SELECT c_custkey, c_mktsegment, o AS \"outer\", test_of, CAST((row_number() OVER (PARTITION BY test_of, c_mktsegment ORDER BY " + _h("42", "test_of || '|' || c_custkey") + ", c_custkey) - 1) % 2 AS INT) AS inner FROM t WHERE o <> test_of".replace("AS inner", 'AS "inner"'))
+@query("nested_folds", "WITH o AS (SELECT c_custkey, c_mktsegment, CAST((row_number() OVER (PARTITION BY c_mktsegment ORDER BY " + _h("42", "c_custkey") + ", c_custkey) - 1) % 3 AS INT) AS o FROM customer), t AS (SELECT *, CAST(unnest(range(0, 3)) AS INT) AS "
+    "test_of FROM o) SELECT c_custkey, c_mktsegment, o AS \"outer\", test_of, CAST((row_number() OVER (PARTITION "
+    "BY test_of, c_mktsegment ORDER BY " + _h("42", "test_of || '|' || c_custkey") + ", c_custkey) - 1) % 2 AS INT) AS inner FROM t WHERE o <> test_of".replace("AS inner", 'AS "inner"'))
 def nested_folds(spark, sf_dir):
     return P.nested_folds(table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment", 3, 2)
 
 
-@query("median_impute_standardize", "WITH g AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS x FROM customer), m AS (SELECT median(x) AS m FROM g), f AS (SELECT c_custkey, coalesce(x, m) AS x FROM g, m), z AS (SELECT avg(x) AS mu, stddev_pop(x) AS sd FROM f) SELECT c_custkey, (x - mu) / sd AS x FROM f, z")
+@query("median_impute_standardize", "WITH g AS (SELECT c_custkey, CASE WHEN c_custkey % 9 <> 0 THEN c_acctbal END AS x FROM customer), m AS "
+    "(SELECT median(x) AS m FROM g), f AS (SELECT c_custkey, coalesce(x, m) AS x FROM g, m), z AS (SELECT avg(x) "
+    "AS mu, stddev_pop(x) AS sd FROM f) SELECT c_custkey, (x - mu) / sd AS x FROM f, z")
 def median_impute_standardize(spark, sf_dir):
     g = table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 9 != 0, F.col("c_acctbal")).alias("x"))
     return P.standardize(g, P.fit_scaler(g, ["x"]), ["x"])
@@ -413,12 +468,15 @@ def _matrix(spark, sf_dir, fill=150000.0):
 
 _MATRIX = "WITH o AS (SELECT o_custkey AS c_custkey, count(*) AS n, avg(o_totalprice) AS price FROM orders GROUP BY 1), m AS (SELECT c_custkey, c_acctbal / 1000 AS bal, CAST(coalesce(n, 0) AS DOUBLE) AS n, price / 100000 AS price, CAST(" + _h("y", "c_custkey") + " < 0.25 + CASE WHEN c_acctbal > 5000 THEN 0.4 ELSE 0.0 END AS INT) AS y FROM customer LEFT JOIN o USING (c_custkey))"
 _RANKED = """, f AS (SELECT *, CAST((row_number() OVER (PARTITION BY y ORDER BY """ + _h("42", "c_custkey") + """, c_custkey) - 1) % 5 AS INT) AS fold FROM m),
- l AS (SELECT c_custkey, fold, y, feature, x FROM (SELECT c_custkey, fold, y, 'bal' AS feature, bal AS x FROM f UNION ALL SELECT c_custkey, fold, y, 'n', n FROM f UNION ALL SELECT c_custkey, fold, y, 'price', price FROM f)),
+ l AS (SELECT c_custkey, fold, y, feature, x FROM (SELECT c_custkey, fold, y, 'bal' AS feature, bal AS x FROM f UNION ALL SELECT c_custkey,
+   fold, y, 'n', n FROM f UNION ALL SELECT c_custkey, fold, y, 'price', price FROM f)),
  k AS (SELECT CAST(unnest(range(0, 5)) AS INT) AS k),
  med AS (SELECT feature, k, median(x) AS m FROM l JOIN k ON fold <> k GROUP BY 1, 2),
- sgn AS (SELECT feature, k, any_value(m) AS m, CASE WHEN avg(coalesce(x, m)) FILTER (y = 1) < avg(coalesce(x, m)) FILTER (y = 0) THEN -1 ELSE 1 END AS way FROM l JOIN med USING (feature) WHERE fold <> k GROUP BY 1, 2),
+ sgn AS (SELECT feature, k, any_value(m) AS m, CASE WHEN avg(coalesce(x, m)) FILTER (y = 1) < avg(coalesce(x, m)) FILTER (y = 0) THEN -1
+   ELSE 1 END AS way FROM l JOIN med USING (feature) WHERE fold <> k GROUP BY 1, 2),
  t AS (SELECT feature, fold, y, coalesce(x, m) * way AS s FROM l JOIN sgn USING (feature) WHERE fold = k),
- r AS (SELECT feature, fold, y, rank() OVER (PARTITION BY feature, fold ORDER BY s) + (count(*) OVER (PARTITION BY feature, fold, s) - 1) / 2.0::DOUBLE AS r FROM t),
+ r AS (SELECT feature, fold, y, rank() OVER (PARTITION BY feature, fold ORDER BY s) + (count(*) OVER (PARTITION BY feature, fold, s) - 1) /
+   2.0::DOUBLE AS r FROM t),
  a AS (SELECT feature, fold, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2.0::DOUBLE) / (sum(y) * sum(1 - y)) AS auc FROM r GROUP BY 1, 2)
  SELECT feature, avg(auc) AS auroc_cv, count(auc) AS folds FROM a GROUP BY feature"""
 
@@ -433,7 +491,8 @@ def cv_auroc(spark, sf_dir):
 def univariate_logit(spark, sf_dir):
     rows = L.univariate(_matrix(spark, sf_dir), ["bal", "n", "price"], "y", "c_nationkey")
     cols = ("feature", "coef", "std_err", "odds_ratio", "ci_lower", "ci_upper", "p_value")
-    return spark.createDataFrame([tuple(None if isinstance(r[c], float) and math.isnan(r[c]) else r[c] for c in cols) for r in rows], "feature string, coef double, std_err double, odds_ratio double, ci_lower double, ci_upper double, p_value double")
+    return spark.createDataFrame([tuple(None if isinstance(r[c], float) and math.isnan(r[c]) else r[c] for c in cols) for r in rows], "feature string, coef double, std_err double, odds_ratio double, ci_lower double, ci_upper double, p_value "
+    "double")
 
 
 @query("forward_selection")
@@ -466,7 +525,8 @@ def signal_features(spark, sf_dir):
 
 #: Series as signals with faults: heart rates that are zero or outside 50 to 240, contractions that are zero or outside 0 to 150.
 _FAULTS = SERIES + """, v AS (SELECT user_id, i, coalesce(CASE WHEN event_id % 11 = 0 THEN 0 ELSE x + 60 END BETWEEN 50 AND 240 AND event_id % 11 <> 0, false) AS f,
- coalesce(CASE WHEN event_id % 5 = 0 THEN 0 ELSE x / 2 END BETWEEN 0 AND 150 AND event_id % 5 <> 0 AND x <> 0, false) AS u, count(*) OVER (PARTITION BY user_id) AS n FROM s)"""
+ coalesce(CASE WHEN event_id % 5 = 0 THEN 0 ELSE x / 2 END BETWEEN 0 AND 150 AND event_id % 5 <> 0 AND x <> 0, false) AS u, count(*) OVER
+   (PARTITION BY user_id) AS n FROM s)"""
 
 
 def _faulty(spark, sf_dir):
@@ -476,7 +536,9 @@ def _faulty(spark, sf_dir):
     return a.select(F.col("user_id").cast("string").alias("record"), F.transform("v", lambda p: p["fhr"]).alias("fhr"), F.transform("v", lambda p: p["uc"]).alias("uc"))
 
 
-@query("signal_quality", _FAULTS + " SELECT CAST(user_id AS VARCHAR) AS record, any_value(n) / 240.0::DOUBLE AS signal_duration_min, count(*) FILTER (NOT f) * 100.0::DOUBLE / count(*) AS fhr_invalid_pct, count(*) FILTER (NOT u) * 100.0::DOUBLE / count(*) AS uc_invalid_pct FROM v GROUP BY user_id")
+@query("signal_quality", _FAULTS + " SELECT CAST(user_id AS VARCHAR) AS record, any_value(n) / 240.0::DOUBLE AS signal_duration_min, count(*) "
+    "FILTER (NOT f) * 100.0::DOUBLE / count(*) AS fhr_invalid_pct, count(*) FILTER (NOT u) * 100.0::DOUBLE / "
+    "count(*) AS uc_invalid_pct FROM v GROUP BY user_id")
 def signal_quality(spark, sf_dir):
     """What the feature extractor says about gaps in both channels."""
     return X.extract(_faulty(spark, sf_dir), ["record"]).select("record", "signal_duration_min", "fhr_invalid_pct", "uc_invalid_pct")
@@ -485,7 +547,8 @@ def signal_quality(spark, sf_dir):
 _SIDE = "avg({x}) AS {n}_mean, stddev_pop({x}) AS {n}_std, min({x}) AS {n}_min, max({x}) AS {n}_max, (count(*) - count({x})) * 100.0::DOUBLE / count(*) AS {n}_nan_pct"
 
 
-@query("signal_stats", SERIES + ", g AS (SELECT user_id, x / 4 + 90 AS f, x / 10 AS u FROM s) SELECT CAST(user_id AS VARCHAR) AS record, count(*) AS n_samples, count(*) / 240.0::DOUBLE AS duration_min, 4 AS fs_hz, count(u) > 0 AS has_uc, " + _SIDE.format(x="f", n="fhr") + ", " + _SIDE.format(x="u", n="uc") + " FROM g GROUP BY user_id")
+@query("signal_stats", SERIES + ", g AS (SELECT user_id, x / 4 + 90 AS f, x / 10 AS u FROM s) SELECT CAST(user_id AS VARCHAR) AS record, "
+    "count(*) AS n_samples, count(*) / 240.0::DOUBLE AS duration_min, 4 AS fs_hz, count(u) > 0 AS has_uc, " + _SIDE.format(x="f", n="fhr") + ", " + _SIDE.format(x="u", n="uc") + " FROM g GROUP BY user_id")
 def signal_stats(spark, sf_dir):
     """Statistics of both channels from arrays."""
     from .pipelines import signal_stats as stats
@@ -500,8 +563,11 @@ def window_features(spark, sf_dir):
 
 
 @query("window_ids", _FAULTS + """, b AS (SELECT user_id, any_value(n) AS n, unnest(range(0, any_value(n) - 24 + 1, 12)) AS st FROM v GROUP BY user_id HAVING any_value(n) >= 24),
- q AS (SELECT b.user_id, b.st, any_value(b.n) AS n, count(*) FILTER (NOT f) * 100.0::DOUBLE / 24 AS fp, count(*) FILTER (NOT u) * 100.0::DOUBLE / 24 AS up FROM b JOIN v ON v.user_id = b.user_id AND v.i >= b.st AND v.i < b.st + 24 GROUP BY 1, 2)
- SELECT CAST(user_id AS VARCHAR) AS record, CAST(row_number() OVER (PARTITION BY user_id ORDER BY st) - 1 AS INT) AS window_id, st / 240.0::DOUBLE AS window_start_min, (st + 24) / 240.0::DOUBLE AS window_end_min, (n - st - 24) / 240.0::DOUBLE AS time_to_birth_min, fp AS fhr_invalid_pct, up AS uc_invalid_pct FROM q WHERE fp <= 40 AND up <= 40""")
+ q AS (SELECT b.user_id, b.st, any_value(b.n) AS n, count(*) FILTER (NOT f) * 100.0::DOUBLE / 24 AS fp, count(*) FILTER (NOT u) *
+   100.0::DOUBLE / 24 AS up FROM b JOIN v ON v.user_id = b.user_id AND v.i >= b.st AND v.i < b.st + 24 GROUP BY 1, 2)
+ SELECT CAST(user_id AS VARCHAR) AS record, CAST(row_number() OVER (PARTITION BY user_id ORDER BY st) - 1 AS INT) AS window_id, st /
+   240.0::DOUBLE AS window_start_min, (st + 24) / 240.0::DOUBLE AS window_end_min, (n - st - 24) / 240.0::DOUBLE AS time_to_birth_min, fp
+   AS fhr_invalid_pct, up AS uc_invalid_pct FROM q WHERE fp <= 40 AND up <= 40""")
 def window_ids(spark, sf_dir):
     """Which windows of 6 s by 3 s are kept, and their numbers, by the window extractor."""
     w = X.window_features(_faulty(spark, sf_dir), length_min=0.1, stride_min=0.05, most_pct=40)
@@ -521,9 +587,11 @@ def welch_psd(spark, sf_dir):
 
 
 _XCORR = """WITH e AS (SELECT vec_id, list_slice(embedding, 1, 32)::DOUBLE[] AS a, list_slice(embedding, 33, 64)::DOUBLE[] AS b FROM embeddings),
- p AS (SELECT vec_id, unnest(range(0, 32)) AS i, unnest(a) - list_avg(a) AS x, unnest(b) - list_avg(b) AS y FROM e), k AS (SELECT CAST(unnest(range(-4, 5)) AS INT) AS lag),
+ p AS (SELECT vec_id, unnest(range(0, 32)) AS i, unnest(a) - list_avg(a) AS x, unnest(b) - list_avg(b) AS y FROM e), k AS (SELECT
+   CAST(unnest(range(-4, 5)) AS INT) AS lag),
  d AS (SELECT vec_id, stddev_pop(x) * stddev_pop(y) * 32 AS d FROM p GROUP BY vec_id),
- c AS (SELECT p.vec_id, k.lag, sum(p.x * q.y) / any_value(d.d) AS xcorr FROM p JOIN k ON true JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i - k.lag JOIN d ON d.vec_id = p.vec_id GROUP BY 1, 2)"""
+ c AS (SELECT p.vec_id, k.lag, sum(p.x * q.y) / any_value(d.d) AS xcorr FROM p JOIN k ON true JOIN p q ON q.vec_id = p.vec_id AND q.i = p.i
+   - k.lag JOIN d ON d.vec_id = p.vec_id GROUP BY 1, 2)"""
 
 
 @query("cross_correlation", _XCORR + " SELECT vec_id, lag, xcorr FROM c")
@@ -557,11 +625,15 @@ def plot_importance(spark, sf_dir):
     return spark.createDataFrame([(i, n, float(v)) for i, (n, v) in enumerate(trees.importances(model, names))], "rank int, feature string, importance double")
 
 
-@query("dfa", """WITH v AS (SELECT event_id // 512 AS record, value, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_id // 512) AS n, avg(value) OVER (PARTITION BY event_id // 512) AS mu FROM events WINDOW w AS (PARTITION BY event_id // 512 ORDER BY ts, event_id)),
- p AS (SELECT record, t, n, sum(value - mu) OVER (PARTITION BY record ORDER BY t) AS y FROM v WHERE n >= 256), s AS (SELECT unnest([4, 8, 16, 32, 64, 128]) AS s),
- g AS (SELECT record, s, (t - 1) // s AS b, regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t) AS rss, count(*) AS k FROM p, s WHERE (t - 1) // s < n // s GROUP BY 1, 2, 3),
+@query("dfa", """WITH v AS (SELECT event_id // 512 AS record, value, row_number() OVER w AS t, count(*) OVER (PARTITION BY event_id // 512) AS n, avg(value)
+   OVER (PARTITION BY event_id // 512) AS mu FROM events WINDOW w AS (PARTITION BY event_id // 512 ORDER BY ts, event_id)),
+ p AS (SELECT record, t, n, sum(value - mu) OVER (PARTITION BY record ORDER BY t) AS y FROM v WHERE n >= 256), s AS (SELECT unnest([4, 8,
+   16, 32, 64, 128]) AS s),
+ g AS (SELECT record, s, (t - 1) // s AS b, regr_syy(y, t) - regr_sxy(y, t) * regr_sxy(y, t) / regr_sxx(y, t) AS rss, count(*) AS k FROM p,
+   s WHERE (t - 1) // s < n // s GROUP BY 1, 2, 3),
  f AS (SELECT record, s, 0.5 * ln(sum(rss) / sum(k)) AS lf, ln(s) AS ls FROM g GROUP BY 1, 2)
- SELECT r.record, round(regr_slope(lf, ls), 6) AS dfa_alpha, round(regr_intercept(lf, ls), 6) AS dfa_intercept, round(regr_slope(lf, ls) FILTER (s <= 16), 6) AS dfa_alpha_short, round(regr_slope(lf, ls) FILTER (s >= 32), 6) AS dfa_alpha_long
+ SELECT r.record, round(regr_slope(lf, ls), 6) AS dfa_alpha, round(regr_intercept(lf, ls), 6) AS dfa_intercept, round(regr_slope(lf, ls)
+   FILTER (s <= 16), 6) AS dfa_alpha_short, round(regr_slope(lf, ls) FILTER (s >= 32), 6) AS dfa_alpha_long
  FROM (SELECT DISTINCT record FROM v) r LEFT JOIN f USING (record) GROUP BY r.record""")
 def dfa(spark, sf_dir):
     """Fluctuation analysis of records of 512 events, in order of time; short records have none."""

@@ -81,7 +81,8 @@ def first_match_category(spark, sf_dir):
     return _clinical(spark, sf_dir).select("o_orderkey", C.outcome_category(F.col("ph"), F.col("apgar1"), F.col("apgar5")).alias("category"))
 
 
-@query("acog_rules", _CLINICAL + " SELECT o_orderkey, coalesce(ph < 7.00, false) AND coalesce(apgar5 < 7, false) AS acog_all, coalesce(ph < 7.00, false) OR coalesce(apgar5 < 7, false) OR coalesce(hie > 0, false) AS acog_any FROM c")
+@query("acog_rules", _CLINICAL + " SELECT o_orderkey, coalesce(ph < 7.00, false) AND coalesce(apgar5 < 7, false) AS acog_all, coalesce(ph < "
+    "7.00, false) OR coalesce(apgar5 < 7, false) OR coalesce(hie > 0, false) AS acog_any FROM c")
 def acog_rules(spark, sf_dir):
     ph, a5, hie = F.col("ph"), F.col("apgar5"), F.col("hie")
     return _clinical(spark, sf_dir).select("o_orderkey", C.acog_all(ph, a5).alias("acog_all"), C.acog_any(ph, a5, hie).alias("acog_any"))
@@ -99,7 +100,9 @@ def classes(spark, sf_dir):
     return _clinical(spark, sf_dir).select("o_orderkey", C.ph_class(ph).alias("ph_eda"), C.ph_class(ph, C.PH_CUTS_EARLY).alias("ph_early"), C.apgar_class(F.col("apgar5")).alias("apgar5_class"), C.apgar_class(F.col("apgar1"), missing=None).alias("apgar1_class"))
 
 
-@query("bin_left_closed", "SELECT c_custkey, CASE WHEN c_acctbal >= -1000 AND c_acctbal < 0 THEN 'debt' WHEN c_acctbal >= 0 AND c_acctbal < 2500 THEN 'low' WHEN c_acctbal >= 2500 AND c_acctbal < 7500 THEN 'middle' WHEN c_acctbal >= 7500 AND c_acctbal < 20000 THEN 'high' END AS bin FROM customer")
+@query("bin_left_closed", "SELECT c_custkey, CASE WHEN c_acctbal >= -1000 AND c_acctbal < 0 THEN 'debt' WHEN c_acctbal >= 0 AND "
+    "c_acctbal < 2500 THEN 'low' WHEN c_acctbal >= 2500 AND c_acctbal < 7500 THEN 'middle' WHEN c_acctbal >= 7500 "
+    "AND c_acctbal < 20000 THEN 'high' END AS bin FROM customer")
 def bin_left_closed(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", C.left_closed_bins(F.col("c_acctbal"), [-1000, 0, 2500, 7500, 20000], ["debt", "low", "middle", "high"]).alias("bin"))
 
@@ -111,14 +114,18 @@ def crosstab_margins(spark, sf_dir):
     return T.crosstab(table(spark, sf_dir, "orders"), "o_orderstatus", "o_orderpriority")
 
 
-@query("code_labels", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'other' END AS status, 'syn_' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 5, '0') AS sid, CAST(o_orderkey AS VARCHAR) || '_boot_' || CAST(o_orderkey % 3 AS VARCHAR) AS rid, starts_with(o_orderpriority, '1-') AS urgent FROM orders")
+@query("code_labels", "SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' ELSE 'other' END AS status, "
+    "'syn_' || lpad(CAST(o_orderkey % 1000 AS VARCHAR), 5, '0') AS sid, CAST(o_orderkey AS VARCHAR) || '_boot_' || "
+    "CAST(o_orderkey % 3 AS VARCHAR) AS rid, starts_with(o_orderpriority, '1-') AS urgent FROM orders")
 def code_labels(spark, sf_dir):
     k = F.col("o_orderkey")
     return table(spark, sf_dir, "orders").select("o_orderkey", C.code_label(F.col("o_orderstatus"), {"O": "open", "F": "filled"}, "other").alias("status"), C.synthetic_id(k % 1000).alias("sid"), C.replicate_id(k.cast("string"), k % 3).alias("rid"), F.col("o_orderpriority").startswith("1-").alias("urgent"))
 
 
-@query("header_parse", r"""WITH l AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '-- ' || p_name WHEN 1 THEN 'pH           ' || CAST(p_size AS VARCHAR) WHEN 2 THEN p_type || chr(9) || p_brand WHEN 3 THEN 'pH 7.14' ELSE 'Gest. weeks   ' || p_brand END AS line FROM part)
-SELECT p_partkey, lower(trim(string_split_regex(line, '\s{2,}|\t')[1])) AS key, trim(string_split_regex(line, '\s{2,}|\t')[2]) AS value, TRY_CAST(trim(string_split_regex(line, '\s{2,}|\t')[2]) AS DOUBLE) AS number
+@query("header_parse", r"""WITH l AS (SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '-- ' || p_name WHEN 1 THEN 'pH           ' || CAST(p_size AS VARCHAR) WHEN 2
+   THEN p_type || chr(9) || p_brand WHEN 3 THEN 'pH 7.14' ELSE 'Gest. weeks   ' || p_brand END AS line FROM part)
+SELECT p_partkey, lower(trim(string_split_regex(line, '\s{2,}|\t')[1])) AS key, trim(string_split_regex(line, '\s{2,}|\t')[2]) AS value,
+   TRY_CAST(trim(string_split_regex(line, '\s{2,}|\t')[2]) AS DOUBLE) AS number
 FROM l WHERE line NOT LIKE '--%' AND len(string_split_regex(line, '\s{2,}|\t')) = 2""")
 def header_parse(spark, sf_dir):
     k = F.col("p_partkey") % 5
@@ -132,13 +139,15 @@ def lenient_cast(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.regexp_extract("props", "([0-9]+)", 1).try_cast("double").alias("k"), F.col("event_type").try_cast("double").alias("bad"))
 
 
-@query("nan_rules", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS ratio, CAST(coalesce(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END > 1, false) AS INT) AS over FROM lineitem")
+@query("nan_rules", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount <> 0 THEN l_tax / l_discount END AS ratio, "
+    "CAST(coalesce(CASE WHEN l_discount <> 0 THEN l_tax / l_discount END > 1, false) AS INT) AS over FROM lineitem")
 def nan_rules(spark, sf_dir):
     ratio = C.null_nan(F.when(F.col("l_discount") != 0, F.col("l_tax") / F.col("l_discount")).otherwise(float("nan")))
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ratio.alias("ratio"), C.yes(ratio > 1).cast("int").alias("over"))
 
 
-@query("round_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS half, greatest(least(l_extendedprice, 50000), 1000) AS clipped, ln(1 + l_tax) AS l1p, sqrt(abs(l_discount - 0.05)) AS root FROM lineitem")
+@query("round_half_even", "SELECT l_orderkey, l_linenumber, round_even(l_quantity / 2, 0) AS half, greatest(least(l_extendedprice, "
+    "50000), 1000) AS clipped, ln(1 + l_tax) AS l1p, sqrt(abs(l_discount - 0.05)) AS root FROM lineitem")
 def round_half_even(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.bround(F.col("l_quantity") / 2, 0).alias("half"), F.greatest(F.least("l_extendedprice", F.lit(50000.0)), F.lit(1000.0)).alias("clipped"), F.log1p("l_tax").alias("l1p"), F.sqrt(F.abs(F.col("l_discount") - 0.05)).alias("root"))
 
@@ -154,7 +163,8 @@ def birth_minutes(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", C.birth_minute(F.col("o_custkey").cast("double"), late).alias("birth_min"))
 
 
-@query("subsample_array", "SELECT vec_id, CAST(list_transform(range(0, 16), lambda k: embedding[CAST(floor(k * (len(embedding) - 1) / 15.0::DOUBLE) AS BIGINT) + 1]) AS FLOAT[]) AS thin FROM embeddings")
+@query("subsample_array", "SELECT vec_id, CAST(list_transform(range(0, 16), lambda k: embedding[CAST(floor(k * (len(embedding) - 1) / "
+    "15.0::DOUBLE) AS BIGINT) + 1]) AS FLOAT[]) AS thin FROM embeddings")
 def subsample_array(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", C.subsample(F.col("embedding"), 16).alias("thin"))
 
@@ -169,7 +179,8 @@ def models_by_prefix(spark, sf_dir):
 
 
 @query("eligibility", """WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 7 = 0) * 100.0::DOUBLE / count(*) AS nan_pct FROM events GROUP BY user_id)
-SELECT count(*) FILTER (nan_pct <= 15 AND n >= 60) AS eligible, count(*) FILTER (nan_pct > 15) AS too_many_gaps, count(*) FILTER (n < 60) AS too_short FROM r""")
+SELECT count(*) FILTER (nan_pct <= 15 AND n >= 60) AS eligible, count(*) FILTER (nan_pct > 15) AS too_many_gaps, count(*) FILTER (n < 60)
+   AS too_short FROM r""")
 def eligibility(spark, sf_dir):
     r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.count_if(F.col("event_id") % 7 == 0) * 100.0 / F.count("*")).alias("nan_pct"))
     return r.agg(F.count_if((F.col("nan_pct") <= 15) & (F.col("n") >= 60)).alias("eligible"), F.count_if(F.col("nan_pct") > 15).alias("too_many_gaps"), F.count_if(F.col("n") < 60).alias("too_short"))
@@ -185,19 +196,24 @@ def freq_without_nulls(spark, sf_dir):
     return T.frequencies(table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("event_type")).alias("kind")), "kind", keep_null=False)
 
 
-@query("score_histogram", _CLINICAL + ", a AS (SELECT CAST(unnest(range(0, 11)) AS INT) AS score) SELECT score, (SELECT count(*) FROM c WHERE apgar1 = score) AS n_apgar1, (SELECT count(*) FROM c WHERE apgar5 = score) AS n_apgar5 FROM a")
+@query("score_histogram", _CLINICAL + ", a AS (SELECT CAST(unnest(range(0, 11)) AS INT) AS score) SELECT score, (SELECT count(*) FROM c WHERE apgar1 "
+    "= score) AS n_apgar1, (SELECT count(*) FROM c WHERE apgar5 = score) AS n_apgar5 FROM a")
 def score_histogram(spark, sf_dir):
     return T.score_histogram(_clinical(spark, sf_dir), ["apgar1", "apgar5"])
 
 
-@query("recovery_rates", _CLINICAL + " SELECT count(*) FILTER (apgar1 < 7) AS depressed, count(*) FILTER (apgar1 < 7 AND apgar5 >= 7) AS recovered, count(*) FILTER (apgar1 < 7 AND apgar5 >= 7) * 100.0::DOUBLE / nullif(count(*) FILTER (apgar1 < 7), 0) AS pct FROM c")
+@query("recovery_rates", _CLINICAL + " SELECT count(*) FILTER (apgar1 < 7) AS depressed, count(*) FILTER (apgar1 < 7 AND apgar5 >= 7) AS recovered, "
+    "count(*) FILTER (apgar1 < 7 AND apgar5 >= 7) * 100.0::DOUBLE / nullif(count(*) FILTER (apgar1 < 7), 0) AS pct "
+    "FROM c")
 def recovery_rates(spark, sf_dir):
     low = F.col("apgar1") < 7
     both = low & (F.col("apgar5") >= 7)
     return _clinical(spark, sf_dir).agg(F.count_if(low).alias("depressed"), F.count_if(both).alias("recovered"), F.try_divide(F.count_if(both) * 100.0, F.count_if(low)).alias("pct"))
 
 
-@query("describe_exact", "SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, max(value) AS max FROM events GROUP BY event_type")
+@query("describe_exact", "SELECT event_type, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, "
+    "quantile_cont(value, 0.25) AS p25, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.75) AS p75, "
+    "max(value) AS max FROM events GROUP BY event_type")
 def describe_exact(spark, sf_dir):
     return T.describe(table(spark, sf_dir, "events"), "value", ["event_type"])
 
@@ -217,7 +233,9 @@ def group_comparison(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy((F.col("l_returnflag") == "R").alias("is_synthetic")).agg(F.avg("l_extendedprice").alias("mean"), F.stddev_samp("l_extendedprice").alias("std"), F.count("*").alias("n"))
 
 
-@query("record_stats", "SELECT user_id, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, count(*) FILTER (x IS NULL) * 100.0::DOUBLE / count(*) AS nan_pct FROM (SELECT user_id, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events) GROUP BY user_id")
+@query("record_stats", "SELECT user_id, count(*) AS n, avg(x) AS mean, stddev_pop(x) AS std, min(x) AS min, max(x) AS max, count(*) "
+    "FILTER (x IS NULL) * 100.0::DOUBLE / count(*) AS nan_pct FROM (SELECT user_id, CASE WHEN event_id % 7 <> 0 "
+    "THEN value END AS x FROM events) GROUP BY user_id")
 def record_stats(spark, sf_dir):
     return T.record_stats(series(spark, sf_dir).select("user_id", "x"), "x", "user_id", digits=12)
 
@@ -229,12 +247,15 @@ def moments_percentiles(spark, sf_dir):
     return m.withColumns({c: F.round(c, 8) for c in m.columns if c.startswith("p")})
 
 
-@query("pair_correlation", "SELECT l_shipdate AS day, CASE WHEN count(*) > 10 AND stddev_pop(l_quantity) > 0 AND stddev_pop(l_extendedprice) > 0 THEN corr(l_quantity, l_extendedprice) END AS corr FROM lineitem GROUP BY 1")
+@query("pair_correlation", "SELECT l_shipdate AS day, CASE WHEN count(*) > 10 AND stddev_pop(l_quantity) > 0 AND "
+    "stddev_pop(l_extendedprice) > 0 THEN corr(l_quantity, l_extendedprice) END AS corr FROM lineitem GROUP BY 1")
 def pair_correlation(spark, sf_dir):
     return T.pair_correlation(table(spark, sf_dir, "lineitem").withColumnRenamed("l_shipdate", "day"), "l_quantity", "l_extendedprice", "day")
 
 
-@query("concordance", "SELECT avg(d) AS mean_abs_diff, max(d) AS max_abs_diff, count(*) FILTER (d <= 5) * 100.0::DOUBLE / count(d) AS within_5_pct, count(*) FILTER (d <= 10) * 100.0::DOUBLE / count(d) AS within_10_pct FROM (SELECT abs(l_quantity - p_size) AS d FROM lineitem JOIN part ON p_partkey = l_partkey)")
+@query("concordance", "SELECT avg(d) AS mean_abs_diff, max(d) AS max_abs_diff, count(*) FILTER (d <= 5) * 100.0::DOUBLE / count(d) "
+    "AS within_5_pct, count(*) FILTER (d <= 10) * 100.0::DOUBLE / count(d) AS within_10_pct FROM (SELECT "
+    "abs(l_quantity - p_size) AS d FROM lineitem JOIN part ON p_partkey = l_partkey)")
 def concordance(spark, sf_dir):
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return T.concordance(j, "l_quantity", "p_size")
@@ -250,12 +271,15 @@ def broken_dependency(spark, sf_dir):
     return T.broken_dependency(table(spark, sf_dir, "orders"), "o_custkey", "o_orderstatus")
 
 
-@query("fold_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n_folds, avg(l_discount) AS l_discount_mean, stddev_samp(l_discount) AS l_discount_std, avg(l_tax) AS l_tax_mean, stddev_samp(l_tax) AS l_tax_std FROM lineitem GROUP BY 1, 2")
+@query("fold_summary", "SELECT l_returnflag, l_linestatus, count(*) AS n_folds, avg(l_discount) AS l_discount_mean, "
+    "stddev_samp(l_discount) AS l_discount_std, avg(l_tax) AS l_tax_mean, stddev_samp(l_tax) AS l_tax_std FROM "
+    "lineitem GROUP BY 1, 2")
 def fold_summary(spark, sf_dir):
     return T.fold_summary(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_discount", "l_tax"])
 
 
-@query("max_by_group", "SELECT n_nationkey, arg_max(c_mktsegment, (total, c_mktsegment)) AS top_segment FROM (SELECT c_nationkey AS n_nationkey, c_mktsegment, sum(c_acctbal) AS total FROM customer GROUP BY 1, 2) GROUP BY 1")
+@query("max_by_group", "SELECT n_nationkey, arg_max(c_mktsegment, (total, c_mktsegment)) AS top_segment FROM (SELECT c_nationkey AS "
+    "n_nationkey, c_mktsegment, sum(c_acctbal) AS total FROM customer GROUP BY 1, 2) GROUP BY 1")
 def max_by_group(spark, sf_dir):
     g = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey"), "c_mktsegment").agg(F.sum("c_acctbal").alias("total"))
     return g.groupBy("n_nationkey").agg(F.max_by("c_mktsegment", F.struct("total", "c_mktsegment")).alias("top_segment"))
@@ -266,7 +290,8 @@ def prevalence(spark, sf_dir):
     return table(spark, sf_dir, "labels").agg(F.count("*").alias("n"), F.sum("toxic").alias("positives"), F.avg("toxic").alias("prevalence"))
 
 
-@query("dedup_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
+@query("dedup_first", "SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, row_number() OVER (PARTITION BY "
+    "l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey) AS r FROM lineitem) WHERE r = 1")
 def dedup_first(spark, sf_dir):
     return T.first_per_key(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate"), ["l_orderkey"], [F.col("l_shipdate"), F.col("l_linenumber"), F.col("l_partkey")])
 
@@ -350,25 +375,34 @@ def most_stable(spark, sf_dir):
     return g.agg(F.min_by("l_returnflag", "sd").alias("flag"))
 
 
-@query("unpivot_metrics", "UNPIVOT (SELECT l_returnflag, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax FROM lineitem GROUP BY 1) ON quantity, discount, tax INTO NAME metric VALUE value")
+@query("unpivot_metrics", "UNPIVOT (SELECT l_returnflag, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax "
+    "FROM lineitem GROUP BY 1) ON quantity, discount, tax INTO NAME metric VALUE value")
 def unpivot_metrics(spark, sf_dir):
     g = table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"))
     return T.unpivot(g, ["l_returnflag"], ["quantity", "discount", "tax"])
 
 
-@query("plot_histogram", "WITH b AS (SELECT CAST(unnest(range(0, 20)) AS INT) AS bin) SELECT bin, (SELECT count(*) FROM events WHERE value >= 0 AND value < 500 AND CAST(floor(value / 25) AS INT) = bin) AS n FROM b")
+@query("plot_histogram", "WITH b AS (SELECT CAST(unnest(range(0, 20)) AS INT) AS bin) SELECT bin, (SELECT count(*) FROM events WHERE "
+    "value >= 0 AND value < 500 AND CAST(floor(value / 25) AS INT) = bin) AS n FROM b")
 def plot_histogram(spark, sf_dir):
     return T.histogram(table(spark, sf_dir, "events"), "value", 0.0, 25.0, 20)
 
 
-@query("plot_quantiles", "WITH q AS (SELECT CAST(unnest(range(0, 21)) AS INT) AS k) SELECT k / 20.0::DOUBLE AS q, (SELECT list_extract(quantile_cont(l_extendedprice, [0,.05,.1,.15,.2,.25,.3,.35,.4,.45,.5,.55,.6,.65,.7,.75,.8,.85,.9,.95,1]), k + 1) FROM lineitem) AS a, (SELECT list_extract(quantile_cont(l_quantity, [0,.05,.1,.15,.2,.25,.3,.35,.4,.45,.5,.55,.6,.65,.7,.75,.8,.85,.9,.95,1]), k + 1) FROM lineitem) AS b FROM q")
+@query("plot_quantiles", "WITH q AS (SELECT CAST(unnest(range(0, 21)) AS INT) AS k) SELECT k / 20.0::DOUBLE AS q, (SELECT "
+    "list_extract(quantile_cont(l_extendedprice, "
+    "[0,.05,.1,.15,.2,.25,.3,.35,.4,.45,.5,.55,.6,.65,.7,.75,.8,.85,.9,.95,1]), k + 1) FROM lineitem) AS a, "
+    "(SELECT list_extract(quantile_cont(l_quantity, "
+    "[0,.05,.1,.15,.2,.25,.3,.35,.4,.45,.5,.55,.6,.65,.7,.75,.8,.85,.9,.95,1]), k + 1) FROM lineitem) AS b FROM q")
 def plot_quantiles(spark, sf_dir):
     return T.quantile_pairs(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", 20)
 
 
-@query("plot_box", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM events GROUP BY 1),
- d AS (SELECT e.event_type, q1, median, q3, value, value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS within FROM events e JOIN q ON q.event_type = e.event_type WHERE value IS NOT NULL)
- SELECT event_type, q1, median, q3, min(value) FILTER (within) AS low, max(value) FILTER (within) AS high, count(*) FILTER (NOT within) AS beyond FROM d GROUP BY event_type, q1, median, q3""")
+@query("plot_box", """WITH q AS (SELECT event_type, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM
+   events GROUP BY 1),
+ d AS (SELECT e.event_type, q1, median, q3, value, value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1) AS within
+   FROM events e JOIN q ON q.event_type = e.event_type WHERE value IS NOT NULL)
+ SELECT event_type, q1, median, q3, min(value) FILTER (within) AS low, max(value) FILTER (within) AS high, count(*) FILTER (NOT within) AS
+   beyond FROM d GROUP BY event_type, q1, median, q3""")
 def plot_box(spark, sf_dir):
     return T.box(table(spark, sf_dir, "events"), "value", "event_type")
 
