@@ -21,7 +21,10 @@ def components(edges: DataFrame, ws: Workspace, name: str = "components", steps:
         return r.n, r.s
 
     e = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    e, before = ws.save(e, f"{name}-0"), None
+    e = ws.save(e, f"{name}-0")
+    before = state(e)
+    if not before[0]:
+        return e.select(F.col("a").alias("id"), F.col("b").alias("root"))
     for k in range(1, steps + 1):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
