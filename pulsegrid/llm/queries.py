@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, fingerprint, langid, mixing, ngram_join, substring, url_filter, warc
+from . import bpe, chat, embed_dedup, filter_audit, fingerprint, langid, mixing, ngram_join, substring, url_filter, warc
 from .workspace import Workspace
 
 
@@ -65,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -160,6 +164,37 @@ x AS (
 SELECT doc_id, size, source_size, target, CAST(floor(off + rate * rk) - floor(off + rate * (rk - 1)) AS BIGINT) * size AS taken FROM x
 """
 
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
+f AS (
+  SELECT w.doc_id, part, len(ws) < 50 AS a, 100 * len(list_distinct(ws)) < 65 * len(ws) AS b,
+         100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 5 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+         coalesce(w.doc_id > least, false) AS e, coalesce(l.good, false) AS good, coalesce(l.toxic, false) AS toxic
+  FROM w LEFT JOIN (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id) l ON l.doc_id = w.doc_id),
+x AS (SELECT doc_id, part, good, toxic, unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([a, b, c, d, e]) AS fails FROM f),
+y AS (SELECT part, good, toxic, list_sort(coalesce(list(name) FILTER (WHERE fails), [])) AS names FROM x GROUP BY doc_id, part, good, toxic),
+n AS (SELECT part, names, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM y GROUP BY part, names),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (
+  SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE a.c NOT IN (b.c, c.c, d.c, e.c) AND b.c NOT IN (c.c, d.c, e.c) AND c.c NOT IN (d.c, e.c) AND d.c <> e.c),
+s AS (SELECT filter_order, step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM o, (SELECT unnest(range(1, 6)) AS step)),
+r AS (
+  SELECT part, filter_order, step, own,
+         sum(n) FILTER (WHERE NOT list_has_any(names, before) AND NOT list_contains(names, own)) AS kept,
+         sum(n) FILTER (WHERE NOT list_has_any(names, before) AND list_contains(names, own)) AS removed,
+         sum(n) FILTER (WHERE list_has_any(names, before) AND list_contains(names, own)) AS redundant,
+         sum(n) FILTER (WHERE names = [own]) AS unique_fails,
+         sum(good) FILTER (WHERE NOT list_has_any(names, before) AND list_contains(names, own)) AS good_lost,
+         sum(toxic) FILTER (WHERE NOT list_has_any(names, before) AND list_contains(names, own)) AS toxic_lost
+  FROM n, s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+       CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+       CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost, CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op5_embedding_near_dedup": _OP5, "op6_substring_dedup": _OP6, "op10_mixing": _OP10}
+    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op5_embedding_near_dedup": _OP5, "op6_substring_dedup": _OP6, "op10_mixing": _OP10, "op12_filter_interaction": _OP12}
