@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, filter_audit, fingerprint, langid, mixing, ngram_join, substring, url_filter, warc
+from . import bpe, chat, embed_dedup, filter_audit, fingerprint, langid, mixing, ngram_join, source_audit, substring, url_filter, warc
 from .workspace import Workspace
 
 
@@ -65,6 +65,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.copies(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -164,6 +168,28 @@ x AS (
 SELECT doc_id, size, source_size, target, CAST(floor(off + rate * rk) - floor(off + rate * (rk - 1)) AS BIGINT) * size AS taken FROM x
 """
 
+_OP11 = r"""
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+x AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*) AS total FROM x GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+l AS (SELECT lang, sum(total) AS total, count(*) AS v FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM x GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.total FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT *, sum(n) OVER (PARTITION BY lang, source) AS size FROM f),
+p AS (
+  SELECT s.lang, s.source, term, n, 1 + (CAST(1000000000 AS HUGEINT) * (n + 5)) // CAST(size + 5 * v AS HUGEINT) AS p,
+         1 + (CAST(1000000000 AS HUGEINT) * (s.total + 5)) // CAST(l.total + 5 * v AS HUGEINT) AS q
+  FROM s JOIN l USING (lang)),
+m AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(m.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50
+"""
+
 _OP12 = r"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws, min(doc_id) OVER (PARTITION BY t) AS least FROM d),
@@ -197,4 +223,4 @@ FROM r
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op5_embedding_near_dedup": _OP5, "op6_substring_dedup": _OP6, "op10_mixing": _OP10, "op12_filter_interaction": _OP12}
+    return {"op1_warc": _OP1, "op2_chat_formatting": _OP2, "op3_ngram_jaccard_join": _OP3, "op5_embedding_near_dedup": _OP5, "op6_substring_dedup": _OP6, "op10_mixing": _OP10, "op11_source_divergence": _OP11, "op12_filter_interaction": _OP12}
