@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, filter_audit, fingerprint, langid, mixing, ngram_join, source_audit, substring, url_filter, warc
+from . import bpe, chat, context_mixing, embed_dedup, filter_audit, fingerprint, langid, mixing, ngram_join, source_audit, substring, url_filter, warc
 from .workspace import Workspace
 
 
@@ -73,6 +73,11 @@ def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    return context_mixing.score(_table(spark, sf_dir, "documents"), ~F.coalesce(held_out, F.lit(False)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
