@@ -151,7 +151,7 @@ def test_paths_are_a_complete_prefix_code():
 
 
 def decisions(model, text):
-    """Each decision of one text in order: cells of the four tables, bit, level, own counter; and where each symbol starts."""
+    """Each decision of one text in order: its symbol's place, cells of the tables, bit, level, own counter."""
     c = model.coding
     known = {int(h): k for k, h in enumerate(c.hashes)}
     tokens = words(text)
@@ -163,23 +163,23 @@ def decisions(model, text):
     for k in range(len(tokens) + 1):
         h = [short(h1 + 1), short((t1 | t2 << 16) + (2 << 40)), short(h1 * odd + h2 + 3)]
         if k == len(tokens):
-            symbols.append((c.escape + 1, h, 0))
+            symbols.append((c.escape + 1, h))
             break
         symbol = known.get(hashes[k], c.escape)
-        symbols.append((symbol, h, 0))
+        symbols.append((symbol, h))
         raw = tokens[k].encode()
         if symbol == c.escape:
             for j in range(len(raw) + 1):
                 back = [raw[j - m] if j >= m else 256 for m in (1, 2, 3, 4)]
                 seen = [sum(b << 9 * i for i, b in enumerate(back[:n])) for n in (2, 3, 4)]
-                symbols.append((c.escape + 2 + (raw[j] if j < len(raw) else 256), [short(x + (4 + i << 40)) for i, x in enumerate(seen)], c.inner + back[0] * 256))
+                symbols.append((c.escape + 2 + (raw[j] if j < len(raw) else 256), [short(x + (4 + i << 40)) for i, x in enumerate(seen)]))
         h1, h2, t1, t2 = hashes[k], h1, raw[-1] | (raw[-2] << 8 if len(raw) > 1 else 0), t1
     out = []
-    for at, (symbol, h, base) in enumerate(symbols):
+    for at, (symbol, h) in enumerate(symbols):
         for i in range(c.start[symbol], c.start[symbol + 1]):
             node = int(c.nodes[i])
             slots = [((x ^ node * 0x9E3779B1 % 2**32) * 0x85EBCA6B % 2**32) >> (32 - context_mixing.SLOT_BITS) for x in h]
-            out.append((at, [base + node, *slots], int(c.bits[i]), int(c.level[i]), int(c.own[i])))
+            out.append((at, slots, int(c.bits[i]), int(c.level[i]), int(c.own[i])))
     return out
 
 
@@ -207,7 +207,7 @@ def plain_log(model, text):
         x = [int(t[c]) / cm.SCALE for t, c in zip(model.tables, cells, strict=True)]
         x.append(math.log((own[counter][1] + cm.PRIOR) / (own[counter][0] + cm.PRIOR)) if counter < cm.OWN else 0.0)
         x = np.array(x)
-        gate = level + 2 * (x[3] != 0) + (x[1] != 0)
+        gate = level + 2 * (x[2] != 0) + (x[0] != 0)
         odds = min(11.5, max(-11.5, float((model.weights[gate] + drift) @ x)))
         p = 1 / (1 + math.exp(-odds))
         cell = min(cm.CELLS - 1, max(0, int(odds * 2 + cm.CELLS // 2 + 0.5)))
