@@ -41,8 +41,9 @@ def _slope(t: list, y: list, step: float = 5.0) -> float | None:
     return sum((a - mt) * (b - my) for a, b in pairs) / sum((a - mt) ** 2 for a, _ in pairs)
 
 
-def track(threshold: float):
-    """The state function for applyInPandasWithState: new windows of a record, in order of start; a window not after the last one seen is late and dropped."""
+def track(threshold: float, idle_min: float = 24 * 60, ts: str | None = None):
+    """The state function for applyInPandasWithState: new windows of a record, in order of start; a window not after the last one seen is late and dropped. A record's state goes idle_min after its last window by column ts, if one is given."""
+    idle = int(idle_min * 60_000)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -51,9 +52,9 @@ def track(threshold: float):
         starts, values, streak, began = ([], [], 0, None) if not state.exists else state.get
         starts, values = list(starts), list(values)
         rows = []
-        for r in pd.concat(list(frames)).sort_values("window_start_min").itertuples():
-            t = float(r.window_start_min)
-            v = None if pd.isna(r.value) else float(r.value)
+        new = pd.concat(list(frames)).sort_values("window_start_min")
+        for t, v in zip(new["window_start_min"].tolist(), new["value"].astype("float64").tolist(), strict=True):
+            v = None if v != v else v
             if starts and t <= starts[-1]:
                 continue
             last = values[-1] if values else None
@@ -64,11 +65,19 @@ def track(threshold: float):
             began = (t if began is None else began) if alert else None
             rows.append((key[0], t, v, v - two if v is not None and two is not None else 0.0, streak, _slope(starts, values) or 0.0, alert, began))
         state.update((starts, values, streak, began))
+        if ts is not None:
+            state.setTimeoutTimestamp(max(int(new[ts].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + idle)
         yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
 
     return run
 
 
-def monitor(windows: DataFrame, threshold: float) -> DataFrame:
-    """A stream of (record, window_start_min, value) with its trends, alert and the start of the running alert. State per record is six rows, a streak and a start."""
-    return windows.groupBy("record").applyInPandasWithState(track(threshold), OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+def monitor(windows: DataFrame, threshold: float, idle_min: float = 24 * 60, ts: str = "ts") -> DataFrame:
+    """A stream of (record, window_start_min, value) with its trends, alert and the start of the running alert.
+
+    State per record is six rows, a streak and a start; it goes idle_min after the record's last window, by the
+    stream's time: that needs a column ts with a watermark (see event_time). Without one, state stays.
+    """
+    timed = ts in windows.columns
+    kind = GroupStateTimeout.EventTimeTimeout if timed else GroupStateTimeout.NoTimeout
+    return windows.groupBy("record").applyInPandasWithState(track(threshold, idle_min, ts if timed else None), OUT, STATE, "append", kind)
