@@ -103,6 +103,7 @@ def left_closed_bins(c: Column, edges: list[float], labels: list[str]) -> Column
 PH_CUTS_EARLY = (7.05, 7.10, 7.20)
 PH_CUTS_EDA = (7.00, 7.10, 7.20)
 APGAR_CUTS = (4.0, 7.0)
+APGAR_TWO = (7.0,)
 
 
 def ph_class(ph: Column, cuts: tuple = PH_CUTS_EDA, labels: tuple = ("severe", "moderate", "mild", "normal"), missing: str = "no data") -> Column:
@@ -110,10 +111,12 @@ def ph_class(ph: Column, cuts: tuple = PH_CUTS_EDA, labels: tuple = ("severe", "
     return first_match([(ph.isNull(), missing), *[(ph < c, name) for c, name in zip(cuts, labels, strict=False)]], labels[-1])
 
 
-def apgar_class(score: Column, labels: tuple = ("0-3", "4-6", "7-10"), missing: str | None = "no data") -> Column:
-    """The Apgar class; with missing=None a missing score falls through to the last class."""
+def apgar_class(score: Column, labels: tuple = ("0-3", "4-6", "7-10"), missing: str | None = "no data", cuts: tuple = APGAR_CUTS) -> Column:
+    """The Apgar class, one more than cut points; with missing=None a missing score falls through to the last class. The score at 5 minutes has two classes in the outcome analysis: cuts=APGAR_TWO."""
+    if len(labels) != len(cuts) + 1:
+        raise ValueError("a label more than cut points")
     head = [] if missing is None else [(score.isNull(), missing)]
-    return first_match([*head, *[(yes(score < c), name) for c, name in zip(APGAR_CUTS, labels, strict=False)]], labels[-1])
+    return first_match([*head, *[(yes(score < c), name) for c, name in zip(cuts, labels, strict=False)]], labels[-1])
 
 
 def code_label(code: Column, names: dict, default: str) -> Column:

@@ -115,8 +115,9 @@ class Booster:
     def _test(self, t: Tree, node: int) -> str:
         """Whether a row goes right at a node."""
         name, cut = self.features[t.feature[node]], self.cuts[t.feature[node]][t.cut[node]]
-        there = f"(`{name}` IS NOT NULL AND NOT isnan(`{name}`))"
-        return f"({there} AND `{name}` >= {cut!r}D)" if t.left[node] else f"(NOT {there} OR `{name}` >= {cut!r}D)"
+        x = f"CAST(`{name}` AS DOUBLE)"
+        there = f"({x} IS NOT NULL AND NOT isnan({x}))"
+        return f"({there} AND {x} >= {cut!r}D)" if t.left[node] else f"(NOT {there} OR {x} >= {cut!r}D)"
 
     def _node(self, t: Tree, node: int) -> str:
         if t.feature[node] < 0:
@@ -338,7 +339,9 @@ class Fit:
                 if len(at):
                     yield pa.record_batch({"model": pa.array(np.full(len(at), k, np.int32)), "node": pa.array((cell // 256).astype(np.int32)), "feature": pa.array(columns[k][at].astype(np.int32)), "bin": pa.array((cell % 256).astype(np.int32)), "g": pa.array(own[0][at, cell].astype(np.int64)), "h": pa.array(own[1][at, cell].astype(np.int64))})
 
-        sums = self._map(histograms, _HISTOGRAM).groupBy("model", "node", "feature", "bin").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h")])
+        # tasks' rows are sums already; dealt by feature, one shuffle serves the sums and the windows
+        dealt = self._map(histograms, _HISTOGRAM).repartition("model", "node", "feature")
+        sums = dealt.groupBy("model", "node", "feature", "bin").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h")])
         per_model = lambda f: F.get(F.lit([float(f(k)) for k in range(len(runs))]), F.col("model"))
         ridge = per_model(lambda k: runs[k].setting.ridge)
         kinds = {runs[k].setting.symmetric for k in growing}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clinical as C
 from ..functions import kernels as K
+from ..operators import boosting
 from ..operators import bootstrap as B
 from ..operators import features as X
 from ..operators import fidelity as D
@@ -514,6 +515,46 @@ def tree_report(spark, sf_dir):
     return trees.evaluate(trees.score(model, m.where("split = 'test'")), "y", threshold)
 
 
+_ROOT = """WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST(ceil(l_quantity / 5) AS DOUBLE) AS quantity,
+   CASE WHEN l_orderkey % 5 <> 0 THEN CAST(l_linenumber AS DOUBLE) END AS line, CAST(round(l_discount * 100) AS DOUBLE) AS discount FROM lineitem),
+ l AS (SELECT 0 AS k, 'quantity' AS feature, quantity AS x, y FROM r UNION ALL SELECT 1, 'line', line, y FROM r UNION ALL SELECT 2, 'discount', discount, y FROM r),
+ t AS (SELECT sum(0.5::DOUBLE - y) AS g, 0.25::DOUBLE * count(*) AS h FROM r),
+ c AS (SELECT DISTINCT k, feature, x AS cut FROM l WHERE x IS NOT NULL AND x > (SELECT min(x) FROM l AS o WHERE o.k = l.k)),
+ s AS (SELECT c.k, c.feature, cut, to_left, sum(0.5::DOUBLE - y) AS gl, 0.25::DOUBLE * count(*) AS hl
+   FROM l JOIN c ON l.k = c.k, (VALUES (false), (true)) AS w(to_left) WHERE x < cut OR (x IS NULL AND to_left) GROUP BY ALL),
+ a AS (SELECT s.*, g, h, round((gl * gl / (hl + 1) + (g - gl) * (g - gl) / (h - hl + 1) - g * g / (h + 1)) / 2, 9) AS gain FROM s, t WHERE hl >= 1 AND h - hl >= 1)
+ SELECT feature, cut, to_left, gain, -gl / (hl + 1) AS left_value, -(g - gl) / (h - hl + 1) AS right_value FROM a WHERE gain > 0
+ ORDER BY gain DESC, k, cut, to_left LIMIT 1"""
+
+
+@query("boosted_root", _ROOT)
+def boosted_root(spark, sf_dir):
+    """The first split of boosted trees, with the side of missing values and both leaves: what the histograms say, against all cuts in SQL."""
+    li = table(spark, sf_dir, "lineitem")
+    line = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_linenumber"))
+    rows = li.select(F.ceil(F.col("l_quantity") / 5).alias("quantity"), line.alias("line"), F.round(F.col("l_discount") * 100).alias("discount"), (F.col("l_returnflag") == "R").cast("int").alias("y"), F.xxhash64("l_orderkey", "l_linenumber").alias("id"))
+    names = ["quantity", "line", "discount"]
+    model = boosting.fit(rows, names, "y", boosting.Setting(depth=1, rate=1.0, rounds=1), "id")
+    t = model.trees[0]
+    found = [(names[t.feature[0]], model.cuts[t.feature[0]][t.cut[0]], bool(t.left[0]), float(t.gain[0]), float(t.value[1]), float(t.value[2]))] if t.feature[0] >= 0 else []
+    return spark.createDataFrame(found, "feature string, cut double, to_left boolean, gain double, left_value double, right_value double")
+
+
+@query("boosted_report")
+def boosted_report(spark, sf_dir):
+    """Both kinds of boosted trees, all parameters searched side by side on folds of the training patients, scored on the others."""
+    m = P.stratified_split(_matrix(spark, sf_dir, fill=None), "c_custkey", "y").withColumn("id", F.col("c_custkey").cast("long"))
+    train = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2)
+    names, rows = ["bal", "n", "price"], []
+    for symmetric in (False, True):
+        options = boosting.settings(train, "y", symmetric, 4, rounds=(3, 6))
+        setting, ap, threshold, model = boosting.tuned(train, names, "y", "fold", [0, 1], options, "id")
+        best, share = model.importances()[0]
+        facts = {"model": F.lit("symmetric" if symmetric else "boosted"), "cv_average_precision": F.lit(ap), "depth": F.lit(setting.depth), "rounds": F.lit(setting.rounds), "first_feature": F.lit(best), "first_share": F.lit(share)}
+        rows.append(trees.evaluate(m.where("split = 'test'").withColumn("probability", model.probability()), "y", threshold).withColumns(facts))
+    return tables.union_all(rows)
+
+
 # --- kernels
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from ..functions.clinical import composite_target
-from ..operators import bootstrap, fidelity, logit, metrics, series, split, tables, trees, trends
+from ..operators import boosting, bootstrap, fidelity, logit, metrics, series, split, tables, trees, trends
 from ..operators.features import array_kernel, extract, pair_kernel, window_features
 from ..schemas import BASELINE, DELTAS, PROHIBITED, SLOPES, STREAKS, TRENDS
 from ..sources import files
@@ -64,6 +64,15 @@ def rejected(stats: DataFrame, most_nan: float = 30, least_min: float = 30) -> D
     return stats.agg(F.count("*").alias("records"), F.count_if(gaps).alias("too_many_gaps"), F.count_if(short).alias("too_short"), F.count_if(none).alias("no_uc"), F.count_if(good).alias("eligible"))
 
 
+def split_eligible(stats: DataFrame, path: str, most_nan: float = 30, least_min: float = 30) -> files.Split:
+    """eligible() and rejected() from one evaluation: records written once with their reasons, and counted."""
+    reasons = {"too_many_gaps": F.col("fhr_nan_pct") > most_nan, "too_short": F.col("duration_min") < least_min, "no_uc": ~F.coalesce(F.col("has_uc"), F.lit(False))}
+    good = F.coalesce((F.col("fhr_nan_pct") <= most_nan) & (F.col("duration_min") >= least_min) & F.col("has_uc"), F.lit(False))
+    why = F.concat_ws(", ", *[F.when(c, n) for n, c in reasons.items()])
+    error = F.when(~good, F.when(why == "", "not known").otherwise(why))
+    return files.split_write(stats, error, path, {n: F.count_if(c) for n, c in reasons.items()})
+
+
 def signal_stats(signals: DataFrame, fs: int = kernels.FS) -> DataFrame:
     """Statistics of both channels per record, from arrays, without exploding them."""
 
@@ -178,6 +187,23 @@ def phase_three(train: DataFrame, test: DataFrame, spec: trees.ModelSpec, folds:
     return params, live_report(trees.score(model, test), threshold), trees.importances(model, features)
 
 
+def phase_three_boosted(train: DataFrame, test: DataFrame, symmetric: bool = False, folds: int = 5, draws: int = 20, synthetic: DataFrame | None = None, seed: int = 42, rounds: tuple = (100, 200, 300, 500)) -> tuple[boosting.Setting, DataFrame, list[tuple[str, float]]]:
+    """phase_three with boosted trees of the library's own: all settings and folds are fitted side by side. Synthetic windows train where their source record does and are never scored."""
+    features = candidate_features(train)
+    members = train.groupBy("group_record").agg(F.max("target").alias("target"))
+    k = split.fold_count(members, "target", folds)
+    of = split.group_folds(members, "group_record", "target", k, seed).select("group_record", "fold")
+    keep = ["record", "window_id", *features, "target", "group_record"]
+    rows = train.select(*keep).withColumn("__real", F.lit(1))
+    if synthetic is not None:
+        own = tables.synthetic_of_training(synthetic, train, "source_record", "group_record").withColumn("group_record", F.col("source_record"))
+        rows = rows.unionByName(tables.add_missing(own, keep).select(*keep).withColumn("__real", F.lit(0)))
+    rows = rows.join(of, "group_record").withColumn("__id", F.xxhash64("record", "window_id", "__real"))
+    options = boosting.settings(train, "target", symmetric, draws, rounds, seed)
+    setting, _, threshold, model = boosting.tuned(rows, features, "target", "fold", list(range(k)), options, "__id", "__real")
+    return setting, live_report(test.withColumn("probability", model.probability()), threshold), model.importances()
+
+
 def comparison(baselines: DataFrame, rows: list[DataFrame], columns: list[str]) -> DataFrame:
     """Baseline rows and new rows in one table of fixed columns, missing ones as NULL; a model's new row replaces its old one."""
     new = tables.union_all([tables.add_missing(r, columns) for r in rows])
@@ -191,14 +217,12 @@ def winner(report: DataFrame) -> DataFrame:
 
 def save_parameters(path: str, params: dict, **facts) -> None:
     """Write a model's parameters with what else is needed to build it again (name, features, threshold) as JSON."""
-    with open(path, "w") as f:
-        json.dump({"params": params} | facts, f, indent=2, sort_keys=True)
+    files.write_text(path, json.dumps({"params": params} | facts, indent=2, sort_keys=True))
 
 
 def rebuild(path: str, train: DataFrame, test: DataFrame, synthetic: DataFrame | None = None, label: str = "target") -> tuple[DataFrame, float]:
     """The stored model fitted again on the training windows: scored test windows with probability and alert, and the threshold. All stored features must be there."""
-    with open(path) as f:
-        stored = json.load(f)
+    stored = json.loads(files.read_text(path))
     if absent := [c for c in stored["features"] if c not in candidate_features(train)]:
         raise ValueError(f"features that can't be rebuilt: {absent}")
     spec = next((s for s in trees.specs() if s.name == stored["name"]), None)
@@ -211,21 +235,38 @@ def rebuild(path: str, train: DataFrame, test: DataFrame, synthetic: DataFrame |
 
 def augmented(train: DataFrame, synthetic: DataFrame | None, features: list[str]) -> tuple[DataFrame, DataFrame]:
     """Training windows with the synthetic rows of training records, and a report row: rows, positives, negatives, note. Features that synthetic rows lack are NULL; without source_record none enters, since it might come from a test record."""
-    keep = [*features, "target", "group_record", "sample_source"]
     spark = train.sparkSession
     report = lambda rows, positives, note: spark.createDataFrame([(rows, positives, rows - positives, note)], "rows bigint, positives bigint, negatives bigint, note string")
+    real, own, note = _augmentation(train, synthetic, features)
+    if own is None:
+        return real, report(0, 0, note)
+    n = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
+    return real.unionByName(own), report(n.n, n.p, note if n.n else "none comes from a training record")
+
+
+def write_augmented(train: DataFrame, synthetic: DataFrame | None, features: list[str], path: str) -> tuple[DataFrame, dict]:
+    """augmented(), evaluated once: the training windows written and read back, and the report's numbers from what was written."""
+    real, own, note = _augmentation(train, synthetic, features)
+    both = real if own is None else real.unionByName(own)
+    made = F.col("sample_source") == "synthetic"
+    wrote = files.split_write(both, F.lit(None), path, {"synthetic": F.count_if(made), "positives": F.count_if(made & (F.col("target") == 1))})
+    n, p = wrote.counts["synthetic"], wrote.counts["positives"]
+    return wrote.good, {"rows": n, "positives": p, "negatives": n - p, "note": note if own is None or n else "none comes from a training record"}
+
+
+def _augmentation(train: DataFrame, synthetic: DataFrame | None, features: list[str]) -> tuple[DataFrame, DataFrame | None, str]:
+    """Real windows, the synthetic ones that may join them if any, and a note."""
+    keep = [*features, "target", "group_record", "sample_source"]
     real = train.select(*keep)
     if synthetic is None:
-        return real, report(0, 0, "no synthetic rows: real windows only")
+        return real, None, "no synthetic rows: real windows only"
     if "source_record" not in synthetic.columns:
-        return real, report(0, 0, "left out: without source_record they may come from test records")
+        return real, None, "left out: without source_record they may come from test records"
     own = tables.synthetic_of_training(synthetic, train, "source_record", "group_record")
     if "target" not in own.columns:
         own = own.withColumn("target", composite_target(F.col("pH"), F.col("Apgar5"), F.col("NICU_days")))
     own = tables.add_missing(own, features).withColumns({"group_record": F.col("source_record"), "sample_source": F.lit("synthetic")}).select(*keep)
-    n = own.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("p")).first()
-    note = "of training records only" if n.n else "none comes from a training record"
-    return real.unionByName(own), report(n.n, n.p, note)
+    return real, own, "of training records only"
 
 
 def selection_order(spark: SparkSession, path: list[dict]) -> DataFrame:
@@ -248,6 +289,12 @@ def risk_profile(scored: DataFrame, record: str) -> DataFrame:
     return w.crossJoin(F.broadcast(birth)).select("window_end_min", "probability", "birth_min").orderBy("window_end_min")  # one row
 
 
+def risk_profiles(scored: DataFrame) -> DataFrame:
+    """risk_profile of every record: record, window_end_min, probability, birth_min."""
+    birth = scored.groupBy("record").agg(F.median(F.col("window_end_min") + F.col("time_to_birth_min")).alias("birth_min"))
+    return scored.join(birth, "record").select("record", "window_end_min", "probability", "birth_min")
+
+
 #: Kinds of the signal features that aren't plain morphology.
 _KINDS = {
     "signal quality": ("fhr_invalid_pct", "uc_invalid_pct", "ltv_valid_windows"),

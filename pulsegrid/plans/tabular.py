@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import clinical as C
 from ..operators import tables as T
+from ..sources import files
+from . import pipelines
 from .common import query, series, table
 
 _Q = ("0.05", "0.25", "0.5", "0.75", "0.95")
@@ -175,7 +177,7 @@ _MODELS = "SELECT l_linestatus || ' - ' || l_returnflag AS model, avg(l_discount
 @query("models_by_prefix", f"SELECT * FROM ({_MODELS}) WHERE starts_with(model, 'O -')")
 def models_by_prefix(spark, sf_dir):
     report = table(spark, sf_dir, "lineitem").groupBy(F.concat("l_linestatus", F.lit(" - "), "l_returnflag").alias("model")).agg(F.avg("l_discount").alias("auroc"))
-    return report.where(F.col("model").startswith("O -"))
+    return pipelines.models_of(report, "O -")
 
 
 @query("eligibility", """WITH r AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_id % 7 = 0) * 100.0::DOUBLE / count(*) AS nan_pct FROM events GROUP BY user_id)
@@ -183,7 +185,32 @@ SELECT count(*) FILTER (nan_pct <= 15 AND n >= 60) AS eligible, count(*) FILTER
    AS too_short FROM r""")
 def eligibility(spark, sf_dir):
     r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.count_if(F.col("event_id") % 7 == 0) * 100.0 / F.count("*")).alias("nan_pct"))
-    return r.agg(F.count_if((F.col("nan_pct") <= 15) & (F.col("n") >= 60)).alias("eligible"), F.count_if(F.col("nan_pct") > 15).alias("too_many_gaps"), F.count_if(F.col("n") < 60).alias("too_short"))
+    stats = r.select(F.col("nan_pct").alias("fhr_nan_pct"), F.col("n").alias("duration_min"), F.lit(True).alias("has_uc"))
+    return pipelines.rejected(stats, 15, 60).select("eligible", "too_many_gaps", "too_short")
+
+
+@query("eligible_records", """SELECT user_id, count(*) AS n FROM events GROUP BY user_id HAVING count(*) FILTER (event_id % 7 = 0) * 100.0::DOUBLE / count(*) <= 15
+ AND count(*) >= 60 AND count(*) FILTER (event_type = 'click') > 0""")
+def eligible_records(spark, sf_dir):
+    """Series fit for a bootstrap, by the library's rule."""
+    r = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), (F.count_if(F.col("event_id") % 7 == 0) * 100.0 / F.count("*")).alias("fhr_nan_pct"), (F.count_if(F.col("event_type") == "click") > 0).alias("has_uc"))
+    return pipelines.eligible(r.withColumn("duration_min", F.col("n")), 15, 60).select("user_id", "n")
+
+
+@query("apgar_two_classes", _CLINICAL + " SELECT o_orderkey, CASE WHEN apgar5 IS NULL THEN 'no data' WHEN apgar5 < 7 THEN 'depression' ELSE 'normal' END AS apgar5_class FROM c")
+def apgar_two_classes(spark, sf_dir):
+    return _clinical(spark, sf_dir).select("o_orderkey", C.apgar_class(F.col("apgar5"), ("depression", "normal"), cuts=C.APGAR_TWO).alias("apgar5_class"))
+
+
+@query("risk_profiles", """WITH w AS (SELECT user_id, value, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS BIGINT) AS i FROM events),
+ e AS (SELECT user_id, 20.0::DOUBLE + 5.0::DOUBLE * i AS window_end_min, 1 / (1 + exp(-value / 100.0::DOUBLE)) AS probability, 700.0::DOUBLE - 4.5::DOUBLE * i AS time_to_birth_min FROM w),
+ b AS (SELECT user_id, median(window_end_min + time_to_birth_min) AS birth_min FROM e GROUP BY user_id)
+ SELECT user_id AS record, window_end_min, probability, birth_min FROM e JOIN b USING (user_id)""")
+def risk_profiles(spark, sf_dir):
+    """What risk curves are drawn from, of every series: windows on an elapsed axis that ends at the median birth time."""
+    s = series(spark, sf_dir)
+    i = F.col("i")
+    return pipelines.risk_profiles(s.select(F.col("user_id").alias("record"), (20.0 + 5.0 * i).alias("window_end_min"), (1 / (1 + F.exp(-F.col("value") / 100.0))).alias("probability"), (700.0 - 4.5 * i).alias("time_to_birth_min")))
 
 
 @query("freq_with_nulls", "SELECT CASE WHEN event_id % 7 <> 0 THEN event_type END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -428,4 +455,6 @@ def record_paths(spark, sf_dir):
 @query("summary_document", "SELECT to_json({n: count(*), open: count(*) FILTER (o_orderstatus = 'O'), \"by\": {low: min(o_orderkey), high: max(o_orderkey)}})::VARCHAR AS document FROM orders")
 def summary_document(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return o.agg(F.to_json(F.struct(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.struct(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")).alias("by"))).alias("document"))
+    facts = o.agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"), F.struct(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high")).alias("by"))
+    # the document is indented
+    return files.to_document(facts).select(F.regexp_replace("document", r"\s", "").alias("document"))

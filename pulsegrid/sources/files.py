@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import io
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -201,10 +202,53 @@ def require_stage(spark: SparkSession, path: str, stage: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class Split:
+    """What a split write left: good rows, bad rows with their error, and what was counted on the way."""
+
+    good: DataFrame
+    bad: DataFrame
+    counts: dict
+
+
+def split_write(df: DataFrame, error: Column, path: str, counts: dict[str, Column] | None = None) -> Split:
+    """Write rows once, good and bad apart, and count what was written: `rows`, `bad`, and the aggregates in `counts`, of df's columns.
+
+    A row is bad if `error` isn't NULL. The input is evaluated once; counts come from the columns that they need of
+    the files. (Observations would count on the way, but leave a session in which Spark's learners can't be
+    serialised.) A second run replaces what the first one wrote.
+    """
+    marked = df.withColumn("__error", error.cast("string")).withColumn("__bad", F.col("__error").isNotNull())
+    marked.write.mode("overwrite").partitionBy("__bad").parquet(path)
+    schema = T.StructType([*df.schema.fields, T.StructField("__error", T.StringType()), T.StructField("__bad", T.BooleanType())])
+    back = df.sparkSession.read.schema(schema).parquet(path)
+    measures = {"rows": F.count(F.lit(1)), "bad": F.count("__error")} | (counts or {})
+    found = back.agg(*[c.alias(n) for n, c in measures.items()]).first()
+    said = F.col("__error").alias("error") if "error" not in df.columns else F.col("__error")
+    return Split(back.where(~F.col("__bad")).select(*df.columns), back.where("__bad").select(*df.columns, said), found.asDict())
+
+
 def quarantine(df: DataFrame, error: str, path: str) -> DataFrame:
-    """Good rows; bad ones (error set) are appended to a side output."""
-    df.where(F.col(error).isNotNull()).write.mode("append").json(path)
-    return df.where(F.col(error).isNull()).drop(error)
+    """Good rows; bad ones (error set) are written as JSON. The input is evaluated once, into Parquet beside it in a folder that readers pass over; a rerun replaces both."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    parts = split_write(df, F.col(error), f"{parent or '.'}/_{name}.split")
+    parts.bad.select(*df.columns).write.mode("overwrite").json(path)
+    return parts.good.drop(error)
+
+
+def write_text(path: str, text: str) -> None:
+    """A small text as a file of any file system that Spark knows."""
+    spark = SparkSession.active()
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    f = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        f.write(bytearray(text.encode()))
+    finally:
+        f.close()
+
+
+def read_text(path: str) -> str:
+    return SparkSession.active().read.text(path, wholetext=True).first()[0]
 
 
 def demo_series(spark: SparkSession, n: int = 20, seed: int = 42) -> DataFrame:

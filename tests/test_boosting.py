@@ -102,7 +102,7 @@ def test_trees_are_those_of_loops_over_rows(spark, s):
 
 def test_trees_do_not_depend_on_partitions_or_on_other_models(spark):
     _, df = table(spark, 300, 3)
-    s = B.Setting(depth=3, rounds=10, rate=0.2, rows=0.8)
+    s = B.Setting(depth=3, rounds=9, rate=0.2, rows=0.8)
     other = B.Setting(symmetric=True, depth=2, rounds=4, noise=1.0)
     alone = B.fit(df.coalesce(1), NAMES, "y", s, "id")
     cuts = B.bin_cuts(df, NAMES)
@@ -176,7 +176,7 @@ def test_own_label_never_enters_a_residual(spark):
 def test_search_and_out_of_fold_scores(spark):
     rows, df = table(spark, 500, 9)
     for symmetric in (False, True):
-        options = B.settings(df, "y", symmetric, 4, rounds=(5, 12))
+        options = B.settings(df, "y", symmetric, 4, rounds=(3, 6))
         assert len(set(options)) == 4 and all(o.symmetric == symmetric for o in options)
         setting, ap, threshold, model = B.tuned(df, NAMES, "y", "fold", [0, 1, 2], options, "id")
         assert setting in options and ap > 0.5 and 0 < threshold < 1 and len(model.trees) == setting.rounds
@@ -209,7 +209,7 @@ def test_nested_validation_side_by_side_is_faster(spark):
     members = df.groupBy("record").agg(F.max("y").alias("y"))
     nested = split.nested_folds(members, "record", "y", 5, 3, 42).cache()
     extra = df.limit(60).select((F.col("id") + 10**9).alias("id"), *NAMES, "y", F.col("record").alias("source_record"), F.lit(None).cast("int").alias("record"))
-    options = B.settings(df, "y", False, 8, rounds=(5, 10))
+    options = B.settings(df, "y", False, 8, rounds=(2, 3))
     start = time.time()
     report = B.nested_cv(df, nested, NAMES, "y", options, "record", "id", extra).collect()
     took = time.time() - start
@@ -218,5 +218,5 @@ def test_nested_validation_side_by_side_is_faster(spark):
     # one of its 125 fits, the other way
     spec = trees.specs()[0]
     start = time.time()
-    trees.fit_model(spec, {"maxDepth": 3, "maxIter": 5}, df, NAMES, "y")
+    trees.fit_model(spec, {"maxDepth": 3, "maxIter": 3}, df.na.fill(0.0, ["b"]), NAMES, "y")
     assert took < 125 * (time.time() - start) / 2
