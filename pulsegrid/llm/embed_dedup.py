@@ -35,6 +35,8 @@ ONE_CODE, GROWTH, FULL_DIM, LOW_GROWTH = 100, 7, 64, 4
 SEED = 7
 #: Bits of a sketch, and how many standard deviations over the mean a pair at the threshold may differ: three in 100,000 differ more.
 BITS, SLACK = 256, 4.0
+#: Filters that a block's pairs are compared by at first; then four times as many, up to 64 times.
+COLUMNS = 64
 
 
 def codes(dim: int, c: int, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -103,20 +105,23 @@ def sketch_limit(threshold: float) -> int:
     return math.ceil(BITS * p + SLACK * math.sqrt(BITS * p * (1 - p)))
 
 
-def _earlier_common(lists: list[np.ndarray], pairs: tuple[np.ndarray, np.ndarray], now: int) -> np.ndarray:
-    """Whether two vectors share a filter before `now`: such a pair is counted there."""
+def _first_here(lists: list[np.ndarray], linked: np.ndarray, now: int) -> np.ndarray:
+    """Of linked pairs (a symmetric matrix) those that share no filter before `now`: a pair is counted under its first one. Products of 0/1 matrices of vectors by earlier filters, the commonest first, so many near copies cost little more than a block's product."""
     cut = [x[x < now] for x in lists]
-    width = max((len(x) for x in cut), default=0)
-    if not width:
-        return np.zeros(len(pairs[0]), bool)
-    table = np.full((len(cut), width), -1, np.int64)
-    for i, x in enumerate(cut):
-        table[i, : len(x)] = x
-    out = np.zeros(len(pairs[0]), bool)
-    step = max(1, 4_000_000 // width**2)
-    for i in range(0, len(out), step):
-        x, y = table[pairs[0][i : i + step]], table[pairs[1][i : i + step]]
-        out[i : i + step] = ((x[:, :, None] == y[:, None, :]) & (x[:, :, None] >= 0)).any(axis=(1, 2))
+    owner = np.repeat(np.arange(len(cut)), [len(x) for x in cut])
+    _, column, times = np.unique(np.concatenate(cut) if cut else np.zeros(0, np.int64), return_inverse=True, return_counts=True)
+    place = np.empty(len(times), np.int64)
+    place[np.argsort(-times, kind="stable")] = np.arange(len(times))
+    column, shared = place[column], int((times > 1).sum())
+    out, lo, width = linked.copy(), 0, COLUMNS
+    while lo < shared and len(left := np.flatnonzero(out.any(axis=1))):
+        to = np.full(len(cut), -1)
+        to[left] = np.arange(len(left))
+        some = (column >= lo) & (column < min(shared, lo + width)) & (to[owner] >= 0)
+        has = np.zeros((len(left), width), np.float32)
+        has[to[owner[some]], column[some] - lo] = 1
+        out[np.ix_(left, left)] &= has @ has.T == 0
+        lo, width = lo + width, min(4 * width, 64 * COLUMNS)
     return out
 
 
@@ -203,12 +208,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         linked = x @ x.T >= threshold
         np.fill_diagonal(linked, False)
         linked &= (own[:, None] != own[None, :]) | (i == j)
-        a, b = np.nonzero(np.triu(linked))
-        if not len(a):
+        if not linked.any():
             return pa.table({"entity": entity[:0], "links": weight[:0], "root": entity[:0]})
-        lists = [np.array(f, np.int64) for f in table.column("filters").to_pylist()]
-        new = ~_earlier_common(lists, (a, b), now)
-        links = np.bincount(a[new], weight[b[new]], len(entity)) + np.bincount(b[new], weight[a[new]], len(entity))
+        new = _first_here([np.array(f, np.int64) for f in table.column("filters").to_pylist()], linked, now)
+        links = np.array([weight[row].sum() for row in new])
         root = entity.copy()
         some = np.flatnonzero(linked.any(axis=1))
         near = linked[np.ix_(some, some)] | np.eye(len(some), dtype=bool)
