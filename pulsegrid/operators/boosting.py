@@ -304,14 +304,16 @@ class Fit:
             some = [k for k in active if level < self.runs[k].setting.depth and (level == 0 or (growing[k].feature[(1 << level - 1) - 1 : (1 << level) - 1] >= 0).any())]
             if not some:
                 break
-            self._split(turn, level, {k: growing[k] for k in some})
+            for symmetric in (False, True):
+                if own := {k: growing[k] for k in some if self.runs[k].setting.symmetric == symmetric}:
+                    self._split(turn, level, own, symmetric)
         self._ordered_values({k: t for k, t in growing.items() if self.runs[k].setting.symmetric})
         for k, t in growing.items():
             self.models[k].trees.append(t)
             self.pending[k].append(t)
 
-    def _split(self, turn: int, level: int, growing: dict[int, Tree]) -> None:
-        """One pass: the histograms of all nodes of a level, and their best splits."""
+    def _split(self, turn: int, level: int, growing: dict[int, Tree], symmetric: bool) -> None:
+        """One pass: the histograms of all nodes of a level of one kind of trees, and their best splits."""
         runs, pending, weights, width = self.runs, self.pending, self.weights, self.width
         columns = {k: self._columns(runs[k], turn) for k in growing}
         first, nodes = (1 << level) - 1, 1 << level
@@ -334,24 +336,22 @@ class Fit:
                         sums[k][1, i] += np.bincount(cell, h, nodes * 256)
             for k, own in sums.items():
                 # a symmetric level needs every node at every cut
-                full = own[1] > 0 if not runs[k].setting.symmetric else np.repeat((own[1].reshape(len(columns[k]), nodes, 256) > 0).any(1, keepdims=True), nodes, 1).reshape(len(columns[k]), -1)
+                full = own[1] > 0 if not symmetric else np.repeat((own[1].reshape(len(columns[k]), nodes, 256) > 0).any(1, keepdims=True), nodes, 1).reshape(len(columns[k]), -1)
                 at, cell = np.nonzero(full)
                 if len(at):
                     yield pa.record_batch({"model": pa.array(np.full(len(at), k, np.int32)), "node": pa.array((cell // 256).astype(np.int32)), "feature": pa.array(columns[k][at].astype(np.int32)), "bin": pa.array((cell % 256).astype(np.int32)), "g": pa.array(own[0][at, cell].astype(np.int64)), "h": pa.array(own[1][at, cell].astype(np.int64))})
 
-        # tasks' rows are sums already; dealt by feature, one shuffle serves the sums and the windows
-        dealt = self._map(histograms, _HISTOGRAM).repartition("model", "node", "feature")
+        # tasks' rows are sums already, a node's at most BINS + 1 per feature and task: dealt so, one shuffle serves the sums and all windows
+        dealt = self._map(histograms, _HISTOGRAM).repartition("model", "feature" if symmetric else "node")
         sums = dealt.groupBy("model", "node", "feature", "bin").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h")])
         per_model = lambda f: F.get(F.lit([float(f(k)) for k in range(len(runs))]), F.col("model"))
         ridge = per_model(lambda k: runs[k].setting.ridge)
-        kinds = {runs[k].setting.symmetric for k in growing}
-        found = []
-        if False in kinds:
-            found += own_splits(sums.where(~per_model(lambda k: runs[k].setting.symmetric).cast("boolean")), ridge, per_model(lambda k: runs[k].setting.least)).collect()
-        if True in kinds:
+        if symmetric:
             size = lambda k: math.log(max(2, sum(self.counts[k]))) - turn * runs[k].setting.rate
             noise = per_model(lambda k: runs[k].setting.noise * math.exp(size(k)) / (1 + math.exp(size(k))) / math.sqrt(max(1, sum(self.counts[k])))) * _normal(per_model(lambda k: runs[k].setting.seed), F.lit(turn), F.lit(level), F.col("feature"), F.col("cut"))
-            found += shared_splits(sums.where(per_model(lambda k: runs[k].setting.symmetric).cast("boolean")), ridge, noise).collect()
+            found = shared_splits(sums, ridge, noise).collect()
+        else:
+            found = own_splits(sums, ridge, per_model(lambda k: runs[k].setting.least)).collect()
         for r in found:
             tree, s = growing[r.model], runs[r.model].setting
             at = [first + r.node] if not s.symmetric else range(first, first + nodes)
