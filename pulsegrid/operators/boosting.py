@@ -236,12 +236,19 @@ class Fit:
         self.models = [Booster(features, cuts, r.setting) for r in runs]
         self.pending: list[list[Tree]] = [[] for _ in runs]
         self.blocks, self.rewritten = blocks.persist(StorageLevel.MEMORY_AND_DISK), 0
-        self._weights()
-        for turn in range(max((r.setting.rounds for r in runs), default=0)):
-            if turn and turn % ROUNDS == 0:
-                self._write_margins()
-            self._round(turn)
-        self._write_margins()
+        conf, key = blocks.sparkSession.conf, "spark.sql.adaptive.enabled"
+        before = conf.get(key)
+        # sums of known size, pass after pass: planning them anew would take longer than they do
+        conf.set(key, "false")
+        try:
+            self._weights()
+            for turn in range(max((r.setting.rounds for r in runs), default=0)):
+                if turn and turn % ROUNDS == 0:
+                    self._write_margins()
+                self._round(turn)
+            self._write_margins()
+        finally:
+            conf.set(key, before)
 
     def _map(self, run: Callable[[Iterator], Iterator], schema: str) -> DataFrame:
         width, folds, models = self.width, self.folds, len(self.runs)

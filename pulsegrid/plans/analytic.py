@@ -543,16 +543,20 @@ def boosted_root(spark, sf_dir):
 @query("boosted_report")
 def boosted_report(spark, sf_dir):
     """Both kinds of boosted trees, all parameters searched side by side on folds of the training patients, scored on the others."""
-    m = P.stratified_split(_matrix(spark, sf_dir, fill=None), "c_custkey", "y").withColumn("id", F.col("c_custkey").cast("long"))
-    train = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2)
+    m = P.stratified_split(_matrix(spark, sf_dir, fill=None), "c_custkey", "y").withColumn("id", F.col("c_custkey").cast("long")).persist()
+    train = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2).persist()
     names, rows = ["bal", "n", "price"], []
     for symmetric in (False, True):
-        options = boosting.settings(train, "y", symmetric, 4, rounds=(3, 6))
+        options = boosting.settings(train, "y", symmetric, 4, rounds=(2, 4))
         setting, ap, threshold, model = boosting.tuned(train, names, "y", "fold", [0, 1], options, "id")
         best, share = model.importances()[0]
         facts = {"model": F.lit("symmetric" if symmetric else "boosted"), "cv_average_precision": F.lit(ap), "depth": F.lit(setting.depth), "rounds": F.lit(setting.rounds), "first_feature": F.lit(best), "first_share": F.lit(share)}
         rows.append(trees.evaluate(m.where("split = 'test'").withColumn("probability", model.probability()), "y", threshold).withColumns(facts))
-    return tables.union_all(rows)
+    report = tables.union_all(rows)
+    found = report.collect()  # a row per kind
+    for held in (train, m):
+        held.unpersist()
+    return spark.createDataFrame(found, report.schema)
 
 
 # --- kernels

@@ -182,6 +182,16 @@ def test_importances_fall_and_add_up(spark):
     assert {r.feature for r in got} == {"bal", "n", "price"} and got[0].feature == "bal"
 
 
+def test_boosted_report_has_both_kinds(spark):
+    """Trees themselves are held against loops over rows in test_boosting."""
+    got = {r.model: r for r in rows(spark, "boosted_report")}
+    held_out = duckdb.sql(f"SELECT count(*) FROM '{DIR}/customer.parquet'").fetchall()[0][0]
+    assert set(got) == {"boosted", "symmetric"}
+    for r in got.values():
+        assert 0 < r.tp + r.fp + r.fn + r.tn < held_out and 0 < r.cv_average_precision <= 1 and 0 < r.threshold < 1
+        assert r.depth in (2, 3, 4, 5) and r.rounds in (2, 4) and r.first_feature in ("bal", "n", "price") and 0 < r.first_share <= 1
+
+
 def test_every_query_has_a_test():
     text = Path(__file__).read_text() + (Path(__file__).parent / "test_pipelines.py").read_text()
     assert all(f'"{name}"' in text for name in set(QUERIES) - set(ORACLE))
