@@ -2,7 +2,7 @@
 
 Records are sorted by page and dealt to shards by ranges of page_id and payload hash, of about equal bytes; a shard's files roll by compressed
 size; WARC and HTTP headers, lengths and digests are made anew from the payloads. Each file is written under a
-temporary name and renamed when it is whole, unless an earlier attempt has already put the same file there; a
+temporary name and renamed when it is whole, unless an earlier attempt has already put the same bytes there; a
 manifest, written last and committed by Spark, lists the files that count, and what attempts that failed have left
 goes after it. The same rows give the same files, whatever the input's partitions or a task's second attempts.
 """
@@ -70,11 +70,19 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def _place(fs, temp: str, name: str, size: int) -> None:
-    """Give a whole file its name. Attempts of one task write the same bytes, so one that is there already stays; it may appear between the look and the move."""
+def _sha1(fs, name: str) -> str:
+    sha = hashlib.sha1()
+    with fs.open_input_stream(name, compression=None) as source:
+        while data := source.read(1 << 20):
+            sha.update(data)
+    return sha.hexdigest()
+
+
+def _place(fs, temp: str, name: str, size: int, sha1: str) -> None:
+    """Give a whole file its name. Attempts of one task write the same bytes, so these stay if they are there already, as size and digest tell; they may appear between the look and the move. Other bytes of that name, of an earlier run, are replaced."""
     from pyarrow.fs import FileType
 
-    there = lambda: (i := fs.get_file_info(name)).type == FileType.File and i.size == size
+    there = lambda: (i := fs.get_file_info(name)).type == FileType.File and i.size == size and _sha1(fs, name) == sha1
     if not there():
         try:
             fs.move(temp, name)
@@ -137,7 +145,7 @@ def write(pages: DataFrame, out: str, shards: int | None = None, file_bytes: int
             if sink is not None:
                 sink.close()
                 name = f"shard-{shard_now:06d}-{part:05d}.warc.gz"
-                _place(fs, temp, f"{top}/{name}", size)
+                _place(fs, temp, f"{top}/{name}", size, sha.hexdigest())
                 listed.append((name, shard_now, part, count, size, sha.hexdigest()))
                 sink, part, count, size, sha = None, part + 1, 0, 0, hashlib.sha1()
 
@@ -212,7 +220,7 @@ def parse(data: bytes) -> dict:
 
 
 def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
-    """Read the archives that the manifest in `out` lists: page_id, payload_bytes, payload_digest, record_type, refers_to, url, and with `payloads` the payload (binary; null of revisits). Every digest and length is checked."""
+    """Read the archives that the manifest in `out` lists: page_id, payload_bytes, payload_digest, record_type, refers_to, url, and with `payloads` the payload (binary; null of revisits). Every digest and length is checked, and each file's bytes, records and SHA-1 against the manifest: a file that isn't the one listed, even if it is whole, is an error."""
     schema = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string" + ", payload binary" * payloads
     names = [x.split()[0] for x in schema.split(", ")]
     types = pa.schema([(n, {"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[x.split()[1]]) for n, x in zip(names, schema.split(", "), strict=True)])
@@ -220,20 +228,31 @@ def read(spark: SparkSession, out: str, payloads: bool = False) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, top = _filesystem(out)
         for batch in batches:
-            for name in batch.column(0).to_pylist():
+            for name, records, size, sha1 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with fs.open_input_stream(f"{top}/{name}", compression=None) as source:
+                    sha, found = hashlib.sha1(), [0, 0]
+
+                    def chunks(source=source, sha=sha, found=found) -> Iterator[bytes]:
+                        while data := source.read(1 << 20):
+                            sha.update(data)
+                            found[0] += len(data)
+                            yield data
+
                     rows: list[dict] = []
                     held = 0
-                    for data in members(iter(lambda: source.read(1 << 20), b"")):
+                    for data in members(chunks()):
                         r = parse(data)
                         rows.append({n: r[n] for n in names})
+                        found[1] += 1
                         held += len(data) if payloads else 200
                         if held > 4 << 20:
                             yield pa.RecordBatch.from_pylist(rows, types)
                             rows, held = [], 0
+                    if (*found, sha.hexdigest()) != (size, records, sha1):
+                        raise ValueError(f"{name} differs from the manifest")
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, types)
 
-    files = spark.read.parquet(f"{out}/_manifest").select("file")
+    files = spark.read.parquet(f"{out}/_manifest").select("file", "records", "bytes", "sha1")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(n, "file").mapInArrow(lean(run), schema)
