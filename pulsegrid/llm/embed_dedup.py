@@ -31,7 +31,7 @@ LISTS, LEAST, OCCUPANCY = 20, 10, 256
 #: Vectors of a block; a fuller filter is dealt to several blocks, all pairs of which are multiplied.
 BLOCK = 1024
 #: One code serves up to so many code words per half; each further code, GROWTH times as many, or LOW_GROWTH under so many dimensions.
-ONE_CODE, GROWTH, FULL_DIM, LOW_GROWTH = 100, 7, 64, 4
+ONE_CODE, GROWTH, FULL_DIM, LOW_GROWTH = 100, 7, 64, 3
 SEED = 7
 #: Bits of a sketch, and how many standard deviations over the mean a pair at the threshold may differ: three in 100,000 differ more.
 BITS, SLACK = 256, 4.0
@@ -49,13 +49,18 @@ def codes(dim: int, c: int, number: int = 0) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def code_size(n: int) -> int:
-    """Code words per half for n vectors."""
-    return max(8, math.ceil(math.sqrt(LISTS * n / OCCUPANCY)))
+def code_size(n: int, dim: int) -> int:
+    """Code words per half for n vectors of `dim` dimensions.
+
+    At most 2 to the power of half the dimensions: finer caps would be narrower than the angle of a pair and part it. So
+    with few dimensions filters grow with n, as links themselves do, until all blocks meet.
+    """
+    wanted = math.ceil(math.sqrt(LISTS * n / OCCUPANCY))
+    return max(8, min(wanted, math.floor(2 ** min(dim / 2, 60))))
 
 
 def code_count(c: int, dim: int) -> int:
-    """Independent codes of c code words per half: as many as keep recall at cosine 0.9 over 0.95 (the README has figures, and those of few dimensions)."""
+    """Independent codes of c code words per half: as many as keep recall at cosine 0.9 over 0.95 (the README has figures)."""
     count, most = 1, ONE_CODE
     while c > most:
         count, most = count + 1, most * (GROWTH if dim >= FULL_DIM else LOW_GROWTH)
@@ -161,7 +166,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
 
     rows = ws.save(vectors.select(F.col(id_col).alias("id"), values.alias("v")).mapInArrow(lean(unit), f"id {kind}, entity bigint, dim int, unit binary"), "rows")
     classes = ws.save(rows.where("entity IS NOT NULL").groupBy("entity").agg(F.count("*").alias("rows"), F.min("unit").alias("unit")), "classes")
-    c = code_size(classes.count())
+    n = classes.count()
 
     most, parts = sketch_limit(threshold), [f"s{k}" for k in range(BITS // 64)]
 
@@ -174,7 +179,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
                 for width in np.unique(size):
                     which = np.flatnonzero(size == width)
                     x = np.frombuffer(b"".join(units[i] for i in which), np.float64).reshape(len(which), -1)
-                    lists, bits = decode(x, c), sketch(x)
+                    lists, bits = decode(x, code_size(n, width // 8)), sketch(x)
                     again = np.repeat(np.arange(len(which)), [len(x) for x in lists])
                     out = [np.concatenate(lists), np.full(len(again), width // 8, np.int32), part.column(0).to_numpy()[which][again], *bits[again].view(np.int64).T]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in out], ["filter", "dim", "entity", *parts])

@@ -107,6 +107,24 @@ def test_warc_notices_damage(spark, tmp_path):
         warc.parse(data.replace(b"text\r\n\r\n", b"tExt\r\n\r\n"))
 
 
+def test_warc_replaces_other_bytes_and_holds_files_to_the_manifest(spark, tmp_path):
+    kind, out = "page_id bigint, url string, html string", tmp_path / "w"
+    df = spark.createDataFrame([(i, "u", f"text {i}") for i in range(30)], kind)
+    names = {r.file: r for r in warc.write(df, f"file://{out}", shards=2).collect()}
+    whole = {n: (out / n).read_bytes() for n in names}
+    # another run's file of the same name and size: its bytes must go
+    for n, data in whole.items():
+        (out / n).write_bytes(bytes(len(data)))
+    warc.write(df, f"file://{out}", shards=2)
+    assert {n: (out / n).read_bytes() for n in names} == whole and warc.read(spark, f"file://{out}").count() == 30
+    # whole records, but not the ones listed: one too many, then another file's
+    first, second = sorted(names)
+    for data in (whole[first] * 2, whole[second]):
+        (out / first).write_bytes(data)
+        with pytest.raises(Exception, match="differs from the manifest"):
+            warc.read(spark, f"file://{out}").collect()
+
+
 def test_chat_reconstruction(spark):
     events = [
         ("c", 1, 1, "message", "user", "hi"),
@@ -326,7 +344,7 @@ def test_filters_find_nine_in_ten_pairs_at_the_threshold():
         p -= (p * x).sum(1, keepdims=True) * x
         p /= np.linalg.norm(p, axis=1, keepdims=True)
         y = 0.9 * x + math.sqrt(1 - 0.81) * p
-        c = embed_dedup.code_size(n)
+        c = embed_dedup.code_size(n, 64)
         met = np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(embed_dedup.decode(x, c), embed_dedup.decode(y, c), strict=True)])
         assert met >= 0.93
 
@@ -340,12 +358,42 @@ def test_recall_at_the_threshold_holds_as_tables_grow():
     p /= np.linalg.norm(p, axis=1, keepdims=True)
     y = 0.9 * x + math.sqrt(1 - 0.81) * p
     for n, pairs in ((5_000_000, 800), (50_000_000, 800), (1_000_000_000, 300)):
-        c = embed_dedup.code_size(n)
+        c = embed_dedup.code_size(n, 64)
         a, b = embed_dedup.decode(x[:pairs], c), embed_dedup.decode(y[:pairs], c)
         assert np.mean([len(np.intersect1d(f, g)) > 0 for f, g in zip(a, b, strict=True)]) >= 0.95
         assert all((np.diff(f) > 0).all() for f in a)
 
 
+def at_the_threshold(rng, rows, dim):
+    x = rng.standard_normal((rows, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = rng.standard_normal(x.shape)
+    p -= (p * x).sum(1, keepdims=True) * x
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    return x, 0.9 * x + math.sqrt(1 - 0.81) * p
+
+
+@pytest.mark.parametrize("dim", [2, 3, 5, 8, 10, 12, 16, 20, 32])
+def test_recall_holds_with_few_dimensions(dim):
+    x, y = at_the_threshold(np.random.default_rng(dim), 500, dim)
+    for n, pairs in ((500_000, 500), (50_000_000, 200)):
+        c = embed_dedup.code_size(n, dim)
+        a, b = embed_dedup.decode(x[:pairs], c), embed_dedup.decode(y[:pairs], c)
+        assert np.mean([len(np.intersect1d(f, g)) > 0 for f, g in zip(a, b, strict=True)]) >= 0.94
+
+
+def test_many_short_vectors_against_brute_force(spark):
+    """Some thousand vectors of eight dimensions and one of its near copies' cluster, in small blocks: links of each row."""
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.standard_normal((2500, 8)), rng.standard_normal(8) + 0.02 * rng.standard_normal((500, 8))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embed_dedup.near_duplicates(df, 0.9, block=256).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    found = np.array([got[i] for i in range(len(x))])
+    assert (found <= want).all() and found.sum() >= 0.99 * want.sum()
+
+
 def test_vectors_under_several_codes(spark, monkeypatch):
     monkeypatch.setattr(embed_dedup, "code_count", lambda c, dim: 3)
     test_vectors_against_brute_force(spark, 16)
