@@ -162,19 +162,32 @@ def limited(x: np.ndarray, most: int = ENTROPY_MAX) -> np.ndarray:
     return x if len(x) <= most else x[np.linspace(0, len(x) - 1, most).astype(np.int64)]
 
 
-def _within(x: np.ndarray, m: int, r: float) -> np.ndarray:
-    """For each run of m samples, how many runs differ by r at most in every place, itself included."""
-    n = len(x) - m + 1
-    near = np.abs(x[:, None] - x[None, :]) <= r
-    both = near[:n, :n].copy()
-    for j in range(1, m):
-        both &= near[j : j + n, j : j + n]
-    return both.sum(axis=1)
-
-
-def entropies(x: np.ndarray, m: int = ENTROPY_ORDER, share: float = ENTROPY_R) -> tuple[float, float]:
-    """Approximate entropy (self-matches in) and sample entropy (without; each order with its own number of runs)."""
-    x = limited(np.asarray(x, np.float64))
+def _within(x: np.ndarray, m: int, r: float, rows: int = 128) -> np.ndarray:
+    """For each run of m samples, how many runs differ by r at most in every place, itself included.
+
+    Runs are put in order of their first sample and compared `rows` at a time with those alone whose first sample is near
+    enough, so memory is that of `rows` runs against all, not of all pairs.
+    """
+    runs = np.lib.stride_tricks.sliding_window_view(x, m)
+    order = np.argsort(runs[:, 0], kind="stable")
+    runs = np.ascontiguousarray(runs[order].T)
+    first, out = runs[0], np.empty(len(order), np.int64)
+    # a little wider than r, for rounding: the comparison itself decides
+    reach = r * (1 + 1e-9) + 1e-12 * np.abs(first).max(initial=0.0)
+    for at in range(0, len(order), rows):
+        to = min(at + rows, len(order))
+        lo, hi = np.searchsorted(first, first[at] - reach, "left"), np.searchsorted(first, first[to - 1] + reach, "right")
+        near = np.abs(runs[0, at:to, None] - runs[0, None, lo:hi]) <= r
+        for j in range(1, m):
+            near &= np.abs(runs[j, at:to, None] - runs[j, None, lo:hi]) <= r
+        out[order[at:to]] = near.sum(axis=1)
+    return out
+
+
+def entropies(x: np.ndarray, m: int = ENTROPY_ORDER, share: float = ENTROPY_R, most: int | None = ENTROPY_MAX) -> tuple[float, float]:
+    """Approximate entropy (self-matches in) and sample entropy (without; each order with its own number of runs), of `most` samples evenly spread; most=None takes all."""
+    x = np.asarray(x, np.float64)
+    x = limited(x, len(x) if most is None else most)
     r = share * x.std() if len(x) else 0.0
     if len(x) < m + 2 or not r > 0:
         return np.nan, np.nan
@@ -254,6 +267,15 @@ def autocorrelation(x: np.ndarray, max_lag: int) -> np.ndarray:
     return out
 
 
+def lag_sums(v: np.ndarray, size: int, max_lag: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sum and number of the products at lags 0..max_lag of each of the first `size` samples with later ones of `v`, which goes on for max_lag samples more unless the series ends. Missing samples (NaN) give no product."""
+    own, wide = v[:size], np.full(min(len(v), size) + max_lag, np.nan)
+    wide[: min(len(v), len(wide))] = v[: len(wide)]
+    good = ~np.isnan(wide)
+    sums = np.correlate(np.where(good, wide, 0.0), np.nan_to_num(own), "valid")
+    return sums, np.rint(np.correlate(good.astype(np.float64), good[: len(own)].astype(np.float64), "valid")).astype(np.int64)
+
+
 def welch(x: np.ndarray, fs: float = FS, least: int = 256) -> tuple[np.ndarray, np.ndarray]:
     """Frequencies and density: Hann windows of min(256, n / 4) samples, half overlapping, each less its mean. A series of fewer than `least` samples has none."""
     x = x[np.isfinite(x)]

@@ -6,9 +6,18 @@ operators share when chained. A record's rows stay together: a record is one sig
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.kernels import lag_sums
+
+#: Samples of a chunk of a long series, four times the lags at least: what a chunk borrows from its successor is then a quarter.
+CHUNK = 4096
+
 
 def ordered(key: str, at: str = "i") -> WindowSpec:
     return Window.partitionBy(key).orderBy(at)
@@ -180,10 +189,62 @@ def autocorrelation(df: DataFrame, x: str, key: str, max_lag: int, at: str = "i"
     return g.select(key, F.posexplode(share).alias("lag", "acf"))
 
 
+def positions(df: DataFrame, key: str, at: str, name: str, cell: int) -> DataFrame:
+    """`name`: each row's place from 0 among its key's rows in the order of `at` (a whole number; ties in any order). Rows are counted in cells of `at`, so a task sorts one cell's rows, never a whole key's."""
+    rows = df.withColumn("__cell", F.floor(F.col(at) / cell))
+    before = F.sum("__n").over(ordered(key, "__cell").rowsBetween(Window.unboundedPreceding, -1))
+    cells = rows.groupBy(key, "__cell").agg(F.count("*").alias("__n")).select(F.col(key).alias("__cell_key"), F.col("__cell").alias("__c"), F.coalesce(before, F.lit(0)).alias("__before"))
+    joined = rows.join(cells, F.col(key).eqNullSafe(F.col("__cell_key")) & F.col("__cell").eqNullSafe(F.col("__c")))
+    place = F.row_number().over(Window.partitionBy(key, "__cell").orderBy(at)) - 1
+    return joined.withColumn(name, F.col("__before") + place).drop("__cell", "__c", "__cell_key", "__before")
+
+
+def long_autocorrelation(df: DataFrame, x: str, key: str, max_lag: int, at: str = "i", drop_missing: bool = False, long_enough: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """As `autocorrelation`, for series of any length and many lags: the plan doesn't grow with the lags, nor a task with the series.
+
+    A series is cut into chunks of `chunk` samples (four times max_lag if that is more). Each takes the next max_lag
+    samples along, gives the sum and number of its products at each lag in one correlation, and these add up. `at` is a
+    whole number; NaN is missing; a null key is a key of its own. A constant series has only zeros, one without a valid
+    sample nulls up to its length.
+    """
+    size = max(chunk, 4 * max_lag, 1)
+    s = df.select(F.col(key).alias("__key"), F.col(at).cast("bigint").alias("__at"), F.nanvl(F.col(x).cast("double"), F.lit(None)).alias("__x"))
+    if drop_missing:
+        s = s.where("__x IS NOT NULL")
+    of_key = s.groupBy("__key").agg(F.count("*").alias("__rows"), F.avg("__x").alias("__mean"), (F.min("__x") == F.max("__x")).alias("__flat"))
+    if long_enough:
+        of_key = of_key.where(F.col("__rows") > max_lag)
+    named = of_key.withColumnRenamed("__key", "__k")
+    placed = positions(s, "__key", "__at", "__p", size).join(named, F.col("__key").eqNullSafe(F.col("__k"))).withColumn("__c", F.when(F.col("__flat"), 0.0).otherwise(F.col("__x") - F.col("__mean")))
+    own = F.floor(F.col("__p") / size)
+    # the first max_lag samples of a chunk go to the one before as well
+    borrowed = (own > 0) & (F.col("__p") % size < max_lag)
+    chunks = placed.withColumn("__chunk", F.explode(F.when(borrowed, F.array(own, own - 1)).otherwise(F.array(own))))
+    packed = chunks.groupBy("__key", "__chunk").agg(F.array_sort(F.collect_list(F.struct("__p", "__c"))).alias("__v")).select("__key", F.col("__v")["__c"].alias("__v"))
+    kind = s.schema["__key"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lags = pa.array(np.arange(max_lag + 1, dtype=np.int32))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v = batch.column(1)[k].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                sums, counts = lag_sums(v, size, max_lag)
+                same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(max_lag + 1, np.int32)), batch.column(0).slice(k, 1)).cast(batch.column(0).type)
+                yield pa.RecordBatch.from_arrays([same, lags, pa.array(sums), pa.array(counts)], ["__key", "lag", "__s", "__n"])
+
+    parts = packed.mapInArrow(run, f"__key {kind}, lag int, __s double, __n bigint")
+    total = parts.groupBy("__key", "lag").agg((F.sum("__s") / F.nullif(F.sum("__n"), F.lit(0))).alias("__v"))
+    first = F.max(F.when(F.col("lag") == 0, F.col("__v"))).over(Window.partitionBy("__key"))  # max_lag + 1 rows a key
+    share = F.when(F.col("lag") >= F.col("__rows"), 0.0).when(F.col("__first") == 0, 0.0).otherwise(F.col("__v") / F.nullif(F.col("__first"), F.lit(0.0)))
+    return total.withColumn("__first", first).join(named, F.col("__key").eqNullSafe(F.col("__k"))).select(F.col("__key").alias(key), "lag", share.alias("acf"))
+
+
 def first_small_lag(df: DataFrame, x: str, key: str, threshold: float, low: int, high: int, at: str = "i") -> DataFrame:
-    """Block length per record from its samples in long form, for short blocks: see bootstrap.optimal_block, which takes arrays."""
+    """Block length per record from its samples in long form, of any length: see bootstrap.optimal_block, which takes arrays."""
     valid = df.where(F.col(x).isNotNull())
     n = df.groupBy(key).agg(F.count(x).alias("__n"))
-    small = autocorrelation(valid, x, key, high, at, drop_missing=True).where((F.col("lag") > 0) & (F.abs("acf") < threshold)).groupBy(key).agg(F.min("lag").alias("__lag"))
+    # a column per lag is quicker for a few
+    curve = autocorrelation if high <= 32 else long_autocorrelation
+    small = curve(valid, x, key, high, at, drop_missing=True).where((F.col("lag") > 0) & (F.abs("acf") < threshold)).groupBy(key).agg(F.min("lag").alias("__lag"))
     held = F.greatest(F.least(2 * F.col("__lag"), F.lit(high)), F.lit(low))
     return n.join(small, key, "left").select(key, F.when(F.col("__n") < 2 * low, F.lit(low)).otherwise(F.coalesce(held, F.lit(high))).cast("int").alias("block"))

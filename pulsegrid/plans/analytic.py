@@ -155,6 +155,17 @@ def mean_acf(spark, sf_dir):
     return D.mean_curve(S.autocorrelation(series(spark, sf_dir), "x", "user_id", 8, drop_missing=True, long_enough=True), "lag", "acf")
 
 
+@query("acf_long", """WITH s AS (SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i, CASE WHEN event_id % 7 <> 0 THEN value END AS x FROM events),
+ c AS (SELECT event_type, i, x - avg(x) OVER (PARTITION BY event_type) AS c, count(*) OVER (PARTITION BY event_type) AS n FROM s),
+ m AS (SELECT a.event_type, a.i - b.i AS lag, avg(a.c * b.c) AS m FROM c a JOIN c b ON b.event_type = a.event_type AND b.i <= a.i AND b.i >= a.i - 1200 GROUP BY 1, 2)
+ SELECT u.event_type, k.lag, CASE WHEN k.lag >= u.n OR z.m = 0 THEN 0 ELSE m.m / z.m END AS acf FROM (SELECT DISTINCT event_type, n FROM c) u JOIN (SELECT CAST(unnest(range(0,
+   1201)) AS INT) AS lag) k ON true LEFT JOIN m ON m.event_type = u.event_type AND m.lag = k.lag LEFT JOIN m z ON z.event_type = u.event_type AND z.lag = 0""")
+def acf_long(spark, sf_dir):
+    """Five minutes of lags of long series: all events of a type in a row."""
+    e = table(spark, sf_dir, "events").withColumn("x", F.when(F.col("event_id") % 7 != 0, F.col("value")))
+    return S.long_autocorrelation(e, "x", "event_type", 1200, at="event_id")
+
+
 _BLOCK = """, b AS (SELECT user_id, min(lag) AS lag FROM a WHERE lag > 0 AND abs(acf) < 0.05 GROUP BY user_id)
  SELECT a.user_id, CAST(CASE WHEN any_value(a.n) < 8 THEN 4 ELSE coalesce(greatest(least(2 * any_value(b.lag), 20), 4), 20) END AS INT) AS
    block FROM a LEFT JOIN b USING (user_id) GROUP BY a.user_id"""
@@ -411,6 +422,16 @@ def replica_convergence(spark, sf_dir):
     return B.converged_multiplier(r.select("bootstrap_idx", mean.alias("mean")).where("mean IS NOT NULL"), 0.5, 3)
 
 
+@query("replica_rounds", _MOVED + """, d AS (SELECT r + 1 AS round, sum(n) OVER w AS n, sum(t) OVER w / sum(n) OVER w AS mean, sqrt(greatest(sum(q) OVER w / sum(n) OVER w - (sum(t) OVER w
+   / sum(n) OVER w) ^ 2, 0)) AS std FROM (SELECT r, count(mean) AS n, sum(mean) AS t, sum(mean * mean) AS q FROM m GROUP BY r) WINDOW w AS (ORDER BY r)),
+ c AS (SELECT *, abs(std - lag(std) OVER (ORDER BY round)) AS change FROM d) SELECT CAST(round AS INT) AS round, CAST(n AS BIGINT) AS n, mean, std, coalesce(change < 0.5, false) AS stop FROM c WHERE
+   round <= (SELECT coalesce(min(round) FILTER (change < 0.5), 3) FROM c)""")
+def replica_rounds(spark, sf_dir):
+    """A row per round that was made: none after the one at which the means' deviation holds still."""
+    done = B.rounds(arrays(spark, sf_dir).withColumn("block", F.lit(8)), "moving_block", tolerance=0.5, cap=3)
+    return spark.createDataFrame([(r.m, r.n, r.mean, r.std, r.stop) for r in done], "round int, n bigint, mean double, std double, stop boolean")
+
+
 @query("strategy_fidelity")
 def strategy_fidelity(spark, sf_dir):
     """KS and Wasserstein of each strategy's replicates against the originals, with verdicts: one union of all samples per strategy, one pass each."""

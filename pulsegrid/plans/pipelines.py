@@ -96,11 +96,12 @@ def signal_stats(signals: DataFrame, fs: int = kernels.FS) -> DataFrame:
     return wide.select("record", "n_samples", "duration_min", "fs_hz", "has_uc", *final("fhr"), *final("uc"))
 
 
-def bootstrap_dataset(signals: DataFrame, clinical: DataFrame, m: int = 2, seed: int = 42) -> DataFrame:
-    """Originals and m synchronous replicates of each eligible record, with headers inherited and statistics made anew."""
+def bootstrap_dataset(signals: DataFrame, clinical: DataFrame, m: int | None = 2, seed: int = 42, out: str | None = None) -> DataFrame:
+    """Originals and m synchronous replicates of each eligible record, with headers inherited and statistics made anew. With m=None as many as the means' deviation needs, stored in `out` round by round if that is given."""
     good = tables.in_split(signals, eligible(signal_stats(signals)), "record")
     blocks = bootstrap.optimal_block(good)
-    made = bootstrap.replicates(good.join(blocks, "record"), m, seed=seed)
+    blocked = good.join(blocks, "record")
+    made = bootstrap.replicates(blocked, m, seed=seed) if m is not None else bootstrap.replicates_until_stable(blocked, out, seed=seed)[0]
     both = tables.union_all([good.withColumns({"source_record": F.col("record"), "bootstrap_idx": F.lit(None).cast("int"), "is_synthetic": F.lit(False)}), made])
     return both.join(clinical.withColumnRenamed("record", "source_record"), "source_record", "left").join(signal_stats(both.select("record", "fhr", "uc")), "record")
 

@@ -385,6 +385,71 @@ def test_kernels_by_hand():
     assert full["fhr_invalid_pct"] == 0 and full["ltv_valid_windows"] == 10 and full["signal_duration_min"] == 10
 
 
+def test_long_autocorrelation_is_that_of_the_windows_and_the_kernel(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, 3 * i + 1, None if i % 11 == 5 else float(v)) for k, n in (("a", 700), ("b", 9), (None, 40)) for i, v in enumerate(rng.standard_normal(n))]
+    rows += [("flat", i, 0.1) for i in range(50)] + [("gone", i, N) for i in range(3)] + [("nan", i, float("nan") if i == 1 else float(i * i)) for i in range(6)]
+    df = spark.createDataFrame(rows, "k string, i bigint, x double").repartition(3)
+    clean = df.withColumn("x", F.nanvl("x", F.lit(None)))
+    for options in ({}, {"drop_missing": True}, {"drop_missing": True, "long_enough": True}):
+        got = {(r.k, r.lag): r.acf for r in S.long_autocorrelation(df, "x", "k", 12, chunk=20, **options).collect()}
+        want = {(r.k, r.lag): r.acf for r in S.autocorrelation(clean, "x", "k", 12, **options).collect()}
+        assert got.keys() == want.keys()
+        for key in got.keys() - {("flat", lag) for lag in range(13)}:
+            assert got[key] == (want[key] if want[key] is None else pytest.approx(want[key], abs=1e-12)), key
+        assert all(v == 0 for (k, _), v in got.items() if k == "flat")
+    assert S.long_autocorrelation(df.where("false"), "x", "k", 5).isEmpty()
+
+
+def test_a_long_series_has_1200_lags_in_chunks(spark):
+    x = np.cumsum(np.random.default_rng(5).standard_normal(30_000)) + 100
+    df = spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(x)], "k string, i bigint, x double")
+    curve = S.long_autocorrelation(df, "x", "k", 1200)
+    assert column(curve, "acf", "lag") == pytest.approx(K.autocorrelation(x, 1200).tolist(), abs=1e-9)
+    size = lambda d: len(d._jdf.queryExecution().optimizedPlan().toString())
+    assert size(curve) < 1.05 * size(S.long_autocorrelation(df, "x", "k", 8))
+    block = S.first_small_lag(df, "x", "k", 0.05, 240, 1200).first().block
+    small = np.flatnonzero(np.abs(K.autocorrelation(x, 1200)[1:]) < 0.05) + 1
+    assert block == (min(max(2 * small[0], 240), 1200) if len(small) else 1200)
+
+
+def test_entropy_of_a_long_series_in_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal(900), 1)  # with many ties, also at the limit
+    for m, r in ((2, 0.2), (3, 0.5), (1, 0.0)):
+        runs = np.lib.stride_tricks.sliding_window_view(x, m)
+        assert K._within(x, m, r).tolist() == (np.abs(runs[:, None] - runs[None]).max(axis=2) <= r).sum(axis=1).tolist()
+    long = rng.standard_normal(20_000)
+    tracemalloc.start()
+    whole = K.entropies(long, most=None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and 2.0 < whole[1] < 2.4 and whole != K.entropies(long)
+
+
+def test_rounds_stop_when_means_hold_still(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    rows = [(f"r{i}", [float(v) for v in 140 + i + rng.standard_normal(60)], [1.0] * 60, 8, i) for i in range(12)] + [("none", [N] * 5, [N] * 5, 8, 1), ("empty", [], [], 8, 2)]
+    df = spark.createDataFrame(rows, "record string, fhr array<double>, uc array<double>, block int, age int")
+    out = f"{tmp_path}/rounds"
+    (tmp_path / "rounds" / "bootstrap_idx=9").mkdir(parents=True)  # of an earlier run
+    made, done = B.replicates_until_stable(df, out, "moving_block", tolerance=0.05, cap=8)
+    assert done[-1].stop and 1 < len(done) < 8 and [r.n for r in done] == [12 * r.m for r in done]
+    assert sorted(p.name for p in (tmp_path / "rounds").iterdir()) == [f"bootstrap_idx={k}" for k in [*range(len(done)), 9]]
+    key = ["record", "bootstrap_idx"]
+    want = B.replicates(df, len(done), "moving_block")
+    assert made.columns == want.columns and made.orderBy(*key).collect() == want.orderBy(*key).collect()
+    means = want.select("bootstrap_idx", B.mean_of("fhr").alias("mean")).where("mean IS NOT NULL")
+    values = [r["mean"] for r in means.collect()]
+    assert done[-1].std == pytest.approx(np.std(values)) and done[-1].mean == pytest.approx(np.mean(values))
+    assert B.converged_multiplier(B.replicates(df, 8, "moving_block").select("bootstrap_idx", B.mean_of("fhr").alias("mean")).where("mean IS NOT NULL"), 0.05, 8).first()[0] == len(done)
+    assert len(list(B.rounds(df.where("record = 'none'"), "moving_block", cap=2))) == 2
+    first, _ = B.replicates_until_stable(df, None, "jitter_warp", tolerance=1e9, cap=4)
+    assert first.where("bootstrap_idx = 1").count() == len(rows) and first.where("record = 'none_boot_0'").first().fhr == [N] * 5
+
+
 def test_entropy_against_brute_force():
     x = np.random.default_rng(1).standard_normal(60)
     r = 0.2 * x.std()
