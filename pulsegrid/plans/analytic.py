@@ -509,7 +509,25 @@ def cv_auroc(spark, sf_dir):
     return M.cv_auroc(m, ["bal", "n", "price"], "y", "fold")
 
 
-@query("univariate_logit")
+_LONG = """, l AS (SELECT feature, c_nationkey AS g, x, y FROM (SELECT c_custkey, 'bal' AS feature, bal AS x, y FROM m UNION ALL SELECT c_custkey, 'n', n, y
+   FROM m UNION ALL SELECT c_custkey, 'price', coalesce(price, 1.5), y FROM m) JOIN customer USING (c_custkey)),"""
+#: Newton steps of an intercept and a slope; u is a row's share in the slope's sandwich covariance.
+_SLOPES = """
+ t(step, feature, a, b) AS (SELECT DISTINCT 0, feature, 0.0::DOUBLE, 0.0::DOUBLE FROM l UNION ALL SELECT step + 1, feature, a + (h2 * g0 - h1 * g1) /
+   (h0 * h2 - h1 * h1), b + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) FROM (SELECT step, feature, a, b, sum(y - p) AS g0, sum((y - p) * x) AS g1,
+   sum(p * (1 - p)) AS h0, sum(p * (1 - p) * x) AS h1, sum(p * (1 - p) * x * x) AS h2 FROM (SELECT t.*, x, y, 1 / (1 + exp(-a - b * x)) AS p FROM t
+   JOIN l USING (feature) WHERE step < 12) GROUP BY ALL)),
+ p AS (SELECT l.*, b, 1 / (1 + exp(-a - b * x)) AS p FROM t JOIN l USING (feature) WHERE step = 12),
+ h AS (SELECT feature, count(*) AS n, sum(p * (1 - p)) AS h0, sum(p * (1 - p) * x) AS h1, sum(p * (1 - p) * x * x) AS h2 FROM p GROUP BY 1),
+ u AS (SELECT feature, g, n, any_value(b) AS b, sum((y - p) * (h0 * x - h1)) / any_value(h0 * h2 - h1 * h1) AS u FROM p JOIN h USING (feature) GROUP BY 1, 2, 3),
+ e AS (SELECT feature, any_value(b) AS b, sqrt(sum(u * u) * count(*) / (count(*) - 1) * any_value((n - 1) / CAST(n - 2 AS DOUBLE))) AS se FROM u GROUP BY 1),
+ z AS (SELECT *, abs(b) / se / sqrt(2) AS z FROM e)"""
+#: The complement of the error function of z, by trapezoids of width 1/2 with their correction.
+_ERFC = "z / (2 * pi()) * exp(-z * z) * (1 / (z * z) + " + " + ".join(f"2 * exp(-{k * k / 4}::DOUBLE) / ({k * k / 4} + z * z)" for k in range(1, 14)) + ") + CASE WHEN z < 2 * pi() THEN 2 / (1 - exp(4 * pi() * z)) ELSE 0 END"
+_RECURSIVE = _MATRIX.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("univariate_logit", _RECURSIVE + _LONG + _SLOPES + f" SELECT feature, b AS coef, se AS std_err, exp(b) AS odds_ratio, exp(b - 1.959963984540054 * se) AS ci_lower, exp(b + 1.959963984540054 * se) AS ci_upper, {_ERFC} AS p_value FROM z")
 def univariate_logit(spark, sf_dir):
     rows = L.univariate(_matrix(spark, sf_dir), ["bal", "n", "price"], "y", "c_nationkey")
     cols = ("feature", "coef", "std_err", "odds_ratio", "ci_lower", "ci_upper", "p_value")
@@ -517,7 +535,32 @@ def univariate_logit(spark, sf_dir):
     "double")
 
 
-@query("forward_selection")
+def _determinant(m: list[list[str]]) -> str:
+    """A determinant as SQL, along its first row."""
+    if len(m) == 1:
+        return m[0][0]
+    minors = [_determinant([row[:j] + row[j + 1 :] for row in m[1:]]) for j in range(len(m))]
+    return "(" + " ".join(f"{'-' if j % 2 else '+'} {m[0][j]} * {minor}" for j, minor in enumerate(minors)) + ")"
+
+
+def _newton_sql() -> str:
+    """Newton steps of the eight models of three features: a model's other features are zero, with a one on the diagonal that keeps them so."""
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(4)] for i in range(4)]
+    move = [_determinant([[f"g{i}" if j == k else h[i][j] for j in range(4)] for i in range(4)]) for k in range(4)]
+    sums = [f"sum((y - p) * x{i}) AS g{i}" for i in range(4)]
+    sums += [f"sum(p * (1 - p) * x{i} * x{j})" + (f" + CASE WHEN sum(abs(x{i})) = 0 THEN 1 ELSE 0 END" if i == j else "") + f" AS h{i}{j}" for i in range(4) for j in range(i, 4)]
+    at = "1 / (1 + exp(-b0 - b1 * x1 - b2 * x2 - b3 * x3))"
+    return f""", l AS (SELECT k, y, 1.0::DOUBLE AS x0, bal * (k & 1) AS x1, n * ((k >> 1) & 1) AS x2, coalesce(price, 1.5) * (k >> 2) AS x3 FROM m, (SELECT unnest(range(0, 8)) AS k)),
+ t(step, k, b0, b1, b2, b3) AS (SELECT 0, unnest(range(0, 8)), 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE UNION ALL SELECT step + 1, k, {", ".join(f"b{i} + {move[i]} / {_determinant(h)}" for i in range(4))}
+   FROM (SELECT step, k, b0, b1, b2, b3, {", ".join(sums)} FROM (SELECT t.*, y, x0, x1, x2, x3, {at} AS p FROM t JOIN l USING (k) WHERE step < 12) GROUP BY ALL)),
+ v AS (SELECT k, -2 * sum(ln(CASE WHEN y = 1 THEN p ELSE 1 - p END)) + (bit_count(k) + 1) * ln(count(*)) AS v FROM (SELECT k, y, {at} AS p FROM t JOIN l USING (k) WHERE step = 12) GROUP BY k),
+ c AS (SELECT feature, bit FROM (VALUES ('bal', 1), ('n', 2), ('price', 4)) AS c(feature, bit)),
+ s(step, k, feature, criterion) AS (SELECT 0, k, '', v FROM v WHERE k = 0 UNION ALL SELECT step + 1, arg_min(v.k, (v, c.feature)), arg_min(c.feature, (v, c.feature)), min(v)
+   FROM s JOIN c ON s.k & bit = 0 JOIN v ON v.k = s.k | bit WHERE v < criterion - 1e-8 GROUP BY step)
+ SELECT CAST(step AS INT) AS step, feature, criterion FROM s WHERE step > 0"""
+
+
+@query("forward_selection", _RECURSIVE + _newton_sql())
 def forward_selection(spark, sf_dir):
     _, path = L.forward_selection(_matrix(spark, sf_dir), ["bal", "n", "price"], "y", "bic")
     return spark.createDataFrame([(p["step"], p["feature"], float(p["criterion"])) for p in path], "step int, feature string, criterion double")
@@ -640,13 +683,28 @@ def window_ids(spark, sf_dir):
     return w.select("record", "window_id", "window_start_min", "window_end_min", "time_to_birth_min", "fhr_invalid_pct", "uc_invalid_pct")
 
 
-@query("entropies")
+_RUNS = """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+ p AS (SELECT *, lead(x) OVER w AS x1, lead(x, 2) OVER w AS x2, 0.2::DOUBLE * stddev_pop(x) OVER (PARTITION BY vec_id) AS r FROM e WINDOW w AS (PARTITION BY vec_id ORDER BY i)),
+ c AS (SELECT p.vec_id, p.i, count(*) FILTER (abs(p.x1 - q.x1) <= p.r) AS low, count(*) FILTER (abs(p.x1 - q.x1) <= p.r AND abs(p.x2 - q.x2) <= p.r) AS high
+   FROM p JOIN p AS q ON q.vec_id = p.vec_id AND abs(p.x - q.x) <= p.r GROUP BY 1, 2),
+ k AS (SELECT vec_id, avg(ln(low)) FILTER (low > 0) - ln(count(*) FILTER (low > 0)) AS f2, avg(ln(high)) FILTER (high > 0) - ln(count(*) FILTER (high > 0)) AS f3,
+   sum(low - 1) FILTER (low > 0) AS b, sum(high - 1) FILTER (high > 0) AS a FROM c GROUP BY 1)"""
+
+
+@query("entropies", _RUNS + " SELECT vec_id, [f2 - f3, CASE WHEN a > 0 THEN -ln(a / CAST(b AS DOUBLE)) ELSE 'NaN'::DOUBLE END] AS apen_sampen FROM k")
 def entropies(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     return X.array_kernel(e, ["vec_id"], "embedding", lambda x: list(K.entropies(x)), "apen_sampen", "array<double>")
 
 
-@query("welch_psd")
+_WELCH = """WITH e AS (SELECT vec_id, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64),
+ w AS (SELECT vec_id, s, i - s AS t, x - avg(x) OVER (PARTITION BY vec_id, s) AS x FROM e JOIN (SELECT unnest(range(0, 49, 8)) AS s) ON i BETWEEN s AND s + 15),
+ y AS (SELECT vec_id, s, t, x * (0.5 - 0.5 * cos(pi() * t / 8)) AS y FROM w),
+ f AS (SELECT vec_id, s, k, sum(y * cos(pi() * k * t / 8)) AS re, sum(y * sin(pi() * k * t / 8)) AS im FROM y, (SELECT CAST(unnest(range(0, 9)) AS INT) AS k) GROUP BY 1, 2, 3)
+ SELECT k AS bin, avg((re * re + im * im) / 24 * CASE WHEN k IN (0, 8) THEN 1 ELSE 2 END) AS psd FROM f GROUP BY k"""
+
+
+@query("welch_psd", _WELCH)
 def welch_psd(spark, sf_dir):
     p = X.array_kernel(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding", lambda x: K.welch(x, least=64)[1], "psd", "array<double>")
     return D.mean_curve(p.select(F.posexplode("psd").alias("bin", "psd")), "bin", "psd")
