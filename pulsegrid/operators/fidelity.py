@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import kernels
+from .features import _floats
 from .prefix import running_sums
 from .tables import safe_corr
 
@@ -12,18 +18,22 @@ from .tables import safe_corr
 LIMITS = (("ks", 0.05, 0.10), ("wasserstein", 1.0, 3.0), ("acf_r", 0.98, 0.90), ("psd_r", 0.95, 0.85), ("xcorr_r", 0.90, 0.90))
 
 
-def _steps(df: DataFrame, x: str, side: Column) -> DataFrame:
-    """A row per distinct value, with both samples' distribution functions and the next value. Counts are partial sums: a value that is frequent is one row."""
-    rows = df.where(F.col(x).isNotNull()).select(F.col(x).alias("v"), side.cast("long").alias("a"), (1 - side.cast("long")).alias("b"))
-    g = rows.groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    s = running_sums(rows, g, "v", ["a", "b"], [])
+def _sides(df: DataFrame, x: str, side: Column) -> DataFrame:
+    return df.where(F.col(x).isNotNull()).select(F.col(x).alias("v"), side.cast("long").alias("a"), (1 - side.cast("long")).alias("b"))
+
+
+def _steps(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row per distinct value v (of each group `by`), with both samples' distribution functions and the next value, from counts a and b of the two samples. Counts are partial sums: a value that is frequent is one row."""
+    by = by or []
+    g = rows.groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    s = running_sums(rows, g, "v", ["a", "b"], by)
     share = lambda c: F.try_divide(F.col(f"{c}_run").cast("double"), F.col(f"{c}_all"))
-    return s.select("v", F.col("v_next").alias("next"), F.col("a_all").alias("n1"), F.col("b_all").alias("n2"), share("a").alias("f"), share("b").alias("g"))
+    return s.select(*by, "v", F.col("v_next").alias("next"), F.col("a_all").alias("n1"), F.col("b_all").alias("n2"), share("a").alias("f"), share("b").alias("g"))
 
 
 def ks(df: DataFrame, x: str, side: Column) -> DataFrame:
     """The two-sample Kolmogorov-Smirnov statistic and its asymptotic p-value."""
-    d = _steps(df, x, side).agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("ks"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
+    d = _steps(_sides(df, x, side)).agg(F.max(F.abs(F.col("f") - F.col("g"))).alias("ks"), F.first("n1").alias("n1"), F.first("n2").alias("n2"))
     z = F.col("ks") * F.sqrt(F.col("n1") * F.col("n2") / (F.col("n1") + F.col("n2")).cast("double"))
     tail = sum((F.lit(2.0 * (-1) ** (k - 1)) * F.exp(-2.0 * k * k * z * z) for k in range(1, 40)), F.lit(0.0))
     p = F.when(z < 0.2, F.lit(1.0)).otherwise(F.greatest(F.least(tail, F.lit(1.0)), F.lit(0.0)))
@@ -32,14 +42,73 @@ def ks(df: DataFrame, x: str, side: Column) -> DataFrame:
 
 def wasserstein(df: DataFrame, x: str, side: Column) -> DataFrame:
     """Wasserstein-1: the area between the two distribution functions."""
-    s = _steps(df, x, side).where("next IS NOT NULL")
+    s = _steps(_sides(df, x, side)).where("next IS NOT NULL")
     return s.agg(F.sum(F.abs(F.col("f") - F.col("g")) * (F.col("next") - F.col("v"))).alias("wasserstein"))
 
 
+def _distances(steps: DataFrame, by: list[str]) -> DataFrame:
+    gap = F.abs(F.col("f") - F.col("g"))
+    return steps.groupBy(*by).agg(F.max(gap).alias("ks"), F.sum(F.when(F.col("next").isNotNull(), gap * (F.col("next") - F.col("v")))).alias("wasserstein"))
+
+
 def distances(df: DataFrame, x: str, side: Column) -> DataFrame:
     """Kolmogorov-Smirnov statistic and Wasserstein-1 as one row, from one pass over the distribution functions."""
-    gap = F.abs(F.col("f") - F.col("g"))
-    return _steps(df, x, side).agg(F.max(gap).alias("ks"), F.sum(F.when(F.col("next").isNotNull(), gap * (F.col("next") - F.col("v")))).alias("wasserstein"))
+    return _distances(_steps(_sides(df, x, side)), [])
+
+
+def distances_from(sets: DataFrame, x: str, names: list[str]) -> DataFrame:
+    """Both distances of each named set of samples (column strategy) from the samples without a name: values are counted once, and the common side is repeated as counts only. NULL and NaN don't count."""
+    n = sets.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy("strategy", F.col(x).alias("v")).agg(F.count("*").alias("n"))
+    common, none = F.col("strategy").isNull(), F.lit(0).cast("long")
+    of = F.when(common, F.array(*map(F.lit, names))).otherwise(F.array("strategy"))
+    rows = n.select(F.explode(of).alias("strategy"), "v", F.when(common, F.col("n")).otherwise(none).alias("a"), F.when(common, none).otherwise(F.col("n")).alias("b"))
+    return _distances(_steps(rows, ["strategy"]), ["strategy"])
+
+
+def mean_curves(sets: DataFrame, max_lag: int) -> DataFrame:
+    """Mean curves of each set of series (strategy, fhr, and perhaps uc), from one pass: strategy, curve, at, value.
+
+    Curves are the autocorrelation at lags up to max_lag (of series with more valid samples than that), the logarithm
+    of one plus the mean density by bin, and, where there is uc, the cross-correlation at lags -max_lag..max_lag. A task
+    adds up its batch's curves, so what is shuffled is a row per batch, set and point, whatever the number of records.
+    """
+    pair = "uc" in sets.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums: dict[tuple, np.ndarray] = {}
+            for r, strategy in enumerate(batch.column("strategy").to_pylist()):
+                x = _floats(batch.column("fhr")[r])
+                found = {"psd": kernels.welch(x)[1]}
+                if np.isfinite(x).sum() > max_lag:
+                    found["acf"] = kernels.autocorrelation(x, max_lag)
+                if pair:
+                    y = _floats(batch.column("uc")[r])
+                    if len(y) == len(x):
+                        found["xcorr"] = kernels.cross_correlation(x, y, max_lag)
+                for name, curve in found.items():
+                    point = np.stack([np.nan_to_num(curve), ~np.isnan(curve)])
+                    have = sums.get((strategy, name), np.zeros((2, 0)))
+                    more = np.zeros((2, max(have.shape[1], point.shape[1])))
+                    more[:, : have.shape[1]] += have
+                    more[:, : point.shape[1]] += point
+                    sums[strategy, name] = more
+            for (strategy, name), (total, n) in sums.items():
+                k = len(n)
+                yield pa.RecordBatch.from_arrays([pa.array([strategy] * k, pa.string()), pa.array([name] * k, pa.string()), pa.array(np.arange(k, dtype=np.int32)), pa.array(total), pa.array(n)], ["strategy", "curve", "at", "total", "n"])
+
+    columns = ["fhr", *["uc"] * pair]
+    rows = sets.select("strategy", *[F.coalesce(F.col(c).cast("array<double>"), F.array().cast("array<double>")).alias(c) for c in columns])
+    sums = rows.mapInArrow(run, "strategy string, curve string, at int, total double, n double")
+    mean = sums.groupBy("strategy", "curve", "at").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("m")).where("m IS NOT NULL")
+    return mean.select("strategy", "curve", "at", F.when(F.col("curve") == "psd", F.log1p("m")).otherwise(F.col("m")).alias("value"))
+
+
+def curve_correlations(curves: DataFrame, names: list[str]) -> DataFrame:
+    """A row per named set that has curves: the correlation of each of its mean curves with that of the set without a name, as <curve>_r; NULL if one is flat."""
+    own = curves.where("strategy IS NULL").select("curve", "at", F.col("value").alias("__own"))
+    r = curves.where("strategy IS NOT NULL").join(own, ["curve", "at"]).groupBy("strategy", "curve").agg(safe_corr(F.col("__own"), F.col("value")).alias("r"))
+    return r.groupBy("strategy").agg(*[F.max(F.when(F.col("curve") == c, F.col("r"))).alias(f"{c}_r") for c in names])
 
 
 def mean_curve(curves: DataFrame, axis: str, value: str) -> DataFrame:

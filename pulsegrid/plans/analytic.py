@@ -441,6 +441,45 @@ def strategy_fidelity(spark, sf_dir):
     return D.summary(tables.union_all(rows))
 
 
+def _comparison_sql() -> str:
+    """Records of 512 events, a replicate of each by every strategy of blocks, and all measures of the report by plain sums."""
+    jump, start, block = (_H.format(f"'{what}|42|' || rec || '|0|' || {i}") for what, i in (("jump", "i"), ("start", "i"), ("block", "(i // 32)")))
+    return f"""WITH e AS (SELECT event_id // 512 AS rec, event_id % 512 AS i, value / 4 + 90 AS x, CAST(user_id % 40 AS DOUBLE) AS y FROM events QUALIFY count(*) OVER (PARTITION BY event_id // 512) = 512),
+ d AS (SELECT rec, i, i = 0 OR {jump} < 1 / 32.0::DOUBLE AS jump, CAST(floor({start} * 512) AS BIGINT) AS st FROM e),
+ b AS (SELECT *, max(CASE WHEN jump THEN i END) OVER (PARTITION BY rec ORDER BY i) AS pos FROM d),
+ ix AS (SELECT 'block_bootstrap' AS strategy, rec, i, (CAST(floor({block} * 15) AS BIGINT) * 32 + i % 32) % 512 AS src FROM e
+   UNION ALL SELECT 'moving_block', rec, i, (CAST(floor({block} * 480) AS BIGINT) + i % 32) % 512 FROM e
+   UNION ALL SELECT 'stationary_bootstrap', p.rec, p.i, (q.st + p.i - p.pos) % 512 FROM b p JOIN d q ON q.rec = p.rec AND q.i = p.pos),
+ s AS (SELECT 'original' AS strategy, rec, i, x, y FROM e UNION ALL SELECT strategy, ix.rec, ix.i, x, y FROM ix JOIN e ON e.rec = ix.rec AND e.i = ix.src),
+ k AS (SELECT DISTINCT strategy FROM ix),
+ g AS (SELECT k.strategy, x AS v, count(*) FILTER (s.strategy = 'original') AS a, count(*) FILTER (s.strategy <> 'original') AS b FROM s JOIN k ON s.strategy IN ('original', k.strategy) GROUP BY 1, 2),
+ f AS (SELECT strategy, v, lead(v) OVER w AS nx, abs(sum(a) OVER w / CAST(sum(a) OVER (PARTITION BY strategy) AS DOUBLE) - sum(b) OVER w / CAST(sum(b) OVER (PARTITION BY strategy) AS DOUBLE)) AS gap FROM g WINDOW w AS (PARTITION BY strategy ORDER BY v)),
+ near AS (SELECT strategy, max(gap) AS ks, sum(gap * (nx - v)) FILTER (nx IS NOT NULL) AS wasserstein FROM f GROUP BY 1),
+ c AS (SELECT strategy, rec, i, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, stddev_pop(x) OVER w AS dx, stddev_pop(y) OVER w AS dy FROM s WINDOW w AS (PARTITION BY strategy, rec)),
+ acf AS (SELECT p.strategy, p.rec, p.i - q.i AS pos, avg(p.x * q.x) / any_value(p.dx * p.dx) AS value FROM c p JOIN c q ON q.strategy = p.strategy AND q.rec = p.rec AND p.i - q.i BETWEEN 0 AND 20 GROUP BY 1, 2, 3),
+ xcorr AS (SELECT p.strategy, p.rec, p.i - q.i + 20 AS pos, sum(p.x * q.y) / (512 * any_value(p.dx * p.dy)) AS value FROM c p JOIN c q ON q.strategy = p.strategy AND q.rec = p.rec AND p.i - q.i BETWEEN -20 AND 20 WHERE p.dx * p.dy > 0 GROUP BY 1, 2, 3),
+ w AS (SELECT strategy, rec, h, i - h AS t, (x - avg(x) OVER (PARTITION BY strategy, rec, h)) * (0.5 - 0.5 * cos(pi() * (i - h) / 64)) AS x FROM s JOIN (SELECT unnest(range(0, 385, 64)) AS h) ON i BETWEEN h AND h + 127),
+ z AS (SELECT strategy, rec, h, pos, sum(x * cos(pi() * pos * t / 64)) AS re, sum(x * sin(pi() * pos * t / 64)) AS im FROM w, (SELECT unnest(range(0, 65)) AS pos) GROUP BY 1, 2, 3, 4),
+ m AS (SELECT strategy, 'acf' AS curve, pos, avg(value) AS value FROM acf GROUP BY 1, 3 UNION ALL SELECT strategy, 'xcorr', pos, avg(value) FROM xcorr GROUP BY 1, 3
+   UNION ALL SELECT strategy, 'psd', pos, ln(1 + avg((re * re + im * im) / 192 * CASE WHEN pos IN (0, 64) THEN 1 ELSE 2 END)) FROM z GROUP BY 1, 3),
+ r AS (SELECT m.strategy, m.curve, corr(o.value, m.value) AS r FROM m JOIN m o ON o.strategy = 'original' AND o.curve = m.curve AND o.pos = m.pos WHERE m.strategy <> 'original' GROUP BY 1, 2),
+ a AS (SELECT near.*, max(r) FILTER (curve = 'acf') AS acf_r, max(r) FILTER (curve = 'psd') AS psd_r, max(r) FILTER (curve = 'xcorr') AS xcorr_r FROM near JOIN r USING (strategy) GROUP BY ALL)
+ SELECT *, CASE WHEN ks < 0.05 THEN 'good' WHEN ks < 0.1 THEN 'fair' ELSE 'poor' END AS ks_verdict, CASE WHEN wasserstein < 1 THEN 'good' WHEN wasserstein < 3 THEN 'fair' ELSE 'poor' END AS wasserstein_verdict,
+   CASE WHEN acf_r > 0.98 THEN 'good' WHEN acf_r > 0.9 THEN 'fair' ELSE 'poor' END AS acf_r_verdict, CASE WHEN psd_r > 0.95 THEN 'good' WHEN psd_r > 0.85 THEN 'fair' ELSE 'poor' END AS psd_r_verdict,
+   CASE WHEN xcorr_r > 0.9 THEN 'good' ELSE 'poor' END AS xcorr_r_verdict FROM a"""
+
+
+@query("strategy_comparison", _comparison_sql())
+def strategy_comparison(spark, sf_dir):
+    """The whole report, with all curves, of a replicate of each whole record of 512 events by every strategy of blocks."""
+    from . import pipelines
+
+    e = table(spark, sf_dir, "events").select(F.floor(F.col("event_id") / 512).cast("bigint").cast("string").alias("record"), "event_id", (F.col("value") / 4 + 90).alias("x"), (F.col("user_id") % 40).cast("double").alias("y"))
+    v = e.groupBy("record").agg(F.array_sort(F.collect_list(F.struct("event_id", "x", "y"))).alias("v")).where(F.size("v") == 512)
+    whole = v.select("record", F.transform("v", lambda p: p["x"]).alias("fhr"), F.transform("v", lambda p: p["y"]).alias("uc"), F.lit(32).alias("block"))
+    return pipelines.fidelity_report(whole, {name: B.replicates(whole, 1, name) for name in B.STRATEGIES}, 20)
+
+
 # --- splits and preparation
 
 
@@ -576,6 +615,7 @@ def tree_report(spark, sf_dir):
     oof = trees.out_of_fold(spec, params, train, ["bal", "n", "price"], "y", "fold", [0, 1], key="c_custkey")
     threshold = trees.calibrate(oof, "y")
     model = trees.fit_model(spec, params, train, ["bal", "n", "price"], "y")
+    train.unpersist()
     return trees.evaluate(trees.score(model, m.where("split = 'test'")), "y", threshold)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import json
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,29 +114,31 @@ def metadata_concordance(dataset: DataFrame) -> DataFrame:
     return tables.concordance(pair, "a", "b").crossJoin(F.broadcast(tables.most_distinct(dataset.where("pH IS NOT NULL"), "source_record", "pH")))  # one row each
 
 
-def fidelity_report(originals: DataFrame, synthetics: dict[str, DataFrame], max_lag: int = 200) -> DataFrame:
-    """A row per strategy: KS, Wasserstein, correlations of mean autocorrelation, of mean log spectrum and, where there is a channel uc, of mean cross-correlation, and verdicts. The tables are read several times: store replicates first."""
+def fidelity_report(originals: DataFrame, synthetics: dict[str, DataFrame], max_lag: int = 200, out: str | None = None) -> DataFrame:
+    """A row per strategy: KS, Wasserstein, correlations of mean autocorrelation, of mean log spectrum and, where there is a channel uc, of mean cross-correlation, and verdicts.
 
-    def curve(df: DataFrame, name: str) -> DataFrame:
-        kernel = {
-            "acf": lambda: array_kernel(readable, ["record"], "fhr", lambda x: kernels.autocorrelation(x, max_lag), name, "array<double>"),
-            "psd": lambda: array_kernel(df, ["record"], "fhr", lambda x: kernels.welch(x)[1], name, "array<double>"),
-            "xcorr": lambda: pair_kernel(df, ["record"], "fhr", "uc", lambda x, y: kernels.cross_correlation(x, y, max_lag), name),
-        }
-        # as many valid samples as there are lags
-        readable = df.where(F.size(F.filter("fhr", lambda v: v.isNotNull() & ~F.isnan(v))) > max_lag)
-        mean = fidelity.mean_curve(kernel[name]().select(F.posexplode(name).alias("at", name)).where(f"NOT isnan({name})"), "at", name)
-        return mean.withColumn(name, F.log1p(name)) if name == "psd" else mean
-
-    rows = []
-    for name, made in synthetics.items():
-        both = originals.select(F.explode("fhr").alias("v")).withColumn("o", F.lit(True)).unionByName(made.select(F.explode("fhr").alias("v")).withColumn("o", F.lit(False)))
-        row = fidelity.distances(both, "v", F.col("o"))
-        for c in ("acf", "psd", *["xcorr"] * ("uc" in originals.columns and "uc" in made.columns)):
-            r = fidelity.curve_correlation(curve(originals, c), curve(made, c), "at", c).withColumnRenamed("r", f"{c}_r")
-            row = row.crossJoin(F.broadcast(r))  # one row each
-        rows.append(row.withColumn("strategy", F.lit(name)))
-    return fidelity.summary(tables.union_all(rows))
+    All strategies go side by side: values are counted and curves are added up in one pass each over originals and
+    replicates together, which are kept for that time, or stored in `out` if that is given, so that a replicate is made
+    once. The report is made at once. A strategy without replicates has a row of NULLs, with verdicts "poor".
+    """
+    spark, names = originals.sparkSession, list(synthetics)
+    channels = ["fhr", *["uc"] * ("uc" in originals.columns and any("uc" in made.columns for made in synthetics.values()))]
+    column = lambda df, c: (F.col(c) if c in df.columns else F.lit(None)).cast("array<double>").alias(c)
+    parts = [(None, originals), *synthetics.items()]
+    sets = tables.union_all([df.select(F.lit(name).cast("string").alias("strategy"), *[column(df, c) for c in channels]) for name, df in parts])
+    if out is None:
+        sets = sets.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        sets.write.mode("overwrite").parquet(out)
+        sets = spark.read.parquet(out)
+    try:
+        near = fidelity.distances_from(sets.select("strategy", F.explode("fhr").alias("v")), "v", names)
+        like = fidelity.curve_correlations(fidelity.mean_curves(sets, max_lag), ["acf", "psd", *["xcorr"] * (len(channels) > 1)])
+        every = spark.createDataFrame([(n,) for n in names], "strategy string")
+        report = fidelity.summary(every.join(near, "strategy", "left").join(like, "strategy", "left"))
+        return spark.createDataFrame(report.collect(), report.schema)  # a row per strategy
+    finally:
+        sets.unpersist()
 
 
 def phase_one(train: DataFrame, features: list[str], fold: str = "fold") -> DataFrame:
@@ -183,6 +186,7 @@ def phase_three(train: DataFrame, test: DataFrame, spec: trees.ModelSpec, folds:
     if oof.count() != in_folds.count():
         raise ValueError("some windows got no out-of-fold score")
     threshold = trees.calibrate(oof, "target")
+    in_folds.unpersist()
     whole = train if synthetic is None else tables.union_all([train, tables.synthetic_of_training(synthetic, train, "source_record", "group_record")])
     model = trees.fit_model(spec, params, whole, features, "target")
     return params, live_report(trees.score(model, test), threshold), trees.importances(model, features)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import kernels as K
 from pulsegrid.operators import trees
 from pulsegrid.plans import pipelines as P
 from pulsegrid.schemas import CLINICAL
@@ -66,6 +67,27 @@ def test_bootstrap_dataset(records):
     assert both.ks == 0 and both.xcorr_r == pytest.approx(1) and both.xcorr_r_verdict == "good" and both.psd_r == pytest.approx(1)
 
 
+def test_fidelity_of_all_strategies_side_by_side(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    own = [(str(i), (140 + np.cumsum(rng.normal(0, 1, 300))).tolist(), rng.normal(20, 3, 300).tolist()) for i in range(4)]
+    own.append(("short", [1.0, None, float("nan")], [1.0, 2.0]))  # channels of unlike length, no curve
+    own.append(("none", None, None))
+    df = spark.createDataFrame(own, "record string, fhr array<double>, uc array<double>")
+    noise = spark.createDataFrame([("a", rng.normal(150, 9, 300).tolist())], "record string, fhr array<double>")
+    got = {r.strategy: r for r in P.fidelity_report(df, {"same": df, "noise": noise, "nothing": df.where("false")}, 30, str(tmp_path / "sets")).collect()}
+    assert set(got) == {"same", "noise", "nothing"}
+    assert got["same"].ks == got["same"].wasserstein == 0 and [got["same"][c] for c in ("acf_r", "psd_r", "xcorr_r")] == pytest.approx([1, 1, 1])
+    n = got["noise"]
+    x, y = np.array([v for _, f, _ in own[:4] for v in f] + [1.0]), np.array(noise.first().fhr)
+    grid = np.unique([*x, *y])
+    gap = abs(np.searchsorted(np.sort(x), grid, "right") / len(x) - np.searchsorted(np.sort(y), grid, "right") / len(y))
+    assert n.ks == pytest.approx(gap.max()) and n.wasserstein == pytest.approx((gap[:-1] * np.diff(grid)).sum()) and n.xcorr_r is None
+    acf = np.mean([K.autocorrelation(np.array(f), 30) for _, f, _ in own[:4]], axis=0)
+    psd = [np.log1p(np.mean([K.welch(np.array(f))[1] for f in fs], axis=0)) for fs in ([f for _, f, _ in own[:4]], [y])]
+    assert n.acf_r == pytest.approx(np.corrcoef(acf, K.autocorrelation(y, 30))[0, 1]) and n.psd_r == pytest.approx(np.corrcoef(*psd)[0, 1])
+    assert got["nothing"].ks is None and got["nothing"].psd_r is None and got["nothing"].ks_verdict == "poor"
+
+
 def test_rejected(spark):
     rows = [("a", 10.0, 40.0, True), ("b", 40.0, 20.0, True), ("c", 0.0, 60.0, False), ("d", 30.0, 30.0, True)]
     stats = spark.createDataFrame(rows, "record string, fhr_nan_pct double, duration_min double, has_uc boolean")
