@@ -57,7 +57,7 @@ def distances(df: DataFrame, x: str, side: Column) -> DataFrame:
 
 
 def distances_from(sets: DataFrame, x: str, names: list[str]) -> DataFrame:
-    """Both distances of each named set of samples (column strategy) from the samples without a name: values are counted once, and the common side is repeated as counts only. NULL and NaN don't count."""
+    """Both distances of each named set of samples (column strategy) from the samples without a name: only counts of values are sorted, and the common side is repeated as counts only. NULL and NaN don't count."""
     n = sets.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy("strategy", F.col(x).alias("v")).agg(F.count("*").alias("n"))
     common, none = F.col("strategy").isNull(), F.lit(0).cast("long")
     of = F.when(common, F.array(*map(F.lit, names))).otherwise(F.array("strategy"))

@@ -117,7 +117,7 @@ def metadata_concordance(dataset: DataFrame) -> DataFrame:
 def fidelity_report(originals: DataFrame, synthetics: dict[str, DataFrame], max_lag: int = 200, out: str | None = None) -> DataFrame:
     """A row per strategy: KS, Wasserstein, correlations of mean autocorrelation, of mean log spectrum and, where there is a channel uc, of mean cross-correlation, and verdicts.
 
-    All strategies go side by side: values are counted and curves are added up in one pass each over originals and
+    All strategies go side by side: values are counted and curves are added up over originals and
     replicates together, which are kept for that time, or stored in `out` if that is given, so that a replicate is made
     once. The report is made at once. A strategy without replicates has a row of NULLs, with verdicts "poor".
     """
