@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -21,14 +23,23 @@ def falling_streak(df: DataFrame, x: str, keys: list[str], order: str, out: str)
 
 
 def rolling_slope(df: DataFrame, y: str, t: str, keys: list[str], out: str, rows: int = 6, step: float = 5.0) -> DataFrame:
-    """Least-squares slope over the last `rows` rows, if they are evenly `step` apart and two values at least are there; else NULL."""
+    """Least-squares slope over the last `rows` rows, if they are evenly `step` apart and two values at least are there; else NULL.
+
+    Sums go from the first row to the last, times count from the last: every engine that adds so has the same bits.
+    """
     w = Window.partitionBy(*keys).orderBy(t)
     frame = w.rowsBetween(1 - rows, 0)
     tol = 1e-6 + 1e-5 * abs(step)
+    back = range(rows - 1, 0, -1)
     df = df.withColumn("__gap", (F.abs(F.col(t) - F.lag(t).over(w) - step) <= tol).cast("int"))
     even = F.coalesce(F.sum("__gap").over(w.rowsBetween(2 - rows, 0)), F.lit(0)) == rows - 1
     enough = (F.count("*").over(frame) == rows) & (F.count(y).over(frame) >= 2)
-    return df.withColumn(out, F.when(even & enough, F.regr_slope(y, t).over(frame))).drop("__gap")
+    held = df.select("*", (even & enough).alias("__use"), *[F.lag(y, k).over(w).cast("double").alias(f"__y{k}") for k in back], *[(F.lag(t, k).over(w) - F.col(t)).cast("double").alias(f"__t{k}") for k in back])
+    held = held.withColumns({"__y0": F.col(y).cast("double"), "__t0": F.lit(0.0)})
+    add = lambda term: reduce(lambda total, k: total + F.when(F.col(f"__y{k}").isNotNull(), term(F.col(f"__y{k}"), F.col(f"__t{k}"))).otherwise(0.0), [*back, 0], F.lit(0.0))
+    held = held.withColumns({"__n": add(lambda v, d: F.lit(1.0)), "__s": add(lambda v, d: d), "__q": add(lambda v, d: d * d)})
+    slope = F.try_divide(add(lambda v, d: (F.col("__n") * d - F.col("__s")) * v), F.col("__n") * F.col("__q") - F.col("__s") * F.col("__s"))
+    return held.select(*[c for c in df.columns if c not in ("__gap", out)], F.when(F.col("__use"), slope).alias(out))
 
 
 def add_trends(df: DataFrame, keys: list[str], order: str, deltas: dict[str, str] | None = None, streaks: dict[str, str] | None = None, slopes: dict[str, str] | None = None) -> DataFrame:

@@ -199,11 +199,17 @@ def falling_streak(spark, sf_dir):
     return T.falling_streak(series(spark, sf_dir).select("user_id", "i", "x"), "x", ["user_id"], "i", "streak").drop("x")
 
 
+#: Sums over the last six rows in their order, of those with a value: what is added is written with y and d, the value and its time less that of the last row.
+_SIX = lambda term: " + ".join(["0.0::DOUBLE", *["CASE WHEN {y} IS NOT NULL THEN {t} ELSE 0 END".format(y=f"x{k}", t=term.format(y=f"x{k}", d=f"(t{k} - t)")) for k in range(5, -1, -1)]])
+
+
 @query("rolling_slope", SERIES + """, t AS (SELECT user_id, (i + i // 20) * 5.0::DOUBLE AS t, x FROM s), l AS (SELECT *, CASE WHEN abs(t - lag(t) OVER (PARTITION BY user_id
-   ORDER BY t) - 5) < 1e-4 THEN 1 ELSE 0 END AS ok FROM t)
- SELECT user_id, t, CASE WHEN sum(ok) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AND count(*) OVER
-   w = 6 AND count(x) OVER w >= 2 THEN regr_slope(x, t) OVER w END AS slope FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS
-   BETWEEN 5 PRECEDING AND CURRENT ROW)""")
+   ORDER BY t) - 5) < 1e-4 THEN 1 ELSE 0 END AS ok FROM t),
+ h AS (SELECT user_id, t, sum(ok) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) = 5 AND count(*) OVER
+   w = 6 AND count(x) OVER w >= 2 AS use, """ + ", ".join(f"lag(x, {k}) OVER v AS x{k}, lag(t, {k}) OVER v AS t{k}" for k in range(6)) + """ FROM l WINDOW w AS (PARTITION BY user_id ORDER BY t ROWS
+   BETWEEN 5 PRECEDING AND CURRENT ROW), v AS (PARTITION BY user_id ORDER BY t)),
+ q AS (SELECT *, """ + _SIX("1") + " AS n, " + _SIX("{d}") + " AS st, " + _SIX("{d} * {d}") + """ AS stt FROM h)
+ SELECT user_id, t, CASE WHEN use THEN (""" + _SIX("(n * {d} - st) * {y}") + """) / (n * stt - st * st) END AS slope FROM q""")
 def rolling_slope(spark, sf_dir):
     s = series(spark, sf_dir).select("user_id", ((F.col("i") + F.floor(F.col("i") / 20)) * 5.0).alias("t"), "x")
     return T.rolling_slope(s, "x", "t", ["user_id"], "slope").drop("x")
