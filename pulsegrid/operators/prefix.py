@@ -14,6 +14,11 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def dealt(df: DataFrame, *keys: str, rows: int = 32_768) -> DataFrame:
+    """df dealt by hash into tasks of about `rows` rows, for what goes over it many times: tasks grow with the table, not with a setting, and a small table isn't hundreds of them. Counts df, which should be kept."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def quantile_bounds(df: DataFrame, x: str, parts: int) -> list[float]:
     """At most parts - 1 values that cut the column into about equal shares."""
     row = df.agg(F.percentile_approx(x, [i / parts for i in range(1, parts)], 10_000)).first() if parts > 1 else None

@@ -8,7 +8,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -17,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import average_precision, auroc, brier, class_weight, confusion, recall_threshold
+from .prefix import dealt
 from .tables import synthetic_of_training, union_all
 
 
@@ -85,17 +88,45 @@ def out_of_fold(spec: ModelSpec, params: dict, df: DataFrame, features: list[str
     return union_all(parts)
 
 
+def search(spec: ModelSpec, df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], draws: int = 20, seed: int = 42, extra: DataFrame | None = None, key: str = "record") -> tuple[dict, DataFrame]:
+    """The sampled setting with the best mean average precision over the folds (the first of equals), and its out-of-fold scores: fold, label, probability.
+
+    Rows of a fold are put together and weighted once for all settings. Fits go side by side, as many as leave no core
+    idle, and all settings are scored and judged in one pass.
+    """
+    options = sample_params(spec.space, draws, seed)
+    assemble = VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep")
+    parts = {}
+    for k in folds:
+        train, test = df.where(F.col(fold) != k), df.where(F.col(fold) == k)
+        if extra is not None:
+            train = union_all([train, synthetic_of_training(extra, train, "source_record", key)])
+        train = dealt(assemble.transform(weighted(train, label)).select("features", "label", "weight"), "features").persist(StorageLevel.MEMORY_AND_DISK)
+        parts[k] = train, dealt(assemble.transform(test.select(fold, label, *features)).drop(*features), "features").persist(StorageLevel.MEMORY_AND_DISK)
+    spark = df.sparkSession
+    try:
+        tasks = max(train.rdd.getNumPartitions() for train, _ in parts.values())
+        jobs = [(i, k) for i in range(len(options)) for k in folds]
+        fits = inheritable_thread_target(spark)(lambda job: spec.build(options[job[0]]).fit(parts[job[1]][0]))
+        with ThreadPool(min(len(jobs), 8, max(2, spark.sparkContext.defaultParallelism // tasks))) as pool:
+            models = pool.map(fits, jobs, chunksize=1)
+        scored = [score(m, parts[k][1]).withColumn("__setting", F.lit(i)) for (i, k), m in zip(jobs, models, strict=True)]
+        scores = union_all(scored)
+        # a plan of many models is planned once, here
+        scores = scores.checkpoint() if spark.sparkContext.getCheckpointDir() else scores.localCheckpoint()
+        by = average_precision(scores, "probability", label, ["__setting", fold]).groupBy("__setting").agg(F.avg("average_precision").alias("ap")).where("ap IS NOT NULL").collect()  # a row per setting
+        if not by:
+            raise ValueError("no fold has both classes")
+        best = max(by, key=lambda r: (r.ap, -r["__setting"]))["__setting"]
+        return options[best], scores.where(F.col("__setting") == best).drop("__setting")
+    finally:
+        for held in (x for pair in parts.values() for x in pair):
+            held.unpersist()
+
+
 def tune(spec: ModelSpec, df: DataFrame, features: list[str], label: str, fold: str, folds: list[int], draws: int = 20, seed: int = 42, extra: DataFrame | None = None) -> dict:
-    """The sampled setting with the best mean average precision over the folds. Draws are few, and each is a distributed fit."""
-    best: tuple[float, dict] | None = None
-    for p in sample_params(spec.space, draws, seed):
-        oof = out_of_fold(spec, p, df, features, label, fold, folds, extra)
-        ap = average_precision(oof, "probability", label, [fold]).agg(F.avg("average_precision")).first()[0]
-        if ap is not None and (best is None or ap > best[0]):
-            best = (ap, p)
-    if best is None:
-        raise ValueError("no fold has both classes")
-    return best[1]
+    """The setting that `search` finds."""
+    return search(spec, df, features, label, fold, folds, draws, seed, extra)[0]
 
 
 def calibrate(oof: DataFrame, label: str, least_recall: float = 0.75) -> float:

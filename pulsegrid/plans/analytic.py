@@ -19,6 +19,7 @@ from ..operators import series as S
 from ..operators import split as P
 from ..operators import tables, trees
 from ..operators import trends as T
+from ..operators.prefix import dealt
 from .common import SERIES, arrays, query, series, table
 
 # --- series
@@ -614,15 +615,20 @@ def forward_selection(spark, sf_dir):
 @query("tree_report")
 def tree_report(spark, sf_dir):
     """A forest tuned by out-of-fold average precision on the training patients, its threshold set there, scored on the others."""
-    m = P.stratified_split(_matrix(spark, sf_dir), "c_custkey", "y")
-    train = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2).cache()
+    names = ["bal", "n", "price"]
+    m = P.stratified_split(_matrix(spark, sf_dir), "c_custkey", "y").select("c_custkey", *names, "y", "split").persist()
+    every = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2).persist()
+    train = dealt(every, "c_custkey").persist()
     spec = next(s for s in trees.specs() if s.name == "RandomForest")
-    params = trees.tune(spec, train, ["bal", "n", "price"], "y", "fold", [0, 1])
-    oof = trees.out_of_fold(spec, params, train, ["bal", "n", "price"], "y", "fold", [0, 1], key="c_custkey")
+    params, oof = trees.search(spec, train, names, "y", "fold", [0, 1], key="c_custkey")
     threshold = trees.calibrate(oof, "y")
-    model = trees.fit_model(spec, params, train, ["bal", "n", "price"], "y")
-    train.unpersist()
-    return trees.evaluate(trees.score(model, m.where("split = 'test'")), "y", threshold)
+    model = trees.fit_model(spec, params, train, names, "y")
+    scored = trees.score(model, m.where("split = 'test'")).select("y", "probability").persist()
+    report = trees.evaluate(scored, "y", threshold)
+    found = report.collect()  # one row
+    for held in (train, every, scored, m):
+        held.unpersist()
+    return spark.createDataFrame(found, report.schema)
 
 
 _ROOT = """WITH r AS (SELECT CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, CAST(ceil(l_quantity / 5) AS DOUBLE) AS quantity,
@@ -654,17 +660,19 @@ def boosted_root(spark, sf_dir):
 def boosted_report(spark, sf_dir):
     """Both kinds of boosted trees, all parameters searched side by side on folds of the training patients, scored on the others."""
     m = P.stratified_split(_matrix(spark, sf_dir, fill=None), "c_custkey", "y").withColumn("id", F.col("c_custkey").cast("long")).persist()
-    train = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2).persist()
+    every = P.group_folds(m.where("split = 'train'"), "c_custkey", "y", 2).persist()
+    train = dealt(every, "c_custkey").persist()
+    test = dealt(m.where("split = 'test'"), "c_custkey").persist()
     names, rows = ["bal", "n", "price"], []
     for symmetric in (False, True):
         options = boosting.settings(train, "y", symmetric, 4, rounds=(2, 4))
         setting, ap, threshold, model = boosting.tuned(train, names, "y", "fold", [0, 1], options, "id")
         best, share = model.importances()[0]
         facts = {"model": F.lit("symmetric" if symmetric else "boosted"), "cv_average_precision": F.lit(ap), "depth": F.lit(setting.depth), "rounds": F.lit(setting.rounds), "first_feature": F.lit(best), "first_share": F.lit(share)}
-        rows.append(trees.evaluate(m.where("split = 'test'").withColumn("probability", model.probability()), "y", threshold).withColumns(facts))
+        rows.append(trees.evaluate(test.withColumn("probability", model.probability()), "y", threshold).withColumns(facts))
     report = tables.union_all(rows)
     found = report.collect()  # a row per kind
-    for held in (train, m):
+    for held in (train, test, every, m):
         held.unpersist()
     return spark.createDataFrame(found, report.schema)
 
