@@ -254,6 +254,11 @@ class Fit:
         width, folds, models = self.width, self.folds, len(self.runs)
         return self.blocks.mapInArrow(lambda batches: run(_read(batches, width, folds, models)), schema)
 
+    def _dealt(self, run: Callable[[Iterator], Iterator], schema: str, groups: int, *keys: str) -> DataFrame:
+        """Tasks' sums dealt by group, into no more tasks than groups or cores: the rows are few, a task's start isn't free."""
+        cores = self.blocks.sparkSession.sparkContext.defaultParallelism
+        return self._map(run, schema).repartition(max(1, min(groups, cores)), *keys)
+
     def _weights(self) -> None:
         """Class weights of each run, from its own rows: positives' weight, or for symmetric trees both classes' shares made equal."""
         runs = self.runs
@@ -265,7 +270,7 @@ class Fit:
                     n[k] += np.bincount(b.y[b.trains(run)] == 1, minlength=2)
             yield pa.record_batch({"model": pa.array(range(len(runs)), pa.int32()), "negatives": n[:, 0], "positives": n[:, 1]})
 
-        found = {r.model: r for r in self._map(count, "model int, negatives bigint, positives bigint").groupBy("model").agg(F.sum("negatives").alias("n"), F.sum("positives").alias("p")).collect()}
+        found = {r.model: r for r in self._dealt(count, "model int, negatives bigint, positives bigint", len(runs), "model").groupBy("model").agg(F.sum("negatives").alias("n"), F.sum("positives").alias("p")).collect()}
         self.counts = [(found[k].n, found[k].p) if k in found else (0, 0) for k in range(len(runs))]
         self.weights = []
         for run, (n, p) in zip(runs, self.counts, strict=True):
@@ -349,7 +354,7 @@ class Fit:
                     yield pa.record_batch({"model": pa.array(np.full(len(at), k, np.int32)), "node": pa.array((cell // 256).astype(np.int32)), "feature": pa.array(columns[k][at].astype(np.int32)), "bin": pa.array((cell % 256).astype(np.int32)), "g": pa.array(own[0][at, cell].astype(np.int64)), "h": pa.array(own[1][at, cell].astype(np.int64))})
 
         # tasks' rows are sums already, a node's at most BINS + 1 per feature and task: dealt so, one shuffle serves the sums and all windows
-        dealt = self._map(histograms, _HISTOGRAM).repartition("model", "feature" if symmetric else "node")
+        dealt = self._dealt(histograms, _HISTOGRAM, len(growing) * (width if symmetric else nodes), "model", "feature" if symmetric else "node")
         sums = dealt.groupBy("model", "node", "feature", "bin").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h")])
         per_model = lambda f: F.get(F.lit([float(f(k)) for k in range(len(runs))]), F.col("model"))
         ridge = per_model(lambda k: runs[k].setting.ridge)
@@ -393,7 +398,7 @@ class Fit:
                 at = np.flatnonzero(own[1] + own[3])
                 yield pa.record_batch({"model": pa.array(np.full(len(at), k, np.int32)), "cell": pa.array(at.astype(np.int32)), **{c: pa.array(own[i][at].astype(np.int64)) for i, c in enumerate(("g", "h", "fg", "fh"))}})
 
-        sums = self._map(leaves, "model int, cell int, g bigint, h bigint, fg bigint, fh bigint").groupBy("model", "cell").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h", "fg", "fh")])
+        sums = self._dealt(leaves, "model int, cell int, g bigint, h bigint, fg bigint, fh bigint", len(growing), "model").groupBy("model", "cell").agg(*[(F.sum(c) / UNIT).alias(c) for c in ("g", "h", "fg", "fh")])
         tables = {k: np.zeros((4, len(t.feature), PREFIXES)) for k, t in growing.items()}
         for r in sums.collect():
             tables[r.model][:, r.cell // PREFIXES, r.cell % PREFIXES] = r.g, r.h, r.fg, r.fh
