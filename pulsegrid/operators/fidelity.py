@@ -58,7 +58,16 @@ def distances(df: DataFrame, x: str, side: Column) -> DataFrame:
 
 def distances_from(sets: DataFrame, x: str, names: list[str]) -> DataFrame:
     """Both distances of each named set of samples (column strategy) from the samples without a name: only counts of values are sorted, and the common side is repeated as counts only. NULL and NaN don't count."""
-    n = sets.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy("strategy", F.col(x).alias("v")).agg(F.count("*").alias("n"))
+    return distances_of(value_counts(sets, x), names)
+
+
+def value_counts(sets: DataFrame, x: str) -> DataFrame:
+    """How often each value occurs in each set of samples: strategy, v, n. NULL and NaN don't count."""
+    return sets.where(F.col(x).isNotNull() & ~F.isnan(x)).groupBy("strategy", F.col(x).alias("v")).agg(F.count("*").alias("n"))
+
+
+def distances_of(n: DataFrame, names: list[str]) -> DataFrame:
+    """distances_from, of value_counts, which are read three times: keep them where samples are dear to make."""
     common, none = F.col("strategy").isNull(), F.lit(0).cast("long")
     of = F.when(common, F.array(*map(F.lit, names))).otherwise(F.array("strategy"))
     rows = n.select(F.explode(of).alias("strategy"), "v", F.when(common, F.col("n")).otherwise(none).alias("a"), F.when(common, none).otherwise(F.col("n")).alias("b"))
