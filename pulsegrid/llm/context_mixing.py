@@ -27,8 +27,10 @@ from .workspace import Workspace
 WORDS = 1 << 17
 #: Slots of a hashed predictor's table, as a power of two, and slots that a row of counts has when they are added up.
 SLOT_BITS, CHUNK_BITS = 22, 16
-#: Training texts, about, whose counts are left out when the gates' weights are fitted to them.
-SAMPLE, NEWTON = 1024, 3
+#: Newton steps at most for the gates' weights, and the change of a weight that ends them.
+NEWTON, STILL = 12, 1e-4
+#: Where the weights are fitted: levels above none, and under it, of a predictor's log odds, and of a text's own counts; levels of the latter in a unit of log odds.
+FINE, COARSE, OWN_SCALE = 15, 7, np.float32(1.25)
 #: Training words per task that gathers counts, so that the tables sent to be added up are few against the input.
 TASK_WORDS = 8 << 20
 #: Symbols of a text before weights, map and own counts adapt for the first time; then after each eighth more, and LAST at most.
@@ -48,6 +50,8 @@ GATES = LEVELS * 4
 
 _U = np.uint64
 _END = _U(0x243F6A8885A308D3)
+#: In place of a word's hash, how often each byte and a word's end stands in the texts.
+_BYTES = _END + np.arange(1, 258, dtype=_U)
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Hashes of nodes, and of slots, in 32 bits.
 _NODE, _SLOT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
@@ -229,7 +233,7 @@ def decisions(s: Symbols, coding: Coding, lo: int, hi: int) -> tuple[np.ndarray,
     at = _ranges(coding.start[symbol], size)
     node = coding.nodes[at]
     step = node.astype(np.uint32) * _NODE
-    cells = [((np.repeat(c[lo:hi], size) ^ step) * _SLOT) >> np.uint32(32 - SLOT_BITS) for c in s.contexts]
+    cells = [(((np.repeat(c[lo:hi], size) ^ step) * _SLOT) >> np.uint32(32 - SLOT_BITS)).astype(np.int64) for c in s.contexts]
     return size, at, node, coding.bits[at], cells
 
 
@@ -246,8 +250,27 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def mixed(s: Symbols, model: Model, adapt: bool = True) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per block: texts' first decisions, inputs, gates, bits, the mix and the final probability that a bit is one. What is learned from a block holds from the next one on, for its own text alone."""
+def _runs(s: Symbols) -> Iterator[tuple[int, int]]:
+    """Runs of blocks, from one to before another, whose decisions are held at once."""
+    block = 0
+    while block < len(s.blocks) - 1:
+        to = block + 1
+        while to < len(s.blocks) - 1 and s.blocks[to + 1] - s.blocks[block] <= HELD:
+            to += 1
+        yield block, to
+        block = to
+
+
+def _own_odds(own: np.ndarray) -> np.ndarray:
+    """Log odds of texts' own counts."""
+    odds = np.log(own + np.float32(PRIOR))
+    odds = odds[:, 1] - odds[:, 0]
+    odds[OWN :: OWN + 1] = 0
+    return odds
+
+
+def mixed(s: Symbols, model: Model) -> Iterator[tuple[np.ndarray, ...]]:
+    """Per block: texts' first decisions, bits and the final probability that a bit is one. What is learned from a block holds from the next one on, for its own text alone."""
     n, coding = len(s.place), model.coding
     weights, unit = np.ascontiguousarray(model.weights.T, np.float32), np.float32(1 / SCALE)
     drift = np.zeros((INPUTS, n), np.float32)
@@ -255,16 +278,12 @@ def mixed(s: Symbols, model: Model, adapt: bool = True) -> Iterator[tuple[np.nda
     own = np.zeros((n * cells_own, 2), np.float32)
     start = _squash(np.arange(CELLS, dtype=np.float32) / 2 - CELLS // 4)
     seen = np.tile(np.stack([1 - start, start], 1) * np.float32(STEADY), (n, 1))
-    block = 0
-    while block < len(s.blocks) - 1:
-        to = block + 1
-        while to < len(s.blocks) - 1 and s.blocks[to + 1] - s.blocks[block] <= HELD:
-            to += 1
+    for block, to in _runs(s):
         base = s.blocks[block]
         size, at, _, bit, cells = decisions(s, coding, base, s.blocks[to])
         x = np.empty((INPUTS, len(at)), np.float32)
         for k, c in enumerate(cells):
-            np.multiply(model.tables[k][c], unit, out=x[k])
+            np.multiply(model.tables[k].take(c, mode="clip"), unit, out=x[k])
         gate = coding.level[at] + (x[2] != 0).view(np.uint8) * np.uint8(2) + (x[0] != 0).view(np.uint8)
         mine_of, text = coding.own[at], np.repeat(s.text[base : s.blocks[to]], size)
         begin = np.concatenate([[0], np.cumsum(size)])
@@ -276,37 +295,29 @@ def mixed(s: Symbols, model: Model, adapt: bool = True) -> Iterator[tuple[np.nda
             texts = int(t[-1]) + 1
             firsts = np.searchsorted(t, np.arange(texts))
             count = np.diff(np.append(firsts, len(t)))
-            odds = np.log(own[: texts * cells_own] + np.float32(PRIOR))
-            odds = odds[:, 1] - odds[:, 0]
-            odds[OWN::cells_own] = 0
             mine = t * cells_own + mine_of[part]
-            z[INPUTS - 1] = odds[mine]
+            z[INPUTS - 1] = _own_odds(own[: texts * cells_own])[mine]
             total = np.zeros(len(t), np.float32)
             for k in range(INPUTS):
-                use = weights[k][g]
-                if adapt:
-                    use += np.repeat(drift[k, :texts], count)
+                use = weights[k].take(g, mode="clip")
+                use += np.repeat(drift[k, :texts], count)
                 total += use * z[k]
             np.clip(total, -SURE, SURE, out=total)
             p = _squash(total)
-            if not adapt:
-                yield firsts, z, g, y, p, p
-            else:
-                cell = t * CELLS + (total * np.float32(2) + np.float32(CELLS // 2 + 0.5)).astype(np.int64).clip(0, CELLS - 1)
-                map_ = seen[: texts * CELLS]
-                yield firsts, z, g, y, p, (p + (map_[:, 1] / (map_[:, 0] + map_[:, 1]))[cell]) * np.float32(0.5)
-                seen[: texts * CELLS] += np.bincount(cell * 2 + y, minlength=texts * CELLS * 2).reshape(-1, 2)
-                miss, rate = y - p, (RATE / (1 + count / ENOUGH)).astype(np.float32)
-                for k in range(INPUTS):
-                    drift[k, :texts] += np.add.reduceat(z[k] * miss, firsts) * rate
+            cell = t * CELLS + (total * np.float32(2) + np.float32(CELLS // 2 + 0.5)).astype(np.int64).clip(0, CELLS - 1)
+            map_ = seen[: texts * CELLS]
+            yield firsts, y, (p + (map_[:, 1] / (map_[:, 0] + map_[:, 1]))[cell]) * np.float32(0.5)
+            seen[: texts * CELLS] += np.bincount(cell * 2 + y, minlength=texts * CELLS * 2).reshape(-1, 2)
+            miss, rate = y - p, (RATE / (1 + count / ENOUGH)).astype(np.float32)
+            for k in range(INPUTS):
+                drift[k, :texts] += np.add.reduceat(z[k] * miss, firsts) * rate
             own[: texts * cells_own] += np.bincount(mine * 2 + y, minlength=texts * cells_own * 2).reshape(-1, 2)
-        block = to
 
 
 def bits(s: Symbols, model: Model) -> np.ndarray:
     """The natural logarithm of each text's probability, in the slice's order."""
     out = np.zeros(len(s.place))
-    for firsts, _, _, y, _, p in mixed(s, model):
+    for firsts, y, p in mixed(s, model):
         found = np.add.reduceat(np.log(np.abs((1 - y) - p)), firsts, dtype=np.float64)
         out[: len(found)] += found
     back = np.empty_like(out)
@@ -315,15 +326,19 @@ def bits(s: Symbols, model: Model) -> np.ndarray:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words by hash, and of ends."""
+    """Counts of words by hash, of ends, and of the words' bytes and ends."""
 
     def send(hashes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"h": signed(hashes), "n": n}).to_batches(max_chunksize=100_000)
 
     held, n = np.zeros(0, _U), np.zeros(0, np.int64)
+    spelled = np.zeros(257, np.int64)
     for batch in batches:
         for part in slices(batch):
-            value, count = np.unique(np.append(Words(part.column(0), lower=True).hash, _END), return_counts=True)
+            w = Words(part.column(0), lower=True)
+            spelled[:256] += np.bincount(w.data, minlength=256)
+            spelled[256] += len(w.hash)
+            value, count = np.unique(np.append(w.hash, _END), return_counts=True)
             count[value == _END] += part.num_rows - 1
             held, back = np.unique(np.concatenate([held, value]), return_inverse=True)
             n = np.bincount(back, np.concatenate([n, count]), len(held)).astype(np.int64)
@@ -331,70 +346,122 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from send(held, n)
                 held, n = held[:0], n[:0]
     yield from send(held, n)
+    # space and U+0009 to U+000D are never spelled
+    spelled[[32, *range(9, 14)]] = 0
+    yield from send(_BYTES[spelled > 0], spelled[spelled > 0])
 
 
-def _count_cells(shared, sign: int):
-    """Rows (table, chunk, sign, counts of zeros and ones), the counts of all texts of a task packed by the bytes of their numbers."""
+_PACKED = "part int, counts binary, cells int, width int"
+
+
+def _packed(part: int, counts: np.ndarray, codec: pa.Codec) -> dict:
+    """A row of counts, packed by the bytes of their numbers."""
+    planes = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, counts.itemsize).T)
+    return {"part": pa.array([part], pa.int32()), "counts": pa.array([codec.compress(planes.tobytes(), asbytes=True)], pa.binary()), "cells": pa.array([len(counts)], pa.int32()), "width": pa.array([counts.itemsize], pa.int32())}
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray]]:
+    zstd = pa.Codec("zstd")
+    for batch in batches:
+        for part, packed, cells, width in zip(*[batch.column(k) for k in range(4)], strict=True):
+            cells, width = cells.as_py(), width.as_py()
+            planes = np.frombuffer(zstd.decompress(packed.as_py(), decompressed_size=cells * width), np.uint8).reshape(width, cells)
+            yield part.as_py(), np.ascontiguousarray(planes.T).view(f"i{width}").ravel()
+
+
+def _levels(odds: np.ndarray) -> np.ndarray:
+    """Levels of log odds as in a table, 1 to 2 * FINE + 1; none at all has one of its own."""
+    size = np.maximum(np.rint(np.abs(odds.astype(np.float32)) * np.float32(FINE / 127)), odds != 0)
+    return (np.sign(odds) * size + (FINE + 1)).astype(np.uint8)
+
+
+def _meeting(s: Symbols, coding: Coding, levels: list, own: np.ndarray, block: int, to: int, found: tuple) -> np.ndarray:
+    """For each decision of a run of blocks, where what is known about it is counted: its level in the coding, 3 bits, those of the predictors' log odds, 5 each, and that of the text's own counts, 4. Adds the run to the texts' own counts."""
+    size, at, _, bit, cells = found
+    out = coding.level[at].astype(np.int64) << 17
+    for k, c in enumerate(cells):
+        out |= levels[k].take(c, mode="clip").astype(np.int64) << (14 - 5 * k)
+    base, begin = s.blocks[block], np.concatenate([[0], np.cumsum(size)])
+    mine = np.repeat(s.text[base : s.blocks[to]], size) * (OWN + 1) + coding.own[at]
+    for b in range(block, to):
+        part = slice(int(begin[s.blocks[b] - base]), int(begin[s.blocks[b + 1] - base]))
+        if part.start == part.stop:
+            continue
+        m = mine[part]
+        used = (int(m[-1]) // (OWN + 1) + 1) * (OWN + 1)
+        odds = np.clip(np.rint(_own_odds(own[:used]) * OWN_SCALE), -COARSE, COARSE) + np.float32(COARSE + 1)
+        out[part] |= odds.astype(np.int64)[m]
+        own[:used] += np.bincount(m * 2 + bit[part], minlength=used * 2).reshape(-1, 2)
+    return out
+
+
+def _count_cells(shared, counting: bool, levels=None):
+    """Rows of packed counts of zeros and ones over all texts of a task: of the predictors' cells, if counting; given levels of log odds, of what is met with them too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coding = Coding.unpacked(shared.value)
-        counts = [np.zeros(2 << SLOT_BITS, np.int32) for _ in range(HASHED)]
+        counts = {k: np.zeros(2 << SLOT_BITS, np.int32) for k in [*range(HASHED if counting else 0), *([] if levels is None else [HASHED])]}
         some = False
         for batch in batches:
             for part in slices(batch, size=1 << 20):
                 s = symbols(part.column(0), coding)
-                for lo in range(0, len(s.symbol), 1 << 17):
-                    _, _, _, bit, cells = decisions(s, coding, lo, min(len(s.symbol), lo + (1 << 17)))
-                    for to, c in zip(counts, cells, strict=True):
-                        np.add.at(to, c.astype(np.int64) * 2 + bit, np.int32(1))
+                own = None if levels is None else np.zeros((len(s.place) * (OWN + 1), 2), np.float32)
+                for block, to in _runs(s):
+                    found = decisions(s, coding, s.blocks[block], s.blocks[to])
+                    bit, cells = found[3:]
+                    places = dict(enumerate(cells)) if counting else {}
+                    if levels is not None:
+                        places[HASHED] = _meeting(s, coding, levels.value, own, block, to, found)
+                    for k, c in places.items():
+                        np.add.at(counts[k], c * 2 + bit, np.int32(1))
                 some |= part.num_rows > 0
         zstd = pa.Codec("zstd", 1)
-        for k, own in enumerate(counts if some else []):
+        for k, own in counts.items() if some else ():
             for chunk in range(-(-len(own) // (2 << CHUNK_BITS))):
-                piece = own[chunk * (2 << CHUNK_BITS) : (chunk + 1) * (2 << CHUNK_BITS)]
-                planes = np.ascontiguousarray(piece.view(np.uint8).reshape(-1, 4).T)
-                yield pa.record_batch({"part": pa.array([k * 64 + chunk], pa.int32()), "sign": pa.array([sign], pa.int32()), "counts": pa.array([zstd.compress(planes.tobytes(), asbytes=True)], pa.binary()), "cells": pa.array([len(piece)], pa.int32())})
+                yield pa.record_batch(_packed(k * 64 + chunk, own[chunk * (2 << CHUNK_BITS) : (chunk + 1) * (2 << CHUNK_BITS)], zstd))
 
     return run
 
 
 def _odds(counts: np.ndarray) -> bytes:
-    c = np.maximum(counts.reshape(-1, 2), 0) + PRIOR
+    c = counts.reshape(-1, 2) + PRIOR
     return np.clip(np.rint(SCALE * np.log(c[:, 1] / c[:, 0])), -127, 127).astype(np.int8).tobytes()
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The log odds of each chunk, over all texts and over all but the sample."""
-    zstd, sums = pa.Codec("zstd"), {}
-    for batch in batches:
-        for part, sign, packed, cells in zip(*[batch.column(k) for k in range(4)], strict=True):
-            planes = np.frombuffer(zstd.decompress(packed.as_py(), decompressed_size=cells.as_py() * 4), np.uint8).reshape(4, -1)
-            counts = np.ascontiguousarray(planes.T).view(np.int32).ravel()
-            pair = sums.setdefault(part.as_py(), np.zeros((2, len(counts)), np.int64))
-            pair[1] += sign.as_py() * counts
-            if sign.as_py() > 0:
-                pair[0] += counts
-    for part, (every, rest) in sums.items():
-        yield pa.record_batch({"part": pa.array([part], pa.int32()), "every": pa.array([_odds(every)], pa.binary()), "rest": pa.array([_odds(rest)], pa.binary())})
+    """The sums of each chunk's counts, and their log odds."""
+    sums: dict[int, np.ndarray] = {}
+    for part, counts in _unpacked(batches):
+        if part in sums:
+            sums[part] += counts
+        else:
+            sums[part] = counts.astype(np.int64)
+    zstd = pa.Codec("zstd", 1)
+    for part, counts in sums.items():
+        yield pa.record_batch(_packed(part, counts, zstd) | {"odds": pa.array([_odds(counts) if part < HASHED * 64 else b""], pa.binary())})
 
 
-def _slopes(coding, tables, weights: np.ndarray):
-    """Each gate's gradient and curvature of the sample's bits in the weights."""
+def _slopes(weights: np.ndarray):
+    """Each gate's gradient and curvature in the weights of the bits of all decisions, from counts of what was met; and how many decisions they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(Coding.unpacked(coding.value), tables.value, weights)
-        gradient, curve = np.zeros((GATES, INPUTS)), np.zeros((GATES, INPUTS, INPUTS))
-        for batch in batches:
-            for part in slices(batch, size=1 << 20):
-                for _, z, g, y, p, _ in mixed(symbols(part.column(0), model.coding), model, adapt=False):
-                    order = np.argsort(g.astype(np.uint8), kind="stable")
-                    z, g, miss, slope = z[:, order], g[order], (y - p)[order], (p * (1 - p))[order]
-                    first = np.flatnonzero(np.diff(g, prepend=-1))
-                    for i in range(INPUTS):
-                        gradient[g[first], i] += np.add.reduceat(z[i] * miss, first, dtype=np.float64)
-                        for j in range(INPUTS):
-                            curve[g[first], i, j] += np.add.reduceat(z[i] * z[j] * slope, first, dtype=np.float64)
-        yield pa.record_batch({"sums": pa.array([np.concatenate([gradient.ravel(), curve.ravel()]).tolist()], pa.list_(pa.float64()))})
+        gradient, curve, decided = np.zeros((INPUTS, GATES)), np.zeros((INPUTS, INPUTS, GATES)), 0
+        for part, counts in _unpacked(batches):
+            pair = counts.reshape(-1, 2)
+            some = np.flatnonzero(pair.any(axis=1))
+            n, ones, cell = pair[some].sum(axis=1), pair[some, 1], some + (part - HASHED * 64 << CHUNK_BITS)
+            level = [(cell >> shift & 31) - (FINE + 1) for shift in (14, 9, 4)]
+            x = np.stack([v * (127 / FINE / SCALE) for v in level] + [((cell & 15) - (COARSE + 1)) / float(OWN_SCALE)])
+            gate = (cell >> 19) * 4 + (level[2] != 0) * 2 + (level[0] != 0)
+            p = _squash(np.clip((weights.T[:, gate] * x).sum(axis=0), -SURE, SURE))
+            miss, slope = ones - n * p, n * p * (1 - p)
+            for i in range(INPUTS):
+                gradient[i] += np.bincount(gate, x[i] * miss, GATES)
+                for j in range(INPUTS):
+                    curve[i, j] += np.bincount(gate, x[i] * x[j] * slope, GATES)
+            decided += int(n.sum())
+        sums = np.concatenate([gradient.T.ravel(), curve.transpose(2, 0, 1).ravel(), [decided]])
+        yield pa.record_batch({"sums": pa.array([sums.tolist()], pa.list_(pa.float64()))})
 
     return run
 
@@ -405,17 +472,23 @@ class Trained:
     counts: DataFrame
     tokens: int
     distinct: int
+    decided: int
 
 
 def train(texts: DataFrame, work: Workspace) -> Trained:
-    """The model of all rows of texts (text), and their counts of words by hash.
+    """The model of all rows of texts (text), their counts of words by hash, and how many decisions the gates' weights are fitted to: all.
 
     What goes to the driver has a bound: a word's hash and count for WORDS words, a byte per slot, sums per gate.
-    The sums are over all rows. The gates' weights alone are fitted to a sample of about SAMPLE distinct texts, by
-    NEWTON steps, with tables that leave the sample out; their share is of a hash of the text.
+    The gates' weights are fitted to how often each combination of the predictors' levels was met, with zeros and with
+    ones, over all texts: each half of them, told by a hash of the text, meets tables that hold the other half's counts.
     """
     spark = texts.sparkSession
-    counts = work.save(texts.mapInArrow(lean(_count_words), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    found = work.save(texts.mapInArrow(lean(_count_words), "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n")), "counts")
+    first, last = (int(x) for x in signed(_BYTES[[0, -1]]))
+    spelled = np.zeros(257, np.int64)
+    for r in found.where(F.col("h").between(first, last)).collect():
+        spelled[r.h - first] = r.n
+    counts = found.where(~F.col("h").between(first, last))
     end = int(signed(np.array([_END]))[0])
     size = F.floor(F.log2("n") * 16)
     by_size = counts.groupBy(size.alias("size"), (F.col("h") == end).alias("end")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()
@@ -430,42 +503,47 @@ def train(texts: DataFrame, work: Workspace) -> Trained:
     hashes, n = known.column("h").to_numpy().astype(np.int64).view(_U), known.column("n").to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     hashes, n = hashes[order], n[order]
-
-    share = int(min(1.0, SAMPLE / max(1, ends)) * (1 << 31))
-    h = F.xxhash64("text")
-    sample = texts.where(F.pmod(h, F.lit(1 << 31)) < share).groupBy(h.alias("h")).agg(F.min("text").alias("text"))
-    sample = work.save(sample.select("text").repartition(16, "text"), "sample")
-    letters = sample.select(F.explode(F.split(F.lower("text"), "")).alias("c")).groupBy("c").count().collect()
-    spelled = np.zeros(257, np.int64)
-    for r in letters:
-        for byte in r.c.encode():
-            spelled[byte if byte > 32 else 256] += r["count"]
     coding = Coding.of(hashes, n, tokens - ends - int(n.sum()), ends, spelled)
     shared = spark.sparkContext.broadcast(coding.packed())
-    row = "part int, sign int, counts binary, cells int"
-    few = texts.coalesce(max(16, tokens // TASK_WORDS))
-    cells = few.mapInArrow(lean(_count_cells(shared, 1)), row).unionByName(sample.coalesce(4).mapInArrow(lean(_count_cells(shared, -1)), row))
-    summed = cells.repartitionById(64, F.pmod(F.col("part"), F.lit(64))).mapInArrow(lean(_add_up), "part int, every binary, rest binary")
-    found = {r.part: r for r in summed.collect()}
-
-    def tables(which: str) -> list:
-        out = []
+
+    tasks = max(12, tokens // (2 * TASK_WORDS))
+    adding = min(64, max(16, tasks))
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.repartitionById(adding, F.pmod(F.col("part"), F.lit(adding))).mapInArrow(lean(_add_up), _PACKED + ", odds binary")
+
+    def half(k: int, counting: bool, levels=None) -> DataFrame:
+        # equal texts are in one half
+        own = texts.where(F.pmod(F.xxhash64("text"), F.lit(2)) == k).coalesce(tasks)
+        return work.save(summed(own.mapInArrow(lean(_count_cells(shared, counting, levels)), _PACKED)), f"half{k}{'' if counting else '-met'}")
+
+    def tables(rows: DataFrame) -> list:
+        found, out = {r.part: r.odds for r in rows.where(F.col("part") < HASHED * 64).select("part", "odds").collect()}, []
         for k in range(HASHED):
-            parts = [np.frombuffer(found[p][which], np.int8) for p in sorted(found) if p // 64 == k]
+            parts = [np.frombuffer(found[p], np.int8) for p in sorted(found) if p // 64 == k]
             out.append(np.concatenate(parts) if parts else np.zeros(1 << SLOT_BITS, np.int8))
         return out
 
-    weights = np.full((GATES, INPUTS), 0.3)
-    rest = spark.sparkContext.broadcast(tables("rest"))
+    # the second half is counted and meets the first one's tables in one pass
+    one = half(0, True)
+    of_one = spark.sparkContext.broadcast([_levels(t) for t in tables(one)])
+    two = half(1, True, of_one)
+    of_one.destroy()
+    of_two = spark.sparkContext.broadcast([_levels(t) for t in tables(two)])
+    met = half(0, False, of_two).unionByName(two.where(F.col("part") >= HASHED * 64)).drop("odds")
+    of_two.destroy()
+    every = tables(summed(one.unionByName(two).where(F.col("part") < HASHED * 64).drop("odds")))
+    shared.destroy()
+
+    weights, decided = np.full((GATES, INPUTS), 0.3), 0
     for _ in range(NEWTON if ends else 0):
-        found_sums = sample.mapInArrow(lean(_slopes(shared, rest, weights)), "sums array<double>").collect()
-        sums = np.sum([r.sums for r in found_sums] or [np.zeros(GATES * INPUTS * (1 + INPUTS))], axis=0)
-        gradient, curve = sums[: GATES * INPUTS].reshape(GATES, INPUTS), sums[GATES * INPUTS :].reshape(GATES, INPUTS, INPUTS)
+        sums = np.sum([r.sums for r in met.mapInArrow(lean(_slopes(weights)), "sums array<double>").collect()], axis=0)
+        gradient, curve, decided = sums[: GATES * INPUTS].reshape(GATES, INPUTS), sums[GATES * INPUTS : -1].reshape(GATES, INPUTS, INPUTS), int(sums[-1])
         # a weak pull to where it began, for gates that are seldom chosen
-        weights = np.clip(weights + np.linalg.solve(curve + np.eye(INPUTS), (gradient - (weights - 0.3))[..., None])[..., 0], -1, 2)
-    for sent in (shared, rest):
-        sent.destroy()
-    return Trained(Model(coding, tables("every"), weights), counts, tokens, distinct)
+        before, weights = weights, np.clip(weights + np.linalg.solve(curve + np.eye(INPUTS), (gradient - (weights - 0.3))[..., None])[..., 0], -1, 2)
+        if np.abs(weights - before).max() < STILL:
+            break
+    return Trained(Model(coding, every, weights), counts, tokens, distinct, decided)
 
 
 def score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -277,3 +278,64 @@ def test_lm_scores_without_training_rows(spark):
     got = {r.doc_id: r for r in context_mixing.score(df, F.lit(False)).collect()}
     assert got[1].base_score == 0 and got[1].n_known == 0 and got[1].train_tokens == 0 and got[1].score < got[2].score < 0
     assert context_mixing.score(df.limit(0), F.lit(True)).collect() == []
+
+
+def met(coding, tables, text):
+    """For each decision of one text: gate, inputs as levels, bit. What a block adds to the text's own counts holds from the next one on."""
+    cm = context_mixing
+    found = decisions(SimpleNamespace(coding=coding), text)
+    edges, own, held, at = set(cm._edges(found[-1][0] + 1).tolist()), defaultdict(lambda: [0, 0]), [], -1
+    for symbol, cells, bit, level, counter in found:
+        if symbol != at and symbol in edges:
+            for n, y in held:
+                own[n][y] += 1
+            held = []
+        at = symbol
+        odds = [int(t[c]) for t, c in zip(tables, cells, strict=True)]
+        x = [(1 if v > 0 else -1) * max(1, round(abs(v) * cm.FINE / 127)) * 127 / cm.FINE / cm.SCALE if v else 0.0 for v in odds]
+        mine = math.log((own[counter][1] + cm.PRIOR) / (own[counter][0] + cm.PRIOR)) if counter < cm.OWN else 0.0
+        x.append(min(cm.COARSE, max(-cm.COARSE, round(mine * 1.25))) / 1.25)
+        held.append((counter, bit))
+        yield level + 2 * (odds[2] != 0) + (odds[0] != 0), x, bit
+
+
+def test_lm_weights_and_spelling_come_from_all_texts(spark):
+    """More distinct texts than any sample of a thousand: the paths of bytes follow the bytes of all, the gates' weights the decisions of all, each half of the texts against the other's counts."""
+    cm = context_mixing
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"{'abcdefgh'[k % 8]}{k}" for k in rng.zipf(1.4, size=2 + i % 4) % 300) + f" only{i}" for i in range(1500)]
+    texts += [" ".join(f"w{k}" for k in rng.zipf(1.3, size=120) % 50) for _ in range(10)] + [texts[0]] * 3 + [""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2))).collect()
+    t = cm.train(spark.createDataFrame([(x,) for x in texts], "text string").repartition(5), Workspace(spark, "test"))
+    c = t.model.coding
+
+    spelled = np.zeros(257, np.int64)
+    for x in texts:
+        for w in words(x):
+            for b in w.encode():
+                spelled[b] += 1
+            spelled[256] += 1
+    start, nodes, bits = cm.tree(spelled + 1)
+    words_end = int(c.start[c.escape + 2])
+    assert np.array_equal(np.diff(c.start[c.escape + 2 :]), np.diff(start))
+    assert np.array_equal(c.nodes[words_end:], nodes) and np.array_equal(c.bits[words_end:], bits)
+
+    tables = []
+    for half in range(2):
+        counts = [np.zeros((1 << cm.SLOT_BITS, 2)) for _ in range(cm.HASHED)]
+        for r in rows:
+            if r.half == half:
+                for _, cells, bit, _, _ in decisions(t.model, r.text):
+                    for k, cell in enumerate(cells):
+                        counts[k][cell, bit] += 1
+        tables.append([np.frombuffer(cm._odds(x.ravel()), np.int8) for x in counts])
+    gates, x, y = (np.array(v) for v in zip(*[d for r in rows for d in met(c, tables[1 - r.half], r.text)], strict=True))
+    assert t.decided == len(y)
+    want = np.full((cm.GATES, cm.INPUTS), 0.3)
+    for _ in range(cm.NEWTON):
+        p = 1 / (1 + np.exp(-np.clip((want[gates] * x).sum(axis=1), -11.5, 11.5)))
+        for g in np.unique(gates):
+            own = gates == g
+            curve = (x[own].T * (p * (1 - p))[own]) @ x[own] + np.eye(cm.INPUTS)
+            want[g] = np.clip(want[g] + np.linalg.solve(curve, x[own].T @ (y - p)[own] - (want[g] - 0.3)), -1, 2)
+    assert len(np.unique(gates)) > 8 and np.allclose(t.model.weights, want, atol=1e-3)
