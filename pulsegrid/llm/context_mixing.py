@@ -297,11 +297,9 @@ def mixed(s: Symbols, model: Model) -> Iterator[tuple[np.ndarray, ...]]:
             count = np.diff(np.append(firsts, len(t)))
             mine = t * cells_own + mine_of[part]
             z[INPUTS - 1] = _own_odds(own[: texts * cells_own])[mine]
-            total = np.zeros(len(t), np.float32)
+            total, own_gate = np.zeros(len(t), np.float32), t * GATES + g
             for k in range(INPUTS):
-                use = weights[k].take(g, mode="clip")
-                use += np.repeat(drift[k, :texts], count)
-                total += use * z[k]
+                total += (drift[k, :texts, None] + weights[k]).ravel().take(own_gate, mode="clip") * z[k]
             np.clip(total, -SURE, SURE, out=total)
             p = _squash(total)
             cell = t * CELLS + (total * np.float32(2) + np.float32(CELLS // 2 + 0.5)).astype(np.int64).clip(0, CELLS - 1)
@@ -355,7 +353,8 @@ _PACKED = "part int, counts binary, cells int, width int"
 
 
 def _packed(part: int, counts: np.ndarray, codec: pa.Codec) -> dict:
-    """A row of counts, packed by the bytes of their numbers."""
+    """A row of counts, packed by the bytes of their numbers, as few as hold them."""
+    counts = counts.astype(np.int16 if counts.max() < 1 << 15 else np.int32 if counts.max() < 1 << 31 else np.int64, copy=False)
     planes = np.ascontiguousarray(counts.view(np.uint8).reshape(-1, counts.itemsize).T)
     return {"part": pa.array([part], pa.int32()), "counts": pa.array([codec.compress(planes.tobytes(), asbytes=True)], pa.binary()), "cells": pa.array([len(counts)], pa.int32()), "width": pa.array([counts.itemsize], pa.int32())}
 
@@ -378,9 +377,12 @@ def _levels(odds: np.ndarray) -> np.ndarray:
 def _meeting(s: Symbols, coding: Coding, levels: list, own: np.ndarray, block: int, to: int, found: tuple) -> np.ndarray:
     """For each decision of a run of blocks, where what is known about it is counted: its level in the coding, 3 bits, those of the predictors' log odds, 5 each, and that of the text's own counts, 4. Adds the run to the texts' own counts."""
     size, at, _, bit, cells = found
-    out = coding.level[at].astype(np.int64) << 17
+    out = coding.level[at].astype(np.int32)
+    out <<= 17
     for k, c in enumerate(cells):
-        out |= levels[k].take(c, mode="clip").astype(np.int64) << (14 - 5 * k)
+        level = levels[k].take(c, mode="clip").astype(np.int32)
+        level <<= 14 - 5 * k
+        out |= level
     base, begin = s.blocks[block], np.concatenate([[0], np.cumsum(size)])
     mine = np.repeat(s.text[base : s.blocks[to]], size) * (OWN + 1) + coding.own[at]
     for b in range(block, to):
@@ -390,9 +392,9 @@ def _meeting(s: Symbols, coding: Coding, levels: list, own: np.ndarray, block: i
         m = mine[part]
         used = (int(m[-1]) // (OWN + 1) + 1) * (OWN + 1)
         odds = np.clip(np.rint(_own_odds(own[:used]) * OWN_SCALE), -COARSE, COARSE) + np.float32(COARSE + 1)
-        out[part] |= odds.astype(np.int64)[m]
+        out[part] |= odds.astype(np.int32)[m]
         own[:used] += np.bincount(m * 2 + bit[part], minlength=used * 2).reshape(-1, 2)
-    return out
+    return out.astype(np.int64)
 
 
 def _count_cells(shared, counting: bool, levels=None):
@@ -506,7 +508,7 @@ def train(texts: DataFrame, work: Workspace) -> Trained:
     coding = Coding.of(hashes, n, tokens - ends - int(n.sum()), ends, spelled)
     shared = spark.sparkContext.broadcast(coding.packed())
 
-    tasks = max(12, tokens // (2 * TASK_WORDS))
+    tasks = max(8, tokens // (2 * TASK_WORDS))
     adding = min(64, max(16, tasks))
 
     def summed(rows: DataFrame) -> DataFrame:
