@@ -14,6 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,9 @@ OWN = 256
 #: What is added to counts for log odds, in units of 1/SCALE; adaption of weights, and decisions from which a block counts no more than so many; weight of the map's start, and its cells.
 PRIOR, SCALE, RATE, ENOUGH, STEADY, CELLS = 0.4, 16, 0.004, 256, 24, 33
 #: Symbols whose decisions are held at once, if a block has no more.
-HELD = 1 << 15
+HELD = 1 << 16
+#: Words that are gathered before equal ones are counted as one, and pairs of a symbol and a context.
+GATHERED, PAIRS = 1 << 20, 1 << 21
 #: Log odds of the mix at most.
 SURE = np.float32(11.5)
 HASHED, INPUTS, LEVELS = 3, 4, 8
@@ -55,6 +58,10 @@ _BYTES = _END + np.arange(1, 258, dtype=_U)
 _STEP = _U(0x9E3779B97F4A7C15)
 #: Hashes of nodes, and of slots, in 32 bits.
 _NODE, _SLOT = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
+#: Where a decision's own, level (a multiple of 4) and node stand in one number after its bit.
+_OWN_AT, _LEVEL_AT, _NODE_AT = np.uint32(1), np.uint32(8), np.uint32(13)
+_ONE, _OWN_MASK, _LEVEL_MASK = np.uint32(1), np.uint32(511), np.uint32(28)
+_LOW = _U((1 << 32) - 1)
 #: In place of the byte before a word's first.
 _START = _U(256)
 
@@ -91,15 +98,12 @@ def tree(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @dataclass
 class Coding:
-    """Words in the tree, by rising hash, with their counts, and the paths of all symbols: words, escape, end, then bytes and a word's end. `own` is a decision's number among those that a text counts itself, or OWN; `index` has the first word of each range of hashes."""
+    """Words in the tree, by rising hash, with their counts, and the paths of all symbols: words, escape, end, then bytes and a word's end. `steps` has the bit, own, level and node of each decision in one number; `own` is its number among those that a text counts itself, or OWN; `index` has the first word of each range of hashes."""
 
     hashes: np.ndarray
     counts: np.ndarray
     start: np.ndarray
-    nodes: np.ndarray
-    bits: np.ndarray
-    level: np.ndarray
-    own: np.ndarray
+    steps: np.ndarray
     index: np.ndarray
 
     @staticmethod
@@ -107,23 +111,42 @@ class Coding:
         """Of words by rising hash with counts, training words not among them, training texts, and how often bytes and a word's end are spelled."""
         start, nodes, bits = tree(np.concatenate([counts, [escaped + 1, ends + 1]]))
         start2, nodes2, bits2 = tree(byte_counts + 1)
-        return Coding.unpacked((hashes, counts, np.concatenate([start, start2[1:] + start[-1]]).astype(np.int32), np.concatenate([nodes * 2 + bits, nodes2 * 2 + bits2]).astype(np.int32)))
+        words, start = start[-1], np.concatenate([start, start2[1:] + start[-1]])
+        nodes, bits = np.concatenate([nodes, nodes2]), np.concatenate([bits, bits2])
+        assert nodes.max() < 1 << (32 - int(_NODE_AT))
+        depth = np.arange(len(nodes)) - np.repeat(start[:-1], np.diff(start))
+        level = np.concatenate([np.searchsorted([3, 6, 10, 14], depth[:words], side="right"), 5 + np.searchsorted([2, 4], depth[words:], side="right")])
+        own = np.minimum(nodes, OWN)
+        own[words:] = OWN
+        steps = bits | own << int(_OWN_AT) | level * 4 << int(_LEVEL_AT) | nodes << int(_NODE_AT)
+        return Coding.unpacked((hashes, counts, start.astype(np.int32), steps.astype(np.uint32)))
 
     def packed(self) -> tuple:
         """What tasks are sent."""
-        return self.hashes, self.counts, self.start.astype(np.int32), self.nodes * np.int32(2) + self.bits
+        return self.hashes, self.counts, self.start.astype(np.int32), self.steps
 
     @staticmethod
     def unpacked(packed: tuple) -> Coding:
         hashes, counts, start, steps = packed
-        start, n = start.astype(np.int64), len(hashes)
-        depth, words = np.arange(len(steps)) - np.repeat(start[:-1], np.diff(start)), start[n + 2]
-        level = np.concatenate([np.searchsorted([3, 6, 10, 14], depth[:words], side="right"), 5 + np.searchsorted([2, 4], depth[words:], side="right")])
-        nodes = steps >> 1
-        own = np.minimum(nodes, OWN)
-        own[words:] = OWN
-        index = np.searchsorted(hashes >> _U(64 - INDEX_BITS), np.arange((1 << INDEX_BITS) + 1, dtype=_U)).astype(np.int32)
-        return Coding(hashes, counts, start, nodes, (steps & 1).astype(np.uint8), (level * 4).astype(np.uint8), own, index)
+        index = np.zeros((1 << INDEX_BITS) + 1, np.int32)
+        np.cumsum(np.bincount((hashes >> _U(64 - INDEX_BITS)).astype(np.int64), minlength=1 << INDEX_BITS), out=index[1:])
+        return Coding(hashes, counts, start.astype(np.int64), steps, index)
+
+    @cached_property
+    def nodes(self) -> np.ndarray:
+        return self.steps >> _NODE_AT
+
+    @cached_property
+    def bits(self) -> np.ndarray:
+        return self.steps & _ONE
+
+    @cached_property
+    def level(self) -> np.ndarray:
+        return self.steps >> _LEVEL_AT & _LEVEL_MASK
+
+    @cached_property
+    def own(self) -> np.ndarray:
+        return self.steps >> _OWN_AT & _OWN_MASK
 
     @property
     def escape(self) -> int:
@@ -226,15 +249,27 @@ def symbols(column: pa.Array, coding: Coding) -> Symbols:
     return Symbols(out[order], [c[order] for c in wide], text, blocks, place, w, found)
 
 
-def decisions(s: Symbols, coding: Coding, lo: int, hi: int) -> tuple[np.ndarray, ...]:
-    """For symbols lo to hi: how many decisions each has, and for each decision its place in the coding, node, bit and cells of the predictors with tables."""
-    symbol = s.symbol[lo:hi]
-    size = coding.start[symbol + 1] - coding.start[symbol]
-    at = _ranges(coding.start[symbol], size)
-    node = coding.nodes[at]
-    step = node.astype(np.uint32) * _NODE
-    cells = [(((np.repeat(c[lo:hi], size) ^ step) * _SLOT) >> np.uint32(32 - SLOT_BITS)).astype(np.int64) for c in s.contexts]
-    return size, at, node, coding.bits[at], cells
+def steps(symbol: np.ndarray, coding: Coding) -> tuple[np.ndarray, ...]:
+    """How many decisions each symbol has, and for each decision the number of its symbol, the hash of its node, and what is kept of it."""
+    start = coding.start.take(symbol, mode="clip")
+    size = coding.start[1:].take(symbol, mode="clip") - start
+    of = np.repeat(np.arange(len(symbol)), size)
+    start -= np.cumsum(size) - size
+    at = start.take(of, mode="clip")
+    at += np.arange(len(at))
+    mark = coding.steps.take(at, mode="clip")
+    node = mark >> _NODE_AT
+    node *= _NODE
+    return size, of, node, mark
+
+
+def slots(context: np.ndarray, of: np.ndarray, node: np.ndarray) -> np.ndarray:
+    """The cell of a predictor's table for each decision of symbols in a context each."""
+    out = context.take(of, mode="clip")
+    out ^= node
+    out *= _SLOT
+    out >>= np.uint32(32 - SLOT_BITS)
+    return out.astype(np.int64)
 
 
 @dataclass
@@ -262,67 +297,107 @@ def _runs(s: Symbols) -> Iterator[tuple[int, int]]:
 
 
 def _own_odds(own: np.ndarray) -> np.ndarray:
-    """Log odds of texts' own counts."""
-    odds = np.log(own + np.float32(PRIOR))
-    odds = odds[:, 1] - odds[:, 0]
+    """Log odds of texts' own counts of zeros and of ones."""
+    odds = own[1] + np.float32(PRIOR)
+    odds /= own[0] + np.float32(PRIOR)
+    np.log(odds, out=odds)
     odds[OWN :: OWN + 1] = 0
     return odds
 
 
-def mixed(s: Symbols, model: Model) -> Iterator[tuple[np.ndarray, ...]]:
-    """Per block: texts' first decisions, bits and the final probability that a bit is one. What is learned from a block holds from the next one on, for its own text alone."""
+def mixed(s: Symbols, model: Model) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Per block: texts' first decisions, and the final probability of each decision as it was. What is learned from a block holds from the next one on, for its own text alone."""
     n, coding = len(s.place), model.coding
     weights, unit = np.ascontiguousarray(model.weights.T, np.float32), np.float32(1 / SCALE)
     drift = np.zeros((INPUTS, n), np.float32)
-    cells_own = OWN + 1
-    own = np.zeros((n * cells_own, 2), np.float32)
+    # a text's own counts, its map and its gates' weights all have as many places, so that one number tells where they begin
+    places = OWN + 1
+    own, seen = np.zeros((2, n * places), np.float32), np.ones((2, n, places), np.float32)
     start = _squash(np.arange(CELLS, dtype=np.float32) / 2 - CELLS // 4)
-    seen = np.tile(np.stack([1 - start, start], 1) * np.float32(STEADY), (n, 1))
+    seen[:, :, :CELLS] = (np.stack([1 - start, start]) * np.float32(STEADY))[:, None]
+    gated, trust = np.zeros((n, places), np.float32), np.zeros((2, n, places), np.float32)
     for block, to in _runs(s):
         base = s.blocks[block]
-        size, at, _, bit, cells = decisions(s, coding, base, s.blocks[to])
-        x = np.empty((INPUTS, len(at)), np.float32)
-        for k, c in enumerate(cells):
-            np.multiply(model.tables[k].take(c, mode="clip"), unit, out=x[k])
-        gate = coding.level[at] + (x[2] != 0).view(np.uint8) * np.uint8(2) + (x[0] != 0).view(np.uint8)
-        mine_of, text = coding.own[at], np.repeat(s.text[base : s.blocks[to]], size)
+        size, of, node, mark = steps(s.symbol[base : s.blocks[to]], coding)
+        x = np.empty((INPUTS, len(mark)), np.float32)
+        gate = mark >> _LEVEL_AT & _LEVEL_MASK
+        for k, c in enumerate(s.contexts):
+            odds = model.tables[k].take(slots(c[base : s.blocks[to]], of, node), mode="clip")
+            np.multiply(odds, unit, out=x[k])
+            if k != 1:
+                gate += (odds != 0).view(np.uint8) << np.uint8(k // 2)
         begin = np.concatenate([[0], np.cumsum(size)])
         for b in range(block, to):
-            part = slice(int(begin[s.blocks[b] - base]), int(begin[s.blocks[b + 1] - base]))
+            symbol = slice(s.blocks[b] - base, s.blocks[b + 1] - base)
+            part = slice(int(begin[symbol.start]), int(begin[symbol.stop]))
             if part.start == part.stop:
                 continue
-            t, y, z, g = text[part], bit[part], x[:, part], gate[part].astype(np.int64)
-            texts = int(t[-1]) + 1
-            firsts = np.searchsorted(t, np.arange(texts))
-            count = np.diff(np.append(firsts, len(t)))
-            mine = t * cells_own + mine_of[part]
-            z[INPUTS - 1] = _own_odds(own[: texts * cells_own])[mine]
-            total, own_gate = np.zeros(len(t), np.float32), t * GATES + g
+            # each text's first decision here, and how many it has
+            texts = int(s.text[base + symbol.stop - 1]) + 1
+            firsts = begin[symbol][np.searchsorted(s.text[base:][symbol], np.arange(texts))] - part.start
+            count = np.diff(np.append(firsts, part.stop - part.start))
+            z, m, at = x[:, part], mark[part], np.repeat(np.arange(texts) * places, count)
+            bit = m & _ONE
+            ones = np.multiply(bit, own.shape[1], dtype=np.int64)
+            # -1 for a one, 1 for a zero
+            sign = bit.astype(np.float32)
+            sign *= np.float32(-2)
+            sign += np.float32(1)
+            m = m >> _OWN_AT
+            m &= _OWN_MASK
+            mine = at + m
+            _own_odds(own[:, : texts * places]).take(mine, out=z[INPUTS - 1], mode="clip")
+            own_gate = at + gate[part]
+            total, held = np.zeros(len(m), np.float32), np.empty(len(m), np.float32)
             for k in range(INPUTS):
-                total += (drift[k, :texts, None] + weights[k]).ravel().take(own_gate, mode="clip") * z[k]
+                np.add(drift[k, :texts, None], weights[k], out=gated[:texts, :GATES])
+                gated.ravel().take(own_gate, out=held, mode="clip")
+                held *= z[k]
+                total += held
             np.clip(total, -SURE, SURE, out=total)
-            p = _squash(total)
-            cell = t * CELLS + (total * np.float32(2) + np.float32(CELLS // 2 + 0.5)).astype(np.int64).clip(0, CELLS - 1)
-            map_ = seen[: texts * CELLS]
-            yield firsts, y, (p + (map_[:, 1] / (map_[:, 0] + map_[:, 1]))[cell]) * np.float32(0.5)
-            seen[: texts * CELLS] += np.bincount(cell * 2 + y, minlength=texts * CELLS * 2).reshape(-1, 2)
-            miss, rate = y - p, (RATE / (1 + count / ENOUGH)).astype(np.float32)
+            # the odds against what was, and its probability
+            against = np.multiply(total, sign, out=held)
+            np.exp(against, out=against)
+            p = against + np.float32(1)
+            np.reciprocal(p, out=p)
+            total *= np.float32(2)
+            total += np.float32(CELLS // 2 + 0.5)
+            np.clip(total, 0, CELLS - 1, out=total)
+            cell = total.astype(np.int64)
+            cell += at
+            cell += ones
+            map_ = seen[:, :texts, :CELLS]
+            np.divide(map_, map_[0] + map_[1], out=trust[:, :texts, :CELLS])
+            found = trust.ravel().take(cell, out=total, mode="clip")
+            found += p
+            found *= np.float32(0.5)
+            yield firsts, found
+            np.add.at(seen.ravel(), cell, np.float32(1))
+            miss, rate = np.multiply(against, p, out=against), (-RATE / (1 + count / ENOUGH)).astype(np.float32)
+            miss *= sign
             for k in range(INPUTS):
-                drift[k, :texts] += np.add.reduceat(z[k] * miss, firsts) * rate
-            own[: texts * cells_own] += np.bincount(mine * 2 + y, minlength=texts * cells_own * 2).reshape(-1, 2)
+                z[k] *= miss
+                drift[k, :texts] += np.add.reduceat(z[k], firsts) * rate
+            mine += ones
+            np.add.at(own.ravel(), mine, np.float32(1))
 
 
 def bits(s: Symbols, model: Model) -> np.ndarray:
     """The natural logarithm of each text's probability, in the slice's order."""
     out = np.zeros(len(s.place))
-    for firsts, y, p in mixed(s, model):
-        found = np.add.reduceat(np.log(np.abs((1 - y) - p)), firsts, dtype=np.float64)
-        out[: len(found)] += found
+    for firsts, p in mixed(s, model):
+        out[: len(firsts)] += np.add.reduceat(np.log(p).astype(np.float64), firsts)
     back = np.empty_like(out)
     back[s.place] = out
     return back
 
 
+def _counted(hashes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of those in ascending order, and the sums of their counts."""
+    first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
+    return hashes[first], np.add.reduceat(n, first) if len(first) else n[:0]
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of words by hash, of ends, and of the words' bytes and ends."""
 
@@ -330,20 +405,35 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.table({"h": signed(hashes), "n": n}).to_batches(max_chunksize=100_000)
 
     held, n = np.zeros(0, _U), np.zeros(0, np.int64)
-    spelled = np.zeros(257, np.int64)
+    spelled, ends, parts, size = np.zeros(257, np.int64), 0, [], 0
+
+    def merge() -> None:
+        nonlocal held, n, size
+        new = np.sort(np.concatenate([held[:0], *parts]))
+        new, times = _counted(new, np.ones(len(new), np.int64))
+        parts.clear()
+        both, size = np.concatenate([held, new]), 0
+        # two ascending runs
+        order = np.argsort(both, kind="stable")
+        held, n = _counted(both[order], np.concatenate([n, times])[order])
+
     for batch in batches:
         for part in slices(batch):
             w = Words(part.column(0), lower=True)
             spelled[:256] += np.bincount(w.data, minlength=256)
             spelled[256] += len(w.hash)
-            value, count = np.unique(np.append(w.hash, _END), return_counts=True)
-            count[value == _END] += part.num_rows - 1
-            held, back = np.unique(np.concatenate([held, value]), return_inverse=True)
-            n = np.bincount(back, np.concatenate([n, count]), len(held)).astype(np.int64)
-            if len(held) > 1 << 20:
-                yield from send(held, n)
-                held, n = held[:0], n[:0]
+            ends += part.num_rows
+            parts.append(w.hash)
+            size += len(w.hash)
+            if size > GATHERED:
+                merge()
+                if len(held) > 1 << 20:
+                    yield from send(held, n)
+                    held, n = held[:0], n[:0]
+    merge()
     yield from send(held, n)
+    if ends:
+        yield from send(np.array([_END]), np.array([ends]))
     # space and U+0009 to U+000D are never spelled
     spelled[[32, *range(9, 14)]] = 0
     yield from send(_BYTES[spelled > 0], spelled[spelled > 0])
@@ -374,27 +464,44 @@ def _levels(odds: np.ndarray) -> np.ndarray:
     return (np.sign(odds) * size + (FINE + 1)).astype(np.uint8)
 
 
-def _meeting(s: Symbols, coding: Coding, levels: list, own: np.ndarray, block: int, to: int, found: tuple) -> np.ndarray:
-    """For each decision of a run of blocks, where what is known about it is counted: its level in the coding, 3 bits, those of the predictors' log odds, 5 each, and that of the text's own counts, 4. Adds the run to the texts' own counts."""
-    size, at, _, bit, cells = found
-    out = coding.level[at].astype(np.int32)
-    out <<= 17
-    for k, c in enumerate(cells):
-        level = levels[k].take(c, mode="clip").astype(np.int32)
-        level <<= 14 - 5 * k
+def _meeting(s: Symbols, coding: Coding, levels: list, own: np.ndarray, block: int, to: int) -> np.ndarray:
+    """For each decision of a run of blocks, where its zeros or ones are counted by what is known about it: its level in the coding, 3 bits, those of the predictors' log odds, 5 each, and that of the text's own counts, 4. Adds the run to the texts' own counts."""
+    base, stop = s.blocks[block], s.blocks[to]
+    size, of, node, mark = steps(s.symbol[base:stop], coding)
+    out = mark >> _LEVEL_AT & _LEVEL_MASK
+    out <<= np.uint32(17)
+    for k, c in enumerate(s.contexts):
+        level = levels[k].take(slots(c[base:stop], of, node), mode="clip").astype(np.uint32)
+        level <<= np.uint32(14 - 5 * k)
         out |= level
-    base, begin = s.blocks[block], np.concatenate([[0], np.cumsum(size)])
-    mine = np.repeat(s.text[base : s.blocks[to]], size) * (OWN + 1) + coding.own[at]
+    begin = np.concatenate([[0], np.cumsum(size)])
     for b in range(block, to):
-        part = slice(int(begin[s.blocks[b] - base]), int(begin[s.blocks[b + 1] - base]))
+        symbol = slice(s.blocks[b] - base, s.blocks[b + 1] - base)
+        part = slice(int(begin[symbol.start]), int(begin[symbol.stop]))
         if part.start == part.stop:
             continue
-        m = mine[part]
-        used = (int(m[-1]) // (OWN + 1) + 1) * (OWN + 1)
-        odds = np.clip(np.rint(_own_odds(own[:used]) * OWN_SCALE), -COARSE, COARSE) + np.float32(COARSE + 1)
-        out[part] |= odds.astype(np.int32)[m]
-        own[:used] += np.bincount(m * 2 + bit[part], minlength=used * 2).reshape(-1, 2)
-    return out.astype(np.int64)
+        m, used = mark[part], (int(s.text[base + symbol.stop - 1]) + 1) * (OWN + 1)
+        mine = np.repeat(s.text[base:][symbol] * (OWN + 1), size[symbol])
+        mine += m >> _OWN_AT & _OWN_MASK
+        odds = np.clip(np.rint(_own_odds(own[:, :used]) * OWN_SCALE), -COARSE, COARSE) + np.float32(COARSE + 1)
+        out[part] |= odds.astype(np.uint32).take(mine, mode="clip")
+        mine += (m & _ONE).astype(np.int64) * own.shape[1]
+        np.add.at(own.ravel(), mine, np.float32(1))
+    return out.astype(np.int64) * 2 + (mark & _ONE)
+
+
+def _count_pairs(counts: np.ndarray, pairs: np.ndarray, coding: Coding) -> None:
+    """Adds up in the cells of a predictor's table the zeros and ones of symbols, the upper 32 bits of each pair, and their contexts, the lower ones. A path is walked once for all equal pairs."""
+    pairs.sort()
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    times, pairs = np.diff(np.append(first, len(pairs))).astype(np.int32), pairs[first]
+    for at in range(0, len(pairs), HELD):
+        some = pairs[at : at + HELD]
+        _, of, node, mark = steps((some >> _U(32)).astype(np.int64), coding)
+        cell = slots((some & _LOW).astype(np.uint32), of, node)
+        cell *= 2
+        cell += mark & _ONE
+        np.add.at(counts, cell, times[at : at + HELD].take(of, mode="clip"))
 
 
 def _count_cells(shared, counting: bool, levels=None):
@@ -403,20 +510,31 @@ def _count_cells(shared, counting: bool, levels=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coding = Coding.unpacked(shared.value)
         counts = {k: np.zeros(2 << SLOT_BITS, np.int32) for k in [*range(HASHED if counting else 0), *([] if levels is None else [HASHED])]}
-        some = False
+        some, held, pairs = False, 0, [[] for _ in range(HASHED)]
+
+        def count() -> None:
+            for k, own in enumerate(pairs):
+                if own:
+                    whole = np.concatenate(own)
+                    own.clear()
+                    _count_pairs(counts[k], whole, coding)
+
         for batch in batches:
             for part in slices(batch, size=1 << 20):
                 s = symbols(part.column(0), coding)
-                own = None if levels is None else np.zeros((len(s.place) * (OWN + 1), 2), np.float32)
-                for block, to in _runs(s):
-                    found = decisions(s, coding, s.blocks[block], s.blocks[to])
-                    bit, cells = found[3:]
-                    places = dict(enumerate(cells)) if counting else {}
-                    if levels is not None:
-                        places[HASHED] = _meeting(s, coding, levels.value, own, block, to, found)
-                    for k, c in places.items():
-                        np.add.at(counts[k], c * 2 + bit, np.int32(1))
+                if counting:
+                    for own, c in zip(pairs, s.contexts, strict=True):
+                        own.append(s.symbol.astype(_U) << _U(32) | c.astype(_U))
+                    held += len(s.symbol)
+                    if held >= PAIRS:
+                        count()
+                        held = 0
+                if levels is not None:
+                    own = np.zeros((2, len(s.place) * (OWN + 1)), np.float32)
+                    for block, to in _runs(s):
+                        np.add.at(counts[HASHED], _meeting(s, coding, levels.value, own, block, to), np.int32(1))
                 some |= part.num_rows > 0
+        count()
         zstd = pa.Codec("zstd", 1)
         for k, own in counts.items() if some else ():
             for chunk in range(-(-len(own) // (2 << CHUNK_BITS))):

@@ -250,6 +250,43 @@ def test_scores_against_one_decision_after_the_other(trained):
     assert np.allclose(got, alone, rtol=1e-6)
 
 
+def test_equal_symbols_in_equal_contexts_are_walked_once(trained, monkeypatch):
+    """Copies add no path to those walked to count cells, and counts don't depend on how many words and pairs are gathered first."""
+    texts, t = trained
+    cm, coding = context_mixing, t.model.coding
+    shared, walked, walk = SimpleNamespace(value=coding.packed()), [], cm.steps
+    monkeypatch.setattr(cm, "steps", lambda symbol, coding: (walked.append(len(symbol)), walk(symbol, coding))[1])
+    once = [x for (x,) in texts[:40]]
+    batches = lambda some: iter([pa.record_batch([pa.array(some[k : k + 7], pa.string())], ["text"]) for k in range(0, len(some), 7)])
+
+    def cells(some):
+        walked.clear()
+        return {part: c.astype(np.int64) for part, c in cm._unpacked(cm._count_cells(shared, True)(batches(some)))}, sum(walked)
+
+    def counted(some):
+        found = Counter()
+        for b in cm._count_words(batches(some)):
+            for h, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found[h] += n
+        return found
+
+    one, paths = cells(once)
+    symbols = sum(len(cm.symbols(pa.array([x]), coding).symbol) for x in once)
+    assert 0 < paths < cm.HASHED * symbols
+    assert sum(int(c.sum()) for c in one.values()) == cm.HASHED * sum(len(decisions(t.model, x)) for x in once)
+    ten, again = cells(once * 10)
+    assert again == paths and all((ten[k] == 10 * c).all() for k, c in one.items())
+    words_of_ten = counted(once * 10)
+    monkeypatch.setattr(cm, "PAIRS", 300)
+    monkeypatch.setattr(cm, "GATHERED", 100)
+    few, more = cells(once * 10)
+    assert more > paths and all((few[k] == c).all() for k, c in ten.items())
+    assert counted(once * 10) == words_of_ten
+    want = Counter(w for x in once * 10 for w in words(x))
+    got = {w: words_of_ten[int(Words(pa.array([w])).hash.view(np.int64)[0])] for w in want}
+    assert got == want and words_of_ten[int(np.array([cm._END]).view(np.int64)[0])] == 400
+
+
 def test_lm_scores_against_brute_force(spark):
     rows = [(i, t) for i, t in corpus(2)] + [(None, "a null id"), (None, None), (5000, "W1 w1 W1"), (5000, "W1 w1 W1"), (5001, "only\there " + "y" * 500)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("row", F.lit("clash")).withColumn("h", F.lit(1)).repartition(4)
