@@ -167,7 +167,7 @@ class SignalReader(DataSourceReader):
 
         for name in sorted(files):
             if self.kind == "npy":
-                found = re.fullmatch(r"(.+)_(fhr|uc)\.npy", name)
+                found = re.match(r"(.+)_(fhr|uc)\.npy\Z", name)
                 if not found or not wanted(found[1]) or found[2] not in self.channels:
                     continue
                 try:
