@@ -5,6 +5,9 @@ every level of a tree is one aggregate: tasks add gradients and curvatures up by
 sums them and finds the best splits by window functions, and the driver gets a row per node. All models of a search
 (settings, folds) share each pass. Sums are of whole numbers, so trees don't depend on how rows are dealt.
 
+Passes are as many as rounds and levels, some thousands in a whole search. Rows that a task can hold (`WHOLE` bytes) are
+therefore handed to each task once, and tasks share the models instead: the same sums, so the same trees.
+
 Two kinds: trees whose nodes split on their own (second-order gain, a side for missing values that is learned), and
 symmetric trees (one split for all nodes of a level) with ordered boosting: a row's residual comes from leaf values
 of rows before it in a hashed order.
@@ -32,10 +35,13 @@ BINS, MISSING = 64, 255
 BLOCK_ROWS, ROUNDS = 8192, 8
 #: Gradients and curvatures are whole numbers of 1/UNIT, weights are WEIGHT at most.
 UNIT, WEIGHT = 1 << 20, 1 << 12
+#: Bytes of rows up to which a task holds all of them, and numbers up to which the noise of splits is handed to tasks.
+WHOLE, NOISES = 1 << 26, 1 << 21
 #: Prefixes of the hashed order that have leaf values of their own: each is twice the one before.
 PREFIXES = 8
 _BLOCK = "id binary, y binary, folds binary, x binary, margins binary"
 _HISTOGRAM = "model int, node int, feature int, bin int, g bigint, h bigint"
+_FITTED = "model int, feature binary, cut binary, left binary, value binary, gain binary, id binary, y binary, margin binary"
 
 
 @dataclass(frozen=True)
@@ -134,6 +140,20 @@ class Booster:
         leaves = ", ".join(f"{float(v)!r}D" for v in t.value[first : first + (1 << depth)])
         return f"get(array({leaves}), {bits})"
 
+    def scored(self, df: DataFrame, label: str, id_col: str) -> DataFrame:
+        """Rows (id, label, probability): what probability() says, from packed rows. An expression of some hundred trees takes longer to plan than this to run."""
+        blocks = pack(df.withColumn("__scored", F.lit(0)), self.features, self.cuts, label, id_col, ["__scored"])
+        trees, width = self.trees, len(self.features)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _, b in _read(batches, width, 1, 0):
+                margin = np.zeros(len(b.id))
+                for t in trees:
+                    margin += t.value[t.place(b.x)]
+                yield pa.record_batch({"id": pa.array(b.id), label: pa.array(b.y.astype(np.int32)), "probability": pa.array(1 / (1 + np.exp(-margin)))})
+
+        return blocks.mapInArrow(run, f"id bigint, `{label}` int, probability double")
+
     def importances(self) -> list[tuple[str, float]]:
         """Features by their share of all gain, ties by name."""
         gains = np.zeros(len(self.features))
@@ -228,20 +248,138 @@ def _read(batches: Iterator[pa.RecordBatch], width: int, folds: int, models: int
             yield row, _Rows(row, width, folds, models)
 
 
+def _drawn(s: Setting, width: int, turn: int) -> np.ndarray:
+    """The features drawn for a tree."""
+    if s.symmetric or s.columns >= 1:
+        return np.arange(width)
+    draw = _even(np.arange(width, dtype=np.int64), s.seed, turn, 3)
+    return np.sort(np.argsort(draw, kind="stable")[: max(1, round(s.columns * width))])
+
+
+def _deviations(s: Setting, count: int, turn: int) -> float:
+    """The deviation of a symmetric level's noise, as a share of the gradients'."""
+    size = math.log(max(2, count)) - turn * s.rate
+    return s.noise * math.exp(size) / (1 + math.exp(size)) / math.sqrt(max(1, count))
+
+
+def _leaf(g: float, h: float, s: Setting) -> float:
+    return -g / (h + s.ridge) * s.rate if h + s.ridge > 0 else 0.0
+
+
+def _ordered_leaves(t: Tree, sums: np.ndarray, s: Setting) -> None:
+    """A symmetric tree's leaf values, of all rows and of each prefix, from sums (ordered g and h, whole g and h) by node and prefix."""
+    g, h, fg, fh = sums
+    t.value = -fg.sum(1) / (fh.sum(1) + s.ridge) * s.rate
+    # what comes before a prefix's own rows; before the first there is nothing
+    before = lambda v: np.concatenate([np.zeros((len(v), 1)), np.cumsum(v, 1)[:, :-1]], 1)
+    t.ordered = -before(g) / (before(h) + s.ridge) * s.rate
+
+
+def _own_level(tree: Tree, first: int, sums: np.ndarray, columns: np.ndarray, s: Setting) -> bool:
+    """own_splits of a level of one model, from sums (g and h, feature, node, bin; the last bin is that of missing values). Says whether a node was split."""
+    g, h = sums / UNIT
+    there = h > 0
+    g = np.where(there, g, 0.0)
+    gl, hl = (np.cumsum(v[..., :-1], -1) for v in (g, h))
+    all_g, all_h = (left[..., -1] + v[..., -1] for left, v in ((gl, g), (hl, h)))
+    gl, hl = (np.stack([left, left + v[..., -1:]], -1) for left, v in ((gl, g), (hl, h)))
+    gr, hr = all_g[..., None, None] - gl, all_h[..., None, None] - hl
+    gain = (gl * gl / (hl + s.ridge) + gr * gr / (hr + s.ridge) - (all_g * all_g / (all_h + s.ridge))[..., None, None]) / 2
+    fits = there[..., :-1, None] & (hl >= s.least) & (hr >= s.least) & (hl > 0) & (hr > 0)
+    # the first of equals: by feature, cut, missing values to the right
+    flat = np.where(fits, np.round(gain, 9), -np.inf).swapaxes(0, 1).reshape(gain.shape[1], -1)
+    best, split = flat.argmax(1), False
+    for node, k in enumerate(best.tolist()):
+        at = first + node
+        if first == 0:
+            tree.value[0] = _leaf(all_g[0, 0], all_h[0, 0], s)
+        if not flat[node, k] > 0:
+            continue
+        i, cut, way = k // (2 * gl.shape[2]), k // 2 % gl.shape[2], k % 2
+        tree.feature[at], tree.cut[at], tree.left[at], tree.gain[at], split = columns[i], cut, bool(way), flat[node, k], True
+        left_g, left_h = gl[i, node, cut, way], hl[i, node, cut, way]
+        tree.value[2 * at + 1], tree.value[2 * at + 2] = _leaf(left_g, left_h, s), _leaf(all_g[i, node] - left_g, all_h[i, node] - left_h, s)
+    return split
+
+
+def _shared_level(tree: Tree, first: int, sums: np.ndarray, noise: np.ndarray, s: Setting) -> bool:
+    """shared_splits of a level of one model, from sums as in _own_level; noise by feature and cut."""
+    g, h = sums / UNIT
+    there = (h > 0).any(1, keepdims=True)
+    g = np.where(there, g, 0.0)
+    gl, hl = (v[..., -1:] + np.cumsum(v[..., :-1], -1) for v in (g, h))
+    g, h = gl[..., -1:], hl[..., -1:]
+    part = lambda g, h: np.divide(g * g, h + s.ridge, out=np.zeros_like(g), where=h + s.ridge != 0)
+    gain = np.round((part(gl, hl) + part(g - gl, h - hl) - part(g, h)).sum(1), 9)
+    hl, h = hl.sum(1), h.sum(1)
+    fits = there[:, 0, :-1] & (hl > 0) & (hl < h) & (gain > 0)
+    noisy = np.where(fits, gain + noise * np.sqrt(h), -np.inf)
+    k = int(noisy.argmax())
+    if not fits.flat[k]:
+        return False
+    at = slice(first, 2 * first + 1)
+    tree.feature[at], tree.cut[at], tree.left[at], tree.gain[first] = k // fits.shape[1], k % fits.shape[1], True, gain.flat[k]
+    return True
+
+
+def _grow(b: _Rows, run: Run, weights: tuple[float, float], count: int, bins: int, normal: np.ndarray) -> tuple[list[Tree], np.ndarray]:
+    """All trees of a model from all rows, and both margins of every row: what passes over spread rows find. A row's node is kept from level to level."""
+    s, n, trees = run.setting, len(b.id), []
+    width, rows, segment, trains = b.x.shape[1], np.arange(n), _segment(b.id, s.seed), b.trains(run)
+    x = np.ascontiguousarray(np.where(b.x == MISSING, bins, b.x).astype(np.uint8).T)
+    margins = np.zeros((2, n))
+    for turn in range(s.rounds if count else 0):
+        if turn % ROUNDS == 0:
+            margins = margins.astype(np.float32).astype(np.float64)  # as blocks keep them
+        use = trains if s.symmetric or s.rows >= 1 else trains & (_even(b.id, s.seed, turn, 5) < s.rows)
+        slopes = [np.where(use, v, 0.0) for v in b.slopes(margins[0], run, *weights)]
+        columns, tree, at = _drawn(s, width, turn), Tree.of(s.depth), np.zeros(n, np.int64)
+        for level in range(s.depth):
+            first, nodes = (1 << level) - 1, 1 << level
+            live = at >= first
+            cell = np.where(live, at - first, nodes) * (bins + 1)
+            size = nodes * (bins + 1)
+            sums = np.stack([[np.bincount(cell + x[f], v, size + bins + 1)[:size] for f in columns] for v in slopes]).reshape(2, len(columns), nodes, -1)
+            if s.symmetric:
+                split = _shared_level(tree, first, sums, _deviations(s, count, turn) * normal[turn, level], s)
+            else:
+                split = _own_level(tree, first, sums, columns, s)
+            if not split:
+                break
+            feature = tree.feature[at]
+            value = x[feature, rows]
+            right = np.where(value == bins, ~tree.left[at], value > tree.cut[at])
+            at = np.where(live & (feature >= 0), 2 * at + 1 + right, at)
+        if s.symmetric:
+            cell, size = at * PREFIXES + segment, len(tree.feature) * PREFIXES
+            slopes += [np.where(use, v, 0.0) for v in b.slopes(margins[1], run, *weights)]
+            sums = np.stack([np.bincount(cell, v, size) for v in slopes]) / UNIT
+            _ordered_leaves(tree, np.where(sums[1] + sums[3] > 0, sums, 0.0).reshape(4, -1, PREFIXES), s)
+        margins[1] += tree.value[at]
+        margins[0] += tree.value[at] if tree.ordered is None else tree.ordered[at, segment]
+        tree.ordered = None
+        trees.append(tree)
+    return trees, margins.astype(np.float32)
+
+
 class Fit:
-    """Models fitted side by side to blocks. `models` are the boosters; `blocks` hold their margins of every row at the end."""
+    """Models fitted side by side to blocks. `models` are the boosters; at the end `blocks` hold their margins of every row, or `fitted` the scores of those that each left out. Without `trees`, models that tasks fitted have none."""
 
-    def __init__(self, blocks: DataFrame, features: list[str], cuts: list[list[float]], runs: list[Run], folds: int):
+    def __init__(self, blocks: DataFrame, features: list[str], cuts: list[list[float]], runs: list[Run], folds: int, trees: bool = True):
         self.runs, self.width, self.folds, self.features = runs, len(features), folds, features
         self.models = [Booster(features, cuts, r.setting) for r in runs]
         self.pending: list[list[Tree]] = [[] for _ in runs]
         self.blocks, self.rewritten = blocks.persist(StorageLevel.MEMORY_AND_DISK), 0
+        self.fitted: DataFrame | None = None
         conf, key = blocks.sparkSession.conf, "spark.sql.adaptive.enabled"
         before = conf.get(key)
         # sums of known size, pass after pass: planning them anew would take longer than they do
         conf.set(key, "false")
         try:
             self._weights()
+            if self._small():
+                self._models_dealt(trees)
+                return
             for turn in range(max((r.setting.rounds for r in runs), default=0)):
                 if turn and turn % ROUNDS == 0:
                     self._write_margins()
@@ -280,6 +418,74 @@ class Fit:
                 self.weights.append((run.setting.weight, 1.0))
         self.weights = [(min(WEIGHT, a), min(WEIGHT, b)) for a, b in self.weights]
 
+    def _noises(self) -> int:
+        """How many numbers the noise of symmetric splits takes."""
+        own = [r.setting for r in self.runs if r.setting.symmetric]
+        return len({s.seed for s in own}) * max((s.rounds for s in own), default=0) * max((s.depth for s in own), default=0) * self.width * self._bins()
+
+    def _bins(self) -> int:
+        return max((len(c) for m in self.models for c in m.cuts), default=0) + 1
+
+    def _small(self) -> bool:
+        """Whether rounds are many, and a task can hold all rows and what they take to fit."""
+        if max((r.setting.rounds for r in self.runs), default=0) <= ROUNDS or self._noises() > NOISES:
+            return False
+        rows = (self.blocks.agg(F.sum(F.length("id"))).first()[0] or 0) // 8
+        return rows * (self.width + 64) <= WHOLE
+
+    def _normals(self) -> dict[int, np.ndarray]:
+        """By seed the normal numbers of turn, level, feature and cut that a pass would draw."""
+        spark, bins, width = self.blocks.sparkSession, self._bins(), self.width
+        own = [r.setting for r in self.runs if r.setting.symmetric]
+        rounds, depth = (max((f(s) for s in own), default=0) for f in (lambda s: s.rounds, lambda s: s.depth))
+        of = lambda over, size: (F.floor(F.col("id") / over) % size).cast("int")
+        places = [F.floor(F.col("id") / (depth * width * bins)).cast("int"), of(width * bins, depth), of(bins, width), of(1, bins)]
+        draw = lambda seed: spark.range(rounds * depth * width * bins).select("id", _normal(F.lit(float(seed)), *places).alias("v")).toArrow()
+        out = {}
+        for seed in {s.seed for s in own}:
+            found = draw(seed)
+            out[seed] = np.zeros(rounds * depth * width * bins)
+            out[seed][found["id"].to_numpy()] = found["v"].to_numpy()
+            out[seed] = out[seed].reshape(rounds, depth, width, bins)
+        return out
+
+    def _models_dealt(self, keep: bool) -> None:
+        """All rounds of a model in one task. Tasks get all rows once and share the models out by their work, the largest first. Trees are brought if they are to be kept."""
+        spark, runs, width, folds, bins = self.blocks.sparkSession, self.runs, self.width, self.folds, self._bins()
+        weights, counts, normals, none = self.weights, [sum(c) for c in self.counts], self._normals(), np.zeros((0, 0))
+        work = [r.setting.rounds * (r.setting.depth + r.setting.symmetric) for r in runs]
+        tasks = max(1, min(len(runs), 2 * spark.sparkContext.defaultParallelism))
+        share, load = [[] for _ in range(tasks)], [0] * tasks
+        for k in sorted(range(len(runs)), key=lambda k: -work[k]):
+            least = load.index(min(load))
+            share[least].append(k)
+            load[least] += work[k]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts = [row for batch in batches for row in batch.to_pylist()]
+            if not parts:
+                return
+            b = _Rows({c: b"".join(p[c] for p in parts) for c in ("id", "y", "folds", "x")} | {"margins": b""}, width, folds, 0)
+            task = parts[0]["task"]
+            del parts
+            for k in share[task]:
+                r = runs[k]
+                trees, margins = _grow(b, r, weights[k], counts[k], bins, normals.get(r.setting.seed, none))
+                out = {c: b"".join(getattr(t, c).tobytes() for t in trees if keep) for c in ("feature", "cut", "left", "value", "gain")}
+                own = (b.folds[:, r.column] == r.without) & (b.folds[:, -1] == 1)
+                out |= {"id": b.id[own].tobytes(), "y": b.y[own].tobytes(), "margin": margins[1][own].tobytes()}
+                yield pa.record_batch({"model": pa.array([k], pa.int32()), **{c: pa.array([v], pa.binary()) for c, v in out.items()}})
+
+        dealt = self.blocks.select("id", "y", "folds", "x", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task")).repartitionById(tasks, F.col("task"))
+        # what comes of it is planned without all that it was made of
+        found = dealt.mapInArrow(run, _FITTED)
+        self.fitted = found.checkpoint() if spark.sparkContext.getCheckpointDir() else found.localCheckpoint()
+        for r in self.fitted.where(F.lit(keep)).select("model", "feature", "cut", "left", "value", "gain").collect():
+            s = runs[r.model].setting
+            size = (2 << s.depth) - 1
+            read = lambda v, kind: np.frombuffer(v, kind).reshape(-1, size)  # noqa: B023, E731
+            self.models[r.model].trees = [Tree(*t) for t in zip(read(r.feature, np.int32), read(r.cut, np.int32), read(r.left, bool), read(r.value, np.float64), read(r.gain, np.float64), strict=True)]
+
     def _write_margins(self) -> None:
         """Blocks with margins that hold the pending trees. Kept in memory or on executors' disks; every eighth time, where the cluster names a folder for it, in a checkpoint."""
         runs, pending = self.runs, self.pending
@@ -301,14 +507,6 @@ class Fit:
         before.unpersist()
         self.pending = [[] for _ in runs]
 
-    def _columns(self, run: Run, turn: int) -> np.ndarray:
-        """The features drawn for a tree."""
-        s = run.setting
-        if s.symmetric or s.columns >= 1:
-            return np.arange(self.width)
-        draw = _even(np.arange(self.width, dtype=np.int64), s.seed, turn, 3)
-        return np.sort(np.argsort(draw, kind="stable")[: max(1, round(s.columns * self.width))])
-
     def _round(self, turn: int) -> None:
         active = [k for k, r in enumerate(self.runs) if turn < r.setting.rounds and sum(self.counts[k])]
         growing = {k: Tree.of(self.runs[k].setting.depth) for k in active}
@@ -327,7 +525,7 @@ class Fit:
     def _split(self, turn: int, level: int, growing: dict[int, Tree], symmetric: bool) -> None:
         """One pass: the histograms of all nodes of a level of one kind of trees, and their best splits."""
         runs, pending, weights, width = self.runs, self.pending, self.weights, self.width
-        columns = {k: self._columns(runs[k], turn) for k in growing}
+        columns = {k: _drawn(runs[k].setting, width, turn) for k in growing}
         first, nodes = (1 << level) - 1, 1 << level
 
         def histograms(rows: Iterator) -> Iterator[pa.RecordBatch]:
@@ -359,23 +557,21 @@ class Fit:
         per_model = lambda f: F.get(F.lit([float(f(k)) for k in range(len(runs))]), F.col("model"))
         ridge = per_model(lambda k: runs[k].setting.ridge)
         if symmetric:
-            size = lambda k: math.log(max(2, sum(self.counts[k]))) - turn * runs[k].setting.rate
-            noise = per_model(lambda k: runs[k].setting.noise * math.exp(size(k)) / (1 + math.exp(size(k))) / math.sqrt(max(1, sum(self.counts[k])))) * _normal(per_model(lambda k: runs[k].setting.seed), F.lit(turn), F.lit(level), F.col("feature"), F.col("cut"))
+            noise = per_model(lambda k: _deviations(runs[k].setting, sum(self.counts[k]), turn)) * _normal(per_model(lambda k: runs[k].setting.seed), F.lit(turn), F.lit(level), F.col("feature"), F.col("cut"))
             found = shared_splits(sums, ridge, noise).collect()
         else:
             found = own_splits(sums, ridge, per_model(lambda k: runs[k].setting.least)).collect()
         for r in found:
             tree, s = growing[r.model], runs[r.model].setting
             at = [first + r.node] if not s.symmetric else range(first, first + nodes)
-            leaf = lambda g, h: -g / (h + s.ridge) * s.rate if h + s.ridge > 0 else 0.0  # noqa: B023, E731
             if not s.symmetric and level == 0:
-                tree.value[0] = leaf(r.g, r.h)
+                tree.value[0] = _leaf(r.g, r.h, s)
             if r.feature is None:
                 continue
             for k in at:
                 tree.feature[k], tree.cut[k], tree.left[k] = r.feature, r.cut, r.to_left
                 if not s.symmetric:
-                    tree.value[2 * k + 1], tree.value[2 * k + 2] = leaf(r.gl, r.hl), leaf(r.g - r.gl, r.h - r.hl)
+                    tree.value[2 * k + 1], tree.value[2 * k + 2] = _leaf(r.gl, r.hl, s), _leaf(r.g - r.gl, r.h - r.hl, s)
             tree.gain[at[0]] = r.gain
 
     def _ordered_values(self, growing: dict[int, Tree]) -> None:
@@ -403,15 +599,20 @@ class Fit:
         for r in sums.collect():
             tables[r.model][:, r.cell // PREFIXES, r.cell % PREFIXES] = r.g, r.h, r.fg, r.fh
         for k, t in growing.items():
-            s, (g, h, fg, fh) = runs[k].setting, tables[k]
-            t.value = -fg.sum(1) / (fh.sum(1) + s.ridge) * s.rate
-            # what comes before a prefix's own rows; before the first there is nothing
-            before = lambda v: np.concatenate([np.zeros((len(v), 1)), np.cumsum(v, 1)[:, :-1]], 1)
-            t.ordered = -before(g) / (before(h) + s.ridge) * s.rate
+            _ordered_leaves(t, tables[k], runs[k].setting)
 
     def scores(self, label: str = "y") -> DataFrame:
         """Rows (model, id, fold, y, probability) of the rows that each model left out: its out-of-fold scores."""
-        runs = self.runs
+        runs, schema = self.runs, f"model int, id bigint, fold int, `{label}` int, probability double"
+        if self.fitted is not None:
+            def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        k, y, margin = row["model"], np.frombuffer(row["y"], np.uint8), np.frombuffer(row["margin"], np.float32).astype(np.float64)
+                        same = lambda v: pa.array(np.full(len(y), v, np.int32))  # noqa: B023, E731
+                        yield pa.record_batch({"model": same(k), "id": pa.array(np.frombuffer(row["id"], np.int64)), "fold": same(runs[k].without), label: pa.array(y.astype(np.int32)), "probability": pa.array(1 / (1 + np.exp(-margin)))})
+
+            return self.fitted.select("model", "id", "y", "margin").mapInArrow(unpack, schema)
 
         def run(rows: Iterator) -> Iterator[pa.RecordBatch]:
             for _, b in rows:
@@ -421,7 +622,7 @@ class Fit:
                         p = 1 / (1 + np.exp(-b.margins[k][1][own].astype(np.float64)))
                         yield pa.record_batch({"model": pa.array(np.full(len(p), k, np.int32)), "id": pa.array(b.id[own]), "fold": pa.array(b.folds[own, r.column]), label: pa.array(b.y[own].astype(np.int32)), "probability": pa.array(p)})
 
-        return self._map(run, f"model int, id bigint, fold int, `{label}` int, probability double")
+        return self._map(run, schema)
 
     def close(self) -> None:
         self.blocks.unpersist()
@@ -516,7 +717,7 @@ def search(df: DataFrame, features: list[str], label: str, folds: dict[str, list
     df = df.withColumn("__scored", F.lit(1) if scored is None else F.col(scored).cast("int"))
     blocks = pack(df, features, cuts, label, id_col, [*names, "__scored"])
     runs = [Run(s, c, k) for s in options for c, name in enumerate(names) for k in folds[name]]
-    return Search(options, runs, Fit(blocks, features, cuts, runs, len(names) + 1))
+    return Search(options, runs, Fit(blocks, features, cuts, runs, len(names) + 1, trees=False))
 
 
 def fit(df: DataFrame, features: list[str], label: str, setting: Setting, id_col: str) -> Booster:
@@ -560,7 +761,7 @@ def nested_cv(df: DataFrame, nested: DataFrame, features: list[str], label: str,
     cuts = found.fit.models[0].cuts
     # rows that a column leaves out with -1 are those of its outer fold
     runs = [Run(options[best[c][0]], c, -1) for c in range(len(outer)) if c in best]
-    whole = Fit(pack(rows.withColumn("__scored", F.col("__real")), features, cuts, label, id_col, [*names, "__scored"]), features, cuts, runs, len(names) + 1)
+    whole = Fit(pack(rows.withColumn("__scored", F.col("__real")), features, cuts, label, id_col, [*names, "__scored"]), features, cuts, runs, len(names) + 1, trees=False)
     scores = whole.scores(label)
     out = [evaluate(scores.where(F.col("model") == k), label, best[r.column][2]).withColumns({"model": F.lit("symmetric" if r.setting.symmetric else "boosted"), "fold": F.lit(outer[r.column])}) for k, r in enumerate(runs)]
     spark = df.sparkSession
