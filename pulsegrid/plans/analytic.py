@@ -755,9 +755,9 @@ _RUNS = """WITH e AS (SELECT vec_id, unnest(range(0, len(embedding))) AS i, CAST
 
 @query("entropies", _RUNS + " SELECT vec_id, [round(f2 - f3, 9) + 0, CASE WHEN a > 0 THEN round(-ln(a / CAST(b AS DOUBLE)), 9) + 0 ELSE 'NaN'::DOUBLE END] AS apen_sampen FROM k")
 def entropies(spark, sf_dir):
-    """Both entropies of each vector to nine decimals: logarithms and the order of their sum, which engines differ in, reach the fifteenth."""
+    """Both entropies of each vector, of all its values, to nine decimals: logarithms and the order of their sum, which engines differ in, reach the fifteenth."""
     e = table(spark, sf_dir, "embeddings")
-    found = X.array_kernel(e, ["vec_id"], "embedding", lambda x: list(K.entropies(x)), "apen_sampen", "array<double>")
+    found = X.array_kernel(e, ["vec_id"], "embedding", lambda x: list(K.entropies(x, most=None)), "apen_sampen", "array<double>")
     return found.withColumn("apen_sampen", F.transform("apen_sampen", lambda v: F.when(F.isnan(v), v).otherwise(F.round(v, 9) + F.lit(0.0))))
 
 
